@@ -1,10 +1,57 @@
-"""The cleaning pipeline over `documents`: each stage works on all that its predecessor kept."""
+"""The cleaning pipeline over `documents`: each stage works on all that its predecessor kept.
+
+Stages but the last return the columns of `documents`; the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from meridian.llm import langid, lines, packing, simhash, substring
+from meridian.llm.queries import vocabulary
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language ID does not reject, with the language it finds in place of theirs."""
+    found = langid.identify(docs, langid.train(docs)).where("not rejected")
+    return found.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less the runs of lines that an earlier one has; those left without text go."""
+    return _measured(lines.line_dedup(docs), docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each near-duplicate group."""
+    return simhash.near_dedup(docs).select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less the passages of 20 words or more that start earlier; those left without text go."""
+    out = substring.substring_dedup(docs)
+    return _measured(out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))), docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens, one row per piece."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), digest=True)
+
+
+def _measured(out: DataFrame, docs: DataFrame) -> DataFrame:
+    kept = out.where("n_removed = 0 or trim(text) <> ''")
+    return kept.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+STAGES = [
+    ("language", language),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("pack", pack),
+]
 
-STAGES = []
+#: SimHash, substring search and token ids are not SQL; tests compare every stage with brute force.
 ORACLE_SQL = None
 
 

@@ -2,14 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from meridian.llm import simhash, substring
+from meridian.llm import embeddings, langid, lines, media, packing, pieces, quality, simhash, substring, warc
 from meridian.plans.registry import Registry, table
 
 LLM = Registry()
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def fold(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@LLM.add("op1_line_dedup", lines.SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@LLM.add("op2_media")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    found = media.digests(media.sniff_media(stored.withColumn("declared", F.lit("application/octet-stream")), declared="declared"))
+    carved = F.array_join(F.transform("carved", lambda c: F.concat_ws(":", c["offset"], c["length"], c["type"])), ",")
+    feature = F.concat_ws("|", "type", F.when(F.col("corrected"), "corrected").otherwise("as declared"), carved, "embedded")
+    return found.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature")
+    )
+
+
+@LLM.add("op3_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), digest=True)
+
+
 @LLM.add("op4_simhash")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = simhash.simhash_components(table(spark, sf_dir, "documents"))
@@ -17,7 +51,44 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+@LLM.add("op5_merge_dropout")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.segment_digests(docs, path, seed=1)
+    return out.select("doc_id", "n_ids", "ids_crc32", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "decoded_sha256")
+
+
+@LLM.add("op6_revisits", warc.SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve_revisits(warc.page_records(table(spark, sf_dir, "pages")))
+    entries = F.array_sort(F.transform(F.map_entries("headers_merged"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return out.select("record_id", "canonical_url", "status", "refers_to", F.array_join(entries, ";").alias("headers"))
+
+
 @LLM.add("op7_substring")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@LLM.add("op8_embeddings")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_components(table(spark, sf_dir, "embeddings"))
+
+
+@LLM.add("op9_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = fold(4) == 2
+    labels = table(spark, sf_dir, "labels").where(~held).select("doc_id", F.col("quality").alias("label"))
+    out = quality.score(docs.withColumn("held_out", held), quality.train(docs, labels))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@LLM.add("op10_language")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = fold(5) == 0
+    model = langid.train(docs.where(~held))
+    return langid.identify(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from meridian.llm.text import gram_hashes, sorted_runs, utf8, window_minima
+from meridian.llm.text import append_columns, gram_hashes, sorted_runs, utf8, window_minima
 from meridian.plans.scratch import Scratch
 
 WINDOW = 20
@@ -229,25 +229,21 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, mos
     repeat a doc_id must repeat its text and get equal results. Columns of `docs` named
     like an added one are replaced. An empty table gives an empty result.
     """
-    added = {"n_words": "long", "n_removed": "long", "removed": "array<array<int>>", "kept": "string"}
-    docs = docs.drop(*added, "__starts")
+    docs = docs.drop("__starts")
     joined = docs.join(removals(docs, window, gram, most).withColumnRenamed("starts", "__starts"), "doc_id", "left")
 
-    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for t, starts in zip(utf8(f["text"]), f["__starts"]):
-                words, spans = t.split(), []
-                n = len(words)
-                if starts is not None:
-                    s = np.unique(starts)
-                    edge = np.flatnonzero(np.diff(s) > window) + 1
-                    spans = [[int(p[0]), int(p[-1]) + window] for p in np.split(s, edge)]
-                    for a, b in reversed(spans):
-                        del words[a:b]
-                rows.append((n, n - len(words), spans, b" ".join(words).decode("utf-8", "replace")))
-            f = f.drop(columns="__starts")
-            yield f.assign(**dict(zip(added, map(list, zip(*rows))))) if rows else f.reindex(columns=[*f.columns, *added])
-
-    kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in joined.drop("__starts").schema)
-    return joined.mapInPandas(apply, kinds + "".join(f", {k} {v}" for k, v in added.items()))
+    def apply(texts: list[str | None], removed: list[list[int] | None]) -> dict[str, list]:
+        out: dict[str, list] = {"n_words": [], "n_removed": [], "removed": [], "kept": []}
+        for t, starts in zip(utf8(texts), removed):
+            words, spans = t.split(), []
+            n = len(words)
+            if starts:
+                s = np.unique(starts)
+                spans = [[int(p[0]), int(p[-1]) + window] for p in np.split(s, np.flatnonzero(np.diff(s) > window) + 1)]
+                for a, b in reversed(spans):
+                    del words[a:b]
+            for k, v in zip(out, (n, n - len(words), spans, b" ".join(words).decode("utf-8", "replace"))):
+                out[k].append(v)
+        return out
+
+    return append_columns(joined, ["text", "__starts"], apply, "n_words long, n_removed long, removed array<array<int>>, kept string")

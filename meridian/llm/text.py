@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def utf8(texts: pd.Series) -> list[bytes]:
+def utf8(texts: Iterable[str | None]) -> list[bytes]:
     """The texts as UTF-8; a null is empty, a lone surrogate becomes '?'."""
     return [t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in texts]
 
@@ -80,3 +83,24 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | N
                 break
             label = up
     return label
+
+
+def append_columns(df: DataFrame, inputs: list[str], f: Callable[..., dict[str, list]], added: str) -> DataFrame:
+    """`df` with the columns `added` (DDL), which `f` makes from the lists of values of `inputs`.
+
+    The other columns pass as Arrow arrays, unread. Columns of `df` named like an added
+    one are replaced; inputs that start with two underscores are dropped.
+    """
+    new = T.StructType.fromDDL(added)
+    kept = [c for c in df.columns if c not in new.names and not (c in inputs and c.startswith("__"))]
+    schema = T.StructType([df.schema[c] for c in kept] + new.fields)
+    sent = df.select(*dict.fromkeys(kept + inputs))
+    arrow = to_arrow_schema(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = f(*[b.column(c).to_pylist() for c in inputs])
+            arrays = [b.column(c) for c in kept] + [pa.array(got[x.name], type=x.type) for x in arrow]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return sent.mapInArrow(run, schema)
