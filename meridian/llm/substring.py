@@ -48,7 +48,7 @@ class FMIndex:
             second = np.zeros(n, np.int64)
             second[: n - k] = rank[k:] + 1
             key = rank * (n + 2) + second
-            sa = np.argsort(key, kind="stable")
+            sa = np.argsort(key)
             new = np.r_[False, np.diff(key[sa]) != 0]
             rank = np.empty(n, np.int64)
             rank[sa] = np.cumsum(new)

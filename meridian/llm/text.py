@@ -36,14 +36,15 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 def window_minima(grams: np.ndarray, w: int) -> np.ndarray:
     """For each window of w grams, the place of its least gram (the rightmost of equals)."""
-    n = len(grams) - w + 1
-    if n <= 0:
+    if len(grams) < w:
         return np.empty(0, np.int64)
-    best, at = grams[:n].copy(), np.arange(n)
-    for j in range(1, w):
-        less = grams[j : j + n] <= best
-        best = np.where(less, grams[j : j + n], best)
-        at[less] = np.flatnonzero(less) + j
+    best, at, size = grams, np.arange(len(grams)), 1
+    while size < w:  # from windows of `size` to twice that, or to w
+        step = min(size, w - size)
+        left, right = best[: len(best) - step], best[step:]
+        keep = left < right
+        best, at = np.where(keep, left, right), np.where(keep, at[:-step], at[step:])
+        size += step
     return at
 
 
