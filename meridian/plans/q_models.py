@@ -200,9 +200,9 @@ def ensemble_blend_weight(spark: SparkSession, d: str) -> DataFrame:
 
 @Q.add("quantile_scale", f"""
     WITH t AS (SELECT quantile_cont(l_extendedprice, {POINTS}) AS q FROM lineitem)
-    SELECT CAST(generate_subscripts(q, 1) - 1 AS INTEGER) AS i, round(unnest(q), 2) AS q FROM t""")
+    SELECT CAST(generate_subscripts(q, 1) - 1 AS INTEGER) AS i, round(unnest(q) + 1e-7, 2) AS q FROM t""")
 def quantile_scale(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.quantile_table(table(spark, d, "lineitem"), "l_extendedprice").select(F.posexplode("q").alias("i", "q")).select("i", F.round("q", 2).alias("q"))
+    return scoring.quantile_table(table(spark, d, "lineitem"), "l_extendedprice").select(F.posexplode("q").alias("i", "q")).select("i", F.round(F.col("q") + 1e-7, 2).alias("q"))
 
 
 _T = f"t AS (SELECT quantile_cont(p_retailprice, {POINTS}) AS q FROM part)"
