@@ -125,9 +125,9 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, centroids: int = CENTROIDS)
     best = (x @ matrix.T).max(axis=1) if len(parts) else np.empty(0)
     bits = np.array([int(s).bit_length() for s in size])
     found = {b: np.quantile(best[bits == b], 0.05) for b in set(bits.tolist()) if (bits == b).sum() >= 20}
-    # short texts are far from every centroid by their length alone: lengths without enough examples take the lowest bar
-    low = min(found.values(), default=0.0)
-    usual = np.array([found.get(b, low if b > min(found, default=99) else 0.0) for b in range(15)])
+    # a short text's cosine falls with the root of its length; lengths without enough examples follow that from the shortest with
+    shortest, low = min(found, default=0), min(found.values(), default=0.0)
+    usual = np.array([found.get(b, low * 2.0 ** min(0.0, (b - shortest) / 2)) for b in range(15)])
     return Centroids(langs, np.array(of, int), idf, matrix.astype(np.float64), usual)
 
 

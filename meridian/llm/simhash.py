@@ -99,7 +99,7 @@ class BKForest:
             hit = d <= radius
             found_q.append(q[hit])
             found_i.append(node[hit])
-            lo = np.searchsorted(self.slots, node * 65 + np.maximum(d - radius, 1))
+            lo = np.searchsorted(self.slots, node * 65 + np.maximum(d - radius, 0))
             hi = np.searchsorted(self.slots, node * 65 + np.minimum(d + radius, 64), side="right")
             many = hi - lo
             q = np.repeat(q, many)

@@ -61,10 +61,9 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     url = canonical_url(F.col("url"))
     at = F.coalesce("time", F.lit(-(1 << 62)))
     base = records.withColumns({"__url": url, "__at": at}).where("kind in ('response', 'revisit')")
-    spread = base.agg(F.min("time").alias("low"), F.max("time").alias("high"))
-    slim = base.crossJoin(F.broadcast(spread))  # one row
-    width = F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1) / slices))
-    slim = slim.withColumn("__slice", F.coalesce(F.floor((F.col("time") - F.col("low")) / width), F.lit(-1))).drop("low", "high")
+    low, high = base.agg(F.min("time"), F.max("time")).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // slices))
+    slim = base.withColumn("__slice", F.coalesce(F.floor((F.col("time") - (low or 0)) / width), F.lit(-1)))
     found = F.struct("__at", "record_id", "etag", "last_modified", "headers")
     response = F.col("kind") == "response"
     key = Window.partitionBy("__url").orderBy("__slice")
