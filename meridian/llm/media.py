@@ -176,6 +176,14 @@ def sniff(b: bytes) -> list[tuple[int, int, str]]:
     return out
 
 
+def classify(b: bytes) -> tuple[str, list[tuple[int, int, str]]]:
+    """The type of media that fills `b`, else application/octet-stream, and what else is in it."""
+    found = sniff(b)
+    if found and found[0][:2] == (0, len(b)):
+        return found[0][2], found[1:]
+    return "application/octet-stream", found
+
+
 def store(payload: bytes, rate: int = 8000) -> bytes:
     """The payload as the 8-bit mono samples of a WAV file."""
     n = len(payload)
@@ -221,37 +229,37 @@ def sniff_media(df: DataFrame, media: str = "media", declared: str | None = None
     def run(blobs: list[bytes | None], said: list[str | None] | None = None) -> dict[str, list]:
         out: dict[str, list] = {"type": [], "corrected": [], "carved": []}
         for b, d in zip(blobs, said or [None] * len(blobs)):
-            found = sniff(b) if b else []
-            whole = found and found[0][:2] == (0, len(b))
-            kind = found[0][2] if whole else "application/octet-stream"
+            kind, carved = classify(b or b"")
             out["type"].append(kind)
             out["corrected"].append(d is not None and d != kind)
-            out["carved"].append([{"offset": o, "length": n, "type": t} for o, n, t in found[bool(whole) :]])
+            out["carved"].append([{"offset": o, "length": n, "type": t} for o, n, t in carved])
         return out
 
     added = "type string, corrected boolean, carved array<struct<offset:long,length:long,type:string>>"
     return append_columns(df, [media, *([declared] if declared else [])], run, added)
 
 
-def digests(df: DataFrame, media: str = "media") -> DataFrame:
-    """`df` with figures of the samples read back from a column of WAV files, and of its bytes.
+def stored_digests(docs: DataFrame, declared: str = "application/octet-stream") -> DataFrame:
+    """`docs` with figures of its texts stored by store_texts, sniffed, and read back, in one pass over each text.
 
-    embedded holds the media found among the samples, as offset:length:type.
+    n_bytes, payload_bytes, payload_sha256 and tail_crc32 (last 64) are of the text and of the
+    samples read back, media_bytes and media_sha256 of the stored file; feature names its type, whether that
+    corrects the declared one, and the media carved from the file and found among the samples.
     """
 
-    def run(blobs: list[bytes | None]) -> dict[str, list]:
-        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "embedded")
+    def run(texts: list[str | None]) -> dict[str, list]:
+        names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
         out: dict[str, list] = {k: [] for k in names}
-        for b in blobs:
-            if b is None:
-                row = (None,) * len(names)
-            else:
-                p = samples(b)
-                inner = ",".join(f"{o}:{n}:{t}" for o, n, t in sniff(p))
-                row = (len(p), sha256(p).hexdigest(), crc32(p[-BLOCK:]), len(b), sha256(b).hexdigest(), inner)
+        for raw in utf8(texts):
+            b = store(raw + b"\0" * (-len(raw) % BLOCK if raw else BLOCK))
+            kind, carved = classify(b)
+            p = samples(b)
+            said = "corrected" if kind != declared else "as declared"
+            spans = [",".join(f"{o}:{n}:{t}" for o, n, t in found) for found in (carved, sniff(p))]
+            row = (len(raw), len(p), sha256(p).hexdigest(), crc32(p[-BLOCK:]), len(b), sha256(b).hexdigest(), "|".join([kind, said, *spans]))
             for k, v in zip(names, row):
                 out[k].append(v)
         return out
 
-    added = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, embedded string"
-    return append_columns(df, [media], run, added)
+    added = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return append_columns(docs, ["text"], run, added)

@@ -30,13 +30,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @LLM.add("op2_media")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    found = media.digests(media.sniff_media(stored.withColumn("declared", F.lit("application/octet-stream")), declared="declared"))
-    carved = F.array_join(F.transform("carved", lambda c: F.concat_ws(":", c["offset"], c["length"], c["type"])), ",")
-    feature = F.concat_ws("|", "type", F.when(F.col("corrected"), "corrected").otherwise("as declared"), carved, "embedded")
-    return found.select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature")
-    )
+    out = media.stored_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.drop("text")
 
 
 @LLM.add("op3_packing")

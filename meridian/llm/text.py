@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Rows whose Python values a task holds at once.
+SLICE = 1000
+
 
 def utf8(texts: Iterable[str | None]) -> list[bytes]:
     """The texts as UTF-8; a null is empty, a lone surrogate becomes '?'."""
@@ -99,9 +102,11 @@ def append_columns(df: DataFrame, inputs: list[str], f: Callable[..., dict[str,
     arrow = to_arrow_schema(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = f(*[b.column(c).to_pylist() for c in inputs])
-            arrays = [b.column(c) for c in kept] + [pa.array(got[x.name], type=x.type) for x in arrow]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                b = whole.slice(start, SLICE)
+                got = f(*[b.column(c).to_pylist() for c in inputs])
+                arrays = [b.column(c) for c in kept] + [pa.array(got[x.name], type=x.type) for x in arrow]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return sent.mapInArrow(run, schema)
