@@ -24,8 +24,8 @@ CAPACITY = 2048
 END = 1
 #: Tokens that a window holds before it is packed, in sequences, and those it keeps back for the next.
 WINDOW, KEEP = 512, 64
-#: Words whose ids a worker remembers.
-CACHE = 400_000
+#: Words whose ids a worker remembers; the least recent go first, by halves.
+CACHE = 800_000
 
 _LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _POINT = re.compile(r"(?<=[a-z])([.,])(?=\s|$)")
@@ -43,6 +43,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         """The words of a text, with what can't change their ids evened out: ASCII case, and a point or comma after a letter set apart."""
@@ -52,9 +53,12 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self.words(t or "") for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {}
-        new = list(set().union(*split).difference(self.known))
+        if len(self.known) > CACHE // 2:
+            self.known, self.old = {}, self.known
+        missing = set().union(*split).difference(self.known)
+        again = missing.intersection(self.old)
+        self.known.update(zip(again, map(self.old.__getitem__, again)))
+        new = list(missing - again)
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             self.known[w] = np.array(e.ids, "<u4").tobytes()
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
