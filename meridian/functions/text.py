@@ -200,3 +200,21 @@ def search_score(label: Column, keywords: Column, query: str) -> Column:
     for t in terms:
         hit = hit & text.contains(t)
     return F.when(hit, score)
+
+
+def alert_sentence(names: Column, start: Column, end: Column, stretches: Column) -> Column:
+    """What to say of a warning: one stretch by its street, several by their span to the nearest ten metres."""
+    span = (F.floor((end - start) / 10 + 0.5) * 10).cast("long").cast("string")
+    several = F.concat(stretches.cast("string"), F.lit(" stretches over the next "), span, F.lit(" meters: "), F.array_join(names, ", "))
+    return F.when(stretches > 1, several).otherwise(F.concat(F.lit("Higher risk on "), F.coalesce(F.get(names, F.lit(0)), F.lit("a side street"))))
+
+
+def parse_bbox(raw: str, most: float = 0.3) -> tuple[float, float, float, float]:
+    """(west, south, east, north) from 'w,s,e,n'; a ValueError for anything that is no box of at most `most` degrees."""
+    parts = [float(x) for x in raw.split(",")]
+    if len(parts) != 4 or not all(abs(x) <= 180 for x in parts):
+        raise ValueError("a box is four numbers")
+    w, s, e, n = parts
+    if not (w < e and s < n and e - w <= most and n - s <= most):
+        raise ValueError("a box runs from west to east and south to north and is small")
+    return w, s, e, n

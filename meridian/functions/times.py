@@ -107,3 +107,24 @@ def hour_similarity(a: Column, b: Column) -> Column:
 def day_similarity(a: Column, b: Column) -> Column:
     """1 for the same weekday (Monday 0), 0.6 within working days or within the weekend, else 0.2."""
     return F.when(a == b, 1.0).when((a >= 5) == (b >= 5), 0.6).otherwise(0.2)
+
+
+def time_label(ts: Column, zone: str = ZONE) -> Column:
+    """'10 PM' in a zone."""
+    return F.date_format(F.from_utc_timestamp(ts, zone), "h a")
+
+
+def cell_at(ts: Column, wet: Column, zone: str = ZONE) -> Column:
+    """The kind of hour of an instant: struct of day_group, hour, light and wet."""
+    local = F.from_utc_timestamp(ts, zone)
+    return F.struct(day_group(local).alias("day_group"), F.hour(local).alias("hour"), light(ts).alias("light"), wet.alias("wet"))
+
+
+def reference_dates(today: Column) -> Column:
+    """Map from day group to its first date from today on."""
+    days = F.transform(F.sequence(F.lit(6), F.lit(0), F.lit(-1)), lambda i: F.date_add(today, i))
+    return F.aggregate(days, F.expr("cast(map() as map<string,date>)"), lambda m, d: F.map_concat(F.map_filter(m, lambda k, _: k != day_group(d)), F.create_map(day_group(d), d)))
+
+
+def arrival(start: Column, seconds: Column) -> Column:
+    return start + F.make_dt_interval(secs=seconds)

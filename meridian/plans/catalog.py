@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from meridian.plans import q_models, q_scalar, q_space, q_state, q_tables
+from meridian.plans import q_models, q_products, q_scalar, q_space, q_state, q_tables
 from meridian.plans.registry import Query
 
-REGISTRIES = [q_scalar.Q, q_tables.Q, q_space.Q, q_models.Q, q_state.Q]
+REGISTRIES = [q_scalar.Q, q_tables.Q, q_space.Q, q_models.Q, q_state.Q, q_products.Q]
 
 
 def queries() -> dict[str, Query]:

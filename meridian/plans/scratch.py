@@ -23,23 +23,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Writes intermediate tables; `free` removes those that nothing reads any more."""
+    """Writes intermediate tables; `free` removes those that nothing reads any more, the end of the session the rest."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/meridian-{uuid.uuid4().hex}"
         self.n = 0
+        self._path().getFileSystem(self._hadoop()).deleteOnExit(self._path())
+
+    def _path(self, under: str = ""):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root + under)
+
+    def _hadoop(self):
+        return self.spark.sparkContext._jsc.hadoopConfiguration()
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
+        df.write.option("compression", "zstd").parquet(f"{self.root}/{self.n}")
+        out = self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.n}")
+        out._scratch = f"/{self.n}"
         return out
 
     def free(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._path().getFileSystem(self._hadoop()).delete(self._path(t._scratch), True)

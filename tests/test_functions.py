@@ -122,3 +122,37 @@ def test_hexagons_cover_their_centres(spark):
 def test_haversine(spark):
     d = value(spark, geo.haversine(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)))
     assert math.isclose(d, 6_371_000 * math.pi / 180)
+
+
+def test_utm(spark):
+    x, y = geo.utm(F.lit(33.7756), F.lit(-84.3963))
+    got = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+    assert got["x"] == pytest.approx(741_154, abs=60) and got["y"] == pytest.approx(3_740_300, abs=400)
+    x, y = geo.utm(F.lit(0.0), F.lit(-87.0))
+    assert tuple(spark.range(1).select(x, y).first()) == pytest.approx((500_000, 0), abs=1e-6)
+
+
+def test_buffer_and_stitching(spark):
+    square = F.array(path((0, 0), (10, 0), (10, 10), (0, 10), (0, 0)))
+    inside = lambda x, m: value(spark, geo.in_buffer(F.lit(float(x)), F.lit(5.0), square, m))
+    assert [inside(5, 1.0), inside(12, 2.0), inside(12, 1.0)] == [True, True, False]
+    a, b = path((0, 0), (1, 0)), path((5, 5), (1, 0))
+    assert [tuple(p) for p in value(spark, geo.stitched(a, geo.oriented(b, F.lit(1.0), F.lit(0.0)), 0.1))] == [(0, 0), (1, 0), (5, 5)]
+
+
+def test_labels_and_dates(spark):
+    assert value(spark, times.time_label(F.lit("2024-07-01 02:00:00").cast("timestamp"))) == "10 PM"
+    got = value(spark, times.reference_dates(F.lit("2024-01-06").cast("date")))  # a Saturday
+    assert {k: v.isoformat() for k, v in got.items()} == {"saturday": "2024-01-06", "sunday": "2024-01-07", "weekday": "2024-01-08", "friday": "2024-01-12"}
+    cell = value(spark, times.cell_at(F.lit("2024-07-06 03:00:00").cast("timestamp"), F.lit(True)))
+    assert tuple(cell) == ("friday", 23, "dark", True)
+    one = text.alert_sentence(F.array(F.lit("A")), F.lit(0.0), F.lit(40.0), F.lit(1))
+    two = text.alert_sentence(F.array(F.lit("A"), F.lit("B")), F.lit(0.0), F.lit(144.0), F.lit(2))
+    assert value(spark, one) == "Higher risk on A" and value(spark, two) == "2 stretches over the next 140 meters: A, B"
+
+
+@pytest.mark.parametrize("raw", ["1,2,3", "a,b,c,d", "1,1,0,2", "0,0,1,1", "nan,0,0.1,0.1"])
+def test_bad_boxes(raw):
+    with pytest.raises(ValueError):
+        text.parse_bbox(raw)
+    assert text.parse_bbox("0,0,0.1,0.2") == (0, 0, 0.1, 0.2)
