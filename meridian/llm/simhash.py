@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from meridian.llm.text import local_components, sorted_runs, utf8
+from meridian.llm.text import local_components, sliced, sorted_runs, utf8
 from meridian.operators.graph import connected_components
 from meridian.plans.scratch import Scratch
 
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp is the 64-bit fingerprint as a signed long."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in sliced(frames):
             got = np.array([fingerprint(t, shingle) for t in utf8(f["text"])], np.uint64)
             yield pd.DataFrame({"doc_id": f["doc_id"], "fp": got.view(np.int64)})
 

@@ -25,16 +25,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from meridian.llm.text import append_columns, gram_hashes, sorted_runs, utf8, window_minima
+from meridian.llm.text import append_columns, gram_hashes, sliced, sorted_runs, utf8, window_minima
 from meridian.plans.scratch import Scratch
 
 WINDOW = 20
 GRAM = 5
 MOST = 512
 #: Contexts of one index.
-SHARD = 20_000
+SHARD = 10_000
 #: Windows searched together.
-BLOCK = 200_000
+BLOCK = 100_000
 
 
 class FMIndex:
@@ -151,7 +151,7 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
 
     def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in sliced(frames):
             ids, fps, many = [], [], []
             for i, t in zip(f["doc_id"], utf8(f["text"])):
                 fp, at = _anchors(t.split(), window, gram)
@@ -166,7 +166,7 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int
     of_doc = found.join(repeated, "fp", "left_semi").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
 
     def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in sliced(frames):
             rows = []
             for i, t, known in zip(f["doc_id"], utf8(f["text"]), f["fps"]):
                 words = t.split()
@@ -185,15 +185,14 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int
 
     first = F.min(F.struct("doc_id", "start", "n", "fp", "text")).alias("c")
     distinct = scratch.write(seen.groupBy("ctx").agg(first).select("ctx", "c.*"))
-    sizes = scratch.write(distinct.groupBy("fp").agg(F.count("*").alias("contexts")))
-    sized = distinct.join(sizes, "fp")
+    common = scratch.write(distinct.groupBy("fp").count().where(F.col("count") > most).select("fp"))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in sorted_runs(frames, "fp", SHARD):
             yield first_occurrences(f, window)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = sized.where(F.col("contexts") <= most).drop("contexts").repartition(n, "fp").sortWithinPartitions("fp")
+    shards = distinct.join(common, "fp", "left_anti").repartition(n, "fp").sortWithinPartitions("fp")
     searched = shards.mapInPandas(search, "ctx binary, docs array<long>, starts array<int>")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,18 +203,19 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int
                 rows += [(c, j, d, s + j, xxh3_128_digest(b" ".join(words[j : j + window]))) for j in range(k)]
             yield pd.DataFrame(rows, columns=["ctx", "j", "doc_id", "start", "words"])
 
-    single = scratch.write(sized.where(F.col("contexts") > most).mapInPandas(cut, "ctx binary, j int, doc_id long, start int, words binary"))
+    crowded = distinct.join(common, "fp", "left_semi")
+    single = scratch.write(crowded.mapInPandas(cut, "ctx binary, j int, doc_id long, start int, words binary"))
     least = scratch.write(single.groupBy("words").agg(F.min(F.struct("doc_id", "start")).alias("least")))
-    common = single.join(least, "words").groupBy("ctx").agg(F.sort_array(F.collect_list(F.struct("j", "least"))).alias("w"))
-    common = common.select("ctx", F.col("w.least.doc_id").alias("docs"), F.col("w.least.start").alias("starts"))
+    grouped = single.join(least, "words").groupBy("ctx").agg(F.sort_array(F.collect_list(F.struct("j", "least"))).alias("w"))
+    grouped = grouped.select("ctx", F.col("w.least.doc_id").alias("docs"), F.col("w.least.start").alias("starts"))
 
-    verdict = scratch.write(searched.unionByName(common))
+    verdict = scratch.write(searched.unionByName(grouped))
     earlier = F.expr(
         "filter(transform(sequence(0, n - 1), i -> start + i), s -> docs[s - start] < doc_id or (docs[s - start] = doc_id and starts[s - start] < s))"
     )
     hits = seen.select("doc_id", "start", "n", "ctx").join(verdict, "ctx").select("doc_id", earlier.alias("hits")).where("size(hits) > 0")
     out = scratch.write(hits.groupBy("doc_id").agg(F.flatten(F.collect_list("hits")).alias("starts")))
-    scratch.free(seen, distinct, sizes, single, least, verdict)
+    scratch.free(seen, distinct, common, single, least, verdict)
     return out
 
 

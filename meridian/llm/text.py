@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows whose Python values a task holds at once.
-SLICE = 1000
+SLICE = 500
 
 
 def utf8(texts: Iterable[str | None]) -> list[bytes]:
@@ -51,6 +51,13 @@ def window_minima(grams: np.ndarray, w: int) -> np.ndarray:
     return at
 
 
+def sliced(frames: Iterator[pd.DataFrame], rows: int = SLICE) -> Iterator[pd.DataFrame]:
+    """The frames in parts of at most `rows` rows, so that what is made of them stays small; an empty frame gives none."""
+    for f in frames:
+        for i in range(0, len(f), rows):
+            yield f.iloc[i : i + rows]
+
+
 def sorted_runs(frames: Iterator[pd.DataFrame], key: str, rows: int) -> Iterator[pd.DataFrame]:
     """Regroup the frames of a partition sorted by `key`: at least `rows` rows each, and no key in two of them."""
     held: list[pd.DataFrame] = []
