@@ -10,7 +10,6 @@ low, so only the last sequences of a task can have padding that matters.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict, deque
 from collections.abc import Iterator
 from zlib import crc32
@@ -20,15 +19,21 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from meridian.llm.text import utf8
+
 CAPACITY = 2048
 END = 1
 #: Tokens that a window holds before it is packed, in sequences, and those it keeps back for the next.
 WINDOW, KEEP = 512, 64
 #: Words whose ids a worker remembers; the least recent go first, by halves.
-CACHE = 800_000
+CACHE = 600_000
+
+#: Documents encoded at once.
+SLICE = 500
 
 _LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_POINT = re.compile(r"(?<=[a-z])([.,])(?=\s|$)")
+_IS_LETTER = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8))
+_IS_POINT = np.array([33 <= c < 127 and c != 39 and not chr(c).isalpha() for c in range(256)])
 
 
 class WordEncoder:
@@ -42,25 +47,41 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def words(self, text: str) -> list[str]:
-        """The words of a text, with what can't change their ids evened out: ASCII case, and a point or comma after a letter set apart."""
-        if "<|" not in text:  # else it may name a special token, where case matters
-            text = text.encode("utf-8", "replace").translate(_LOW).decode()
-        return _POINT.sub(r" \1", text).split()
+        self.known: dict[bytes | str, bytes] = {}
+        self.old: dict[bytes | str, bytes] = {}
+
+    def words(self, text: bytes) -> list[bytes]:
+        """The words of a text, with what can't change their ids evened out: ASCII case, and digits or points after a letter set apart.
+
+        An apostrophe may belong to the letters after it, so it stays. "<|" may name a special
+        token, where case matters; such a text is only split.
+        """
+        if b"<|" in text:
+            return text.decode().split()
+        text = text.translate(_LOW)
+        codes = np.frombuffer(text, np.uint8)
+        cut = np.flatnonzero(_IS_LETTER[codes[:-1]] & _IS_POINT[codes[1:]]) + 1
+        if len(cut):
+            spaced = np.full(len(codes) + len(cut), 32, np.uint8)
+            kept = np.ones(len(spaced), bool)
+            kept[cut + np.arange(len(cut))] = False
+            spaced[kept] = codes
+            text = spaced.tobytes()
+        return text.split()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.words(t or "") for t in texts]
+        split = [self.words(t) for t in utf8(texts)]
         if len(self.known) > CACHE // 2:
             self.known, self.old = {}, self.known
         missing = set().union(*split).difference(self.known)
         again = missing.intersection(self.old)
         self.known.update(zip(again, map(self.old.__getitem__, again)))
         new = list(missing - again)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        for i in range(0, len(new), 4096):  # an encoding is much larger than its ids
+            part = new[i : i + 4096]
+            plain = [w if isinstance(w, str) else w.decode() for w in part]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
@@ -156,8 +177,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, d
             return rows
 
         for f in frames:
-            for i in range(0, len(f), 1000):
-                part, rows = f.iloc[i : i + 1000], []
+            for i in range(0, len(f), SLICE):
+                part, rows = f.iloc[i : i + SLICE], []
                 for doc, ids in zip(part["id"], enc.encode(part["text"].tolist())):
                     doc = None if doc is None else int(doc)
                     ids += ending
