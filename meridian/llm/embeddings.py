@@ -138,8 +138,8 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, tile:
             yield pd.DataFrame({"node": f["node"], "many": f["many"], "c": c, "data": [r.tobytes() for r in x]})
 
     placed = nodes.select("node", "many", "v").mapInPandas(coordinate, "node long, many long, c double, data binary")
-    # AQE must not merge these partitions: each is a tile
-    dealt = placed.repartitionByRange(max(1, -(-n // tile)), "c")
+    # each of these partitions is a tile, also where many rows have one coordinate
+    dealt = placed.repartitionByRange(max(1, -(-n // tile)), "c", "node")
 
     def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = pd.concat(list(frames), ignore_index=True).sort_values("c", ignore_index=True)
