@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from meridian.operators.ranking import average_ranks, deciles, running
+from meridian.operators.ranking import average_ranks, deciles, ranged, running
 
 
 def overdispersion(df: DataFrame, y: str, mu: str) -> DataFrame:
@@ -85,26 +85,35 @@ def block_draws(blocks: list, reps: int, seed: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["rep", "block", "times"])
 
 
-def bootstrap_capture(df: DataFrame, scores: list[str], observed: str, length: str, block: str, tie: str, reps: int = 200, share: float = 0.1, seed: int = 0, level: float = 0.95) -> DataFrame:
+def bootstrap_capture(
+    df: DataFrame, scores: list[str], observed: str, length: str, block: str, tie: str, reps: int = 200, share: float = 0.1, seed: int = 0, level: float = 0.95
+) -> DataFrame:
     """(method, low, high): percentile interval of each score's capture over resampled blocks.
 
-    Blocks are a fixed set of areas, so their draws are made on the driver; rows are not.
-    Every (draw, score) is ranked in a task of its own. A draw's copies of a row act as one row
-    of that many times the length. Draws without an observation do not count.
+    Blocks are a fixed set of areas, so their draws are made on the driver; rows are not. A
+    draw changes what a row weighs and not its place, so rows are dealt by range of the score
+    once, and each draw adds up within ranges and then over them. A draw's copies of a row act
+    as one row of that many times the length. Draws without an observation do not count.
     """
+    spark = df.sparkSession
     blocks = [r[0] for r in df.select(block).distinct().orderBy(block).collect()]
-    draws = df.sparkSession.createDataFrame(block_draws(blocks, reps, seed)).withColumnRenamed("block", block)
-    long = df.select(block, tie, observed, length, F.inline(F.array(*[F.struct(F.lit(s).alias("method"), F.col(s).cast("double").alias("s")) for s in scores])))
-    rows = long.join(F.broadcast(draws), block)
-    w = Window.partitionBy("rep", "method")
-    size = F.col(length) * F.col("times")
-    before = F.coalesce(F.sum(size).over(w.orderBy(F.desc("s"), tie).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    ranked = rows.withColumns({"before": before, "budget": F.sum(size).over(w) * share, "size": size})
-    take = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("budget") - F.col("before")) / F.col("size")))
-    per = ranked.groupBy("rep", "method").agg((F.sum(take * F.col(observed) * F.col("times")) / F.nullif(F.sum(F.col(observed) * F.col("times")), F.lit(0))).alias("c"))
-    tail = (1 - level) / 2
-    q = F.percentile("c", F.array(F.lit(tail), F.lit(1 - tail)))
-    return per.where("c is not null").groupBy("method").agg(q.alias("q")).select("method", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    draws = F.broadcast(spark.createDataFrame(block_draws(blocks, reps, seed)).withColumnRenamed("block", block))
+    out, tail = None, (1 - level) / 2
+    for score in scores:
+        held = ranged(df.select(block, tie, observed, length, F.col(score).cast("double").alias("s")), [F.desc("s"), F.asc(tie)])
+        rows = held.join(draws, block).withColumn("size", F.col(length) * F.col("times"))
+        parts = rows.groupBy("rep", "part").agg(F.sum("size").alias("held"))
+        before = Window.partitionBy("rep").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+        parts = parts.select("rep", "part", F.coalesce(F.sum("held").over(before), F.lit(0.0)).alias("offset"), (F.sum("held").over(Window.partitionBy("rep")) * share).alias("budget"))
+        own = Window.partitionBy("rep", "part").orderBy(F.desc("s"), tie).rowsBetween(Window.unboundedPreceding, -1)
+        ranked = rows.join(parts, ["rep", "part"]).withColumn("before", F.col("offset") + F.coalesce(F.sum("size").over(own), F.lit(0.0)))
+        take = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("budget") - F.col("before")) / F.col("size")))
+        got = F.col(observed) * F.col("times")
+        per = ranked.groupBy("rep").agg((F.sum(take * got) / F.nullif(F.sum(got), F.lit(0))).alias("c"))
+        q = per.where("c is not null").agg(F.percentile("c", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
+        one = q.select(F.lit(score).alias("method"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def fold_of_group(sizes: DataFrame, group: str, folds: int) -> DataFrame:

@@ -197,12 +197,12 @@ def parallel_edge_min(spark: SparkSession, d: str) -> DataFrame:
 
 @Q.add("bounded_paths", f"""
     WITH RECURSIVE {_P}, {_E}, link AS (SELECT u AS a, v AS b, length FROM e UNION ALL SELECT v, u, length FROM e),
-    walk AS (SELECT id AS query, id AS node, CAST(0 AS DOUBLE) AS dist FROM p WHERE w = 2 UNION SELECT query, b, dist + length FROM walk JOIN link ON a = node WHERE dist + length <= 60)
+    walk AS (SELECT id AS query, id AS node, CAST(0 AS DOUBLE) AS dist FROM p UNION SELECT query, b, dist + length FROM walk JOIN link ON a = node WHERE dist + length <= 40)
     SELECT query, node, round(min(dist), 4) AS dist FROM walk GROUP BY 1, 2""")
 def bounded_paths(spark: SparkSession, d: str) -> DataFrame:
     edges = routing.both_ways(network(spark, d)[1])
-    sources = points(spark, d).where("w = 2").select(F.col("id").alias("query"), F.col("id").alias("node"))
-    return routing.distances(edges, sources, "length", 60.0).select("query", "node", F.round("dist", 4).alias("dist"))
+    sources = points(spark, d).select(F.col("id").alias("query"), F.col("id").alias("node"))
+    return routing.distances(edges, sources, "length", 40.0).select("query", "node", F.round("dist", 4).alias("dist"))
 
 
 def routes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

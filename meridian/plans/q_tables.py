@@ -306,7 +306,7 @@ def top_k_per_group(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").withColumn("r", F.row_number().over(w)).where("r <= 3").select("c_nationkey", "c_custkey")
 
 
-@Q.add("trip_log_last_200", """
+@Q.add("trip_log_newest", """
     SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20""")
 def trip_log(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))

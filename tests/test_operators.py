@@ -250,3 +250,20 @@ def test_group_folds_are_even(spark):
     sizes = spark.createDataFrame([("a", 5), ("b", 4), ("c", 3), ("d", 3)], "g string, n long")
     got = {r["g"]: r["fold"] for r in evaluate.fold_of_group(sizes, "g", 2).collect()}
     assert got == {"a": 0, "b": 1, "c": 1, "d": 0}
+
+
+def test_block_bootstrap_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, i % 7, rng.randint(0, 5) / 5, rng.randint(0, 2), rng.uniform(1, 20)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, b int, s double, y int, len double")
+    draws, shares = evaluate.block_draws(list(range(7)), 25, 3), []
+    for _, d in draws.groupby("rep"):
+        times = dict(zip(d["block"], d["times"]))
+        sample = [(s, i, y * times[b], n * times[b]) for i, b, s, y, n in rows if b in times]
+        budget, captured = 0.1 * sum(r[3] for r in sample), 0.0
+        for _, _, y, n in sorted(sample, key=lambda r: (-r[0], r[1])):
+            take = min(1.0, max(0.0, budget / n))
+            captured, budget = captured + take * y, budget - n
+        shares.append(captured / sum(r[2] for r in sample))
+    got = evaluate.bootstrap_capture(df, ["s"], "y", "len", "b", "id", reps=25, seed=3).first()
+    assert (got["low"], got["high"]) == pytest.approx(tuple(np.quantile(shares, [0.025, 0.975])))
