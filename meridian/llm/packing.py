@@ -10,6 +10,7 @@ low, so only the last sequences of a task can have padding that matters.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict, deque
 from collections.abc import Iterator
 from zlib import crc32
@@ -49,6 +50,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes | str, bytes] = {}
         self.old: dict[bytes | str, bytes] = {}
+        words = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(words.values(), default=0) + 1, bool)
+        self.ends_word[[i for w, i in words.items() if w.endswith("</w>")]] = True
 
     def words(self, text: bytes) -> list[bytes]:
         """The words of a text, with what can't change their ids evened out: ASCII case, and digits or points after a letter set apart.
@@ -69,6 +73,36 @@ class WordEncoder:
             text = spaced.tobytes()
         return text.split()
 
+    def learn(self, new: list[bytes | str]) -> None:
+        """Put the ids of new words into `known`.
+
+        Words of lower-case letters alone are one pre-token each, whose last id is one that
+        ends a word. So they can go through the tokenizer in groups and be told apart after;
+        a group that does not come out even, and all other words, go one by one.
+        """
+        single = []
+        if self.ends_word.any():
+            plain = [(w, t) for w in new if (t := w if isinstance(w, str) else w.decode()).isalpha() and t == t.lower()]
+            groups = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+            new = list(set(new).difference(w for w, _ in plain))
+            for i in range(0, len(groups), 64):  # an encoding is much larger than its ids
+                part = groups[i : i + 64]
+                for g, e in zip(part, self.tokenizer.encode_batch_fast([" ".join(t for _, t in g) for g in part], add_special_tokens=False)):
+                    ids = np.array(e.ids, "<u4")
+                    ends = (np.flatnonzero(self.ends_word[ids]) * 4 + 4).tolist()
+                    if len(ends) != len(g):
+                        single += [w for w, _ in g]
+                        continue
+                    data = ids.tobytes()
+                    for (w, _), start, end in zip(g, [0, *ends], ends):
+                        self.known[w] = data[start:end]
+        single += new
+        for i in range(0, len(single), 4096):
+            part = single[i : i + 4096]
+            plain = [w if isinstance(w, str) else w.decode() for w in part]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self.words(t) for t in utf8(texts)]
         if len(self.known) > CACHE // 2:
@@ -77,11 +111,7 @@ class WordEncoder:
         again = missing.intersection(self.old)
         self.known.update(zip(again, map(self.old.__getitem__, again)))
         new = list(missing - again)
-        for i in range(0, len(new), 4096):  # an encoding is much larger than its ids
-            part = new[i : i + 4096]
-            plain = [w if isinstance(w, str) else w.decode() for w in part]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.learn(new)
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
@@ -95,11 +125,12 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def fill(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
-    """(length, how many) of a multiset from `counts` whose sum is the largest up to `room`."""
+def fill(counts: dict[int, int], room: int, lengths: list[int] | None = None) -> list[tuple[int, int]]:
+    """(length, how many) of a multiset from `counts` whose sum is the largest up to `room`; `lengths` are its keys in order."""
+    lengths = sorted(counts) if lengths is None else lengths
     mask = (1 << (room + 1)) - 1
     reach, steps = 1, []
-    for length in sorted(counts, reverse=True):
+    for length in reversed(lengths[: bisect_right(lengths, room)]):
         left, part = min(counts[length], room // length), 1
         while left > 0:
             take = min(part, left)
@@ -124,10 +155,13 @@ class Window:
         self.capacity = capacity
         self.pieces: dict[int, deque] = defaultdict(deque)
         self.counts: dict[int, int] = {}
+        self.lengths: list[int] = []
         self.tokens = 0
 
     def add(self, length: int, piece: object) -> None:
         self.pieces[length].append(piece)
+        if length not in self.counts:
+            insort(self.lengths, length)
         self.counts[length] = self.counts.get(length, 0) + 1
         self.tokens += length
 
@@ -135,15 +169,16 @@ class Window:
         self.counts[length] -= 1
         if not self.counts[length]:
             del self.counts[length]
+            del self.lengths[bisect_left(self.lengths, length)]
         self.tokens -= length
         return self.pieces[length].popleft()
 
     def sequence(self) -> list[object]:
-        longest = max(self.counts)
+        longest = self.lengths[-1]
         out = [self.take(longest)]
         room = self.capacity - longest
         if room and self.counts:
-            for length, many in fill({k: v for k, v in self.counts.items() if k <= room}, room):
+            for length, many in fill(self.counts, room, self.lengths):
                 out += [self.take(length) for _ in range(many)]
         return out
 
