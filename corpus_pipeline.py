@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from meridian.llm import langid, lines, packing, simhash, substring
 from meridian.llm.queries import vocabulary
 
+#: One fingerprint finds half of the copies with 0.95 of their shingles in common, eight nearly all.
+FINGERPRINTS = 8
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID does not reject, with the language it finds in place of theirs."""
@@ -23,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group."""
-    return simhash.near_dedup(docs).select(*docs.columns)
+    """The document with the smallest doc_id of each near-duplicate group, by any of FINGERPRINTS fingerprints."""
+    return simhash.near_dedup(docs, many=FINGERPRINTS).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from meridian.llm.text import local_components, sliced, sorted_runs, utf8
+from meridian.llm.text import local_components, mix, sliced, sorted_runs, utf8
 from meridian.operators.graph import connected_components
 from meridian.plans.scratch import Scratch
 
@@ -29,11 +29,14 @@ CHUNK = 2048
 PAIRS = 2_000_000
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Majority bits of the XXH64 (seed 42) of the lower-cased word shingles; 0 without words."""
+def fingerprint(text: bytes, shingle: int = SHINGLE, many: int = 1) -> np.ndarray:
+    """Majority bits of the XXH64 (seed 42) of the lower-cased word shingles; 0 without words.
+
+    With `many`, that fingerprint and others of the same shingles, whose hashes are mixed anew.
+    """
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(many, np.uint64)
     if len(words) <= shingle:
         hashes = np.array([xxh64_intdigest(b" ".join(words), 42)], np.uint64)
     else:
@@ -42,20 +45,23 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         starts = [0, *ends]
         parts = (joined[i : j - 1] for i, j in zip(starts, ends[shingle - 1 :]))
         hashes = np.fromiter(map(xxh64_intdigest, parts, repeat(42)), np.uint64, len(words) - shingle + 1)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    major = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
-    return int(np.packbits(major, bitorder="little").view(np.uint64)[0])
+    out = np.empty(many, np.uint64)
+    for k in range(many):
+        h = hashes if not k else mix(hashes ^ np.uint64(0x9E3779B97F4A7C15 * k % 2**64))
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        major = bits.sum(axis=0, dtype=np.int64) * 2 > len(h)
+        out[k] = np.packbits(major, bitorder="little").view(np.uint64)[0]
+    return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the 64-bit fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, many: int = 1) -> DataFrame:
+    """(doc_id, fps): the 64-bit fingerprints as signed longs."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in sliced(frames):
-            got = np.array([fingerprint(t, shingle) for t in utf8(f["text"])], np.uint64)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "fp": got.view(np.int64)})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "fps": [fingerprint(t, shingle, many).view(np.int64) for t in utf8(f["text"])]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fps array<long>")
 
 
 class BKForest:
@@ -135,9 +141,9 @@ def _link_units(frames: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.Data
 
 
 def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """Edges (src, dst) that connect the same nodes as all pairs of (node, fp) within `radius` bits.
+    """Edges (src, dst) that connect the same nodes as all pairs of (k, node, fp) of one k within `radius` bits.
 
-    `fp` must be distinct. A task returns a spanning forest of the links it finds, not
+    `fp` must be distinct for each k. A task returns a spanning forest of the links it finds, not
     every pair, so near copies by the thousand cost rows in proportion to their number.
     """
     blocks = radius + 1
@@ -146,16 +152,16 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK
         F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", cuts[i]).bitwiseAND((1 << (cuts[i + 1] - cuts[i])) - 1).alias("value"))
         for i in range(blocks)
     ]
-    keyed = nodes.select("node", "fp", F.inline(F.array(*value)))
-    sizes = keyed.groupBy("block", "value").count().where("count > 1")
+    keyed = nodes.select("k", "node", "fp", F.inline(F.array(*value)))
+    sizes = keyed.groupBy("k", "block", "value").count().where("count > 1")
     sizes = Scratch(nodes.sparkSession).write(sizes.withColumn("chunks", F.ceil(F.col("count") / chunk).cast("int")).drop("count"))
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    dealt = keyed.join(sizes, ["block", "value"]).withColumn("own", own)
+    dealt = keyed.join(sizes, ["k", "block", "value"]).withColumn("own", own)
     others = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    dealt = dealt.select("node", "fp", "block", "value", "own", others)
+    dealt = dealt.select("k", "node", "fp", "block", "value", "own", others)
     low, high = F.least("own", "other"), F.greatest("own", "other")
     dealt = dealt.select(
-        F.xxhash64("block", "value", low, high).alias("unit"), "node", "fp",
+        F.xxhash64("k", "block", "value", low, high).alias("unit"), "node", "fp",
         (F.col("own") == low).alias("in_tree"), (F.col("own") == high).alias("asks"),
     )
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -163,25 +169,26 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK
     return dealt.mapInPandas(lambda frames: _link_units(frames, radius), "src long, dst long").distinct()
 
 
-def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, many: int = 1) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over fingerprint links.
 
-    Null and empty texts have fingerprint 0 and link like any other. Rows with a null
-    doc_id are components of their own (component_id null). Repeated rows of a doc_id
-    keep their own fingerprints. An empty table gives an empty result. Extra columns
+    With `many`, documents also link if any of their further fingerprints are that close;
+    fp is the first. Null and empty texts have fingerprint 0 and link like any other. Rows
+    with a null doc_id are components of their own (component_id null). Repeated rows of a
+    doc_id keep their own fingerprints. An empty table gives an empty result. Extra columns
     are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    fps = scratch.write(fingerprints(docs, shingle))
-    nodes = scratch.write(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    parts = connected_components(fingerprint_links(nodes.select("node", "fp"), radius))
-    roots = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(scratch.write(roots), "fp", "left").select(
-        "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
-    )
+    fps = scratch.write(fingerprints(docs, shingle, many))
+    each = fps.where("doc_id is not null").select("doc_id", F.posexplode("fps").alias("k", "fp"))
+    nodes = scratch.write(each.groupBy("k", "fp").agg(F.min("doc_id").alias("node")))
+    same = each.join(nodes, ["k", "fp"]).where("doc_id <> node").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
+    parts = connected_components(fingerprint_links(nodes, radius).unionByName(same))
+    found = fps.join(parts, F.col("doc_id") == F.col("node"), "left")
+    return found.select("doc_id", F.col("fps")[0].alias("fp"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, many: int = 1) -> DataFrame:
     """The rows of `docs` whose doc_id is the smallest of its component; rows without a doc_id stay."""
-    keep = simhash_components(docs, shingle, radius).where("doc_id = component_id").select("doc_id").distinct()
+    keep = simhash_components(docs, shingle, radius, many).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))

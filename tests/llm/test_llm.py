@@ -231,7 +231,8 @@ def brute_components(fps, radius=4):
         changed = False
         for a in ids:
             for b in ids:
-                if bin(fps[a] ^ fps[b]).count("1") <= radius and label[b] != label[a]:
+                near = (bin(x ^ y).count("1") <= radius for x, y in zip(*(f if isinstance(f, list) else [f] for f in (fps[a], fps[b]))))
+                if label[b] != label[a] and any(near):
                     label[a] = label[b] = min(label[a], label[b])
                     changed = True
     return label
@@ -264,7 +265,7 @@ def test_links_of_crowded_shards(spark, chunk):
             f ^= 1 << rng.randrange(64)
         if f not in fps.values():
             fps[i] = f
-    df = spark.createDataFrame([(i, f - (f >> 63 << 64)) for i, f in fps.items()], "node long, fp long")
+    df = spark.createDataFrame([(0, i, f - (f >> 63 << 64)) for i, f in fps.items()], "k int, node long, fp long")
     edges = simhash.fingerprint_links(df, chunk=chunk).collect()
     ids = sorted(fps)
     place = {n: k for k, n in enumerate(ids)}
@@ -526,7 +527,9 @@ def test_pipeline_stages(spark, tmp_path):
     expected = brute_lines(list(zip(first.doc_id, first.text)))
     lined = kept["line_dedup"]
     assert dict(zip(lined.doc_id, lined.text)) == {i: t for i, t in expected.items() if t.strip() or t == dict(zip(first.doc_id, first.text))[i]}
-    label = brute_components({i: brute_fingerprint(t) for i, t in zip(lined.doc_id, lined.text)})
+    several = {i: simhash.fingerprint(t.encode(), 4, corpus_pipeline.FINGERPRINTS).tolist() for i, t in zip(lined.doc_id, lined.text)}
+    assert all(several[i][0] == brute_fingerprint(t) for i, t in zip(lined.doc_id, lined.text))
+    label = brute_components(several)
     near = kept["near_dedup"]
     assert set(near.doc_id) == set(label.values())
     cut = brute_substrings(list(zip(near.doc_id, near.text)))
