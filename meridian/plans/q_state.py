@@ -26,7 +26,11 @@ def ttl_upsert_state(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", "event_type", at("created_at").alias("created"), at("expires_at").alias("expires"), "confirmations")
 
 
-@Q.add("throttle_accepts")
+@Q.add("throttle_accepts", """
+    WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+    n AS (SELECT a.user_id, a.r, min(b.r) AS next FROM e a LEFT JOIN e b ON b.user_id = a.user_id AND b.ts >= a.ts + INTERVAL 1 HOUR GROUP BY 1, 2),
+    t AS (SELECT user_id, CAST(1 AS BIGINT) AS r FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT n.user_id, n.next FROM t JOIN n USING (user_id, r) WHERE n.next IS NOT NULL)
+    SELECT event_id FROM t JOIN e USING (user_id, r)""")
 def throttle_accepts(spark: SparkSession, d: str) -> DataFrame:
     return state.throttle(_events(spark, d), "user_id", 3600.0)
 
