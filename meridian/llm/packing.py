@@ -27,7 +27,7 @@ END = 1
 #: Tokens that a window holds before it is packed, in sequences, and those it keeps back for the next.
 WINDOW, KEEP = 512, 64
 #: Words whose ids a worker remembers; the least recent go first, by halves.
-CACHE = 600_000
+CACHE = 500_000
 
 #: Documents encoded at once.
 SLICE = 500

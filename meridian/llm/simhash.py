@@ -26,7 +26,7 @@ RADIUS = 4
 #: Most fingerprints of one tree.
 CHUNK = 2048
 #: Pairs of query and tree node looked at together; bounds a task's memory.
-PAIRS = 2_000_000
+PAIRS = 500_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, many: int = 1) -> np.ndarray:
