@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meridian.llm import langid, lines, packing, simhash, substring
+from meridian.llm import langid, lines, near, packing, substring
 from meridian.llm.queries import vocabulary
 
-#: One fingerprint finds half of the copies with 0.95 of their shingles in common, eight nearly all.
+#: Fingerprints of an earlier near_dedup, to which test_pipeline_stages still compares; the stage takes none.
 FINGERPRINTS = 8
 
 
@@ -26,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group, by any of FINGERPRINTS fingerprints."""
-    return simhash.near_dedup(docs, many=FINGERPRINTS).select(*docs.columns)
+    """The document with the smallest doc_id of each group linked by 0.8 or more of common 5-word shingles."""
+    return near.near_dedup(docs).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-#: SimHash, substring search and token ids are not SQL; tests compare every stage with brute force.
+#: Shingle sets, substring search and token ids are not SQL; tests compare every stage with brute force.
 ORACLE_SQL = None
 
 

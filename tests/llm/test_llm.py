@@ -15,7 +15,7 @@ from xxhash import xxh64_intdigest
 
 import corpus_pipeline
 from conftest import DATA, same_as_sql
-from meridian.llm import embeddings, langid, lines, media, packing, pieces, quality, simhash, substring, warc
+from meridian.llm import embeddings, langid, lines, media, near, packing, pieces, quality, simhash, substring, warc
 from meridian.llm.queries import LLM
 from meridian.llm.text import local_components, window_minima
 
@@ -295,6 +295,68 @@ def test_simhash_odd_rows(spark, odd):
     assert kept.where("doc_id in (3, 6, 8)").count() == 0
 
 
+# --- near duplicates by shared shingles
+
+
+def brute_near(rows, k=5):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().encode().split()
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))}
+    label = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and label[a] != label[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {i: new if x == old else x for i, x in label.items()}
+    return label
+
+
+def near_rows():
+    """Copies around the bar of 0.8, a crowd of near copies, and unlike texts that share most of what they say."""
+    rng = random.Random(11)
+    word = lambda: "w" + str(rng.randrange(10**6))
+    rows = []
+    for n in (12, 40, 150, 300):
+        base = [word() for _ in range(n)]
+        for changes in (0, 0, 1, 2, 3, 4, 6, 8):
+            w = list(base)
+            for _ in range(changes * n // 150 + bool(changes)):
+                w[rng.randrange(n)] = word()
+            rows.append(" ".join(w))
+    crowd = [word() for _ in range(200)]
+    for i in range(40):
+        w = list(crowd)
+        w[rng.randrange(200)] = word()
+        rows.append(" ".join(w))
+    half = [word() for _ in range(60)]
+    rows += [" ".join(half + [word() for _ in range(20 + i % 3)]) for i in range(40)]
+    rows += ["", None, "Ab c", "ab C", "ab c d"]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_near_against_brute_force(spark):
+    rows = near_rows()
+    got = near.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_near(rows)
+
+
+def test_near_stage_takes_all_copies_and_no_others(spark):
+    rows = near_rows()
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA).collect()
+    assert {r["doc_id"] for r in kept} == set(brute_near(rows).values())
+
+
+def test_near_odd_rows(spark, odd):
+    kept = near.near_dedup(odd)
+    assert kept.columns == odd.columns
+    got = kept.collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == [1, 2, 4, 5, 7]
+    assert sum(r["doc_id"] is None for r in got) == 1
+    assert near.near_components(odd.limit(0)).count() == 0
+
+
 # --- merge-dropout
 
 
