@@ -1,18 +1,20 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 Merges of a byte-pair vocabulary are taken from an agenda ordered by piece score. Each
-candidate that comes up is skipped if a keyed hash of it falls below the dropout rate, so
-the same seed gives the same segmentation on any machine and another seed another one.
+candidate that comes up is skipped with the dropout rate as its chance. Hashes of seed,
+document and place of the word tell how many candidates go by before the next skip, so the
+same seed gives the same segmentation on any machine and another seed another one.
 Whatever is skipped, the pieces spell the text, and decoding gives it back.
 
 No piece of such a vocabulary goes on past a space, a line end, or from a letter to
-certain points, so what lies between is encoded by itself. A word's dropout is keyed by the seed, the word and one of `variants`
-numbers that its document and place pick; that makes each (word, number) worth keeping.
+certain points, so what lies between is encoded by itself. Its ids follow from the word and
+the numbers of the candidates skipped, mostly none or one, which makes them worth keeping.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
@@ -22,15 +24,33 @@ import numpy as np
 from pyspark.sql import DataFrame
 from xxhash import xxh3_64_intdigest
 
-from meridian.llm.text import append_columns
+from meridian.llm.text import append_columns, mix
 
 SPACE = "▁"
 DROPOUT = 0.1
-VARIANTS = 2
+#: Longest word whose ids are kept by what was skipped; in longer ones that hardly recurs.
+LONG = 24
 #: Words whose ids a worker remembers; the least recent go first, by halves.
 CACHE = 800_000
 
 
+def _gaps(places: np.ndarray, k: int, dropout: float) -> np.ndarray:
+    """How many candidates go by before the next one is skipped, after k skips at each of the hashed places."""
+    h = mix(mix(places + np.uint64(0xD1B54A32D192ED03 * (k + 1) % 2**64)))
+    u = ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
+    with np.errstate(divide="ignore"):
+        return np.minimum(np.log(u) / np.log1p(-dropout), 2**40).astype(np.int64)
+
+
+def _skips(place: np.ndarray, dropout: float) -> Iterator[int]:
+    """Numbers of the candidates skipped at one hashed place, without end."""
+    at, k = -1, 0
+    while True:
+        at += 1 + int(_gaps(place, k, dropout)[0])
+        yield at
+        k += 1
+
+
 class PieceCodec:
     """Encoder and decoder for the byte-pair vocabulary of a SentencePiece model file."""
 
@@ -44,9 +64,8 @@ class PieceCodec:
         self.score = {p: model.get_score(i) for p, i in self.ids.items()}
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
         self.raw = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.encode() for i, p in enumerate(self.pieces)]
-        self.known: dict[tuple[str, int], bytes] = {}
-        self.old: dict[tuple[str, int], bytes] = {}
-        self.rate = 0.0
+        self.known: dict[str | tuple, tuple[bytes, int]] = {}
+        self.old: dict[str | tuple, tuple[bytes, int]] = {}
         long = [p for p in self.ids if len(p) > 1]
         after_letter = {b for p in long for a, b in zip(p, p[1:]) if a.isalpha()}
         points = "".join(c for c in ".,;:!?" if c not in after_letter)
@@ -55,13 +74,16 @@ class PieceCodec:
         apart = f"{line}|" if line else ""
         self.words = re.compile(f"{word}{apart}{SPACE}*[^{SPACE}{line}]+|{SPACE}+")
 
-    def word(self, word: str, key: int, dropout: float) -> list[int]:
-        """Ids of one word. The agenda holds (-score, place, left part, right part)."""
+    def word(self, word: str, skips: Iterable[int] = ()) -> tuple[bytes, int]:
+        """Ids of one word, and how many candidates came up; those numbered in `skips` (ascending) are skipped.
+
+        The agenda holds (-score, place, left part, right part).
+        """
         parts: list[str | None] = list(word)
         n = len(parts)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        score, bar = self.score, int(dropout * 2**64)
-        seed = xxh3_64_intdigest(f"{key}\0{word}") if bar else 0
+        score, skips = self.score, iter(skips)
+        came, skip = -1, next(skips, -1)
         agenda: list[tuple[float, int, str, str]] = []
 
         for i in range(n - 1):
@@ -74,7 +96,9 @@ class PieceCodec:
             j = right[i] if parts[i] == a else -1
             if j < 0 or parts[j] != b:
                 continue
-            if bar and ((seed ^ (i << 40 | len(a) << 20 | len(b))) * 0x9E3779B97F4A7C15F39CC0605CEDC835 >> 64) & 0xFFFFFFFFFFFFFFFF < bar:
+            came += 1
+            if came == skip:
+                skip = next(skips, -1)
                 continue
             parts[i], parts[j] = merged, _ = a + b, None
             k = right[i] = right[j]
@@ -93,25 +117,43 @@ class PieceCodec:
             if p is not None:
                 k = self.ids.get(p)
                 out += [k] if k is not None else [self.byte_ids[x] for x in p.encode("utf-8", "replace")]
-        return out
-
-    def encode(self, text: str, seed: int = 0, dropout: float = 0.0, doc: str = "", variants: int = VARIANTS) -> np.ndarray:
+        return np.array(out, "<u4").tobytes(), came + 1
+
+    def _kept(self, key: str | tuple) -> tuple[bytes, int]:
+        """What `word` gives for a word, or for a tuple of it and its skips."""
+        got = self.known.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is None:
+                got = self.word(key) if isinstance(key, str) else self.word(key[0], key[1:])
+            self.known[key] = got
+        return got
+
+    def encode(self, text: str, seed: int = 0, dropout: float = 0.0, doc: str = "") -> np.ndarray:
         """Ids of a whole text as little-endian unsigned 32-bit numbers."""
-        if dropout and dropout != self.rate:
-            self.known, self.old, self.rate = {}, {}, dropout
         if len(self.known) > CACHE // 2:
             self.known, self.old = {}, self.known
         words = self.words.findall((" " + text).replace(" ", SPACE)) if text else []
-        if dropout:
-            start = xxh3_64_intdigest(f"{seed}\0{doc}".encode())
-            turn = ((np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(start)) >> np.uint64(40)) % np.uint64(variants)
-            keys = list(zip(words, (turn + np.uint64(seed * variants)).tolist()))
-        else:
-            keys = [(w, -1) for w in words]
-        for k in set(keys).difference(self.known):
-            ids = self.old.get(k)
-            self.known[k] = np.array(self.word(k[0], k[1], dropout if k[1] >= 0 else 0.0), "<u4").tobytes() if ids is None else ids
-        return np.frombuffer(b"".join(map(self.known.__getitem__, keys)), "<u4")
+        got = list(map(self._kept, words))
+        out = [ids for ids, _ in got]
+        if dropout and words:
+            start = np.uint64(xxh3_64_intdigest(f"{seed}\0{doc}".encode()))
+            places = mix(np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start)
+            skips = [_gaps(places, 0, dropout)]
+            for i in np.flatnonzero(skips[0] < np.array([n for _, n in got])).tolist():
+                w = words[i]
+                if len(w) > LONG:
+                    out[i] = self.word(w, _skips(places[i : i + 1], dropout))[0]
+                    continue
+                key, k = (w, int(skips[0][i])), 1
+                while True:
+                    out[i], n = self._kept(key)
+                    if k == len(skips):
+                        skips.append(skips[-1] + 1 + _gaps(places, k, dropout))
+                    if skips[k][i] >= n:
+                        break
+                    key, k = (*key, int(skips[k][i])), k + 1
+        return np.frombuffer(b"".join(out), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ")

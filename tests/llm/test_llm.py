@@ -377,6 +377,34 @@ def test_pieces_equal_the_library_and_decode(spark):
     assert len(c.encode(long, 1, 1.0)) > len(c.encode(long, 1, 0.3)) > len(c.encode(long))
 
 
+def test_dropout_is_drawn_at_each_place():
+    c = pieces.PieceCodec(PIECES)
+    ways, uncut, n = set(), 0, 4000
+    rng, word = np.random.default_rng(1), pieces.SPACE + "government"
+    plain = c.word(word)[0]
+    tossed = [c.word(word, np.flatnonzero(rng.random(60) < 0.1).tolist())[0] for _ in range(n)]
+    for doc in range(n // 4):
+        for k in range(4):
+            text = " ".join(["and"] * k + ["government"] + ["and"] * (3 - k))
+            ids = c.encode(text, 1, 0.1, str(doc))
+            spelled = [c.pieces[i] for i in ids]
+            starts = [i for i, p in enumerate(spelled) if p.startswith(pieces.SPACE)]
+            part = ids[starts[k] : starts[k + 1] if k < 3 else None]
+            ways.add(part.tobytes())
+            uncut += part.tobytes() == plain
+    assert len(ways) > 20 and abs(uncut - tossed.count(plain)) < 0.04 * n
+    first = [c.encode("government", 1, 0.1, str(d)).tobytes() for d in range(200)]
+    assert len(set(first)) > 5 and first == [pieces.PieceCodec.encode(c, "government", 1, 0.1, str(d)).tobytes() for d in range(200)]
+    long = pieces.LONG
+    words = ["government", "internationalization", "misunderstanding"]
+    kept = [c.encode(w, 1, 0.3, str(d)).tolist() for w in words for d in range(100)]
+    try:
+        pieces.LONG = 0
+        assert kept == [c.encode(w, 1, 0.3, str(d)).tolist() for w in words for d in range(100)]
+    finally:
+        pieces.LONG = long
+
+
 def test_pieces_of_odd_rows(spark, odd):
     out = pieces.decode_ids(pieces.encode_texts(odd.drop("ids"), PIECES, seed=3, dropout=0.2), PIECES).collect()
     assert all(r["decoded"] == (r["text"] or "") for r in out)
