@@ -1,16 +1,17 @@
-"""Near duplicates by the exact share of common word shingles.
-
-Two texts link if the shingles that both have are at least SHARE of those that either has.
-Such texts also share a shingle among the first n - ceil(SHARE n) + 1 of the n of each, in
-whatever order that is the same for all texts. So each text is listed under those few, and
-only texts that meet there are compared, which misses no link. The order puts what is
-frequent in a sample last; it decides how many texts meet, not what is found.
-
-Texts that meet under one shingle need no comparison once they are in one component. Where
-many meet, a few of them are compared with the others first; a large group of near copies is
-then one component, and pairs are made only across what is still apart. What is left is tested by
-the parities of PARITIES slots of hashes before any whole set is fetched: two sets that link
-differ in at most a ninth of their sizes' sum, and parities in no more places than the sets.
+"""Near duplicates by SimHash, BK-trees and a test of whole shingle sets.
+
+Two texts link if the word shingles that both have are at least SHARE of those that either
+has. Their SimHash fingerprints then differ in about ten of 64 bits, too many for blocks of
+equal bits to find. So shards are cut by MinHash: a text lies in BANDS shards, each named by
+ROWS least hashes, and two texts that link miss each other in all of them with a chance of
+(1 - SHARE ** ROWS) ** BANDS, 0.3 % at the bar itself. Each shard has a BK-tree over its
+fingerprints, whose edges are followed within RADIUS bits; parities of the sets reject most
+of the pairs that are near by chance, and the rest is tested by the whole sets.
+
+Equal sets are one node. In a shard with more than a few nodes only CENTRES of them are the
+tree, and the others ask; pairs are made only across what is not yet one component, round
+after round with other centres, until a shard is one component or small enough for all of
+its nodes to be the tree. So a large group of near copies costs rows in proportion to it.
 """
 
 from __future__ import annotations
@@ -22,22 +23,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-from meridian.llm.text import gram_hashes, sliced
+from meridian.llm.simhash import CHUNK, majority, tree_hits
+from meridian.llm.text import gram_hashes, mix, sliced
 from meridian.operators.graph import connected_components
 from meridian.plans.scratch import Scratch
 
 SHINGLE = 5
 #: Least share of common shingles, as a fraction.
 SHARE = (4, 5)
-#: Documents whose frequent shingles are counted, and shingles put last for it.
-SAMPLE, FREQUENT = 10_000, 100_000
-#: Texts under one shingle that are all compared in the first round; four times as many in each further one.
+#: Shards of a text, the least hashes that name one, and the bits within which a tree is searched.
+BANDS, ROWS, RADIUS = 8, 3, 20
+#: Nodes of a shard that are all compared in the first round; four times as many in each further one.
 FEW = 4
-#: Texts of a larger group that are compared with the others in a round.
+#: Nodes of a larger shard that are its tree in a round.
 CENTRES = 4
 #: Bits of a set's parities, as 64 times so many longs.
 PARITIES = 8
 
+_TURNS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Different 64-bit hashes of the lower-cased word shingles, sorted; fewer words than `shingle` make one, no words the hash 0."""
@@ -48,36 +52,39 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(gram_hashes(hashes, min(shingle, len(words))))
 
 
+def band_keys(grams: np.ndarray) -> np.ndarray:
+    """The names of a set's shards."""
+    least = np.full(len(_TURNS), np.iinfo(np.uint64).max)
+    for i in range(0, len(grams), 4096):
+        least = np.minimum(least, (grams[i : i + 4096, None] * _TURNS).min(axis=0))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for values in least.reshape(BANDS, ROWS).T:
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + values)
+    return keys
+
+
 def _number(grams: np.ndarray) -> int:
     n = xxh3_64_intdigest(grams.tobytes())
     return n - (n >> 63 << 64)
 
 
-def _parities(grams: np.ndarray) -> np.ndarray:
+def _parities(grams: np.ndarray) -> bytes:
     slots = np.bincount((grams >> np.uint64(40)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES)
-    return np.packbits(slots & 1 == 1).view(np.int64)
+    return np.packbits(slots & 1 == 1).tobytes()
 
 
-def _listed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, id, n, odd, first): the number of the text's set of shingles, its size, its parities, and the shingles it is listed under."""
-    order = np.argsort(frequent)
-    known = frequent[order]
+def _sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, id, n, fp, odd, bands): the number of the text's set, its size, fingerprint, parities and shards."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in sliced(frames):
             out = []
             for t in f["text"]:
                 g = shingles(t)
-                many = len(g) + -len(g) * SHARE[0] // SHARE[1] + 1
-                rank = np.full(len(g), -1)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, g), len(known) - 1)
-                    rank = np.where(known[at] == g, len(known) - order[at], -1)
-                first = g[np.argsort(rank, kind="stable")[:many]]
-                out.append((_number(g), len(g), _parities(g), first.view(np.int64)))
-            yield pd.DataFrame({"doc_id": f["doc_id"], **{c: [x[i] for x in out] for i, c in enumerate(("id", "n", "odd", "first"))}})
+                out.append((_number(g), len(g), majority(g).view(np.int64)[0], _parities(g), band_keys(g).view(np.int64)))
+            yield pd.DataFrame({"doc_id": f["doc_id"], **{c: [x[i] for x in out] for i, c in enumerate(("id", "n", "fp", "odd", "bands"))}})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, id long, n long, odd array<long>, first array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, id long, n long, fp long, odd binary, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -91,33 +98,51 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, id long, grams array<long>")
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles that several documents of a sample have, the most frequent first."""
-    every = max(1, docs.count() // SAMPLE)
-    some = _sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0))
-    counts = some.select(F.explode("grams").alias("g")).groupBy("g").count().where("count > 1")
-    top = counts.orderBy(F.desc("count"), "g").limit(FREQUENT).select("g").toPandas()
-    return top["g"].to_numpy(np.int64).view(np.uint64)
+def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b) of different parts that a unit's tree finds and that sizes and parities allow to link."""
+    for tree, asks, found in tree_hits(frames, RADIUS):
+        bits = [np.frombuffer(b"".join(f["odd"]), np.uint64).reshape(-1, PARITIES) for f in (tree, asks)]
+        for q, item in found:
+            id_a, part_a, na = (asks[c].to_numpy()[q] for c in ("node", "part", "n"))
+            id_b, part_b, nb = (tree[c].to_numpy()[item] for c in ("node", "part", "n"))
+            # in a unit of which all is the tree each pair comes up twice
+            keep = (part_a != part_b) & ((id_a < id_b) | ~asks["in_tree"].to_numpy()[q])
+            keep &= np.minimum(na, nb) * SHARE[1] >= np.maximum(na, nb) * SHARE[0]
+            i = np.flatnonzero(keep)
+            apart = np.bitwise_count(bits[1][q[i]] ^ bits[0][item[i]]).sum(axis=1, dtype=np.int64)
+            i = i[apart * sum(SHARE) <= (na[i] + nb[i]) * (SHARE[1] - SHARE[0])]
+            if len(i):
+                yield pd.DataFrame({"a": np.minimum(id_a[i], id_b[i]), "b": np.maximum(id_a[i], id_b[i])})
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of ids whose sets have at least SHARE in common."""
-    ends = [nodes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}")) for c in "ab"]
-    apart = F.expr("aggregate(zip_with(oa, ob, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    most = (F.col("na") + F.col("nb")) * (SHARE[1] - SHARE[0])
-    near = pairs.join(ends[0], "a").join(ends[1], "b").where(apart * sum(SHARE) <= most).select("a", "b")
-    pairs = scratch.write(near)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes, "id").select("id", F.col("node").alias("doc_id"))
+    wanted = scratch.write(wanted)
     sets = _sets(docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"))
     sets = scratch.write(sets.join(wanted, ["id", "doc_id"], "left_semi").dropDuplicates(["id"]).select("id", "grams"))
     a, b = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
     either = F.size("ga") + F.size("gb") - both
     alike = scratch.write(pairs.join(a, "a").join(b, "b").where(both * SHARE[1] >= either * SHARE[0]).select("a", "b"))
-    scratch.free(sets, pairs)
+    scratch.free(sets, wanted)
     return alike
 
 
+def _units(one: DataFrame, few: int) -> DataFrame:
+    """Rows of `one` (g, id, fp, odd, n, part, m) dealt into units, and the centres of large shards into all units of theirs."""
+    value = F.struct("id", "fp", "odd", "n", "part")
+    best = [F.min_by(value, F.xxhash64(F.lit(i), "part", "id")).alias(f"c{i}") for i in range(CENTRES)]
+    centres = one.where(F.col("m") > few).groupBy("g").agg(F.first("m").alias("m"), *best)
+    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+    centres = centres.select("g", "m", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(CENTRES)]))).alias("c"))
+    centres = centres.select("g", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "c.*", F.lit(True).alias("in_tree"), F.lit(False).alias("asks"))
+    small = F.col("m") <= few
+    chunk = F.when(small, 0).otherwise(F.pmod(F.xxhash64("id"), chunks)).cast("int")
+    asks = one.select("g", chunk.alias("chunk"), "id", "fp", "odd", "n", "part", small.alias("in_tree"), F.lit(True).alias("asks"))
+    return asks.unionByName(centres).select(F.xxhash64("g", "chunk").alias("unit"), "g", F.col("id").alias("node"), "fp", "odd", "n", "part", "in_tree", "asks")
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id): component_id is the smallest doc_id reachable over links of at least SHARE.
 
@@ -125,40 +150,37 @@ def near_components(docs: DataFrame) -> DataFrame:
     have no row here. Rows that repeat a doc_id link by each of their texts. An empty table
     gives an empty result.
     """
+    spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    scratch = Scratch(docs.sparkSession)
-    each = scratch.write(_listed(docs, _frequent(docs)))
-    of_id = [F.first(c).alias(c) for c in ("n", "odd", "first")]
+    scratch = Scratch(spark)
+    each = scratch.write(_sketches(docs))
+    of_id = [F.first(c).alias(c) for c in ("n", "fp", "odd", "bands")]
     nodes = scratch.write(each.groupBy("id").agg(F.min("doc_id").alias("node"), *of_id))
     whole, each = each, scratch.write(each.select("doc_id", "id"))
     scratch.free(whole)
-    listed = nodes.select("id", F.explode("first").alias("g"))
-    repeated = scratch.write(listed.groupBy("g").count().where("count > 1").select("g"))
-    members = listed.join(repeated, "g", "left_semi").join(nodes.select("id", "n"), "id")
-    members = scratch.write(members.select("g", "id", "n", F.col("id").alias("part")))
+    listed = nodes.select("id", F.explode("bands").alias("g"))
+    repeated = scratch.write(listed.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g"))
+    members = listed.join(repeated, "g", "left_semi").join(nodes.select("id", "fp", "odd", "n"), "id")
+    members = scratch.write(members.select("g", "id", "fp", "odd", "n", F.col("id").alias("part")))
     scratch.free(repeated)
-    links, few = None, FEW
+    links, few, n = None, FEW, int(spark.conf.get("spark.sql.shuffle.partitions"))
     while not members.isEmpty():
         kinds = members.groupBy("g").agg(F.count("*").alias("m"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q")
-        kinds = scratch.write(kinds.select("g", (F.col("m") <= few).alias("small")))
+        kinds = scratch.write(kinds.select("g", "m"))
         old, members = members, scratch.write(members.join(kinds, "g"))
         scratch.free(old, kinds)
-        one = members.select("g", "id", "n", "part", "small")
-        best = [F.min(F.struct(F.xxhash64(F.lit(i), "part"), "id", "n", "part")).alias(f"c{i}") for i in range(CENTRES)]
-        centres = one.where("not small").groupBy("g").agg(*best)
-        centres = centres.select("g", F.explode(F.array_distinct(F.array(*[F.struct(f"c{i}.id", f"c{i}.n", f"c{i}.part") for i in range(CENTRES)]))).alias("c"))
-        centres = scratch.write(centres.select("g", "c.id", "c.n", "c.part"))
-        left = one.where("small").drop("small").unionByName(centres).select("g", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "part")])
-        met = one.join(left, "g").where("part <> part2 and (not small or id < id2)")
-        met = met.where(F.least("n", "n2") * SHARE[1] >= F.greatest("n", "n2") * SHARE[0])
-        pairs = scratch.write(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
+        units = scratch.write(_units(members, few))
+        dealt = units.drop("g").repartition(n, "unit").sortWithinPartitions("unit")
+        pairs = scratch.write(dealt.mapInPandas(_candidates, "a long, b long").distinct())
         found = _alike(pairs, nodes, docs, scratch)
         links = found if links is None else links.unionByName(found)
         parts = scratch.write(connected_components(links, "a", "b"))
-        rest = one.where("not small").join(centres.select("g", "id"), ["g", "id"], "left_anti").drop("small", "part")
-        rest = rest.join(parts, F.col("id") == F.col("node"), "left").select("g", "id", "n", F.coalesce("component", "id").alias("part"))
+        # small shards are done, and so are the centres of the others
+        centres = units.where("in_tree and not asks").select("g", F.col("node").alias("id")).distinct()
+        rest = members.where(F.col("m") > few).drop("part", "m").join(centres, ["g", "id"], "left_anti")
+        rest = rest.join(parts, F.col("id") == F.col("node"), "left").select("g", "id", "fp", "odd", "n", F.coalesce("component", "id").alias("part"))
         old, members = members, scratch.write(rest)
-        scratch.free(old, centres, pairs, parts)
+        scratch.free(old, units, pairs, parts)
         few *= 4
     # Sets are numbered by hashes, so what they link is named by the smallest doc_id, over which a repeated doc_id links too.
     edges = each.join(nodes.select("id", "node"), "id").where("doc_id <> node").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))

@@ -231,8 +231,7 @@ def brute_components(fps, radius=4):
         changed = False
         for a in ids:
             for b in ids:
-                near = (bin(x ^ y).count("1") <= radius for x, y in zip(*(f if isinstance(f, list) else [f] for f in (fps[a], fps[b]))))
-                if label[b] != label[a] and any(near):
+                if label[b] != label[a] and bin(fps[a] ^ fps[b]).count("1") <= radius:
                     label[a] = label[b] = min(label[a], label[b])
                     changed = True
     return label
@@ -255,8 +254,8 @@ def test_simhash_against_brute_force(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(fps)
 
 
-@pytest.mark.parametrize("chunk", [3, 2048])
-def test_links_of_crowded_shards(spark, chunk):
+@pytest.mark.parametrize(("chunk", "blocks"), [(3, 5), (2048, None), (2048, 6), (8, 7)])
+def test_links_of_crowded_shards(spark, chunk, blocks):
     rng = random.Random(3)
     fps = {}
     for i in range(150):
@@ -265,14 +264,21 @@ def test_links_of_crowded_shards(spark, chunk):
             f ^= 1 << rng.randrange(64)
         if f not in fps.values():
             fps[i] = f
-    df = spark.createDataFrame([(0, i, f - (f >> 63 << 64)) for i, f in fps.items()], "k int, node long, fp long")
-    edges = simhash.fingerprint_links(df, chunk=chunk).collect()
+    df = spark.createDataFrame([(i, f - (f >> 63 << 64)) for i, f in fps.items()], "node long, fp long")
+    edges = simhash.fingerprint_links(df, chunk=chunk, blocks=blocks).collect()
     ids = sorted(fps)
     place = {n: k for k, n in enumerate(ids)}
     label = local_components(len(ids), np.array([place[r["src"]] for r in edges]), np.array([place[r["dst"]] for r in edges]))
     assert {n: ids[label[place[n]]] for n in ids} == brute_components(fps)
 
 
+def test_shards_stay_small_as_fingerprints_grow():
+    assert [simhash.blocks_for(n, 4, 2048) for n in (0, 10**6, 10**8, 10**12)] == [5, 5, 6, 7]
+    for n in (10**6, 10**8, 10**10):
+        blocks = simhash.blocks_for(n, 4, 2048)
+        assert n / 2 ** (64 * (blocks - 4) // blocks) <= 512
+
+
 def test_bk_search_equals_a_scan():
     rng = np.random.default_rng(5)
     shard = np.sort(rng.integers(0, 5, 400))
@@ -617,9 +623,7 @@ def test_pipeline_stages(spark, tmp_path):
     expected = brute_lines(list(zip(first.doc_id, first.text)))
     lined = kept["line_dedup"]
     assert dict(zip(lined.doc_id, lined.text)) == {i: t for i, t in expected.items() if t.strip() or t == dict(zip(first.doc_id, first.text))[i]}
-    several = {i: simhash.fingerprint(t.encode(), 4, corpus_pipeline.FINGERPRINTS).tolist() for i, t in zip(lined.doc_id, lined.text)}
-    assert all(several[i][0] == brute_fingerprint(t) for i, t in zip(lined.doc_id, lined.text))
-    label = brute_components(several)
+    label = brute_near(list(zip(lined.doc_id, lined.text)))
     near = kept["near_dedup"]
     assert set(near.doc_id) == set(label.values())
     cut = brute_substrings(list(zip(near.doc_id, near.text)))
