@@ -10,9 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from meridian.llm import langid, lines, near, packing, substring
 from meridian.llm.queries import vocabulary
 
-#: Fingerprints of an earlier near_dedup, to which test_pipeline_stages still compares; the stage takes none.
-FINGERPRINTS = 8
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID does not reject, with the language it finds in place of theirs."""
@@ -26,7 +23,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group linked by 0.8 or more of common 5-word shingles."""
+    """The document with the smallest doc_id of each group linked by 0.8 or more of common 5-word shingles.
+
+    SimHash trees find the pairs, whole sets decide. Null and empty texts are equal; rows without a doc_id stay; a repeated
+    doc_id stays or goes with all its rows; an empty table gives an empty one. Extra columns pass through.
+    """
     return near.near_dedup(docs).select(*docs.columns)
 
 
