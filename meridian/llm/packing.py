@@ -10,6 +10,7 @@ low, so only the last sequences of a task can have padding that matters.
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -32,6 +33,10 @@ CACHE = 500_000
 #: Documents encoded at once.
 SLICE = 500
 
+#: How a vocabulary that is taken word by word normalises a text and splits it, as its file says.
+STEPS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 _LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _IS_LETTER = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8))
 _IS_POINT = np.array([33 <= c < 127 and c != 39 and not chr(c).isalpha() for c in range(256)])
@@ -40,16 +45,21 @@ _IS_POINT = np.array([33 <= c < 127 and c != 39 and not chr(c).isalpha() for c i
 class WordEncoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    The vocabulary drops white space and never merges across it, so the ids of a text are
-    those of its words in order. Each different word goes through the tokenizer once.
+    A vocabulary whose file says SPLIT and STEPS drops white space and never merges across it,
+    so the ids of a text are those of its words in order, and each different word goes through
+    the tokenizer once. With any other vocabulary whole texts go through it.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes | str, bytes] = {}
-        self.old: dict[bytes | str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        said = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])]
+        splits = [(x.get("pattern") or {}).get("Regex") for x in (said["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.by_word = steps == STEPS and splits[:1] == [SPLIT] and not said["post_processor"]
         words = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(words.values(), default=0) + 1, bool)
         self.ends_word[[i for w, i in words.items() if w.endswith("</w>")]] = True
@@ -61,7 +71,7 @@ class WordEncoder:
         token, where case matters; such a text is only split.
         """
         if b"<|" in text:
-            return text.decode().split()
+            return text.split()
         text = text.translate(_LOW)
         codes = np.frombuffer(text, np.uint8)
         cut = np.flatnonzero(_IS_LETTER[codes[:-1]] & _IS_POINT[codes[1:]]) + 1
@@ -73,7 +83,7 @@ class WordEncoder:
             text = spaced.tobytes()
         return text.split()
 
-    def learn(self, new: list[bytes | str]) -> None:
+    def learn(self, new: list[bytes]) -> None:
         """Put the ids of new words into `known`.
 
         Words of lower-case letters alone are one pre-token each, whose last id is one that
@@ -82,7 +92,7 @@ class WordEncoder:
         """
         single = []
         if self.ends_word.any():
-            plain = [(w, t) for w in new if (t := w if isinstance(w, str) else w.decode()).isalpha() and t == t.lower()]
+            plain = [(w, t) for w in new if (t := w.decode()).isalpha() and t == t.lower()]
             groups = [plain[i : i + 64] for i in range(0, len(plain), 64)]
             new = list(set(new).difference(w for w, _ in plain))
             for i in range(0, len(groups), 64):  # an encoding is much larger than its ids
@@ -99,11 +109,13 @@ class WordEncoder:
         single += new
         for i in range(0, len(single), 4096):
             part = single[i : i + 4096]
-            plain = [w if isinstance(w, str) else w.decode() for w in part]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_word:
+            whole = [t.decode() for t in utf8(texts)]
+            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in whole]
         split = [self.words(t) for t in utf8(texts)]
         if len(self.known) > CACHE // 2:
             self.known, self.old = {}, self.known

@@ -198,6 +198,19 @@ def test_packing_odd_rows(spark, odd):
     assert packing.pack(odd.limit(0), WORDS).count() == 0
 
 
+def test_ids_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    odd = ["<|", "<|endoftext|>", "<|EndOfText|>", "\x1c", "\x1f", "\x85", "\u2028", "\u00a0", " ", "\n", "a", "B.", "İ", "e\u0301", "'s", "9", "!?", "日本", "can't"]
+    samples = ["a<|b\x1cc"] + ["".join(rng.choice(odd) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    for path in (WORDS, public_tokenizers.path("byte_bpe_50k.json")):
+        lib, enc = Tokenizer.from_file(path), packing.WordEncoder(path)
+        assert enc.by_word == (path == WORDS)
+        for t, ids in zip(samples, enc.encode(samples)):
+            assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_fill_is_the_best_subset():
     rng = random.Random(2)
     for _ in range(200):
