@@ -11,7 +11,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
 import corpus_pipeline
 from conftest import DATA, same_as_sql
@@ -379,54 +379,85 @@ def test_near_odd_rows(spark, odd):
 # --- merge-dropout
 
 
-def test_pieces_equal_the_library_and_decode(spark):
+def brute_pieces(c, word, skipped):
+    """The parts of a word: the best pair comes up again and again, a skipped pair never again while it is the same."""
+    parts, off, came = [(i, x) for i, x in enumerate(word)], set(), 0
+    while True:
+        pairs = [(-c.score[a + b], i, k) for k, ((i, a), (_, b)) in enumerate(zip(parts, parts[1:])) if a + b in c.score and (i, a, b) not in off]
+        if not pairs:
+            return [x for _, x in parts]
+        _, i, k = min(pairs)
+        came += 1
+        if skipped(came - 1):
+            off.add((i, parts[k][1], parts[k + 1][1]))
+        else:
+            parts[k : k + 2] = [(i, parts[k][1] + parts[k + 1][1])]
+
+
+def brute_encode(c, text, seed, dropout, doc):
+    out = []
+    start = xxh3_64_intdigest(f"{seed}\0{doc}".encode())
+    for k, w in enumerate(c.words.findall((" " + text).replace(pieces.SPACE, pieces.MARK).replace(" ", pieces.SPACE)) if text else []):
+        place = pieces.mix(np.array([((k + 1) * 0x9E3779B97F4A7C15 + start) % 2**64], np.uint64))
+        for p in brute_pieces(c, w, lambda n: pieces._skipped(place, n, dropout)[0]):
+            known = c.ids.get(p)
+            spelled = (pieces.SPACE if p == pieces.MARK else p).encode()
+            out += [c.byte_ids[x] for x in spelled] if known is None else [known]
+    return out
+
+
+def test_pieces_equal_the_library_and_decode():
     import sentencepiece
 
     c, lib = pieces.PieceCodec(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
     samples = ["", " ", "  a  b ", "Hello, world.", "\n\nx\ty.\r\n", "日本語 \U0001f389 é", "a" * 200, "<s> </s> <0x41>", *[t for _, t in texts(1, 20)]]
     samples += pd.read_parquet(f"{DATA}/documents.parquet").text.tolist()[:50]
-    for t in samples:
-        assert c.encode(t).tolist() == lib.encode(t)
-        for seed in (1, 2):
-            ids = c.encode(t, seed, 0.3, "7")
-            assert c.decode(ids) == t
-            assert ids.tolist() == pieces.PieceCodec(PIECES).encode(t, seed, 0.3, "7").tolist() if len(t) < 30 else True
+    for t, ids in zip(samples, c.encode_all(samples)):
+        assert ids.tolist() == lib.encode(t)
+        for seed in (1, -2):
+            assert c.decode(c.encode(t, seed, 0.3, "7")) == t
+    for t in ("▁", "a▁b ▁▁ c▁", " ▁"):
+        assert all(c.decode(c.encode(t, 1, p)) == t for p in (0, 0.5))
     long = " ".join(samples)
     assert len({tuple(c.encode(long, s, 0.3, "7").tolist()) for s in range(4)}) == 4
-    assert len(c.encode(long, 1, 1.0)) > len(c.encode(long, 1, 0.3)) > len(c.encode(long))
 
 
-def test_dropout_is_drawn_at_each_place():
+@pytest.mark.parametrize("dropout", [0, 0.1, 0.5, 1])
+def test_agendas_against_brute_force(monkeypatch, dropout):
     c = pieces.PieceCodec(PIECES)
-    ways, uncut, n = set(), 0, 4000
-    rng, word = np.random.default_rng(1), pieces.SPACE + "government"
-    plain = c.word(word)[0]
-    tossed = [c.word(word, np.flatnonzero(rng.random(60) < 0.1).tolist())[0] for _ in range(n)]
-    for doc in range(n // 4):
-        for k in range(4):
-            text = " ".join(["and"] * k + ["government"] + ["and"] * (3 - k))
-            ids = c.encode(text, 1, 0.1, str(doc))
-            spelled = [c.pieces[i] for i in ids]
-            starts = [i for i, p in enumerate(spelled) if p.startswith(pieces.SPACE)]
-            part = ids[starts[k] : starts[k + 1] if k < 3 else None]
-            ways.add(part.tobytes())
-            uncut += part.tobytes() == plain
-    assert len(ways) > 20 and abs(uncut - tossed.count(plain)) < 0.04 * n
-    first = [c.encode("government", 1, 0.1, str(d)).tobytes() for d in range(200)]
-    assert len(set(first)) > 5 and first == [pieces.PieceCodec.encode(c, "government", 1, 0.1, str(d)).tobytes() for d in range(200)]
-    long = pieces.LONG
-    words = ["government", "internationalization", "misunderstanding"]
-    kept = [c.encode(w, 1, 0.3, str(d)).tolist() for w in words for d in range(100)]
-    try:
-        pieces.LONG = 0
-        assert kept == [c.encode(w, 1, 0.3, str(d)).tolist() for w in words for d in range(100)]
-    finally:
-        pieces.LONG = long
+    samples = ["", "internationalization of misunderstandings, a▁b", "aaaa aaaaa", "日本語\n\né ", "x" * 40 + " y"]
+    samples += [t[:600] for t in pd.read_parquet(f"{DATA}/documents.parquet").text.tolist()[:25]]
+    docs = list(map(str, range(len(samples))))
+    expected = [brute_encode(c, t, 5, dropout, d) for t, d in zip(samples, docs)]
+    assert [x.tolist() for x in c.encode_all(samples, 5, dropout, docs)] == expected
+    for limits in ({"LONG": 3}, {"BLOCK": 7}, {"BATCH": 50}, {"CACHE": 10}):
+        with monkeypatch.context() as m:
+            for k, v in limits.items():
+                m.setattr(pieces, k, v)
+            assert [x.tolist() for x in c.encode_all(samples, 5, dropout, docs)] == expected, limits
+
+
+def test_frequent_words_get_many_segmentations():
+    c, rng, n = pieces.PieceCodec(PIECES), np.random.default_rng(1), 3000
+    for word in ("government", "misunderstanding"):
+        whole, own = pieces.SPACE + word, Counter()
+        for _ in range(n):
+            toss = rng.random(200) < 0.1
+            own["|".join(brute_pieces(c, whole, lambda k: toss[k]))] += 1
+        plain = "|".join(brute_pieces(c, whole, lambda k: False))
+        for k in (0, 3):  # whichever place the word has
+            text, forms = " ".join(["and"] * k + [word, "or"]), Counter()
+            for ids in c.encode_all([text] * n, 1, 0.1, list(map(str, range(n)))):
+                spelled, ends = [c.pieces[i] for i in ids], np.cumsum([len(c.pieces[i]) for i in ids])
+                forms["|".join(x for x, e in zip(spelled, ends) if 4 * k < e <= 4 * k + len(whole))] += 1
+            assert {x.replace("|", "") for x in forms} == {whole}
+            assert len(forms) > 0.7 * len(own) > 5 and abs(forms[plain] - own[plain]) < 0.05 * n
 
 
 def test_pieces_of_odd_rows(spark, odd):
     out = pieces.decode_ids(pieces.encode_texts(odd.drop("ids"), PIECES, seed=3, dropout=0.2), PIECES).collect()
     assert all(r["decoded"] == (r["text"] or "") for r in out)
+    assert pieces.decode_ids(pieces.encode_texts(odd.limit(0), PIECES), PIECES).count() == 0
     assert pieces.encode_texts(odd.limit(0), PIECES).count() == 0
     got = pieces.segment_digests(odd, PIECES, 3, 0.2).collect()
     key = lambda r: (str(r["doc_id"]), str(r["text"]))
