@@ -57,15 +57,18 @@ def texts(seed, n=60, vocabulary=12, longest=60):
 # --- line dedup
 
 
-def brute_lines(rows, k=3):
+def brute_lines(rows, k=3, words=8):
     seen, out = set(), {}
     for i, t in sorted((r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None):
         part = t.split("\n")
         gone = set()
-        for s in range(len(part) - k + 1):
-            key = tuple(part[s : s + k])
+        windows = [("some", s, k) for s in range(len(part) - k + 1)] + [("one", s, 1) for s, x in enumerate(part) if len(x.split()) >= words]
+        if len(part) < k and t.strip():
+            windows.append(("all", 0, len(part)))
+        for kind, s, n in windows:
+            key = (kind, *part[s : s + n])
             if key in seen:
-                gone |= set(range(s, s + k))
+                gone |= set(range(s, s + n))
             seen.add(key)
         out[i] = "\n".join(x for j, x in enumerate(part) if j not in gone)
     return out
@@ -73,11 +76,19 @@ def brute_lines(rows, k=3):
 
 def test_lines_against_brute_force(spark):
     rng = random.Random(4)
-    rows = [(i, "\n".join(rng.choice("abc") for _ in range(rng.randint(0, 12)))) for i in range(80)]
+    long = [" ".join(rng.choice("abc") for _ in range(7 + n)) for n in (0, 1, 1, 2)]
+    rows = [(i, "\n".join(rng.choice(["a", "b", "c", "", *long]) for _ in range(rng.randint(0, 12)))) for i in range(80)]
+    rows += [(80 + i, t) for i, t in enumerate(["x", "x", "x\ny", "y", "x\ny", " ", " ", *long, *long])]
     got = {r["doc_id"]: r["text"] for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_lines(rows)
 
 
+def test_lines_of_one_id_with_other_texts(spark):
+    rows = [(1, "a\nb\nc\nd"), (2, "p\nq\nr\ns"), (2, "a\nb\nc\ne"), (2, "p\nq\nr\ns")]
+    got = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"], r["n_removed"]) for r in got) == [(1, "a\nb\nc\nd", 0), (2, "e", 3), (2, "p\nq\nr\ns", 0), (2, "p\nq\nr\ns", 0)]
+
+
 def test_lines_of_odd_rows(spark, odd):
     out = lines.line_dedup(odd)
     got = {r["doc_id"]: r for r in out.collect() if r["doc_id"] not in (8, None)}
