@@ -58,7 +58,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.resolve_revisits(warc.page_records(table(spark, sf_dir, "pages")))
     entries = F.array_sort(F.transform(F.map_entries("headers_merged"), lambda e: F.concat_ws("=", e["key"], e["value"])))
-    return out.select("record_id", "canonical_url", "status", "refers_to", F.array_join(entries, ";").alias("headers"))
+    source = F.coalesce("refers_to", F.lit(-1)).alias("refers_to")
+    return out.select("record_id", "canonical_url", "status", source, F.array_join(entries, ";").alias("headers"))
 
 
 @LLM.add("op7_substring")

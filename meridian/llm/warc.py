@@ -5,9 +5,9 @@ with the same canonical URL, as an as-of join. The response's validators must ag
 the revisit's; then the revisit's headers are merged into the stored ones, but for those
 that describe the stored body.
 
-The as-of join is cut by time: a summary of each (URL, slice of time) gives what a slice
-starts from, and each slice then looks back on its own. However many captures one URL
-has, a task holds one slice of it.
+The as-of join is cut by ranges of (URL, time): a summary of each (URL, range) gives what
+a range starts from, and each range then looks back on its own. However many captures one
+URL has, and however their times lie, a task holds one range of them.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meridian.plans.scratch import Scratch
 
-#: Slices of the whole time range.
-SLICES = 512
 #: Headers of a stored response that a not-modified answer does not change (lower case).
 KEPT_HEADERS = ["content-encoding", "content-length", "content-location", "content-range", "content-type", "transfer-encoding"]
 #: Query parameters and host prefixes without influence on what is served.
@@ -25,27 +23,40 @@ TRACKING = "utm_[a-z]+|ref|fbclid|gclid|sessionid"
 HOST_PREFIX = "www[0-9]*|m"
 
 
-def canonical_url(url: Column) -> Column:
-    """Host in lower case without www or m prefix and default port; path without a last slash; query sorted and without tracking; no scheme, user or fragment."""
+def canonical_url(url: Column, prefix: str = HOST_PREFIX) -> Column:
+    """Host in lower case without `prefix` and default port; path without a last slash; query sorted and without tracking; no scheme, user or fragment.
+
+    An empty `prefix` tells hosts apart as they are. A null url gives null, an empty one an empty text.
+    """
     bare = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     place, query = F.regexp_extract(bare, r"^([^?]*)", 1), F.regexp_extract(bare, r"\?(.*)$", 1)
     host = F.lower(F.regexp_replace(F.regexp_extract(place, "^([^/]*)", 1), "^[^@]*@", ""))
-    host = F.regexp_replace(F.regexp_replace(host, ":(80|443)$", ""), f"^({HOST_PREFIX})[.]", "")
+    host = F.regexp_replace(host, ":(80|443)$", "")
+    host = F.regexp_replace(host, f"^({prefix})[.]", "") if prefix else host
     path = F.regexp_replace(F.regexp_extract(place, "^[^/]*(/.*)?$", 1), "/+$", "")
     args = F.array_sort(F.filter(F.split(query, "&"), lambda a: (a != "") & ~a.rlike(f"^({TRACKING})(=|$)")))
     return F.concat(host, path, F.when(F.size(args) > 0, F.concat(F.lit("?"), F.array_join(args, "&"))).otherwise(""))
 
 
+def _lowered(headers: Column) -> Column:
+    """The map with names in lower case; of names that differ by case only the last in byte order stays, as a map has no order of its own."""
+    entries = F.array_sort(F.map_entries(F.coalesce(headers, F.expr("cast(map() as map<string,string>)"))))
+    names = F.transform(entries, lambda e: F.lower(e["key"]))
+    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names) + 1), F.lower(e["key"])))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+
+
 def merge_headers(stored: Column, fresh: Column) -> Column:
-    """The stored map updated by the fresh one, but for KEPT_HEADERS; names are lower-cased."""
-    low = lambda m: F.map_from_entries(F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
-    old = F.coalesce(low(stored), F.expr("cast(map() as map<string,string>)"))
-    new = F.map_filter(F.coalesce(low(fresh), F.expr("cast(map() as map<string,string>)")), lambda k, v: ~k.isin(KEPT_HEADERS))
-    return F.map_concat(F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys(new), k)), new)
+    """The stored map updated by the fresh one, but for KEPT_HEADERS; names are lower-cased.
+
+    Null maps count as empty ones. Of names of a map that differ by case only the last in byte order counts.
+    """
+    new = F.map_filter(_lowered(fresh), lambda k, v: ~k.isin(KEPT_HEADERS))
+    return F.map_concat(F.map_filter(_lowered(stored), lambda k, v: ~F.array_contains(F.map_keys(new), k)), new)
 
 
-def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
-    """One row per revisit of `records`: its columns, status, refers_to and headers_merged.
+def resolve_revisits(records: DataFrame, ranges: int | None = None, prefix: str = HOST_PREFIX) -> DataFrame:
+    """One row per revisit of `records`: its columns, canonical_url, status, refers_to and headers_merged.
 
     `records` has record_id, url, time (long), kind ('response' or 'revisit'), etag,
     last_modified and headers (map). Earlier means a smaller (time, record_id). status is
@@ -53,61 +64,76 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     revisit gives (etag if it has one, else last_modified; one without either can't be
     checked and is `unchecked`), `mismatch` if not, and `missing` without any earlier
     response. refers_to is the response's record_id unless missing; headers_merged is null
-    unless resolved. A null url has no earlier response. Null times count as the earliest.
-    Repeated rows give repeated results. An empty table gives an empty result. Header
-    names that differ by case only keep the last value where spark.sql.mapKeyDedupPolicy
-    says so, else they are an error of Spark's.
+    unless resolved. `prefix` names host prefixes that canonical URLs drop; with an empty one
+    http://m.h and http://h are not the same. `ranges` is how many ranges of (URL, time) the
+    work is cut into (as many as shuffles have partitions if not given); it decides no result.
+
+    A null url has no earlier response. Null times count as the earliest. Null headers count
+    as empty. Repeated rows give repeated results. Columns of `records` named like an added
+    one are replaced, others pass through whatever their names. An empty table gives an empty
+    result.
     """
-    url = canonical_url(F.col("url"))
+    spark = records.sparkSession
+    scratch = Scratch(spark)
+    added = ("canonical_url", "status", "refers_to", "headers_merged")
+    kept = [c for c in records.columns if c not in added]
     at = F.coalesce("time", F.lit(-(1 << 62)))
-    base = records.withColumns({"__url": url, "__at": at}).where("kind in ('response', 'revisit')")
-    low, high = base.agg(F.min("time"), F.max("time")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // slices))
-    slim = base.withColumn("__slice", F.coalesce(F.floor((F.col("time") - (low or 0)) / width), F.lit(-1)))
-    found = F.struct("__at", "record_id", "etag", "last_modified", "headers")
-    response = F.col("kind") == "response"
-    key = Window.partitionBy("__url").orderBy("__slice")
-    ends = slim.where(response & F.col("__url").isNotNull()).groupBy("__url", "__slice")
-    ends = ends.agg(F.max_by(found, F.struct("__at", "record_id")).alias("last"))
-    # a slice without a response of its own still needs a row to look back from
-    asks = slim.where(~response).select("__url", "__slice").distinct()
-    steps = ends.unionByName(asks.withColumn("last", F.lit(None)), allowMissingColumns=True).groupBy("__url", "__slice").agg(F.first("last", ignorenulls=True).alias("last"))
-    carried = steps.withColumn("carried", F.last("last", ignorenulls=True).over(key.rowsBetween(Window.unboundedPreceding, -1)))
-    carried = Scratch(records.sparkSession).write(carried.where("carried is not null").select("__url", "__slice", "carried"))
-    order = Window.partitionBy("__url", "__slice").orderBy("__at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    own = F.last(F.when(response, found), ignorenulls=True).over(order)
-    seen = slim.withColumn("__own", F.when(F.col("__url").isNotNull(), own)).where(~response)
-    seen = seen.join(carried, ["__url", "__slice"], "left").withColumn("__from", F.coalesce("__own", "carried"))
+    base = records.where("kind in ('response', 'revisit')")
+    own = F.struct(*[F.col(c) for c in kept]).alias("__row")
+    keys = [F.col(c).alias(f"__{c}") for c in ("record_id", "kind", "etag", "last_modified", "headers")]
+    base = base.select(canonical_url(F.col("url"), prefix).alias("__url"), at.alias("__at"), *keys, F.when(F.col("kind") == "revisit", own).alias("__row"))
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = base.repartitionByRange(n, "__url", "__at", "__record_id").withColumn("__range", F.spark_partition_id())
+    dealt = scratch.write(dealt)
+    found = F.struct(*[f"__{c}" for c in ("at", "record_id", "etag", "last_modified", "headers")])
+    response = F.col("__kind") == "response"
+    ends = dealt.where(response & F.col("__url").isNotNull()).groupBy("__url", "__range")
+    ends = ends.agg(F.max_by(found, F.struct("__at", "__record_id")).alias("__last"))
+    # a range without a response of its own still needs a row to look back from
+    asks = dealt.where(~response).select("__url", "__range").distinct().withColumn("__last", F.lit(None))
+    steps = ends.unionByName(asks).groupBy("__url", "__range").agg(F.first("__last", ignorenulls=True).alias("__last"))
+    key = Window.partitionBy("__url").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = steps.withColumn("__carried", F.last("__last", ignorenulls=True).over(key)).where("__carried is not null")
+    carried = scratch.write(carried.select("__url", "__range", "__carried"))
+    order = Window.partitionBy("__url", "__range").orderBy("__at", "__record_id").rowsBetween(Window.unboundedPreceding, -1)
+    near = F.last(F.when(response, found), ignorenulls=True).over(order)
+    seen = dealt.withColumn("__near", F.when(F.col("__url").isNotNull(), near)).where(~response)
+    seen = seen.join(carried, ["__url", "__range"], "left").withColumn("__from", F.coalesce("__near", "__carried"))
     source = F.col("__from")
-    agrees = F.when(F.col("etag").isNotNull(), F.col("etag").eqNullSafe(source["etag"])).when(
-        F.col("last_modified").isNotNull(), F.col("last_modified").eqNullSafe(source["last_modified"])
+    agrees = F.when(F.col("__etag").isNotNull(), F.col("__etag").eqNullSafe(source["__etag"])).when(
+        F.col("__last_modified").isNotNull(), F.col("__last_modified").eqNullSafe(source["__last_modified"])
     )
     status = F.when(source.isNull(), "missing").when(agrees.isNull(), "unchecked").when(agrees, "resolved").otherwise("mismatch")
     return seen.select(
-        *records.columns, F.col("__url").alias("canonical_url"), status.alias("status"), source["record_id"].alias("refers_to"),
-        F.when(status == "resolved", merge_headers(source["headers"], F.col("headers"))).alias("headers_merged"),
+        *[F.col("__row")[c].alias(c) for c in kept], F.col("__url").alias("canonical_url"), status.alias("status"), source["__record_id"].alias("refers_to"),
+        F.when(status == "resolved", merge_headers(source["__headers"], F.col("__headers"))).alias("headers_merged"),
     )
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """Captures made from a table of pages: each is a full response, and is asked for again later.
-
-    The response of a page has time 10 * page_id. Its revisit comes 4000 later, with the
-    response's validators, so that other captures of the same URL can lie between; every
-    revisit gives an etag but those of pages whose digest starts with 0, which give
-    last_modified alone.
+    """Captures made from a table of pages (page_id, url, html): responses, and later revisits of them.
+
+    The response of a page has time 10 * page_id, its revisit comes 4000 later, so that other
+    captures of the same URL can lie between. What a page has follows from the hexadecimal
+    digits of digests: no response if that of the URL starts with 1. If that of the text
+    starts with 0 its revisit gives last_modified alone; if with 2, no validator; if with 3, an
+    etag of another text; else the response's own etag. A null text counts as an empty one,
+    a null url stays null and has a response. Repeated rows give repeated records, other
+    columns are ignored and an empty table gives an empty result.
     """
     digest = F.md5(F.coalesce("html", F.lit("")))
     size = F.length(F.coalesce("html", F.lit(""))).cast("string")
     modified = F.concat(F.lit("day "), F.substring(digest, 1, 2))
     common = pages.select("page_id", "url", digest.alias("etag"), modified.alias("last_modified"), size.alias("size"))
-    response = common.select(
+    response = common.where(~F.coalesce(F.md5("url"), F.lit("")).startswith("1")).select(
         (F.col("page_id") * 2).alias("record_id"), "url", (F.col("page_id") * 10).alias("time"), F.lit("response").alias("kind"), "etag", "last_modified",
         F.create_map(F.lit("Content-Length"), F.col("size"), F.lit("Date"), F.col("page_id").cast("string"), F.lit("Server"), F.lit("a")).alias("headers"),
     )
+    first = F.substring("etag", 1, 1)
     again = common.select(
         (F.col("page_id") * 2 + 1).alias("record_id"), "url", (F.col("page_id") * 10 + 4000).alias("time"), F.lit("revisit").alias("kind"),
-        F.when(~F.col("etag").startswith("0"), F.col("etag")).alias("etag"), "last_modified",
+        F.when(first == "3", F.reverse("etag")).when(~first.isin("0", "2"), F.col("etag")).alias("etag"),
+        F.when(first != "2", F.col("last_modified")).alias("last_modified"),
         F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), (F.col("page_id") + 400).cast("string"), F.lit("x-cache"), F.lit("hit")).alias("headers"),
     )
     return response.unionByName(again)
@@ -120,15 +146,17 @@ piece AS (SELECT page_id, html,
             regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(place, '^([^/]*)', 1), '^[^@]*@', '')), ':(80|443)$', ''), '^(www[0-9]*|m)[.]', '') AS host,
             regexp_replace(regexp_extract(place, '^[^/]*(/.*)?$', 1), '/+$', '') AS path,
             list_sort(list_filter(string_split(query, '&'), lambda a: a <> '' AND NOT regexp_matches(a, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))) AS args FROM part),
-page AS (SELECT page_id, host || path || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS canonical_url,
-            md5(html) AS etag, 'day ' || substr(md5(html), 1, 2) AS modified, CAST(length(html) AS VARCHAR) AS size FROM piece),
-res AS (SELECT page_id * 2 AS record_id, canonical_url, page_id * 10 AS t, etag, modified, size, page_id FROM page),
-rev AS (SELECT page_id * 2 + 1 AS record_id, canonical_url, page_id * 10 + 4000 AS t, CASE WHEN etag NOT LIKE '0%' THEN etag END AS etag, modified, page_id FROM page),
-found AS (SELECT rev.record_id, rev.canonical_url, rev.etag, rev.modified, rev.page_id, res.record_id AS refers_to, res.etag AS e, res.modified AS m, res.size, res.page_id AS p
-          FROM rev JOIN res ON res.canonical_url = rev.canonical_url AND (res.t < rev.t OR res.t = rev.t AND res.record_id < rev.record_id)
-          QUALIFY row_number() OVER (PARTITION BY rev.record_id ORDER BY res.t DESC, res.record_id DESC) = 1),
-said AS (SELECT *, CASE WHEN etag IS NOT NULL THEN etag = e ELSE modified = m END AS ok FROM found)
-SELECT record_id, canonical_url, CASE WHEN ok THEN 'resolved' ELSE 'mismatch' END AS status, refers_to,
-       CASE WHEN ok THEN 'content-length=' || size || ';date=' || CAST(page_id + 400 AS VARCHAR) || ';server=a;x-cache=hit' END AS headers
+page AS (SELECT page_id, host || path || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS canonical_url, url,
+            md5(html) AS etag, 'day ' || substr(md5(html), 1, 2) AS modified, CAST(length(html) AS VARCHAR) AS size FROM piece JOIN (SELECT page_id, url FROM pages) USING (page_id)),
+res AS (SELECT page_id * 2 AS record_id, canonical_url, page_id * 10 AS t, etag, modified, size, page_id FROM page WHERE coalesce(md5(url), '') NOT LIKE '1%'),
+rev AS (SELECT page_id * 2 + 1 AS record_id, canonical_url, page_id * 10 + 4000 AS t, page_id,
+               CASE WHEN etag LIKE '3%' THEN reverse(etag) WHEN etag NOT LIKE '0%' AND etag NOT LIKE '2%' THEN etag END AS etag, CASE WHEN etag NOT LIKE '2%' THEN modified END AS modified FROM page),
+found AS (SELECT rev.record_id, rev.canonical_url, rev.etag, rev.modified, rev.page_id, res.record_id AS refers_to, res.etag AS e, res.modified AS m, res.size
+          FROM rev LEFT JOIN res ON res.canonical_url = rev.canonical_url AND (res.t < rev.t OR res.t = rev.t AND res.record_id < rev.record_id)
+          QUALIFY row_number() OVER (PARTITION BY rev.record_id ORDER BY res.t DESC NULLS LAST, res.record_id DESC NULLS LAST) = 1),
+said AS (SELECT *, CASE WHEN refers_to IS NULL THEN 'missing' WHEN etag IS NOT NULL THEN CASE WHEN etag = e THEN 'resolved' ELSE 'mismatch' END
+                        WHEN modified IS NULL THEN 'unchecked' WHEN modified = m THEN 'resolved' ELSE 'mismatch' END AS status FROM found)
+SELECT record_id, canonical_url, status, coalesce(refers_to, -1) AS refers_to,
+       CASE WHEN status = 'resolved' THEN 'content-length=' || size || ';date=' || CAST(page_id + 400 AS VARCHAR) || ';server=a;x-cache=hit' END AS headers
 FROM said
 """

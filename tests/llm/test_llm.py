@@ -485,10 +485,35 @@ def test_canonical_urls(spark):
     same = ["http://WWW.Example.com:80/a/?b=2&a=1&utm_source=x#top", "https://m.example.com/a?a=1&b=2", "https://u:p@example.com/a/?a=1&b=2"]
     df = spark.createDataFrame([(u,) for u in [*same, "http://example.com", "http://example.com/A"]], "u string").select(warc.canonical_url(F.col("u")))
     assert [r[0] for r in df.collect()] == ["example.com/a?a=1&b=2"] * 3 + ["example.com", "example.com/A"]
-
-
-@pytest.mark.parametrize("slices", [1, 7, 512])
-def test_revisits_against_brute_force(spark, slices):
+    assert spark.range(1).select(warc.canonical_url(F.lit("http://m.H/a/"), ""), warc.canonical_url(F.lit(None).cast("string"))).first()[:] == ("m.h/a", None)
+
+
+def test_revisit_headers_and_clashing_names(spark):
+    rows = [
+        (1, "http://h/a", 1, "response", "e", None, {"Date": "1", "date": "2", "DATE": "3", "Content-Type": "t"}),
+        (2, "http://h/a", 2, "revisit", "e", None, {"X": "a", "x": "b", "content-type": "u"}),
+        (3, "http://m.h/a", 3, "response", "other", None, None),
+        (4, "http://h/a", 4, "revisit", "e", None, None),
+        (5, "http://h/b", 5, "revisit", "e", None, {}),
+    ]
+    names = "carried status refers_to canonical_url headers_merged slice last found __x page".split()
+    df = spark.createDataFrame(rows, RECORD).withColumns({c: F.lit("mine") for c in names})
+    out = warc.resolve_revisits(df)
+    assert sorted(out.columns) == sorted(df.columns)
+    got = {r["record_id"]: r for r in out.collect()}
+    assert (got[2]["status"], got[2]["headers_merged"]) == ("resolved", {"date": "2", "content-type": "t", "x": "b"})
+    assert (got[4]["status"], got[5]["status"]) == ("mismatch", "missing") and {r["carried"] for r in got.values()} == {"mine"}
+    apart = {r["record_id"]: r["status"] for r in warc.resolve_revisits(df, prefix="").collect()}
+    assert apart == {2: "resolved", 4: "resolved", 5: "missing"}
+
+
+def test_page_records_give_every_status(spark):
+    out = warc.resolve_revisits(warc.page_records(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")))
+    assert {r["status"] for r in out.select("status").distinct().collect()} == {"resolved", "mismatch", "missing", "unchecked"}
+
+
+@pytest.mark.parametrize("ranges", [1, 7, None])
+def test_revisits_against_brute_force(spark, ranges):
     rng = random.Random(11)
     rows = []
     for i in range(300):
@@ -497,7 +522,7 @@ def test_revisits_against_brute_force(spark, slices):
         rows.append((i, f"http://h/{rng.choice('xyz')}", rng.choice([None, *range(40)]), kind, etag, rng.choice(["m", "n", None]), {"Content-Type": f"t{i}", "Date": f"d{i}"}))
     rows.append((900, None, 5, "revisit", "a", None, None))
     df = spark.createDataFrame(rows, RECORD).withColumn("low", F.lit(1))
-    got = {r["record_id"]: r for r in warc.resolve_revisits(df, slices).collect()}
+    got = {r["record_id"]: r for r in warc.resolve_revisits(df, ranges).collect()}
     key = lambda r: (-(2**62) if r[2] is None else r[2], r[0])
     for r in rows:
         if r[3] != "revisit":
@@ -511,7 +536,7 @@ def test_revisits_against_brute_force(spark, slices):
         assert (got[r[0]]["status"], got[r[0]]["refers_to"]) == ({True: "resolved", False: "mismatch", None: "unchecked"}[ok], last[0])
         assert got[r[0]]["headers_merged"] == ({"content-type": f"t{last[0]}", "date": f"d{r[0]}"} if ok else None)
     assert len(got) == sum(r[3] == "revisit" for r in rows)
-    assert warc.resolve_revisits(df.limit(0), slices).count() == 0
+    assert warc.resolve_revisits(df.limit(0), ranges).count() == 0
 
 
 # --- substring dedup
