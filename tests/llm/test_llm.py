@@ -596,7 +596,7 @@ def test_substrings_of_odd_rows(spark, odd):
 # --- embeddings
 
 
-@pytest.mark.parametrize("tile", [16, 8192])
+@pytest.mark.parametrize("tile", [16 * 64 * 8, embeddings.TILE])
 def test_embeddings_against_brute_force(spark, tile):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(120, 64))
@@ -616,6 +616,17 @@ def test_embeddings_against_brute_force(spark, tile):
     assert embeddings.embedding_components(df.where("vec_id >= 200 and vec_id <> 204")).count() == 6
 
 
+def test_embeddings_of_any_scale_length_and_id(spark):
+    tiny = 5e-324
+    rows = [(1, [1e-200] * 4), (2, [1e200] * 4), (3, [tiny] * 4), (4, [1e300, -1e300, 0.0, 0.0]), (5, [tiny, -tiny, 0.0, 0.0]), (6, [1.0, 2.0]), (7, [2.0, 4.0]), (8, [1.0, 2.0])]
+    rows += [(9, [1.0, 0.0, 0.0]), (9, [0.0, 1.0, 0.0]), (10, [0.0, 2.0, 0.0]), (None, [1.0, 2.0]), (12, [3.0]), (13, [-3.0]), (14, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((tuple(r) for r in embeddings.embedding_components(df).collect()), key=repr)
+    expected = [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (5, 1, 4, False), (6, 2, 6, True), (7, 2, 6, False), (8, 2, 6, False)]
+    expected += [(9, 0, 9, True), (9, 1, 9, True), (10, 1, 9, False), (None, 0, None, True), (12, 1, 12, True), (13, 0, 13, True), (14, 1, 12, False)]
+    assert got == sorted(expected, key=repr)
+
+
 # --- quality
 
 
