@@ -6,14 +6,17 @@
 2. The words around such an anchor that its windows span are its context. Equal contexts
    are merged to their earliest place before they are shuffled any further.
 3. Contexts are dealt by anchor into shards. Each shard has a compressed FM-index (bit-packed
-   wavelet matrix of the transform) through which the contexts are streamed: backward
-   search gives for each place the suffixes that match at least `window` words, and their
-   least origin is the window's first occurrence.
+   wavelet tree of the transform, laid out by level) through which the contexts are streamed.
+   Backward search gives the matching statistics, up to the threshold of `window` words: how
+   many words up to a place also stand elsewhere. Where they reach the threshold, the least
+   origin of the interval of suffixes is the window's first occurrence.
 4. Each document takes the windows that first occurred earlier as intervals to remove.
 
-An anchor with more than `most` different contexts (the edges of a very common passage)
-would make one task's shard grow with the corpus. Its contexts are cut into single
-windows, and those are grouped by content instead; the result is the same.
+Streaming whole documents past every shard would take time in proportion to documents times
+shards; anchors send each passage to the one shard where its copies are. An anchor with more
+different contexts than one index holds (the edges of a very common passage) would make a
+task grow with the corpus. Such contexts are cut into single windows, which are grouped by
+content with the least place kept at every step; the result is the same.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from meridian.llm.text import append_columns, gram_hashes, sliced, sorted_runs, utf8, window_minima
@@ -30,7 +33,6 @@ from meridian.plans.scratch import Scratch
 
 WINDOW = 20
 GRAM = 5
-MOST = 512
 #: Contexts of one index.
 SHARD = 10_000
 #: Windows searched together.
@@ -55,7 +57,7 @@ class FMIndex:
             k *= 2
             if k >= depth or rank[sa[-1]] == n - 1:
                 break
-        self.sa = sa
+        self.sa = sa.astype(np.int32 if n < 1 << 31 else np.int64)
         last = text[sa - 1]
         sigma = int(text.max()) + 1
         self.before = np.r_[0, np.cumsum(np.bincount(text, minlength=sigma))]
@@ -84,21 +86,22 @@ class FMIndex:
         return base + self._down(symbol, lo), base + self._down(symbol, hi)
 
 
-def matching_windows(index: FMIndex, text: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix intervals of the windows that start at `starts` in `text`, by backward search.
+def matching_statistics(index: FMIndex, text: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place of `ends`, how many symbols up to it also stand elsewhere in the index, `most` at most, and the suffixes that start so.
 
-    A match that narrows to one suffix is the window itself; its search ends there and
-    its interval is empty.
+    `text` is what the index is of. The interval [lo, hi) is that of the match where it
+    reached `most` symbols, else empty.
     """
-    end_lo, end_hi = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-    active = np.arange(len(starts))
-    lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), len(text))
-    for step in range(window - 1, -1, -1):
-        lo, hi = index.extend(text[starts[active] + step], lo, hi)
+    stat, first, last = (np.zeros(len(ends), np.int64) for _ in range(3))
+    active = np.arange(len(ends))
+    lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), len(text))
+    for step in range(most):
+        lo, hi = index.extend(text[ends[active] - step], lo, hi)
         go = hi - lo > 1
         active, lo, hi = active[go], lo[go], hi[go]
-    end_lo[active], end_hi[active] = lo, hi
-    return end_lo, end_hi
+        stat[active] = step + 1
+    first[active], last[active] = lo, hi
+    return stat, first, last
 
 
 def first_occurrences(f: pd.DataFrame, window: int) -> pd.DataFrame:
@@ -121,8 +124,8 @@ def first_occurrences(f: pd.DataFrame, window: int) -> pd.DataFrame:
     starts = np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
     least = place[starts]
     for i in range(0, len(starts), BLOCK):
-        lo, hi = matching_windows(index, text, starts[i : i + BLOCK], window)
-        hit = np.flatnonzero(hi > lo)
+        stat, lo, hi = matching_statistics(index, text, starts[i : i + BLOCK] + window - 1, window)
+        hit = np.flatnonzero(stat >= window)
         if len(hit):
             low, which = np.unique(lo[hit], return_inverse=True)
             high = np.empty(len(low), np.int64)
@@ -140,14 +143,34 @@ def _anchors(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np
     return grams[at].view(np.int64), at
 
 
-def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """(doc_id, starts): the starts, in words, of the windows whose words also start earlier.
+def _bases(docs: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(doc_id, v, base) of the rows that share a doc_id with another text: v is a hash of the text, base where its words are counted from."""
+    marked = docs.select("doc_id", F.xxhash64("text").alias("v"), F.length("text").cast("long").alias("size"))
+    several = marked.groupBy("doc_id").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").select("doc_id")
+    several = scratch.write(several)
+    if several.isEmpty():
+        return None
+    before = Window.partitionBy("doc_id").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    texts = marked.join(several, "doc_id", "left_semi").distinct()
+    return scratch.write(texts.select("doc_id", "v", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base")))
+
+
+def _based(docs: DataFrame, bases: DataFrame | None) -> DataFrame:
+    """`docs` with base."""
+    if bases is None:
+        return docs.withColumn("__base", F.lit(0).cast("long"))
+    bases = bases.select(F.col("doc_id").alias("__d"), F.col("v").alias("__v"), F.col("base").alias("__b"))
+    joined = docs.join(bases, (F.col("doc_id") == F.col("__d")) & (F.xxhash64("text") == F.col("__v")), "left")
+    return joined.withColumn("__base", F.coalesce("__b", F.lit(0))).drop("__d", "__v", "__b")
+
+
+def _removals(docs: DataFrame, window: int, gram: int, most: int, bases: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """(doc_id, starts): the starts, in words from the text's base, of the windows whose words also start earlier.
 
     Earlier: in a document with a smaller doc_id, or before in the same one. Documents
     without such a window have no row.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark)
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
 
     def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,7 +191,7 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int
     def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in sliced(frames):
             rows = []
-            for i, t, known in zip(f["doc_id"], utf8(f["text"]), f["fps"]):
+            for i, t, known, base in zip(f["doc_id"], utf8(f["text"]), f["fps"], f["__base"]):
                 words = t.split()
                 fp, at = _anchors(words, window, gram)
                 first = np.flatnonzero(np.r_[True, np.diff(at) != 0])
@@ -176,10 +199,10 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int
                 hot = np.isin(fp[first], known)
                 for s, k, a in zip(first[hot].tolist(), n[hot].tolist(), fp[first[hot]].tolist()):
                     part = b" ".join(words[s : s + k + window - 1])
-                    rows.append((i, s, k, a, xxh3_128_digest(part), part))
+                    rows.append((i, base + s, k, a, xxh3_128_digest(part), part))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "n", "fp", "ctx", "text"])
 
-    seen = docs.join(of_doc, "doc_id").mapInPandas(contexts, "doc_id long, start int, n int, fp long, ctx binary, text binary")
+    seen = _based(docs, bases).join(of_doc, "doc_id").mapInPandas(contexts, "doc_id long, start long, n int, fp long, ctx binary, text binary")
     seen = scratch.write(seen)
     scratch.free(found, repeated)
 
@@ -193,7 +216,7 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = distinct.join(common, "fp", "left_anti").repartition(n, "fp").sortWithinPartitions("fp")
-    searched = shards.mapInPandas(search, "ctx binary, docs array<long>, starts array<int>")
+    searched = shards.mapInPandas(search, "ctx binary, docs array<long>, starts array<long>")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -204,14 +227,14 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int
             yield pd.DataFrame(rows, columns=["ctx", "j", "doc_id", "start", "words"])
 
     crowded = distinct.join(common, "fp", "left_semi")
-    single = scratch.write(crowded.mapInPandas(cut, "ctx binary, j int, doc_id long, start int, words binary"))
+    single = scratch.write(crowded.mapInPandas(cut, "ctx binary, j int, doc_id long, start long, words binary"))
     least = scratch.write(single.groupBy("words").agg(F.min(F.struct("doc_id", "start")).alias("least")))
     grouped = single.join(least, "words").groupBy("ctx").agg(F.sort_array(F.collect_list(F.struct("j", "least"))).alias("w"))
     grouped = grouped.select("ctx", F.col("w.least.doc_id").alias("docs"), F.col("w.least.start").alias("starts"))
 
     verdict = scratch.write(searched.unionByName(grouped))
     earlier = F.expr(
-        "filter(transform(sequence(0, n - 1), i -> start + i), s -> docs[s - start] < doc_id or (docs[s - start] = doc_id and starts[s - start] < s))"
+        "transform(filter(sequence(0, n - 1), i -> docs[i] < doc_id or (docs[i] = doc_id and starts[i] < start + i)), i -> start + i)"
     )
     hits = seen.select("doc_id", "start", "n", "ctx").join(verdict, "ctx").select("doc_id", earlier.alias("hits")).where("size(hits) > 0")
     out = scratch.write(hits.groupBy("doc_id").agg(F.flatten(F.collect_list("hits")).alias("starts")))
@@ -219,26 +242,32 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int
     return out
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = SHARD) -> DataFrame:
     """`docs` with n_words, n_removed, removed (array of [from, to) word spans) and kept.
 
     Words are runs of bytes other than ASCII white space. A word goes if a window of
     `window` words that covers it also starts earlier (smaller doc_id, or before in the
     same document); windows are judged on the input. kept joins the other words by one
-    space. Null texts have no words; a null doc_id takes no part and keeps all. Rows that
-    repeat a doc_id must repeat its text and get equal results. Columns of `docs` named
-    like an added one are replaced. An empty table gives an empty result.
+    space. Null texts have no words; a null doc_id takes no part and keeps all. Rows of one
+    doc_id with different texts are one document of several texts, in the order of a hash, and
+    no window goes from one into another; rows that repeat both get equal results. Columns of
+    `docs` named like an added one are replaced, others pass through. An empty table gives an
+    empty result. `most` contexts of one anchor fit an index; it decides no result.
     """
-    docs = docs.drop("__starts")
-    joined = docs.join(removals(docs, window, gram, most).withColumnRenamed("starts", "__starts"), "doc_id", "left")
+    scratch = Scratch(docs.sparkSession)
+    docs = docs.drop("__starts", "__base", "__b", "__d", "__v")
+    bases = _bases(docs.where("doc_id is not null and text is not null"), scratch)
+    removals = _removals(docs, window, gram, most, bases, scratch).withColumnRenamed("starts", "__starts")
+    joined = _based(docs, bases).join(removals, "doc_id", "left")
 
-    def apply(texts: list[str | None], removed: list[list[int] | None]) -> dict[str, list]:
+    def apply(texts: list[str | None], removed: list[list[int] | None], bases: list[int]) -> dict[str, list]:
         out: dict[str, list] = {"n_words": [], "n_removed": [], "removed": [], "kept": []}
-        for t, starts in zip(utf8(texts), removed):
+        for t, starts, base in zip(utf8(texts), removed, bases):
             words, spans = t.split(), []
             n = len(words)
-            if starts:
-                s = np.unique(starts)
+            s = np.unique(starts or []) - base
+            s = s[(s >= 0) & (s + window <= n)].astype(np.int64)
+            if len(s):
                 spans = [[int(p[0]), int(p[-1]) + window] for p in np.split(s, np.flatnonzero(np.diff(s) > window) + 1)]
                 for a, b in reversed(spans):
                     del words[a:b]
@@ -246,4 +275,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, mos
                 out[k].append(v)
         return out
 
-    return append_columns(joined, ["text", "__starts"], apply, "n_words long, n_removed long, removed array<array<int>>, kept string")
+    return append_columns(joined, ["text", "__starts", "__base"], apply, "n_words long, n_removed long, removed array<array<int>>, kept string")

@@ -556,7 +556,7 @@ def brute_substrings(rows, k=20):
     return out
 
 
-@pytest.mark.parametrize("most", [1, 512])
+@pytest.mark.parametrize("most", [1, substring.SHARD])
 @pytest.mark.parametrize("vocabulary", [2, 12])
 def test_substrings_against_brute_force(spark, most, vocabulary):
     rows = texts(9, 50, vocabulary)
@@ -583,6 +583,30 @@ def test_fm_index_counts_every_pattern():
             assert where == [i for i in range(300 - n + 1) if (text[i : i + n] == p).all()]
 
 
+def test_matching_statistics():
+    rng = np.random.default_rng(7)
+    text = rng.integers(0, 3, 200)
+    text[-1] = 0
+    index = substring.FMIndex(text, 9)
+    ends = np.array([e for e in range(8, 200) if (text[e - 7 : e + 1] > 0).all()])
+    stat, lo, hi = substring.matching_statistics(index, text, ends, 8)
+    for e, n, a, b in zip(ends, stat, lo, hi):
+        many = [sum((text[i : i + k] == text[e - k + 1 : e + 1]).all() for i in range(200 - k + 1)) for k in range(1, 9)]
+        assert n == max([k for k, m in enumerate(many, 1) if m > 1], default=0)
+        assert b - a == (many[7] if n == 8 else 0)
+
+
+def test_substrings_of_one_id_with_other_texts(spark):
+    word = iter(range(10**6))
+    new = lambda n: [f"w{next(word)}" for _ in range(n)]
+    a, b, c = new(30), new(25), new(30)
+    rows = [(1, a + b), (2, c), (2, new(5) + a), (2, c), (3, c + b)]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = [(1, rows[0][1]), (2, rows[1][1]), (2, " ".join(rows[2][1].split()[:5])), (2, rows[1][1]), (3, "")]
+    assert sorted((r["doc_id"], r["kept"]) for r in got) == sorted(expected)
+
+
 def test_substrings_of_odd_rows(spark, odd):
     out = substring.substring_dedup(odd).collect()
     got = {r["doc_id"]: r for r in out}
