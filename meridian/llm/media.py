@@ -14,6 +14,7 @@ from functools import lru_cache
 from hashlib import sha256
 from zlib import crc32
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from meridian.llm.text import append_columns, utf8
@@ -66,9 +67,14 @@ def _jpeg(b: bytes, at: int) -> int | None:
     while i + 4 <= len(b):
         if b[i] != 0xFF:
             return None
+        if b[i + 1] == 0xFF:  # markers may be filled up
+            i += 1
+            continue
         kind = b[i + 1]
         if kind == 0xD9:
             return i + 2 - at if frame else None
+        if kind == 0xD8:  # another image begins
+            return None
         size = struct.unpack_from(">H", b, i + 2)[0]
         if size < 2 or not (0xC0 <= kind <= 0xFE):
             return None
@@ -81,6 +87,8 @@ def _jpeg(b: bytes, at: int) -> int | None:
                     return None
                 if b[i + 1] == 0 or 0xD0 <= b[i + 1] <= 0xD7:
                     i += 2
+                elif b[i + 1] == 0xFF:
+                    i += 1
                 else:
                     break
     return i + 2 - at if frame and b[i : i + 2] == b"\xff\xd9" else None
@@ -109,6 +117,14 @@ def _riff(form: bytes, first: tuple[bytes, ...]) -> Callable[[bytes, int], int |
     return check
 
 
+_TURNED = bytes(int(f"{x:08b}"[::-1], 2) for x in range(256))
+
+
+def ogg_checksum(page: bytes) -> int:
+    """The checksum of a page whose own field is zero: that of zlib on bytes turned about, without its inversions."""
+    return int(f"{crc32(page.translate(_TURNED), 0xFFFFFFFF) ^ 0xFFFFFFFF:032b}"[::-1], 2)
+
+
 def _ogg(b: bytes, at: int) -> int | None:
     i = at
     while i + 27 <= len(b) and b[i : i + 5] == b"OggS\0":
@@ -117,6 +133,8 @@ def _ogg(b: bytes, at: int) -> int | None:
         end = body + sum(b[i + 27 : body])
         if end > len(b) or (i == at) != bool(flags & 2):
             return None
+        if ogg_checksum(b[i : i + 22] + bytes(4) + b[i + 26 : end]) != struct.unpack_from("<I", b, i + 22)[0]:
+            return None
         if flags & 4:
             return end - at
         i = end
@@ -124,11 +142,19 @@ def _ogg(b: bytes, at: int) -> int | None:
 
 
 def _pdf(b: bytes, at: int) -> int | None:
+    """Up to the last end mark before another file begins, as updates add marks of their own, with the line end after it."""
     head = b[at + 5 : at + 8]
-    end = b.find(b"%%EOF", at)
-    if not (len(head) == 3 and head[:1].isdigit() and head[1:2] == b"." and head[2:].isdigit()) or end < 0:
+    if not (len(head) == 3 and head[:1].isdigit() and head[1:2] == b"." and head[2:].isdigit()):
+        return None
+    limit = b.find(b"%PDF-", at + 5)
+    limit = len(b) if limit < 0 else limit
+    end = b.rfind(b"%%EOF", at, limit)
+    if end < 0 or b.find(b"startxref", at, end) < 0:
         return None
-    return end + 5 - at if b.find(b"startxref", at, end) >= 0 else None
+    end += 5
+    while end < limit and b[end : end + 1] in (b"\r", b"\n"):
+        end += 1
+    return end - at
 
 
 #: Type, magic bytes, validator.
@@ -202,10 +228,19 @@ def samples(stored: bytes) -> bytes:
     raise ValueError("no data chunk")
 
 
+def heard(p: bytes) -> list[str]:
+    """Number, mean in thousandths, crossings of the mean and a checksum of the histogram of 8-bit samples."""
+    x = np.frombuffer(p, np.uint8)
+    counts = np.bincount(x, minlength=256)
+    above = x.astype(np.int64) * len(x) > counts @ np.arange(256)
+    return [str(len(x)), str(int(1000 * (counts @ np.arange(256)) // max(1, len(x)))), str(int((above[1:] != above[:-1]).sum())), f"{crc32(counts.astype('<i8').tobytes()):08x}"]
+
+
 def store_texts(docs: DataFrame) -> DataFrame:
     """`docs` with n_bytes and media: the UTF-8 text, zero-filled to a positive multiple of 64, as a WAV file.
 
-    A null text is stored like an empty one.
+    A null text is stored like an empty one. Columns named like an added one are replaced,
+    repeated rows give repeated results and an empty table an empty one.
     """
 
     def run(texts: list[str | None]) -> dict[str, list]:
@@ -243,8 +278,11 @@ def stored_digests(docs: DataFrame, declared: str = "application/octet-stream")
     """`docs` with figures of its texts stored by store_texts, sniffed, and read back, in one pass over each text.
 
     n_bytes, payload_bytes, payload_sha256 and tail_crc32 (last 64) are of the text and of the
-    samples read back, media_bytes and media_sha256 of the stored file; feature names its type, whether that
-    corrects the declared one, and the media carved from the file and found among the samples.
+    samples read back, media_bytes and media_sha256 of the stored file. feature names its type, whether that
+    corrects the declared one, the media carved from the file and found among the samples, and of the
+    samples the number, the mean in thousandths, how often they cross it, and a checksum of their
+    histogram. A null text counts as an empty one; repeated rows get equal results; columns named like
+    an added one are replaced. An empty table gives an empty result.
     """
 
     def run(texts: list[str | None]) -> dict[str, list]:
@@ -256,7 +294,8 @@ def stored_digests(docs: DataFrame, declared: str = "application/octet-stream")
             p = samples(b)
             said = "corrected" if kind != declared else "as declared"
             spans = [",".join(f"{o}:{n}:{t}" for o, n, t in found) for found in (carved, sniff(p))]
-            row = (len(raw), len(p), sha256(p).hexdigest(), crc32(p[-BLOCK:]), len(b), sha256(b).hexdigest(), "|".join([kind, said, *spans]))
+            feature = "|".join([kind, said, *spans, *heard(p)])
+            row = (len(raw), len(p), sha256(p).hexdigest(), crc32(p[-BLOCK:]), len(b), sha256(b).hexdigest(), feature)
             for k, v in zip(names, row):
                 out[k].append(v)
         return out

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -126,7 +127,20 @@ def bmp(w, h):
 
 
 JPEG = b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x04ab\xff\xda\0\x04ab\x12\xff\0\x34\xff\xd9"
-OGG = b"OggS\0\x02" + bytes(20) + b"\x01\x03abc" + b"OggS\0\x04" + bytes(20) + b"\x00"
+
+
+def ogg_page(flags, body):
+    page = b"OggS\0" + bytes([flags]) + bytes(20) + bytes([len(body)]) + body
+    page = page[:26] + bytes([1, len(body)]) + body
+    crc = 0
+    for x in page:  # bit by bit, most significant first
+        crc ^= x << 24
+        for _ in range(8):
+            crc = (crc << 1 ^ (0x04C11DB7 if crc >> 31 else 0)) & 0xFFFFFFFF
+    return page[:22] + struct.pack("<I", crc) + page[26:]
+
+
+OGG = ogg_page(2, b"abc") + ogg_page(4, b"")
 PDF = b"%PDF-1.4 x startxref 0 %%EOF"
 
 
@@ -138,6 +152,30 @@ def test_formats(data, kind):
         assert (0, len(data), kind) not in media.sniff(data[:cut])
 
 
+def test_files_as_they_are_found():
+    page = b"%PDF-1.7\n1 0 obj\n<< >>\nendobj\nxref\n0 1\ntrailer\n<< >>\nstartxref\n9\n%%EOF\n"
+    updated = page + b"2 0 obj\n<< >>\nendobj\nxref\nstartxref\n99\n%%EOF\r\n"
+    for data in (page, updated):
+        assert media.sniff(data) == [(0, len(data), "application/pdf")]
+        assert media.sniff(data + page) == [(0, len(data), "application/pdf"), (len(data), len(page), "application/pdf")]
+    filled = JPEG.replace(b"\xff\xc0", b"\xff\xff\xff\xc0").replace(b"\xff\xd9", b"\xff\xff\xd9")
+    assert media.sniff(filled) == [(0, len(filled), "image/jpeg")]
+    assert media.sniff(JPEG[:-2] + JPEG) == [(len(JPEG) - 2, len(JPEG), "image/jpeg")]
+    assert media.sniff(OGG[:30] + b"\x01" + OGG[31:]) == []
+    start = time.process_time()
+    for mark in (b"%PDF-1.4 ", b"%PDF-1.4 startxref ", JPEG[:-2], b"GIF89a", b"OggS\0\x02"):
+        assert media.sniff(mark * (500_000 // len(mark))) == []
+    assert time.process_time() - start < 10
+
+
+def test_features_tell_texts_apart(spark):
+    out = media.stored_digests(spark.read.parquet(f"{DATA}/documents.parquet").select("text"))
+    assert out.select("feature").distinct().count() >= 0.99 * out.select("payload_sha256").distinct().count()
+    assert out.groupBy("text").agg(F.countDistinct("feature").alias("n")).where("n > 1").count() == 0
+    x = np.frombuffer(b"ab" * 32, np.uint8)
+    assert media.heard(b"ab" * 32)[:3] == ["64", str(int(x.mean() * 1000)), "63"]
+
+
 def test_sniffing_corrects_and_carves(spark):
     rows = [(1, bytearray(PNG), "image/gif"), (2, bytearray(b"xx" + GIF + PNG), "image/png"), (3, None, "a/b"), (4, bytearray(), None)]
     df = spark.createDataFrame(rows, "id int, media binary, declared string").withColumn("carved", F.lit(1))
