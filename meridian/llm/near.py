@@ -33,8 +33,8 @@ SHINGLE = 5
 SHARE = (4, 5)
 #: Shards of a text, the least hashes that name one, and the bits within which a tree is searched.
 BANDS, ROWS, RADIUS = 8, 3, 20
-#: Nodes of a shard that are all compared in the first round; four times as many in each further one.
-FEW = 4
+#: Nodes of a shard that are all compared in the first round; GROWTH times as many in each further one.
+FEW, GROWTH = 12, 8
 #: Nodes of a larger shard that are its tree in a round.
 CENTRES = 4
 #: Bits of a set's parities, as 64 times so many longs.
@@ -99,7 +99,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs (a, b) of different parts that a unit's tree finds and that sizes and parities allow to link."""
+    """Pairs (a, b) of different parts (pa, pb) that a unit's tree finds and that sizes and parities allow to link."""
     for tree, asks, found in tree_hits(frames, RADIUS):
         bits = [np.frombuffer(b"".join(f["odd"]), np.uint64).reshape(-1, PARITIES) for f in (tree, asks)]
         for q, item in found:
@@ -112,11 +112,13 @@ def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             apart = np.bitwise_count(bits[1][q[i]] ^ bits[0][item[i]]).sum(axis=1, dtype=np.int64)
             i = i[apart * sum(SHARE) <= (na[i] + nb[i]) * (SHARE[1] - SHARE[0])]
             if len(i):
-                yield pd.DataFrame({"a": np.minimum(id_a[i], id_b[i]), "b": np.maximum(id_a[i], id_b[i])})
+                turn = id_a[i] > id_b[i]
+                pick = lambda x, y: np.where(turn, y[i], x[i])
+                yield pd.DataFrame({"a": pick(id_a, id_b), "b": pick(id_b, id_a), "pa": pick(part_a, part_b), "pb": pick(part_b, part_a)})
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of ids whose sets have at least SHARE in common."""
+    """The links (pa, pb) between parts by the pairs (a, b) of ids whose sets have at least SHARE in common."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes, "id").select("id", F.col("node").alias("doc_id"))
     wanted = scratch.write(wanted)
     sets = _sets(docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"))
@@ -124,7 +126,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch
     a, b = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
     either = F.size("ga") + F.size("gb") - both
-    alike = scratch.write(pairs.join(a, "a").join(b, "b").where(both * SHARE[1] >= either * SHARE[0]).select("a", "b"))
+    alike = scratch.write(pairs.join(a, "a").join(b, "b").where(both * SHARE[1] >= either * SHARE[0]).select("pa", "pb").distinct())
     scratch.free(sets, wanted)
     return alike
 
@@ -163,7 +165,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     members = listed.join(repeated, "g", "left_semi").join(nodes.select("id", "fp", "odd", "n"), "id")
     members = scratch.write(members.select("g", "id", "fp", "odd", "n", F.col("id").alias("part")))
     scratch.free(repeated)
-    links, few, n = None, FEW, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    labels, few, n = None, FEW, int(spark.conf.get("spark.sql.shuffle.partitions"))
     while not members.isEmpty():
         kinds = members.groupBy("g").agg(F.count("*").alias("m"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q")
         kinds = scratch.write(kinds.select("g", "m"))
@@ -171,23 +173,28 @@ def near_components(docs: DataFrame) -> DataFrame:
         scratch.free(old, kinds)
         units = scratch.write(_units(members, few))
         dealt = units.drop("g").repartition(n, "unit").sortWithinPartitions("unit")
-        pairs = scratch.write(dealt.mapInPandas(_candidates, "a long, b long").distinct())
-        found = _alike(pairs, nodes, docs, scratch)
-        links = found if links is None else links.unionByName(found)
-        parts = scratch.write(connected_components(links, "a", "b"))
+        pairs = scratch.write(dealt.mapInPandas(_candidates, "a long, b long, pa long, pb long").distinct())
+        links = _alike(pairs, nodes, docs, scratch)
+        # parts that link become one; a node that no link has reached yet is a part by itself
+        joined = scratch.write(connected_components(links, "pa", "pb").withColumnsRenamed({"node": "part", "component": "whole"}))
+        if labels is None:
+            labels = joined.withColumnsRenamed({"part": "id", "whole": "part"})
+        else:
+            new = joined.withColumnsRenamed({"part": "id", "whole": "part"}).join(labels, "id", "left_anti")
+            moved = labels.join(joined, "part", "left").select("id", F.coalesce("whole", "part").alias("part"))
+            labels = scratch.write(moved.unionByName(new))
         # small shards are done, and so are the centres of the others
         centres = units.where("in_tree and not asks").select("g", F.col("node").alias("id")).distinct()
-        rest = members.where(F.col("m") > few).drop("part", "m").join(centres, ["g", "id"], "left_anti")
-        rest = rest.join(parts, F.col("id") == F.col("node"), "left").select("g", "id", "fp", "odd", "n", F.coalesce("component", "id").alias("part"))
-        old, members = members, scratch.write(rest)
-        scratch.free(old, units, pairs, parts)
-        few *= 4
-    # Sets are numbered by hashes, so what they link is named by the smallest doc_id, over which a repeated doc_id links too.
-    edges = each.join(nodes.select("id", "node"), "id").where("doc_id <> node").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
-    if links is not None:
-        ends = [nodes.select(F.col("id").alias(c), F.col("node").alias(d)) for c, d in (("a", "src"), ("b", "dst"))]
-        edges = edges.unionByName(links.join(ends[0], "a").join(ends[1], "b").select("src", "dst"))
-    found = connected_components(edges)
+        rest = members.where(F.col("m") > few).drop("m").join(centres, ["g", "id"], "left_anti").join(joined, "part", "left")
+        old, members = members, scratch.write(rest.select("g", "id", "fp", "odd", "n", F.coalesce("whole", "part").alias("part")))
+        scratch.free(old, units, pairs, links)
+        few *= GROWTH
+    # Sets are numbered by hashes, so a group is named by its smallest doc_id, over which a repeated doc_id links too.
+    if labels is not None:
+        each = each.join(labels, "id", "left").select("doc_id", F.coalesce("part", "id").alias("id"))
+    each = scratch.write(each)
+    names = scratch.write(each.groupBy("id").agg(F.min("doc_id").alias("name")))
+    found = connected_components(each.join(names, "id").select("doc_id", "name"), "doc_id", "name")
     return docs.select("doc_id").distinct().join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -18,8 +18,8 @@ def vocabulary(name: str) -> str:
 
 
 def fold(n: int) -> Column:
-    """crc32 of doc_id as text, modulo n."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+    """crc32 of doc_id as text, modulo n; a null doc_id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
 @LLM.add("op1_line_dedup", lines.SQL)
