@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meridian.operators.ranking import average_ranks, deciles, ranged, running
+from meridian.plans.scratch import Scratch
+
+#: Blocks or groups that may go through the driver.
+MOST_AREAS = 100_000
 
 
 def overdispersion(df: DataFrame, y: str, mu: str) -> DataFrame:
@@ -85,42 +91,151 @@ def block_draws(blocks: list, reps: int, seed: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["rep", "block", "times"])
 
 
-def bootstrap_capture(
-    df: DataFrame, scores: list[str], observed: str, length: str, block: str, tie: str, reps: int = 200, share: float = 0.1, seed: int = 0, level: float = 0.95
+def _areas(df: DataFrame, column: str) -> list:
+    """The different values of a column of areas, in order; more than MOST_AREAS are an error, as they go through the driver."""
+    found = [r[0] for r in df.select(column).distinct().limit(MOST_AREAS + 1).collect()]
+    if len(found) > MOST_AREAS:
+        raise ValueError(f"{column} has over {MOST_AREAS} values; take larger areas")
+    return sorted(found)
+
+
+def resampled_captures(
+    df: DataFrame, scores: list[str], observed: str, length: str, block: str, tie: str, reps: int = 200, share: float = 0.1, seed: int = 0, draws: DataFrame | None = None
 ) -> DataFrame:
-    """(method, low, high): percentile interval of each score's capture over resampled blocks.
+    """(method, rep, c): each score's capture in each resampling of the blocks; null in one without an observation.
 
-    Blocks are a fixed set of areas, so their draws are made on the driver; rows are not. A
-    draw changes what a row weighs and not its place, so rows are dealt by range of the score
-    once, and each draw adds up within ranges and then over them. A draw's copies of a row act
-    as one row of that many times the length. Draws without an observation do not count.
+    A draw changes what a row weighs and not its place, so rows are dealt by range of the score
+    once, and the sums of a range by block tell how much a draw has of it. Ranges above the
+    line of a draw count whole; rows are looked at only in the one range that it crosses, as
+    that many copies of each. `draws` (rep, block, times) are made from `seed` if not given.
     """
     spark = df.sparkSession
-    blocks = [r[0] for r in df.select(block).distinct().orderBy(block).collect()]
-    draws = F.broadcast(spark.createDataFrame(block_draws(blocks, reps, seed)).withColumnRenamed("block", block))
-    out, tail = None, (1 - level) / 2
+    if draws is None:
+        draws = spark.createDataFrame(block_draws(_areas(df, block), reps, seed)).withColumnRenamed("block", block)
+    draws, out = F.broadcast(draws), None
     for score in scores:
         held = ranged(df.select(block, tie, observed, length, F.col(score).cast("double").alias("s")), [F.desc("s"), F.asc(tie)])
-        rows = held.join(draws, block).withColumn("size", F.col(length) * F.col("times"))
-        parts = rows.groupBy("rep", "part").agg(F.sum("size").alias("held"))
-        before = Window.partitionBy("rep").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-        parts = parts.select("rep", "part", F.coalesce(F.sum("held").over(before), F.lit(0.0)).alias("offset"), (F.sum("held").over(Window.partitionBy("rep")) * share).alias("budget"))
-        own = Window.partitionBy("rep", "part").orderBy(F.desc("s"), tie).rowsBetween(Window.unboundedPreceding, -1)
-        ranked = rows.join(parts, ["rep", "part"]).withColumn("before", F.col("offset") + F.coalesce(F.sum("size").over(own), F.lit(0.0)))
+        sums = held.groupBy("part", block).agg(F.sum(length).alias("l"), F.sum(observed).alias("o")).join(draws, block)
+        parts = sums.groupBy("rep", "part").agg(F.sum(F.col("l") * F.col("times")).alias("held"), F.sum(F.col("o") * F.col("times")).alias("got"))
+        rep = Window.partitionBy("rep")  # one row per range
+        before = rep.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumns({"offset": F.coalesce(F.sum("held").over(before), F.lit(0.0)), "budget": F.sum("held").over(rep) * share})
+        parts = Scratch(spark).write(parts.withColumn("inside", F.col("offset") + F.col("held") <= F.col("budget")))
+        whole = parts.groupBy("rep").agg(F.sum("got").alias("all"), F.coalesce(F.sum(F.when(F.col("inside"), F.col("got"))), F.lit(0)).alias("whole"))
+        line = F.broadcast(parts.where("not inside and offset < budget").select("rep", "part", "offset", "budget"))  # one range per draw
+        own = Window.partitionBy("rep").orderBy(F.desc("s"), tie).rowsBetween(Window.unboundedPreceding, -1)
+        rows = held.join(line, "part").join(draws, ["rep", block]).withColumn("size", F.col(length) * F.col("times"))
+        rows = rows.withColumn("before", F.col("offset") + F.coalesce(F.sum("size").over(own), F.lit(0.0)))
         take = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("budget") - F.col("before")) / F.col("size")))
-        got = F.col(observed) * F.col("times")
-        per = ranked.groupBy("rep").agg((F.sum(take * got) / F.nullif(F.sum(got), F.lit(0))).alias("c"))
-        q = per.where("c is not null").agg(F.percentile("c", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
-        one = q.select(F.lit(score).alias("method"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+        some = rows.groupBy("rep").agg(F.sum(take * F.col(observed) * F.col("times")).alias("some"))
+        c = (F.col("whole") + F.coalesce("some", F.lit(0.0))) / F.nullif(F.col("all").cast("double"), F.lit(0.0))
+        one = whole.join(some, "rep", "left").select(F.lit(score).alias("method"), "rep", c.alias("c"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def _interval(draws: DataFrame, by: list[str], value: str, level: float) -> DataFrame:
+    """(by, low, high): percentile interval over the draws, a fixed number for each of `by`; nulls do not count."""
+    tail = (1 - level) / 2
+    q = draws.groupBy(*by).agg(F.percentile(value, F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
+    return q.select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def bootstrap_capture(
+    df: DataFrame, scores: list[str], observed: str, length: str, block: str, tie: str, reps: int = 200, share: float = 0.1, seed: int = 0, level: float = 0.95
+) -> DataFrame:
+    """(method, low, high): percentile interval of each score's capture over resampled blocks."""
+    return _interval(resampled_captures(df, scores, observed, length, block, tie, reps, share, seed), ["method"], "c", level)
+
+
+def capture_gains(
+    df: DataFrame, ours: str, others: list[str], observed: str, length: str, block: str, tie: str, reps: int = 200, share: float = 0.1, seed: int = 0, level: float = 0.95,
+    draws: DataFrame | None = None,
+) -> DataFrame:
+    """(method, gain, low, high): what `ours` captures more than each other score, and its interval over the same draws of blocks for both."""
+    names = [ours, *others]
+    each = resampled_captures(df, names, observed, length, block, tie, reps, share, seed, draws)
+    mine = each.where(F.col("method") == ours).select("rep", F.col("c").alias("mine"))
+    gains = each.where(F.col("method") != ours).join(mine, "rep").withColumn("d", F.col("mine") - F.col("c"))
+    got = None
+    for n in names:
+        one = capture(df, n, observed, length, tie, share).select(F.lit(n).alias("method"), F.col("share").alias("whole"))
+        got = one if got is None else got.unionByName(one)
+    best = got.where(F.col("method") == ours).select(F.col("whole").alias("best"))
+    point = got.where(F.col("method") != ours).join(F.broadcast(best)).select("method", (F.col("best") - F.col("whole")).alias("gain"))
+    return point.join(_interval(gains, ["method"], "d", level), "method")
+
+
+def poisson_times(*key: Column) -> Column:
+    """How often a row comes up in a resampling: Poisson with mean 1, by a digest of the key."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", *key)), 1, 8), 16, 10).cast("double") / 2.0**32
+    total, term, out = 0.0, float(np.exp(-1.0)), F.lit(0)
+    for k in range(1, 12):
+        total, term = total + term, term / k
+        out = F.when(u >= total, k).otherwise(out)
+    return out
+
+
+def bootstrap_interval(df: DataFrame, stat: Callable[[Column], Column], key: list[str], reps: int = 500, level: float = 0.95) -> DataFrame:
+    """(low, high): percentile interval of a statistic over resamplings of the rows.
+
+    `stat` makes an aggregate from the column that says how often a row counts. Each row
+    draws that number for each resampling from a digest of its key, so nothing is shuffled
+    but one row per task and resampling. Resamplings without a value do not count.
+    """
+    each = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("__rep"))
+    times = poisson_times(*[F.col(k).cast("string") for k in key], F.col("__rep").cast("string"))
+    drawn = each.withColumn("__times", times).groupBy("__rep").agg(stat(F.col("__times")).alias("v"))
+    return _interval(drawn.where("v is not null and not isnan(v)"), [], "v", level)
+
+
+def tie_order(seed: int, *key: Column) -> Column:
+    """A number that orders equal scores by chance, the same for one seed."""
+    return F.xxhash64(F.lit(seed), *key)
+
+
+def benchmark(df: DataFrame, ours: str, others: list[str], observed: str, length: str, block: str, tie: str, reps: int = 200, seed: int = 0) -> DataFrame:
+    """(method, capture10, capture5, auc, low, high, gain, gain_low, gain_high): how each score ranks the rows.
+
+    The interval is of capture10, gains are those of `ours` over the method (null for itself),
+    auc tells rows with an observation from those without.
+    """
+    names, out = [ours, *others], None
+    for n in names:
+        at = [capture(df, n, observed, length, tie, x).select(F.col("share").alias(c)) for x, c in ((0.1, "capture10"), (0.05, "capture5"))]
+        one = at[0].join(F.broadcast(at[1])).join(F.broadcast(auc(df, n, F.col(observed) > 0))).withColumn("method", F.lit(n))
+        out = one if out is None else out.unionByName(one)
+    low = _interval(resampled_captures(df, names, observed, length, block, tie, reps, 0.1, seed), ["method"], "c", 0.95)
+    gains = capture_gains(df, ours, others, observed, length, block, tie, reps, 0.1, seed).toDF("method", "gain", "gain_low", "gain_high")
+    return out.join(low, "method").join(gains, "method", "left").select("method", "capture10", "capture5", "auc", "low", "high", "gain", "gain_low", "gain_high")
+
+
+def targets(bench: DataFrame, least: dict[str, float]) -> DataFrame:
+    """(method, target, met): whether a column of a benchmark reaches a bar that was set before; a null does not."""
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("target"), F.coalesce(F.col(c) >= v, F.lit(False)).alias("met")) for c, v in least.items()])).alias("t")
+    return bench.select("method", rows).select("method", "t.*")
+
+
+def temporal_gains(cells: DataFrame, predicted: str, observed: str, hours: str, group: str, by: list[str]) -> DataFrame:
+    """(deviance, vs_flat, vs_by): shape deviance of predicted counts, and the share of it that they save against flat rates.
+
+    The flat rate is one per `group`, the other baseline one per `group` and `by`; both come
+    from the same cells, times their hours.
+    """
+    total = lambda keys: F.sum(observed).over(Window.partitionBy(*keys)) / F.sum(hours).over(Window.partitionBy(*keys)) * F.col(hours)
+    rows = cells.withColumns({"__flat": total([group]), "__by": total([group, *by])})  # cells are a fixed set of kinds of hour
+    d = [shape_deviance(rows, c, observed).select(F.col("deviance").alias(n)) for c, n in ((predicted, "deviance"), ("__flat", "a"), ("__by", "b"))]
+    both = d[0].join(F.broadcast(d[1])).join(F.broadcast(d[2]))
+    return both.select("deviance", (1 - F.col("deviance") / F.col("a")).alias("vs_flat"), (1 - F.col("deviance") / F.col("b")).alias("vs_by"))
+
+
 def fold_of_group(sizes: DataFrame, group: str, folds: int) -> DataFrame:
     """(group, fold): groups by size, largest first, each to the fold that is lightest so far.
 
-    Takes one row per group (group, n); groups are a fixed set of areas.
+    Takes one row per group (group, n); groups are a fixed set of areas, of which more than
+    MOST_AREAS are an error.
     """
+    _areas(sizes, group)
     load, rows = [0] * folds, []
     for r in sizes.orderBy(F.desc("n"), group).collect():
         k = load.index(min(load))

@@ -67,6 +67,7 @@ def best_alpha(df: DataFrame, features: list[str], y: str, exposure: str, fold:
     """The alpha with the least sum of held-out deviances over the folds; the first of equals."""
     from meridian.operators.evaluate import deviance
 
+    df = Scratch(df.sparkSession).write(df.select(*features, y, exposure, fold))
     folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
     losses = []
     for a in grid:
@@ -161,87 +162,228 @@ class Boosted:
         return base, parts
 
 
-def fit_boosted(
-    df: DataFrame, features: list[str], y: str, exposure: str, monotone: list[str] = (), rounds: int = 20, rate: float = 0.1,
-    depth: int = 2, bins: int = 32, l2: float = 5.0, least: int = 60,
-) -> Boosted:
-    """Gradient boosting of a Poisson rate by histogram trees, grown level by level.
-
-    Tasks add up gradients by (node, feature, bin); Spark adds up the tasks; the driver sees
-    nodes * features * bins sums however many rows there are, and picks the splits. A split
-    on a feature of `monotone` must not lower the rate upwards, and its children keep to the
-    middle of the two values. Every leaf has at least `least` rows.
-    """
-    edges = df.approxQuantile(features, [i / bins for i in range(1, bins)], 0.001)
-    cuts = [np.unique(e) for e in edges]
-    total = df.agg(F.sum(y), F.sum(exposure)).first()
-    model = Boosted(float(np.log(max(total[0], 1e-12) / total[1])), cuts, rate)
-    held = Scratch(df.sparkSession).write(df.select(F.array(*[F.col(c).cast("double") for c in features]).alias("x"), F.col(y).cast("double").alias("y"), F.col(exposure).cast("double").alias("e")))
-    width, up = max(len(c) for c in cuts) + 1, {features.index(m) for m in monotone}
-
-    def histogram(tree: Tree) -> dict[int, np.ndarray]:
-        def run(fs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums: dict[int, np.ndarray] = {}
-            for f in fs:
-                b = model.bins(np.stack(f["x"]))
-                mu = f["e"].to_numpy() * np.exp(model.log_mu(b))
-                at = tree.leaves(b)
-                for node in np.unique(at):
-                    s = sums.setdefault(int(node), np.zeros((3, len(features), width)))
-                    k = at == node
-                    for j in range(len(features)):
-                        for r, v in enumerate((f["y"].to_numpy()[k] - mu[k], mu[k], None)):
-                            s[r, j] += np.bincount(b[k, j], v, width)
-            for node, s in sums.items():
-                yield pd.DataFrame({"node": node, "i": np.arange(s.size), "v": s.ravel()})
-
-        rows = held.mapInPandas(run, "node int, i int, v double").groupBy("node", "i").agg(F.sum("v").alias("v")).toPandas()
-        out = {}
-        for node, g in rows.groupby("node"):
-            s = np.zeros(3 * len(features) * width)
-            s[g["i"]] = g["v"]
-            out[int(node)] = s.reshape(3, len(features), width)
-        return out
+@dataclass(frozen=True)
+class Growth:
+    """How trees grow: `rows` and `columns` are the shares that each tree sees, drawn by `seed`."""
+
+    rate: float = 0.1
+    depth: int = 2
+    bins: int = 32
+    l2: float = 5.0
+    least: int = 60
+    rows: float = 1.0
+    columns: float = 1.0
+    seed: int = 0
+
+
+class _Boosting:
+    """Boosted models that grow side by side: one of all rows, or one per fold of the rows outside it.
+
+    Tasks add up gradients by (model, node, feature, bin) and held-out losses by model; Spark
+    adds up the tasks; the driver sees models * nodes * features * bins sums however many rows
+    there are, and picks the splits.
+    """
 
-    for _ in range(rounds):
-        tree = Tree()
-        tree.add(0.0, 0.0)
-        limits = {0: (-np.inf, np.inf)}
-        for level in range(depth):
-            found = histogram(tree)
-            split = False
-            for node, s in found.items():
-                if node not in limits:
-                    continue
-                g, h, n = (s[r].cumsum(axis=1) for r in range(3))
-                lo, hi = limits[node]
-                if level == 0:
-                    tree.weight[0] = float(n[0, -1])
-                best = (1e-9, 0, 0, 0.0, 0.0)
-                for j in range(len(features)):
-                    gl, hl, nl = g[j, :-1], h[j, :-1], n[j, :-1]
-                    gr, hr, nr = g[j, -1] - gl, h[j, -1] - hl, n[j, -1] - nl
-                    vl, vr = np.clip(gl / (hl + l2), lo, hi), np.clip(gr / (hr + l2), lo, hi)
-                    gain = gl**2 / (hl + l2) + gr**2 / (hr + l2) - g[j, -1] ** 2 / (h[j, -1] + l2)
-                    gain[(nl < least) | (nr < least) | ((vl > vr) if j in up else False)] = 0
-                    k = int(gain.argmax())
-                    if gain[k] > best[0]:
-                        best = (float(gain[k]), j, k, float(vl[k]), float(vr[k]))
-                if best[0] <= 1e-9:
-                    continue
-                _, j, k, vl, vr = best
-                tree.feature[node], tree.cut[node] = j, k
-                tree.left[node], tree.right[node] = tree.add(vl, float(n[j, k])), tree.add(vr, float(n[j, -1] - n[j, k]))
-                middle = (vl + vr) / 2
-                limits[tree.left[node]] = (lo, min(hi, middle) if j in up else hi)
-                limits[tree.right[node]] = (max(lo, middle) if j in up else lo, hi)
-                split = True
-            if not split:
+    def __init__(self, df: DataFrame, features: list[str], y: str, exposure: str, monotone: list[str], growth: Growth, fold: str | None):
+        self.growth, self.features = growth, features
+        cuts = [np.unique(e) for e in df.approxQuantile(features, [i / growth.bins for i in range(1, growth.bins)], 0.001)]
+        rows = df.select(
+            F.array(*[F.col(c).cast("double") for c in features]).alias("x"), F.col(y).cast("double").alias("y"), F.col(exposure).cast("double").alias("e"),
+            (F.col(fold).cast("int") if fold else F.lit(-1)).alias("fold"), F.rand(growth.seed).alias("u"),
+        )
+        self.held = Scratch(df.sparkSession).write(rows)
+        sums = self.held.groupBy("fold").agg(F.sum("y").alias("y"), F.sum("e").alias("e")).orderBy("fold").collect()
+        self.folds = [r["fold"] for r in sums]
+        rest = [(sum(r["y"] for r in sums if r["fold"] != k or not fold), sum(r["e"] for r in sums if r["fold"] != k or not fold)) for k in self.folds]
+        self.models = [Boosted(float(np.log(max(y, 1e-12) / e)), cuts, growth.rate) for y, e in rest] if sums else [Boosted(0.0, cuts, growth.rate)]
+        self.width, self.up = max(len(c) for c in cuts) + 1, {features.index(m) for m in monotone}
+        self.crossed = fold is not None
+
+    def _sums(self, trees: list[Tree], turn: int) -> tuple[dict[tuple[int, int], np.ndarray], float]:
+        """Gradients by (model, node), and the mean deviance of the rows outside each model's own, over all models."""
+        models, folds, growth, crossed, width, n = self.models, self.folds, self.growth, self.crossed, self.width, len(self.features)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums: dict[tuple[int, int], np.ndarray] = {}
+            for f in frames:
+                b = models[0].bins(np.stack(f["x"])) if len(f) else np.empty((0, n), int)
+                y, e, of, u = (f[c].to_numpy() for c in ("y", "e", "fold", "u"))
+                drawn = (u * 2654435761.0 * (turn + 1)) % 1.0 < growth.rows
+                for m, model in enumerate(models):
+                    mu = e * np.exp(model.log_mu(b))
+                    out = of == folds[m] if crossed else np.zeros(len(f), bool)
+                    if out.any():
+                        part = np.where(y[out] > 0, y[out] * np.log(np.maximum(y[out], 1e-300) / np.maximum(mu[out], 1e-12)), 0.0) - (y[out] - mu[out])
+                        s = sums.setdefault((m, -1), np.zeros(2))
+                        s += (2 * part.sum(), out.sum())
+                    at = trees[m].leaves(b)
+                    for node in np.unique(at[~out & drawn]):
+                        s = sums.setdefault((m, int(node)), np.zeros((3, n, width)))
+                        k = (at == node) & ~out & drawn
+                        for j in range(n):
+                            for r, v in enumerate((y[k] - mu[k], mu[k], None)):
+                                s[r, j] += np.bincount(b[k, j], v, width)
+            for (m, node), s in sums.items():
+                yield pd.DataFrame({"m": m, "node": node, "i": np.arange(s.size), "v": s.ravel()})
+
+        rows = self.held.mapInPandas(run, "m int, node int, i int, v double").groupBy("m", "node", "i").agg(F.sum("v").alias("v")).toPandas()
+        found, loss = {}, np.zeros(2)
+        for (m, node), g in rows.groupby(["m", "node"]):
+            s = np.zeros(2 if node < 0 else 3 * n * width)
+            s[g["i"]] = g["v"]
+            if node < 0:
+                loss += s
+            else:
+                found[int(m), int(node)] = s.reshape(3, n, width)
+        return found, float(loss[0] / loss[1]) if loss[1] else float("nan")
+
+    def _split(self, tree: Tree, node: int, s: np.ndarray, limits: dict[int, tuple[float, float]], columns: list[int]) -> bool:
+        """Split a node where that gains most. A split on a monotone feature must not lower the rate upwards, and children keep to its middle."""
+        growth, (lo, hi) = self.growth, limits[node]
+        g, h, n = (s[r].cumsum(axis=1) for r in range(3))
+        if node == 0:
+            tree.weight[0] = float(n[0, -1])
+        best = (1e-9, 0, 0, 0.0, 0.0)
+        for j in columns:
+            gl, hl, nl = g[j, :-1], h[j, :-1], n[j, :-1]
+            gr, hr, nr = g[j, -1] - gl, h[j, -1] - hl, n[j, -1] - nl
+            vl, vr = np.clip(gl / (hl + growth.l2), lo, hi), np.clip(gr / (hr + growth.l2), lo, hi)
+            gain = gl**2 / (hl + growth.l2) + gr**2 / (hr + growth.l2) - g[j, -1] ** 2 / (h[j, -1] + growth.l2)
+            gain[(nl < growth.least) | (nr < growth.least) | ((vl > vr) if j in self.up else False)] = 0
+            k = int(gain.argmax())
+            if gain[k] > best[0]:
+                best = (float(gain[k]), j, k, float(vl[k]), float(vr[k]))
+        if best[0] <= 1e-9:
+            return False
+        _, j, k, vl, vr = best
+        tree.feature[node], tree.cut[node] = j, k
+        tree.left[node], tree.right[node] = tree.add(vl, float(n[j, k])), tree.add(vr, float(n[j, -1] - n[j, k]))
+        middle = (vl + vr) / 2
+        limits[tree.left[node]] = (lo, min(hi, middle) if j in self.up else hi)
+        limits[tree.right[node]] = (max(lo, middle) if j in self.up else lo, hi)
+        return True
+
+    def grow(self, turn: int) -> float:
+        """Add a tree to every model that can be split; the held-out deviance before that."""
+        rng = np.random.default_rng((self.growth.seed, turn))
+        n, loss = len(self.features), float("nan")
+        columns = sorted(rng.permutation(n)[: max(1, round(self.growth.columns * n))].tolist())
+        trees = [Tree() for _ in self.models]
+        for t in trees:
+            t.add(0.0, 0.0)
+        limits = [{0: (-np.inf, np.inf)} for _ in trees]
+        for level in range(self.growth.depth):
+            found, now = self._sums(trees, turn)
+            loss = now if level == 0 else loss
+            if not any([self._split(trees[m], node, s, limits[m], columns) for (m, node), s in found.items() if node in limits[m]]):
                 break
-        if tree.feature[0] < 0:
+        for model, tree in zip(self.models, trees):
+            if tree.feature[0] >= 0:
+                model.trees.append(tree)
+        return loss
+
+
+def fit_boosted(df: DataFrame, features: list[str], y: str, exposure: str, monotone: list[str] = (), rounds: int = 20, **growth: float) -> Boosted:
+    """Gradient boosting of a Poisson rate by histogram trees, grown level by level; `growth` as in Growth.
+
+    A rise in a feature of `monotone` never lowers the rate. Every leaf has at least `least`
+    rows. Without rows that can be split there are fewer trees than rounds.
+    """
+    boosting = _Boosting(df, features, y, exposure, list(monotone), Growth(**growth), None)
+    for turn in range(rounds):
+        had = len(boosting.models[0].trees)
+        boosting.grow(turn)
+        if len(boosting.models[0].trees) == had and boosting.growth.columns == boosting.growth.rows == 1:
             break
-        model.trees.append(tree)
-    return model
+    return boosting.models[0]
+
+
+def boosting_rounds(
+    df: DataFrame, features: list[str], y: str, exposure: str, fold: str, monotone: list[str] = (), most: int = 200, patience: int = 10, **growth: float
+) -> tuple[int, list[float], dict[int, Boosted]]:
+    """(rounds, deviance after each number of rounds from 0, model of each fold at `rounds`) by cross-validation over folds.
+
+    The models of all folds grow side by side, one pass over the rows for each level of all
+    their trees, which also gives the deviance of the rows that a model has not seen. It ends
+    when that has not fallen for `patience` rounds, or after `most`.
+    """
+    boosting, losses = _Boosting(df, features, y, exposure, list(monotone), Growth(**growth), fold), []
+    counts: list[list[int]] = []
+    for turn in range(most + 1):
+        counts.append([len(m.trees) for m in boosting.models])
+        losses.append(boosting.grow(turn))
+        if turn - int(np.argmin(losses)) >= patience:
+            break
+    best = int(np.argmin(losses))
+    models = {k: Boosted(m.base, m.cuts, m.rate, m.trees[: counts[best][i]]) for i, (k, m) in enumerate(zip(boosting.folds, boosting.models))}
+    return best, losses, models
+
+
+@dataclass(frozen=True)
+class Ensemble:
+    """log rate = weight * boosted + (1 - weight) * linear; what cross-validation chose, and the overdispersion k of its forecasts."""
+
+    features: list[str]
+    linear: LogLinear
+    boosted: Boosted
+    weight: float
+    alpha: float
+    rounds: int
+    k: float
+
+
+def fit_ensemble(
+    df: DataFrame, features: list[str], y: str, exposure: str, group: str, monotone: list[str] = (), alphas: tuple[float, ...] = (0.001, 0.01, 0.1), folds: int = 5, most: int = 200, **growth: float
+) -> Ensemble:
+    """Fit by forecasts of rows that a model has not seen: rounds, then alpha, then the weight and k on those forecasts, then all rows.
+
+    Folds are whole groups (fixed areas). `features` should be standardised for the linear part.
+    """
+    from meridian.operators.evaluate import fold_of_group, overdispersion
+
+    dealt = fold_of_group(df.groupBy(group).agg(F.count("*").alias("n")), group, folds)
+    rows = Scratch(df.sparkSession).write(df.join(F.broadcast(dealt), group).withColumnRenamed("fold", "__fold"))
+    rounds, _, models = boosting_rounds(rows, features, y, exposure, "__fold", monotone, most, **growth)
+    alpha, out = best_alpha(rows, features, y, exposure, "__fold", list(alphas)), None
+    for k, m in models.items():
+        linear = poisson_ridge(rows.where(F.col("__fold") != k), features, y, exposure, alpha)
+        seen = predict_boosted(rows.where(F.col("__fold") == k), m, features, "__b").withColumn("__a", linear.log_rate(features))
+        log_e = F.ln(exposure)
+        seen = seen.select(F.col(y).cast("double").alias("y"), (F.col("__b") + log_e).alias("b"), (F.col("__a") + log_e).alias("a"))
+        out = seen if out is None else out.unionByName(seen)
+    out = Scratch(df.sparkSession).write(out)
+    weight = float(best_blend(out, "y", "b", "a").first()["w"])
+    mu = out.withColumn("mu", F.exp(weight * F.col("b") + (1 - weight) * F.col("a")))
+    k = float(overdispersion(mu, "y", "mu").first()["k"])
+    return Ensemble(list(features), poisson_ridge(rows, features, y, exposure, alpha), fit_boosted(rows, features, y, exposure, monotone, rounds, **growth), weight, alpha, rounds, k)
+
+
+def predict_ensemble(df: DataFrame, m: Ensemble, name: str = "log_mu") -> DataFrame:
+    """`df` with the ensemble's log rate."""
+    out = predict_boosted(df, m.boosted, m.features, "__b")
+    return out.withColumn(name, m.weight * F.col("__b") + (1 - m.weight) * m.linear.log_rate(m.features)).drop("__b")
+
+
+def explain_ensemble(df: DataFrame, m: Ensemble) -> DataFrame:
+    """`df` with base and parts (a number per feature, in their order), which add up to the ensemble's log rate.
+
+    Rows in the same bins have the same parts of the trees, so each task works those out once.
+    """
+    shared, linear = df.sparkSession.sparkContext.broadcast(m.boosted), m.linear
+
+    @F.pandas_udf("array<double>")
+    def told(x: pd.Series) -> pd.Series:
+        boosted = shared.value
+        if not len(x):
+            return pd.Series([], dtype=object)
+        bins, which = np.unique(boosted.bins(np.stack(x)), axis=0, return_inverse=True)
+        each = [np.r_[base, parts] for base, parts in map(boosted.contributions, bins)]
+        return pd.Series([each[i] for i in which.ravel()])
+
+    out = df.withColumn("__t", told(F.array(*[F.col(c).cast("double") for c in m.features])))
+    part = lambda i, c: m.weight * F.col("__t")[i + 1] + (1 - m.weight) * linear.coefficients[c] * F.col(c)
+    parts = F.array(*[part(i, c) for i, c in enumerate(m.features)])
+    return out.withColumns({"base": m.weight * F.col("__t")[0] + (1 - m.weight) * linear.intercept, "parts": parts}).drop("__t")
 
 
 def predict_boosted(df: DataFrame, model: Boosted, features: list[str], name: str = "log_mu") -> DataFrame:

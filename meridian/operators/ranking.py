@@ -71,3 +71,26 @@ def average_ranks(df: DataFrame, value: str, rank: str = "rank") -> DataFrame:
     below = running(counts, [F.col(value)], {"__b": F.col("__c")})
     place = below.select(value, (F.col("__b") + (F.col("__c") + 1) / 2).alias(rank))
     return df.join(place, value)
+
+
+def even_quantiles(df: DataFrame, value: str, points: int, by: list[str] | None = None) -> DataFrame:
+    """(by, i, q): `points` exact quantiles of `value`, evenly spaced and interpolated, for each group of `by` or for all rows.
+
+    Values are counted, and the running counts tell which values stand at the places that a
+    quantile lies between, so no task holds a group or the table. Nulls do not count; a group
+    without values has no row.
+    """
+    by = by or []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    below = running(counts, [*[F.col(c) for c in by], F.col("__v")], {"__b": F.col("__c")})
+    total = below.groupBy(*by).agg(F.min("__b").alias("__start"), F.sum("__c").alias("__n"))
+    rows = below.join(total, by) if by else below.join(F.broadcast(total))
+    first, last, steps = F.col("__b") - F.col("__start"), F.col("__b") - F.col("__start") + F.col("__c") - 1, points - 1
+    width = F.greatest(F.col("__n") - 1, F.lit(1))
+    near = F.sequence(F.greatest(F.lit(0), F.floor((first - 1) * steps / width).cast("int")), F.least(F.lit(steps), F.ceil((last + 1) * steps / width).cast("int") + 1))
+    at = rows.select(*by, "__v", first.alias("__f"), last.alias("__l"), "__n", F.explode(near).alias("i"))
+    at = at.withColumn("__p", F.col("i") / steps * (F.col("__n") - 1))
+    low, high = F.floor("__p").between(F.col("__f"), F.col("__l")), F.ceil("__p").between(F.col("__f"), F.col("__l"))
+    found = at.where(low | high).groupBy(*by, "i").agg(F.max(F.when(low, F.col("__v"))).alias("a"), F.max(F.when(high, F.col("__v"))).alias("b"), F.first("__p").alias("p"))
+    between = (F.ceil("p") - F.col("p")) * F.col("a") + (F.col("p") - F.floor("p")) * F.col("b")
+    return found.select(*by, "i", F.when((F.col("a") == F.col("b")) | (F.floor("p") == F.ceil("p")), F.col("a")).otherwise(between).alias("q"))

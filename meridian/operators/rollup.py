@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meridian.functions import times
-from meridian.operators.ranking import previous
+from meridian.operators.ranking import even_quantiles, previous
 
 
 def hourly_rollup(events: DataFrame, key: str, weight: Column, flags: dict[str, Column]) -> DataFrame:
@@ -80,9 +80,11 @@ def collapse(table: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def fill_group_median(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
-    """`df` with nulls of `columns` filled by their group's exact median, then by 0."""
-    medians = df.groupBy(group).agg(*[F.median(c).alias(f"__{c}") for c in columns])
-    out = df.join(medians, group, "left")
+    """`df` with nulls of `columns` filled by their group's exact median, then by 0. A null group has no median."""
+    out = df
+    for c in columns:
+        medians = even_quantiles(df.where(F.col(group).isNotNull()), c, 3, [group]).where("i = 1")
+        out = out.join(medians.select(group, F.col("q").alias(f"__{c}")), group, "left").select(*out.columns, f"__{c}")
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"__{c}"), F.lit(0.0)) for c in columns}).drop(*[f"__{c}" for c in columns])
 
 

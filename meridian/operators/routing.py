@@ -7,14 +7,19 @@ import heapq
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from meridian.operators.ranking import row_numbers
+from meridian.operators.scoring import percentile_score
 from meridian.plans.scratch import Scratch
 
 # Weights of risk tried, most extra time, gains that make another path worth showing, search area.
 LADDER = [0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0]
 MAX_TIME_FACTOR, MAX_EXTRA_S = 1.25, 360.0
 MIN_RISK_GAIN, MIN_EXPOSURE_GAIN = 10, 0.15
+MAX_EXTRA_EXPOSURE, MIN_SIGNAL_GAIN = 0.10, 0.15
 PAD_M, PAD_SHARE, MIN_TRIP_M = 1200.0, 0.6, 60.0
 SPEEDS = {"walk": 1.3, "bike": 15 / 3.6, "ebike": 22 / 3.6, "scooter": 18 / 3.6}
+#: Added to the cost of every edge, so that of equal paths the one with fewer edges wins.
+PER_EDGE = 1e-9
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -30,6 +35,13 @@ def cheapest_parallel(edges: DataFrame, cost: str) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.min(F.struct(cost, "eid")).alias("m")).select("src", "dst", F.col("m.eid").alias("eid"), F.col(f"m.{cost}").alias(cost))
 
 
+def build_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with index (gapless from 0, by id), and edges (u, v) with the indexes of their ends; edges with an unknown end are dropped."""
+    numbered = Scratch(nodes.sparkSession).write(row_numbers(nodes.dropDuplicates(["id"]), [F.col("id")], "index").withColumn("index", F.col("index").cast("long") - 1))
+    of = lambda end: numbered.select(F.col("id").alias(end), F.col("index").alias(f"{end}_index"))
+    return numbered, edges.join(of("u"), "u").join(of("v"), "v")
+
+
 def node_degrees(edges: DataFrame) -> DataFrame:
     """(node, degree): different edges at each node."""
     return edges.select(F.col("u").alias("node"), "eid").unionByName(edges.select(F.col("v").alias("node"), "eid")).distinct().groupBy("node").agg(F.count("*").alias("degree"))
@@ -85,7 +97,7 @@ def cheapest_path(rows: list[tuple[int, int, int, float]], origin: int, target:
     """Edge ids of the cheapest path over (src, dst, eid, cost), or None. Costs get 1e-9 so that fewer edges win."""
     out: dict[int, list[tuple[int, int, float]]] = {}
     for src, dst, eid, cost in rows:
-        out.setdefault(src, []).append((dst, eid, cost + 1e-9))
+        out.setdefault(src, []).append((dst, eid, cost + PER_EDGE))
     best, came = {origin: 0.0}, {}
     heap = [(0.0, origin)]
     while heap:
@@ -105,50 +117,183 @@ def cheapest_path(rows: list[tuple[int, int, int, float]], origin: int, target:
     return None
 
 
-def candidate_paths(area: DataFrame, time: str, risk: str, bar: float, ladder: list[float] | None = None) -> DataFrame:
+def candidate_paths(area: DataFrame, time: str, risk: str, bar: float, ladder: list[float] | None = None, penalty: str | None = None) -> DataFrame:
     """(query, weight, pos, eid): for each query and weight of risk the cheapest path of its area.
 
-    The cost of an edge is time * (1 + weight * risk / bar); weight 0 is the fastest path. A
-    (query, weight) is a task's group; its size is the query's search area, not the network.
-    Queries without a path have no row.
+    The cost of an edge is time * (1 + weight * risk / bar), times the column `penalty` if
+    there is one; weight 0 is the fastest path. A query is a task's group, which gets the
+    edges of its search area once for all weights; its size is that area, not the network.
+    Queries without a path have no row; `plan_paths` looks for theirs in the whole network.
     """
-    weights = F.explode(F.array(*map(F.lit, [0.0, *(LADDER if ladder is None else ladder)]))).alias("weight")
-    cost = F.col(time) * (1 + F.col("weight") * F.coalesce(F.col(risk), F.lit(0.0)) / bar)
-    rows = area.select("query", "origin", "target", "src", "dst", "eid", time, risk, weights).withColumn("cost", cost)
+    weights = [0.0, *(LADDER if ladder is None else ladder)]
+    rows = area.select("query", "origin", "target", "src", "dst", "eid", time, F.coalesce(F.col(risk), F.lit(0.0)).alias("__risk"), (F.col(penalty) if penalty else F.lit(1.0)).alias("__penalty"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["cost", "eid"], kind="stable")
-        path = cheapest_path(list(zip(g["src"], g["dst"], g["eid"], g["cost"])), g["origin"].iloc[0], g["target"].iloc[0])
-        n = len(path or [])
-        return pd.DataFrame({"query": [g["query"].iloc[0]] * n, "weight": [g["weight"].iloc[0]] * n, "pos": range(n), "eid": path or []})
+        out = []
+        for w in weights:
+            f = g.assign(cost=g[time] * (1 + w * g["__risk"] / bar) * g["__penalty"]).sort_values(["cost", "eid"], kind="stable")
+            path = cheapest_path(list(zip(f["src"], f["dst"], f["eid"], f["cost"])), g["origin"].iloc[0], g["target"].iloc[0])
+            out += [(g["query"].iloc[0], w, i, e) for i, e in enumerate(path or [])]
+        return pd.DataFrame(out, columns=["query", "weight", "pos", "eid"])
+
+    return rows.groupBy("query").applyInPandas(run, "query long, weight double, pos int, eid long")
+
+
+def network_paths(trips: DataFrame, edges: DataFrame, time: str, risk: str, bar: float, ladder: list[float] | None = None, penalty: str | None = None) -> DataFrame:
+    """`candidate_paths` over the whole network: (query, weight, pos, eid) of trips (query, origin, target).
+
+    Each round relaxes the edges of the nodes that got closer in the one before, for all trips
+    and weights at once, and keeps how each node was reached; the paths are then followed back
+    from the targets, an edge a round. No task holds a network or a trip.
+    """
+    spark = trips.sparkSession
+    scratch = Scratch(spark)
+    cost = F.col(time) * (1 + F.col("weight") * F.coalesce(F.col(risk), F.lit(0.0)) / bar) * (F.col(penalty) if penalty else F.lit(1.0)) + PER_EDGE
+    links = edges.select(F.col("src").alias("node"), "dst", "eid", time, risk, *([penalty] if penalty else []))
+    asked = trips.select("query", "origin", "target", F.explode(F.array(*map(F.lit, [0.0, *(LADDER if ladder is None else ladder)]))).alias("weight"))
+    best = scratch.write(asked.select("query", "weight", F.col("origin").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("eid"), F.lit(None).cast("long").alias("prev")))
+    front = best
+    while not front.isEmpty():
+        step = front.select("query", "weight", "node", "dist").join(links, "node")
+        step = step.select("query", "weight", F.col("dst").alias("node"), F.struct((F.col("dist") + cost).alias("dist"), "eid", F.col("node").alias("prev")).alias("m"))
+        step = step.groupBy("query", "weight", "node").agg(F.min("m").alias("m")).select("query", "weight", "node", "m.*")
+        known = best.select("query", "weight", "node", F.col("dist").alias("__had"))
+        front = scratch.write(step.join(known, ["query", "weight", "node"], "left").where("__had is null or dist < __had - 1e-12").drop("__had"))
+        both = best.unionByName(front).groupBy("query", "weight", "node").agg(F.min(F.struct("dist", "eid", "prev")).alias("m"))
+        best = scratch.write(both.select("query", "weight", "node", "m.*"))
+    at, found, n = asked.select("query", "weight", F.col("target").alias("node")), None, 0
+    while True:
+        step = scratch.write(at.join(best, ["query", "weight", "node"]).where("eid is not null").select("query", "weight", "prev", "eid", F.lit(n).alias("back")))
+        found = step if found is None else found.unionByName(step)
+        if step.isEmpty():
+            break
+        at, n = step.select("query", "weight", F.col("prev").alias("node")), n + 1
+    w = Window.partitionBy("query", "weight").orderBy(F.desc("back"))
+    return found.select("query", "weight", (F.row_number().over(w) - 1).alias("pos"), F.col("eid").cast("long").alias("eid"))
+
+
+def trip_guards(trips: DataFrame) -> DataFrame:
+    """`trips` (query, origin, target, x1, y1, x2, y2) with status: too_close if both ends are one node or under 60 m apart, else ok."""
+    near = (F.col("origin") == F.col("target")) | (F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) < MIN_TRIP_M)
+    return trips.withColumn("status", F.when(near, "too_close").otherwise("ok"))
+
+
+def plan_paths(trips: DataFrame, nodes: DataFrame, edges: DataFrame, time: str, risk: str, bar: float, ladder: list[float] | None = None, penalty: str | None = None) -> DataFrame:
+    """(query, weight, pos, eid) of all trips that are far enough: in their padded box, or else in the whole network.
+
+    `edges` are directed (`both_ways`). Trips that no path joins at all have no row.
+    """
+    go = trip_guards(trips).where("status = 'ok'")
+    scratch = Scratch(trips.sparkSession)
+    columns = [time, risk, *([penalty] if penalty else [])]
+    slim = edges.select("src", "dst", "eid", *columns)
+    boxed = scratch.write(candidate_paths(search_edges(go, nodes, slim), time, risk, bar, ladder, penalty))
+    lost = scratch.write(go.join(boxed.select("query").distinct(), "query", "left_anti").select("query", "origin", "target"))
+    if lost.isEmpty():
+        return boxed
+    return boxed.unionByName(network_paths(lost, slim, time, risk, bar, ladder, penalty))
+
+
+def timed_densities(paths: DataFrame, edges: DataFrame, departs: DataFrame, by_hour: DataFrame) -> DataFrame:
+    """(query, weight, pos, eid, log_density): each step's density at the hour in which its middle is passed.
+
+    `edges` has eid and time, `departs` query and depart, `by_hour` eid, hour and log_density.
+    A step without a density for its hour has null.
+    """
+    steps = paths.join(edges.select("eid", "time"), "eid")
+    w = Window.partitionBy("query", "weight").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumn("at", F.coalesce(F.sum("time").over(w), F.lit(0.0)) + F.col("time") / 2).join(departs, "query")
+    passed = F.hour(F.timestamp_micros(F.unix_micros(F.col("depart").cast("timestamp")) + (F.col("at") * 1_000_000).cast("long")))
+    return steps.withColumn("hour", passed).join(by_hour, ["eid", "hour"], "left").select("query", "weight", "pos", "eid", "log_density")
+
+
+def measure_paths(paths: DataFrame, edges: DataFrame, high: int = 75, away: float = 0.0, q: DataFrame | None = None) -> DataFrame:
+    """(query, weight, duration, length, exposure, log_mean, risk, high_m, signal_m, path) of each path.
+
+    `edges` has eid, time, length, log_density and score once per edge, and perhaps penalty;
+    `paths` may bring its own log_density, as `timed_densities` gives it. Steps without a
+    density count as `away`. exposure is the sum of exp(log_density) per 100 m, log_mean the
+    log of the mean density by length and risk its whole score on the quantile table `q` (one
+    row), null without one. signal_m is the length times what penalties exceed one, path a
+    hash of the edges in order.
+    """
+    columns = ["time", "length", "score", *[c for c in ("log_density", "penalty") if c in edges.columns and c not in paths.columns]]
+    steps = paths.join(edges.select("eid", *columns), "eid")
+    d = F.exp(F.coalesce("log_density", F.lit(away))) * F.col("length")
+    extra = (F.col("penalty") - 1) * F.col("length") if "penalty" in columns else F.lit(0.0)
+    out = steps.groupBy("query", "weight").agg(
+        F.sum("time").alias("duration"), F.sum("length").alias("length"), (F.sum(d) / 100).alias("exposure"), F.ln(F.sum(d) / F.sum("length")).alias("log_mean"),
+        F.sum(F.when(F.col("score") >= high, F.col("length")).otherwise(0.0)).alias("high_m"), F.sum(extra).alias("signal_m"), F.bit_xor(F.xxhash64("pos", "eid")).alias("path"),
+    )
+    if q is None:
+        return out.withColumn("risk", F.lit(None).cast("int"))
+    return out.join(F.broadcast(q)).withColumn("risk", F.rint(percentile_score(F.col("log_mean"), F.col("q"))).cast("int")).drop("q")
+
 
-    return rows.groupBy("query", "weight").applyInPandas(run, "query long, weight double, pos int, eid long")
+def _least(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """(query, name): for each query the struct of the row that comes first by `by` and then by weight."""
+    kept = ["weight", "duration", "length", "exposure", "risk", "signal_m", "path"]
+    return rows.groupBy("query").agg(F.min_by(F.struct(*kept), F.struct(*by, "weight")).alias(name))
 
 
-def measure_paths(paths: DataFrame, edges: DataFrame, high: int = 75) -> DataFrame:
-    """(query, weight, duration, length, exposure, risk, high_m) of each path.
+def decide(measured: DataFrame, long_m: float = 3000.0, long_s: float = 2400.0) -> DataFrame:
+    """(query, weight, status, duration, exposure, t0, e0, tradeoff_s, shown): the path to take, and what to say of it.
 
-    `edges` has eid, time, length, log_density and score once per edge. exposure is the sum of
-    exp(log_density) per 100 m, risk the log of the mean density by length.
+    Of the paths that take at most 1.25 times and 6 minutes more than the fastest (weight 0),
+    the one with the least exposure is shown if it is another path and gains 10 points of
+    risk or 15 % of exposure; else the fastest is. tradeoff_s is the extra time of the path
+    with the least exposure at all, if that would gain 15 % more. status is long_trip for
+    trips whose fastest path is longer than `long_m` or `long_s`, fastest_is_lower_risk where
+    that is taken, tradeoff_exists where more time would gain more, else ok.
     """
-    d = F.exp("log_density") * F.col("length")
-    return paths.join(edges, "eid").groupBy("query", "weight").agg(
-        F.sum("time").alias("duration"), F.sum("length").alias("length"), (F.sum(d) / 100).alias("exposure"),
-        F.ln(F.sum(d) / F.sum("length")).alias("log_mean"), F.sum(F.when(F.col("score") >= high, F.col("length")).otherwise(0.0)).alias("high_m"),
+    fastest = measured.where("weight = 0").select("query", F.struct("duration", "length", "exposure", "risk", "path").alias("f"))
+    tried = measured.where("weight > 0").join(fastest, "query")
+    within = tried.where(F.col("duration") <= F.least(MAX_TIME_FACTOR * F.col("f.duration"), F.col("f.duration") + MAX_EXTRA_S) + 1e-6)
+    got = fastest.join(_least(within, ["exposure", "duration"], "b"), "query", "left").join(_least(tried, ["exposure", "duration"], "o"), "query", "left")
+    had, best = F.coalesce("b.exposure", "f.exposure"), F.col("b")
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    gains = sure(F.col("f.risk") - best["risk"] >= MIN_RISK_GAIN) | sure(best["exposure"] <= F.col("f.exposure") * (1 - MIN_EXPOSURE_GAIN))
+    shown = sure(best["path"] != F.col("f.path")) & gains
+    tradeoff = F.when(F.col("o.exposure") <= had * (1 - MIN_EXPOSURE_GAIN), F.col("o.duration") - F.col("f.duration"))
+    far = (F.col("f.length") > long_m) | (F.col("f.duration") > long_s)
+    got = got.withColumns({"shown": shown, "tradeoff_s": tradeoff})
+    status = F.when(far, "long_trip").when(~F.col("shown"), "fastest_is_lower_risk").when(F.coalesce(F.col("tradeoff_s") > 0, F.lit(False)), "tradeoff_exists").otherwise("ok")
+    pick = lambda c, of: F.when(F.col("shown"), best[c]).otherwise(of)
+    return got.select(
+        "query", pick("weight", F.lit(0.0)).alias("weight"), status.alias("status"), pick("duration", F.col("f.duration")).alias("duration"), pick("exposure", F.col("f.exposure")).alias("exposure"),
+        F.col("f.duration").alias("t0"), F.col("f.exposure").alias("e0"), "tradeoff_s", "shown",
     )
 
 
-def choose_path(measured: DataFrame) -> DataFrame:
-    """(query, weight, status, …): the path with the least exposure that takes at most 1.25 times and 6 minutes more than the fastest.
+def decide_lit(measured: DataFrame, lit: DataFrame, **limits: float) -> DataFrame:
+    """`decide`, with lit: whether a better lit or busier path takes the place of what it shows.
 
-    status is fastest_is_lower_risk if that is the fastest, ok if it gains 15 % of exposure, else tradeoff_exists.
+    `lit` are paths under penalties (`plan_paths` with a penalty), measured like the others.
+    One that keeps to the time budget and has at most 10 % more exposure than the fastest, and
+    the least signal_m of those, is taken if it is another path than the fastest and than what
+    is shown, and cuts the latter's signal_m by 15 %.
     """
-    fastest = measured.where("weight = 0").select("query", F.col("duration").alias("t0"), F.col("exposure").alias("e0"))
-    near = measured.join(fastest, "query").where(F.col("duration") <= F.least(MAX_TIME_FACTOR * F.col("t0"), F.col("t0") + MAX_EXTRA_S))
-    best = near.groupBy("query").agg(F.min(F.struct("exposure", "duration", "weight", "t0", "e0")).alias("m")).select("query", "m.*")
-    gain = F.col("exposure") <= F.col("e0") * (1 - MIN_EXPOSURE_GAIN)
-    status = F.when(F.col("exposure") >= F.col("e0"), "fastest_is_lower_risk").when(gain, "ok").otherwise("tradeoff_exists")
-    return best.withColumn("status", status)
+    default = decide(measured, **limits)
+    of = measured.select("query", "weight", F.col("signal_m").alias("had_m"), F.col("path").alias("had_path"))
+    fastest = measured.where("weight = 0").select("query", F.col("path").alias("fast_path"))
+    base = default.join(of, ["query", "weight"]).join(fastest, "query")
+    within = lit.join(base.select("query", "t0", "e0"), "query")
+    within = within.where((F.col("duration") <= F.least(MAX_TIME_FACTOR * F.col("t0"), F.col("t0") + MAX_EXTRA_S) + 1e-6) & (F.col("exposure") <= F.col("e0") * (1 + MAX_EXTRA_EXPOSURE)))
+    got = base.join(_least(within, ["signal_m", "exposure", "duration"], "l"), "query", "left")
+    other = (F.col("l.path") != F.col("fast_path")) & (F.col("l.path") != F.col("had_path"))
+    better = F.coalesce(other & (F.col("had_m") > 0) & (F.col("l.signal_m") <= F.col("had_m") * (1 - MIN_SIGNAL_GAIN)), F.lit(False))
+    got = got.withColumn("lit", better)
+    pick = lambda c: F.when(F.col("lit"), F.col(f"l.{c}")).otherwise(F.col(c)).alias(c)
+    status = F.when(F.col("lit") & (F.col("status") != "long_trip"), "ok").otherwise(F.col("status")).alias("status")
+    tradeoff = F.when(~F.col("lit"), F.col("tradeoff_s")).alias("tradeoff_s")
+    return got.select("query", pick("weight"), status, pick("duration"), pick("exposure"), "t0", "e0", tradeoff, (F.col("shown") | F.col("lit")).alias("shown"), "lit")
+
+
+def answer_trips(trips: DataFrame, decided: DataFrame) -> DataFrame:
+    """Every trip with its status: too_close, no_connection, or what was decided of it."""
+    guarded = trip_guards(trips).select("query", F.col("status").alias("__guard"))
+    status = F.when(F.col("__guard") == "too_close", "too_close").otherwise(F.coalesce("status", F.lit("no_connection")))
+    return guarded.join(decided, "query", "left").withColumn("status", status).drop("__guard")
 
 
 def traversal_offsets(steps: DataFrame, path: str, time: str) -> DataFrame:

@@ -85,6 +85,14 @@ def thin_points(points: DataFrame, radius: float, by: list[str]) -> DataFrame:
     return points.join(chained.groupBy("component").applyInPandas(run, "id long"), "id", "left_anti")
 
 
+def lamp_points(sources: list[DataFrame]) -> DataFrame:
+    """(x, y) of the lamps of all sources; those without a position are dropped."""
+    out = sources[0].select("x", "y")
+    for s in sources[1:]:
+        out = out.unionByName(s.select("x", "y"))
+    return out.dropna()
+
+
 def edge_lighting(own: Column, segment: Column, lamp: Column) -> Column:
     """An edge's own tag, else its segment's, else lit if a lamp is near; -1 unknown."""
     known = lambda c: F.when(c >= 0, c)

@@ -8,11 +8,13 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from meridian.operators.ranking import even_quantiles
+
 
 def quantile_table(df: DataFrame, value: str, points: int = 1001) -> DataFrame:
-    """(q): `points` exact quantiles, evenly spaced, with linear interpolation."""
-    at = F.array(*[F.lit(i / (points - 1)) for i in range(points)])
-    return df.agg(F.percentile(value, at).alias("q"))
+    """(q): `points` exact quantiles, evenly spaced, with linear interpolation; null without values."""
+    listed = even_quantiles(df, value, points).agg(F.array_sort(F.collect_list(F.struct("i", "q"))).alias("l"))  # one entry per point
+    return listed.select(F.when(F.size("l") > 0, F.col("l.q")).alias("q"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -95,7 +97,7 @@ def hotspots(nodes: DataFrame, score: str, share: float = 0.05, floor: int = 75)
 def tercile_bands(df: DataFrame, columns: list[str], names: tuple[str, str, str] = ("quiet", "moderate", "busy")) -> DataFrame:
     """`df` with <column>_band from the exact thirds of all values of all columns; null is unknown."""
     pooled = df.select(F.explode(F.array(*columns)).alias("v")).where("v is not null")
-    cut = pooled.agg(F.percentile("v", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("t"))
+    cut = even_quantiles(pooled, "v", 4).where("i in (1, 2)").agg(F.array_sort(F.collect_list(F.struct("i", "q")))["q"].alias("t"))
     out = df.join(F.broadcast(cut))
     band = lambda c: F.when(F.col(c).isNull(), "unknown").when(F.col(c) <= F.col("t")[0], names[0]).when(F.col(c) <= F.col("t")[1], names[1]).otherwise(names[2])
     return out.withColumns({f"{c}_band": band(c) for c in columns}).drop("t")

@@ -66,16 +66,17 @@ def neighbour_density(units: DataFrame, radius: float, years: int) -> DataFrame:
     return units.select("id").join(sums, "id", "left").fillna(0.0, ["density"])
 
 
-def nearest(a: DataFrame, b: DataFrame, radius: float, limit: float | None = None, rounds: int = 20) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, radius: float, limit: float | None = None) -> DataFrame:
     """(id, near_id, dist): for each point of `a` the nearest of `b`; equal distances go to the smaller id.
 
     Looks within `radius` first and doubles it for those that found nothing, up to `limit`
     (or until all have found one). Points of an `a` without any `b` in reach have no row.
     """
-    left, out, r = a.where("x is not null and y is not null").select("id", "x", "y"), None, radius
-    b = b.where("x is not null and y is not null").select("id", "x", "y")
+    sound = "abs(x) < double('infinity') and abs(y) < double('infinity')"  # neither null nor NaN
+    left, out, r = a.where(sound).select("id", "x", "y"), None, radius
+    b = b.where(sound).select("id", "x", "y")
     scratch = Scratch(a.sparkSession)
-    for _ in range(rounds):
+    while True:
         reach = r if limit is None else min(r, limit)
         hit = within(left, b, reach).groupBy(F.col("a.id").alias("id"))
         hit = scratch.write(hit.agg(F.min(F.struct("dist", "b.id")).alias("m")).select("id", F.col("m.id").alias("near_id"), F.col("m.dist").alias("dist")))

@@ -6,10 +6,13 @@ balance the length, their nation the block.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meridian.operators import evaluate, models, ranking, rollup, scoring
 from meridian.plans.registry import Registry, table
+from meridian.plans.scratch import Scratch
 
 Q = Registry()
 POINTS = [i / 1000 for i in range(1001)]
@@ -184,12 +187,87 @@ def temporal_glm_effects(spark: SparkSession, d: str) -> DataFrame:
 
 @Q.add("monotone_gbm")
 def monotone_gbm(spark: SparkSession, d: str) -> DataFrame:
+    """Rounds by cross-validation over whole brands, then all rows."""
     names = ["size", "price", "quantity"]
-    df = features(spark, d)
-    m = models.fit_boosted(df, names, "y", "exposure", monotone=["price"], rounds=5, bins=16)
+    df = Scratch(spark).write(features(spark, d))
+    dealt = evaluate.fold_of_group(df.groupBy("group").agg(F.count("*").alias("n")), "group", 5)
+    rounds, _, _ = models.boosting_rounds(df.join(F.broadcast(dealt), "group"), names, "y", "exposure", "fold", ["price"])
+    m = models.fit_boosted(df, names, "y", "exposure", ["price"], rounds)
     return models.predict_boosted(df, m, names).select("l_partkey", F.round("log_mu", 6).alias("log_mu"))
 
 
+@Q.add("ensemble_forecast")
+def ensemble_forecast(spark: SparkSession, d: str) -> DataFrame:
+    """The ensemble chosen by forecasts of unseen brands, and what each feature adds to its log rate."""
+    df = Scratch(spark).write(models.standardize(features(spark, d), ["size", "price", "quantity"]))
+    m = models.fit_ensemble(df, ["z_size", "z_price", "z_quantity"], "y", "exposure", "group", ["z_price"], most=40)
+    told = models.explain_ensemble(models.predict_ensemble(df, m), m)
+    total = F.aggregate("parts", F.col("base"), lambda s, x: s + x)
+    return told.select("l_partkey", F.round("log_mu", 6).alias("log_mu"), F.round("base", 6).alias("base"), (F.abs(total - F.col("log_mu")) < 1e-9).alias("adds_up"))
+
+
+@Q.add("method_benchmark")
+def method_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    s = Scratch(spark).write(shrunk(spark, d).withColumns({"smoothed": F.col("eb") / F.col("length"), "history": F.col("y") / F.col("length"), "order": evaluate.tie_order(7, F.col("id"))}))
+    return evaluate.benchmark(s, "smoothed", ["history"], "z", "length", "block", "order")
+
+
+@Q.add("capture_gain_interval", f"""
+    WITH {_U}, v AS (SELECT id, block, length, z, eb / length AS smoothed, y / length AS history FROM s), g AS (SELECT rep, block, 1 + (rep * 7 + block * 3) % 3 AS times FROM range(20) t(rep), (SELECT DISTINCT block FROM v) WHERE (rep + block) % 4 > 0),
+    y AS (SELECT v.*, 'history' AS method, history AS score FROM v UNION ALL SELECT v.*, 'smoothed', smoothed FROM v),
+    o AS (SELECT method, rep, id, score, length * times AS size, z * times AS got FROM y JOIN g USING (block)),
+    r AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY method, rep ORDER BY score DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER (PARTITION BY method, rep) * 0.1 AS budget FROM o),
+    w AS (SELECT method, rep, sum(least(1.0, greatest(0.0, (budget - before) / size)) * got) / nullif(sum(got), 0) AS c FROM r GROUP BY 1, 2)
+    SELECT 'history' AS method, round(quantile_cont(a.c - b.c, 0.025), 6) AS low, round(quantile_cont(a.c - b.c, 0.975), 6) AS high FROM w a JOIN w b USING (rep) WHERE a.method = 'smoothed' AND b.method = 'history'""")
+def capture_gain_interval(spark: SparkSession, d: str) -> DataFrame:
+    """The interval of a gain over draws of blocks that are given."""
+    s = Scratch(spark).write(shrunk(spark, d).withColumns({"smoothed": F.col("eb") / F.col("length"), "history": F.col("y") / F.col("length")}))
+    blocks = s.select("block").distinct()
+    draws = spark.range(20).select(F.col("id").alias("rep")).join(F.broadcast(blocks), (F.col("rep") + F.col("block")) % 4 > 0)
+    draws = draws.withColumn("times", 1 + (F.col("rep") * 7 + F.col("block") * 3) % 3)
+    out = evaluate.capture_gains(s, "smoothed", ["history"], "z", "length", "block", "id", draws=draws)
+    return out.select("method", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+def _poisson_sql(u: str) -> str:
+    total, term, out = 0.0, math.exp(-1.0), []
+    for k in range(1, 12):
+        total, term = total + term, term / k
+        out.append((total, k))
+    return "CASE " + " ".join(f"WHEN {u} >= {t!r} THEN {k}" for t, k in reversed(out)) + " ELSE 0 END"
+
+
+@Q.add("mean_interval", f"""
+    WITH t AS (SELECT rep, s_acctbal AS v, CAST(('0x' || substr(md5(s_suppkey || '|' || rep), 1, 8)) AS UBIGINT) / 4294967296.0 AS u FROM supplier, range(100) t(rep)),
+    m AS (SELECT rep, sum(v * w) / sum(w) AS v FROM (SELECT rep, v, {_poisson_sql('u')} AS w FROM t) GROUP BY 1)
+    SELECT round(quantile_cont(v, 0.025), 4) AS low, round(quantile_cont(v, 0.975), 4) AS high FROM m""")
+def mean_interval(spark: SparkSession, d: str) -> DataFrame:
+    stat = lambda times: F.sum(F.col("s_acctbal") * times) / F.sum(times)
+    out = evaluate.bootstrap_interval(table(spark, d, "supplier"), stat, ["s_suppkey"], 100)
+    return out.select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+
+
+@Q.add("temporal_gain", f"""
+    WITH c AS (SELECT event_type AS g, dayofweek(ts) AS day, hour(ts) AS hour, CAST(count(*) AS DOUBLE) AS n, CAST(10 + hour(ts) % 5 AS DOUBLE) AS h, sum(value) AS p FROM events GROUP BY 1, 2, 3),
+    r AS (SELECT *, sum(n) OVER (PARTITION BY g) / sum(h) OVER (PARTITION BY g) * h AS flat, sum(n) OVER (PARTITION BY g, day) / sum(h) OVER (PARTITION BY g, day) * h AS part FROM c),
+    f AS (SELECT sum(n) / sum(p) AS a, sum(n) / sum(flat) AS b, sum(n) / sum(part) AS c FROM r),
+    v AS (SELECT {_deviance_sql('n', '(p * a)')} AS x, {_deviance_sql('n', '(flat * b)')} AS y, {_deviance_sql('n', '(part * c)')} AS z FROM r, f)
+    SELECT round(x, 5) AS deviance, round(1 - x / y, 5) AS vs_flat, round(1 - x / z, 5) AS vs_by FROM v""")
+def temporal_gain(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    cells = e.groupBy("event_type", (F.dayofweek("ts") - 1).alias("day"), F.hour("ts").alias("hour")).agg(F.count("*").cast("double").alias("n"), F.sum("value").alias("p"))
+    out = evaluate.temporal_gains(cells.withColumn("h", (10 + F.col("hour") % 5).cast("double")), "p", "n", "h", "event_type", ["day"])
+    return out.select(*[F.round(c, 5).alias(c) for c in ("deviance", "vs_flat", "vs_by")])
+
+
+@Q.add("benchmark_targets", """
+    SELECT CAST(s_suppkey AS VARCHAR) AS method, t AS target, coalesce(CASE WHEN t = 'gain' OR s_suppkey % 2 = 0 THEN s_acctbal END >= 100, FALSE) AS met FROM supplier, (VALUES ('gain'), ('low')) v(t)""")
+def benchmark_targets(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier")
+    bench = s.select(F.col("s_suppkey").cast("string").alias("method"), F.col("s_acctbal").alias("gain"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal")).alias("low"))
+    return evaluate.targets(bench, {"gain": 100.0, "low": 100.0})
+
+
 @Q.add("ensemble_blend_weight", f"""
     WITH {_U}, g AS (SELECT i, i / 10.0 AS w FROM range(11) t(i)), v AS (SELECT g.i, CAST(g.w AS DOUBLE) AS w, {_deviance_sql('z', 'exp(g.w * ln(eb / 4) + (1 - g.w) * ln(mu / 4))')} AS d FROM s, g GROUP BY g.i, g.w)
     SELECT w, round(d, 6) AS deviance FROM v ORDER BY d, i LIMIT 1""")

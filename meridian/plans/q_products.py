@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from meridian.functions import text
-from meridian.operators import products, safety, scoring, spatial, trips
-from meridian.plans.q_space import points
+from meridian.operators import products, routing, safety, scoring, spatial, trips
+from meridian.plans.q_space import _CHOSEN, points
 from meridian.plans.registry import Registry, table
 
 Q = Registry()
@@ -122,12 +122,14 @@ def segment_detail(spark: SparkSession, d: str) -> DataFrame:
     return out.select("key", "seg", "cell", "score", "band", "baseline", F.to_json("factors").alias("factors"), "remainder")
 
 
-@Q.add("route_answer")
+@Q.add("route_answer", f"""
+    WITH {_CHOSEN} SELECT query, CAST(weight AS DOUBLE) AS weight, status, CAST(CASE WHEN shown AND e0 <> 0 THEN greatest(0, round_even((1 - exposure / e0) * 100, 0)) ELSE 0 END AS INTEGER) AS reduction_pct,
+           CAST(round_even(duration - t0, 0) AS INTEGER) AS extra_s, CASE WHEN shown THEN 'lower_risk_found' ELSE 'already_lowest' END AS message FROM c""")
 def route_answer(spark: SparkSession, d: str) -> DataFrame:
-    from meridian.operators.routing import choose_path
-    from meridian.plans.q_space import routes
+    from meridian.plans.q_space import candidates
 
-    return products.route_answer(choose_path(routes(spark, d)[0])).select("query", "weight", "status", "reduction_pct", "extra_s", "message")
+    out = products.route_answer(routing.decide(candidates(spark, d)))
+    return out.select("query", "weight", "status", F.coalesce("reduction_pct", F.lit(0)).alias("reduction_pct"), "extra_s", "message")
 
 
 @Q.add("mixture_log_rate", """
@@ -143,10 +145,13 @@ def mixture_log_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @Q.add("fix_suggestions", """
-    SELECT p_partkey, array_to_string(list_slice(list_filter(['a road diet with a planted center median', CASE WHEN p_size % 2 = 0 THEN 'high-visibility continental crosswalks with curb extensions at the corners' END, CASE WHEN p_size % 5 >= 2 THEN 'pedestrian-scale street lighting' END], lambda x: x IS NOT NULL), 1, 4), '; ') AS fixes FROM part""")
+    SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size % 7 = 0 THEN 'lamps' ELSE 'narrower road' END, CASE WHEN p_size % 2 = 0 THEN 'crossing' END, CASE WHEN p_size % 5 >= 2 AND p_size % 7 > 0 THEN 'lamps' END], lambda x: x IS NOT NULL), '; ') AS fixes FROM part""")
 def fix_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    names = F.array(F.lit("road_type"), F.when(F.col("p_size") % 2 == 0, "history").otherwise("unheard_of"), F.lit("road_type"))
-    return table(spark, d, "part").select("p_partkey", F.array_join(products.fixes(names, (F.col("p_size") % 5) / 5.0), "; ").alias("fixes"))
+    catalog = spark.createDataFrame([("road", "narrower road"), ("history", "crossing"), ("dark", "lamps"), ("unlit", "lamps")], "factor string, suggestion string")
+    first = F.when(F.col("p_size") % 7 == 0, "unlit").otherwise("road")
+    names = F.array(first, F.when(F.col("p_size") % 2 == 0, "history").otherwise("unheard_of"), F.when(F.col("p_size") % 5 >= 2, "dark"))
+    found = table(spark, d, "part").select("p_partkey", names.alias("factors"))
+    return products.suggestions(found, catalog, "p_partkey").select("p_partkey", F.array_join("suggestions", "; ").alias("fixes"))
 
 
 @Q.add("evidence_sentence", """
@@ -181,3 +186,49 @@ def bounded_gazetteer(spark: SparkSession, d: str) -> DataFrame:
 def text_validator_codes(spark: SparkSession, d: str) -> DataFrame:
     codes = text.text_errors(F.col("text"))
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_contains(codes, "too_long").alias("too_long"), F.array_contains(codes, "link").alias("link"))
+
+
+@Q.add("route_reports", """
+    SELECT DISTINCT l_orderkey AS query, p_partkey AS seg, p_name AS name, p_size * 2.0 AS x, p_size * 3.0 AS y FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 40""")
+def route_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as segments, orders as paths over them, a report on each large part."""
+    parts = table(spark, d, "part")
+    reports = parts.where("p_size > 40").select(F.col("p_partkey").alias("seg"), F.col("p_name").alias("name"), F.lit(-1.0).alias("x"))
+    segments = parts.select(F.col("p_partkey").alias("seg"), (F.col("p_size") * 2.0).alias("x"), (F.col("p_size") * 3.0).alias("y"))
+    paths = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query"), F.col("l_partkey").alias("seg"))
+    return products.route_reports(reports, paths, segments)
+
+
+@Q.add("safety_line", """
+    SELECT s_suppkey, coalesce(nullif(concat_ws(' · ', CASE WHEN n > 0 THEN CAST(n AS VARCHAR) || CASE WHEN n = 1 THEN ' report' ELSE ' reports' END END, CASE WHEN s_acctbal > 0 THEN 'lit' END), ''), '-') AS line
+    FROM (SELECT *, s_nationkey % 3 AS n FROM supplier)""")
+def safety_line(spark: SparkSession, d: str) -> DataFrame:
+    line = products.told([products.counted(F.col("s_nationkey") % 3, "report"), F.when(F.col("s_acctbal") > 0, "lit")], " · ")
+    return table(spark, d, "supplier").select("s_suppkey", F.coalesce(line, F.lit("-")).alias("line"))
+
+
+@Q.add("lamp_union", """
+    SELECT x, count(*) AS n FROM (SELECT s_nationkey * 1.0 AS x, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS y FROM supplier UNION ALL SELECT c_nationkey * 1.0, c_acctbal FROM customer) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1""")
+def lamp_union(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "supplier").select((F.col("s_nationkey") * 1.0).alias("x"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("y"))
+    b = table(spark, d, "customer").select((F.col("c_nationkey") * 1.0).alias("x"), F.col("c_acctbal").alias("y"))
+    return safety.lamp_points([a, b]).groupBy("x").agg(F.count("*").alias("n"))
+
+
+@Q.add("graph_index", """
+    WITH n AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) - 1 AS index FROM part WHERE p_size % 3 > 0)
+    SELECT l_orderkey, l_linenumber, l_partkey AS u, l_suppkey AS v, a.index AS u_index, b.index AS v_index FROM lineitem JOIN n a ON a.id = l_partkey JOIN n b ON b.id = l_suppkey""")
+def graph_index(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "part").where("p_size % 3 > 0").select(F.col("p_partkey").alias("id"))
+    edges = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("u"), F.col("l_suppkey").alias("v"))
+    return routing.build_graph(nodes, edges)[1]
+
+
+@Q.add("thin_order", """
+    WITH RECURSIVE p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) * 1000 AS x, CAST(embedding[2] AS DOUBLE) * 1000 AS y, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings WHERE label = 3),
+    w AS (SELECT n, [{'id': id, 'x': x, 'y': y}] AS kept FROM p WHERE n = 1
+          UNION ALL SELECT p.n, CASE WHEN len(list_filter(w.kept, lambda k: sqrt((k.x - p.x) ** 2 + (k.y - p.y) ** 2) <= 30)) = 0 THEN list_append(w.kept, {'id': p.id, 'x': p.x, 'y': p.y}) ELSE w.kept END FROM w JOIN p ON p.n = w.n + 1)
+    SELECT unnest(kept).id AS id FROM w WHERE n = (SELECT max(n) FROM w)""")
+def thin_order(spark: SparkSession, d: str) -> DataFrame:
+    """Points of one label thinned in the order of their ids."""
+    return safety.thin_points(points(spark, d).where("w = 3"), 30.0, ["w"]).select("id")

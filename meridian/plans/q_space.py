@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meridian.functions import geo
-from meridian.operators import graph, routing, spatial
+from meridian.operators import graph, routing, safety, scoring, spatial
 from meridian.plans.registry import Registry, table
+from meridian.plans.scratch import Scratch
 
 Q = Registry()
 ROOT3 = "CAST(1.7320508075688772 AS DOUBLE)"
@@ -205,28 +206,89 @@ def bounded_paths(spark: SparkSession, d: str) -> DataFrame:
     return routing.distances(edges, sources, "length", 40.0).select("query", "node", F.round("dist", 4).alias("dist"))
 
 
-def routes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(measured, paths, edges): trips between neighbours in the order of ids of one label."""
+def routes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(trips, measured, lit, edges): searches from every point whose id is divisible by 100 to the point 50 ids on, over the whole network."""
     nodes, edges = network(spark, d)
     log_density = (F.col("eid") % 13).cast("double") / 4 - 2
-    edges = edges.withColumns({"time": F.col("length") / routing.SPEEDS["walk"], "log_density": log_density, "score": (F.col("eid") % 13) * 8})
-    edges = edges.withColumn("risk", F.exp("log_density"))
-    ends = points(spark, d).where("w = 2").select("id", "x", "y")
-    far = spatial.within(ends, ends, 150.0).where("a.id < b.id and dist >= 60")
-    trips = far.select(
-        (F.col("a.id") * 1_000_000 + F.col("b.id")).alias("query"), F.col("a.id").alias("origin"), F.col("b.id").alias("target"),
-        F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"),
-    )
-    both = routing.both_ways(edges.select("eid", "u", "v", "time", "risk"))
-    paths = routing.candidate_paths(routing.search_edges(trips, nodes, both), "time", "risk", 1.0, [0.5, 2.0])
-    return routing.measure_paths(paths, edges), paths, edges
+    edges = edges.withColumns({"time": F.col("length") / routing.SPEEDS["walk"], "log_density": log_density, "score": (F.col("eid") % 13).cast("int") * 8})
+    unlit, quiet = F.col("eid") % 3 == 0, F.col("eid") % 5 == 0
+    edges = edges.withColumns({"risk": F.exp("log_density"), "penalty": safety.signal_factor(unlit, quiet, F.lit(True))})
+    a, b = nodes.where("id % 100 = 0"), nodes
+    a, b = a.select(F.col("id").alias("origin"), F.col("x").alias("x1"), F.col("y").alias("y1")), b.select(F.col("id").alias("target"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    trips = a.join(b, F.col("target") == F.col("origin") + 50).withColumn("query", F.col("origin"))
+    edges = Scratch(spark).write(edges)
+    both = routing.both_ways(edges.select("eid", "u", "v", "time", "risk", "penalty"))
+    q = scoring.quantile_table(edges, "log_density")
+    plain = routing.measure_paths(routing.plan_paths(trips, nodes, both, "time", "risk", 1.0), edges, q=q)
+    lit = routing.measure_paths(routing.plan_paths(trips, nodes, both, "time", "risk", 1.0, penalty="penalty"), edges, q=q)
+    return trips, Scratch(spark).write(plain), Scratch(spark).write(lit), edges
 
 
 @Q.add("dijkstra_ladder")
 def dijkstra_ladder(spark: SparkSession, d: str) -> DataFrame:
-    return routing.choose_path(routes(spark, d)[0]).select("query", "weight", F.round("duration", 3).alias("duration"), F.round("exposure", 4).alias("exposure"), "status")
+    trips, plain, _, _ = routes(spark, d)
+    out = routing.answer_trips(trips, routing.decide(plain))
+    return out.select("query", "weight", F.round("duration", 3).alias("duration"), F.round("exposure", 4).alias("exposure"), "status", F.round("tradeoff_s", 3).alias("tradeoff_s"))
+
+
+@Q.add("lit_paths")
+def lit_paths(spark: SparkSession, d: str) -> DataFrame:
+    trips, plain, lit, _ = routes(spark, d)
+    out = routing.answer_trips(trips, routing.decide_lit(plain, lit))
+    return out.select("query", "weight", F.round("duration", 3).alias("duration"), F.round("exposure", 4).alias("exposure"), "status", "lit")
 
 
 @Q.add("path_rescore")
 def path_rescore(spark: SparkSession, d: str) -> DataFrame:
-    return routes(spark, d)[0].select("query", "weight", *[F.round(c, 4).alias(c) for c in ("duration", "length", "exposure", "log_mean", "high_m")])
+    return routes(spark, d)[1].select("query", "weight", "risk", *[F.round(c, 4).alias(c) for c in ("duration", "length", "exposure", "log_mean", "high_m")])
+
+
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as measured paths: line 1 of an order is its fastest, the others are candidates."""
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("query"), (F.col("l_linenumber") - 1).cast("double").alias("weight"))
+    q = F.min("l_quantity")
+    return rows.agg(
+        (q * 20 + 600).alias("duration"), (q * 90).alias("length"), F.min("l_extendedprice").alias("exposure"), (F.min("l_partkey") % 101).cast("int").alias("risk"),
+        (F.min("l_suppkey") % 50).cast("double").alias("signal_m"), (F.min("l_partkey") % 7).cast("long").alias("path"),
+    )
+
+
+_CHOSEN = """m AS (SELECT l_orderkey AS query, CAST(l_linenumber - 1 AS DOUBLE) AS weight, min(l_quantity) * 20 + 600 AS duration, min(l_quantity) * 90 AS length, min(l_extendedprice) AS exposure,
+      min(l_partkey) % 101 AS risk, CAST(min(l_suppkey) % 50 AS DOUBLE) AS signal_m, min(l_partkey) % 7 AS path FROM lineitem GROUP BY 1, 2),
+    f AS (SELECT query, duration AS t0, length AS l0, exposure AS e0, risk AS r0, path AS p0, signal_m AS s0 FROM m WHERE weight = 0),
+    t AS (SELECT m.*, t0, e0, duration <= least(1.25 * t0, t0 + 360) + 1e-6 AS near FROM m JOIN f USING (query) WHERE weight > 0),
+    b AS (SELECT * FROM t WHERE near QUALIFY row_number() OVER (PARTITION BY query ORDER BY exposure, duration, weight) = 1),
+    o AS (SELECT query, exposure AS eo, duration AS tt FROM t QUALIFY row_number() OVER (PARTITION BY query ORDER BY exposure, duration, weight) = 1),
+    g AS (SELECT f.*, b.weight, b.duration, b.exposure, b.signal_m, b.path, coalesce(b.path <> p0 AND (r0 - b.risk >= 10 OR b.exposure <= f.e0 * (1 - 0.15)), FALSE) AS shown,
+             CASE WHEN eo <= coalesce(b.exposure, f.e0) * (1 - 0.15) THEN tt - f.t0 END AS tradeoff_s FROM f LEFT JOIN b USING (query) LEFT JOIN o USING (query)),
+    c AS (SELECT query, CASE WHEN shown THEN weight ELSE 0.0 END AS weight, CASE WHEN l0 > 3000 OR t0 > 2400 THEN 'long_trip' WHEN NOT shown THEN 'fastest_is_lower_risk' WHEN tradeoff_s > 0 THEN 'tradeoff_exists' ELSE 'ok' END AS status,
+             CASE WHEN shown THEN duration ELSE t0 END AS duration, CASE WHEN shown THEN exposure ELSE e0 END AS exposure, t0, e0, p0, shown, CASE WHEN shown THEN signal_m ELSE s0 END AS had_m, CASE WHEN shown THEN path ELSE p0 END AS had_path, tradeoff_s FROM g)"""
+
+
+@Q.add("route_decision", f"""
+    WITH {_CHOSEN} SELECT query, CAST(weight AS DOUBLE) AS weight, status, round(duration, 4) AS duration, round(exposure, 4) AS exposure, round(coalesce(tradeoff_s, -1), 4) AS tradeoff_s, shown FROM c""")
+def route_decision(spark: SparkSession, d: str) -> DataFrame:
+    out = routing.decide(candidates(spark, d))
+    tradeoff = F.round(F.coalesce("tradeoff_s", F.lit(-1.0)), 4).alias("tradeoff_s")
+    return out.select("query", "weight", "status", F.round("duration", 4).alias("duration"), F.round("exposure", 4).alias("exposure"), tradeoff, "shown")
+
+
+@Q.add("lit_ladder", f"""
+    WITH {_CHOSEN}, x AS (SELECT query, weight AS lw, duration * 1.01 AS ld, exposure * 0.8 AS le, floor(signal_m / 2) AS ls, path + 7 * CAST(weight AS BIGINT) AS lp FROM m),
+    k AS (SELECT x.* FROM x JOIN c USING (query) WHERE ld <= least(1.25 * t0, t0 + 360) + 1e-6 AND le <= e0 * (1 + 0.10) QUALIFY row_number() OVER (PARTITION BY query ORDER BY ls, le, ld, lw) = 1),
+    y AS (SELECT c.*, lw, ld, le, coalesce(lp <> p0 AND lp <> had_path AND had_m > 0 AND ls <= had_m * (1 - 0.15), FALSE) AS lit FROM c LEFT JOIN k USING (query))
+    SELECT query, CAST(CASE WHEN lit THEN lw ELSE weight END AS DOUBLE) AS weight, CASE WHEN lit AND status <> 'long_trip' THEN 'ok' ELSE status END AS status, round(CASE WHEN lit THEN ld ELSE duration END, 4) AS duration,
+           round(CASE WHEN lit THEN le ELSE exposure END, 4) AS exposure, lit FROM y""")
+def lit_ladder(spark: SparkSession, d: str) -> DataFrame:
+    plain = candidates(spark, d)
+    lit = plain.withColumns({"duration": F.col("duration") * 1.01, "exposure": F.col("exposure") * 0.8, "signal_m": F.floor(F.col("signal_m") / 2).cast("double"), "path": F.col("path") + 7 * F.col("weight").cast("long")})
+    out = routing.decide_lit(plain, lit)
+    return out.select("query", "weight", "status", F.round("duration", 4).alias("duration"), F.round("exposure", 4).alias("exposure"), "lit")
+
+
+@Q.add("trip_guards", f"""
+    WITH {_P} SELECT a.id AS origin, b.id AS target, CASE WHEN a.id = b.id OR sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) < 60 THEN 'too_close' ELSE 'ok' END AS status FROM p a JOIN p b ON b.id IN (a.id, a.id + 1)""")
+def trip_guards(spark: SparkSession, d: str) -> DataFrame:
+    a = points(spark, d).select(F.col("id").alias("origin"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.explode(F.array(F.col("id"), F.col("id") + 1)).alias("target"))
+    trips = a.join(points(spark, d).select(F.col("id").alias("target"), F.col("x").alias("x2"), F.col("y").alias("y2")), "target")
+    return routing.trip_guards(trips.withColumn("query", F.col("origin"))).select("origin", "target", "status")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meridian.plans.registry import Registry, table
-from meridian.sources import sinks
+from meridian.sources import readers, sinks
 from meridian.streaming import state
 
 Q = Registry()
@@ -35,7 +35,12 @@ def throttle_accepts(spark: SparkSession, d: str) -> DataFrame:
     return state.throttle(_events(spark, d), "user_id", 3600.0)
 
 
-@Q.add("sliding_limit")
+@Q.add("sliding_limit", """
+    WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    w AS (SELECT user_id, n, event_id, [t] AS kept, TRUE AS ok FROM e WHERE n = 1
+          UNION ALL SELECT user_id, n, event_id, CASE WHEN len(kept) < 2 THEN list_append(kept, t) ELSE kept END, len(kept) < 2
+          FROM (SELECT e.user_id, e.n, e.event_id, e.t, list_filter(w.kept, lambda x: e.t - x < 86400) AS kept FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+    SELECT event_id FROM w WHERE ok""")
 def sliding_limit(spark: SparkSession, d: str) -> DataFrame:
     return state.sliding_limit(_events(spark, d), "user_id", 86_400.0, 2)
 
@@ -52,7 +57,7 @@ def session_window_6h(spark: SparkSession, d: str) -> DataFrame:
 @Q.add("asof_max_age", """
     WITH f AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2),
     a AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'view')
-    SELECT a.event_id, CASE WHEN date_diff('second', f.ts, a.ts) <= 86400 THEN f.value END AS value FROM a ASOF LEFT JOIN f ON a.user_id = f.user_id AND a.ts >= f.ts""")
+    SELECT a.event_id, CASE WHEN epoch_us(a.ts) - epoch_us(f.ts) <= 86400000000 THEN f.value END AS value FROM a ASOF LEFT JOIN f ON a.user_id = f.user_id AND a.ts >= f.ts""")
 def asof_max_age(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d)
     return state.as_of(e.where("event_type <> 'view'").select("event_id", "user_id", "ts"), e.where("event_type = 'view'").select("user_id", "ts", "value"), ["user_id"], "value", 86_400).select("event_id", "value")
@@ -86,3 +91,24 @@ def risk_grid_unpivot(spark: SparkSession, d: str) -> DataFrame:
     hours = rollup.hourly_rollup(_events(spark, d), "user_id", F.lit(1), {})
     packed = rollup.dense_profile(hours, "user_id", "total").select("user_id", F.transform("profile", lambda x: x.cast("int")).alias("scores"))
     return scoring.unpack_frames(packed, "user_id")
+
+
+@Q.add("check_in_due", """
+    WITH s AS (SELECT event_id, count(*) AS n FROM (SELECT event_id - 1 AS event_id FROM events WHERE event_type = 'error') GROUP BY 1)
+    SELECT event_id, strftime(ts + to_microseconds(CAST(floor(value) AS BIGINT) * 1000000) + INTERVAL 10 MINUTE * (1 + coalesce(n, 0)), '%Y-%m-%d %H:%M:%S') AS due_at,
+           event_type <> 'signup' AND ts + to_microseconds(CAST(floor(value) AS BIGINT) * 1000000) + INTERVAL 10 MINUTE * (1 + coalesce(n, 0)) <= TIMESTAMP '2024-01-15 00:00:00' AS due FROM events LEFT JOIN s USING (event_id)""")
+def check_in_due(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d)
+    trips = e.select(F.col("event_id").alias("trip"), F.col("ts").alias("start"), F.floor("value").alias("eta_s"), (F.col("event_type") == "signup").alias("cancelled"))
+    snoozes = e.where("event_type = 'error'").select((F.col("event_id") - 1).alias("trip"))
+    out = state.check_ins(trips, snoozes, F.lit("2024-01-15 00:00:00").cast("timestamp"))
+    return out.select(F.col("trip").alias("event_id"), F.date_format("due_at", "yyyy-MM-dd HH:mm:ss").alias("due_at"), "due")
+
+
+@Q.add("weather_hours", """
+    WITH h AS (SELECT date_trunc('hour', ts) AS local, max(value) AS precip FROM events GROUP BY 1)
+    SELECT strftime(local + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') AS time, precip FROM h""")
+def weather_hours(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly maxima on a winter's clock as instants."""
+    local = _events(spark, d).groupBy(F.date_trunc("hour", "ts").alias("time")).agg(F.max("value").alias("precip"))
+    return readers.hourly_weather(local).select(F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"), "precip")

@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that every executor shares.
 
 Iterative programs cut their lineage by writing a table and reading it back. The
-folder is the cluster's `spark.checkpoint.dir`; only a session without one (tests)
+folder is the cluster's `spark.checkpoint.dir`; only a local session without one (tests)
 gets a folder of its own.
 """
 
@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session, made up only where the cluster names none."""
+    """The shared folder of this session; made up only for a local one, whose tasks all see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="meridian-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from meridian.functions import geo, times
+
 
 @dataclass(frozen=True)
 class Layer:
@@ -86,9 +88,54 @@ def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
     return spark.read.parquet(path)
 
 
+def hourly_weather(local: DataFrame, zone: str = times.ZONE) -> DataFrame:
+    """(time, precip) by instants, from `local` (time as a zone's clock, precip).
+
+    An hour that the clocks went through twice is dropped, one that never was moves to the
+    first instant after it; so do rows without a time. Of rows that come to one instant the
+    largest precipitation counts.
+    """
+    at = times.local_to_instant(F.col("time"), zone)
+    return local.select(at.alias("time"), "precip").where("time is not null").groupBy("time").agg(F.max("precip").alias("precip"))
+
+
+#: Elements of a map extract, one JSON object a line.
+ELEMENTS = "type string, id long, lat double, lon double, nodes array<long>, tags map<string,string>"
+
+
+def map_elements(spark: SparkSession, path: str) -> DataFrame:
+    """The elements of a map extract in files of JSON lines; lines that are no element are dropped."""
+    return spark.read.schema(ELEMENTS).json(path).where("type is not null and id is not null")
+
+
+def map_features(elements: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
+    """(id, lat, lon, tags) of the nodes with any of the wanted values of a tag; an empty list takes every value."""
+    hit = F.lit(False)
+    for k, values in wanted.items():
+        hit = hit | (F.col("tags")[k].isin(values) if values else F.col("tags")[k].isNotNull())
+    return elements.where((F.col("type") == "node") & F.coalesce(hit, F.lit(False)) & F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("id", "lat", "lon", "tags")
+
+
+def map_network(elements: DataFrame, tag: str = "highway") -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, lat, lon) and edges (way, pos, u, v, length, tags) of the ways that have `tag`: an edge per pair of nodes that follow each other.
+
+    Edges with an unknown end are dropped; nodes are those that an edge has.
+    """
+    ways = elements.where((F.col("type") == "way") & F.col("tags")[tag].isNotNull())
+    pair = F.expr("transform(sequence(0, size(nodes) - 2), i -> struct(i as pos, nodes[i] as u, nodes[i + 1] as v))")
+    edges = ways.where("size(nodes) > 1").select(F.col("id").alias("way"), "tags", F.inline(pair)).where("u <> v")
+    known = elements.where("type = 'node' and lat is not null and lon is not null").select("id", "lat", "lon")
+    for end in "uv":
+        edges = edges.join(known.select(F.col("id").alias(end), F.col("lat").alias(f"lat_{end}"), F.col("lon").alias(f"lon_{end}")), end)
+    length = geo.haversine(*[F.col(c) for c in ("lat_u", "lon_u", "lat_v", "lon_v")])
+    ends = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    return known.join(ends, "id", "left_semi"), edges.select("way", "pos", "u", "v", length.alias("length"), "tags")
+
+
 @dataclass
 class Page(InputPartition):
     offset: int
+    order: str
 
 
 class FeatureServerReader(DataSourceReader):
@@ -103,7 +150,13 @@ class FeatureServerReader(DataSourceReader):
             self.query |= {"geometry": options["bbox"], "geometryType": "esriGeometryEnvelope", "inSR": "4326"}
 
     def get(self, **more: object) -> dict:
-        url = f"{self.url}/query?{urllib.parse.urlencode(self.query | more)}"
+        return self.load(f"{self.url}/query?{urllib.parse.urlencode(self.query | more)}")
+
+    def layer(self) -> dict:
+        """What the service says of itself."""
+        return self.load(f"{self.url}?f=json")
+
+    def load(self, url: str) -> dict:
         for attempt in range(4):
             try:
                 with urllib.request.urlopen(url, timeout=60) as r:
@@ -118,11 +171,15 @@ class FeatureServerReader(DataSourceReader):
         raise AssertionError
 
     def partitions(self) -> list[InputPartition]:
+        # without an order pages may overlap or skip rows
+        order = self.query.get("orderByFields") or self.layer().get("objectIdField")
+        if not order:
+            raise ValueError("the service names no object id; give orderBy")
         n = int(self.get(returnCountOnly="true")["count"])
-        return [Page(i) for i in range(0, n, self.size)]
+        return [Page(i, order) for i in range(0, n, self.size)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple[str]]:
-        got = self.get(outSR="4326", resultOffset=partition.offset, resultRecordCount=self.size)
+        got = self.get(outSR="4326", orderByFields=partition.order, resultOffset=partition.offset, resultRecordCount=self.size)
         for feature in got.get("features", []):
             yield (json.dumps(feature),)
 

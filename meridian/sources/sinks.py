@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -52,12 +54,13 @@ def changed_tables(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def point_to(spark: SparkSession, root: str, version: str) -> None:
-    """Make a version the current one. The pointer is a one-row table; readers see the old or the new, never a mix of tables."""
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{root}/_current")
+    """Make a version the current one. Pointers are only ever added, so readers see the old or the new one at any time."""
+    spark.createDataFrame([(version, time.time_ns())], "version string, at long").coalesce(1).write.mode("append").parquet(f"{root}/_current")
 
 
 def current(spark: SparkSession, root: str) -> str:
-    return spark.read.parquet(f"{root}/_current").first()["version"]
+    """The version that was pointed to last."""
+    return spark.read.parquet(f"{root}/_current").agg(F.max_by("version", "at").alias("version")).first()["version"]
 
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:

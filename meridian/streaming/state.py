@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from meridian.operators.ranking import previous, running
+
 TTL_DAYS = 14
 GAP_S = 3.0
 WINDOW_S, MOST = 60.0, 10
@@ -69,59 +71,64 @@ def stream_reports(events: DataFrame, keys: list[str], key_schema: str, ttl_ms:
     )
 
 
-def _accepted(events: DataFrame, key: str, seconds: float, walk: Callable[[list[float], list[int]], list[int]]) -> DataFrame:
-    """(event_id) of the events that `walk` accepts, in order of time, for each run of close events of a key.
+def _accepted(events: DataFrame, key: str, seconds: float, accepts: Callable[[list[float], float], list[float] | None]) -> DataFrame:
+    """(event_id) of the accepted events of each key, in order of time.
 
-    Between runs nothing happens for `seconds`, so what came before no longer counts: a run
-    is a group of its own. An event without neighbours needs no walk.
+    `accepts` gets the times of accepted events that still count and the next time, and gives
+    the new list, or None to refuse. Between runs of close events nothing happens for
+    `seconds`, so what came before no longer counts. Runs are found over ranges of (key,
+    time), so that no task holds a key, and each is walked in order with that list as all the
+    state there is, however long it is.
     """
-    w = Window.partitionBy(key).orderBy("t", "event_id")
-    e = events.select(key, "event_id", F.col("ts").cast("double").alias("t"))
-    e = e.withColumn("__new", F.coalesce(F.col("t") - F.lag("t").over(w) >= seconds, F.lit(True)))
-    e = e.withColumn("__alone", F.col("__new") & F.coalesce(F.lead("__new").over(w), F.lit(True)))
-    e = e.withColumn("__run", F.sum(F.col("__new").cast("int")).over(w))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["t", "event_id"])
-        return pd.DataFrame({"event_id": walk(g["t"].tolist(), g["event_id"].tolist())}, dtype="int64")
-
-    return e.where("__alone").select("event_id").unionByName(e.where("not __alone").groupBy(key, "__run").applyInPandas(run, "event_id long"))
+    e = events.where(F.col(key).isNotNull()).select(key, "event_id", F.col("ts").cast("double").alias("t"))
+    order = [F.col(key), F.col("t"), F.col("event_id")]
+    e = previous(e, order, {key: "__k", "t": "__p"})
+    new = ~F.coalesce((F.col("__k") == F.col(key)) & (F.col("t") - F.col("__p") < seconds), F.lit(False))
+    e = running(e.withColumn("__new", new.cast("long")), order, {"__run": F.col("__new")}, inclusive=True)
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, kept = None, []
+        for f in frames:
+            out = []
+            for r, t, i in zip(f["__run"].tolist(), f["t"].tolist(), f["event_id"].tolist()):
+                if r != run:
+                    run, kept = r, []
+                got = accepts(kept, t)
+                if got is not None:
+                    kept = got
+                    out.append(i)
+            yield pd.DataFrame({"event_id": out}, dtype="int64")
+
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = e.select("__run", "t", "event_id").repartition(n, "__run").sortWithinPartitions("__run", "t", "event_id")
+    return dealt.mapInPandas(walk, "event_id long")
 
 
 def throttle(events: DataFrame, key: str, seconds: float = GAP_S) -> DataFrame:
-    """(event_id): events accepted if at least `seconds` have passed since the last accepted one of their key."""
-
-    def walk(times: list[float], ids: list[int]) -> list[int]:
-        last, out = float("-inf"), []
-        for t, i in zip(times, ids):
-            if t - last >= seconds:
-                out.append(i)
-                last = t
-        return out
-
-    return _accepted(events, key, seconds, walk)
+    """(event_id): events accepted if at least `seconds` have passed since the last accepted one of their key. Events of a null key go."""
+    return _accepted(events, key, seconds, lambda kept, t: [t] if not kept or t - kept[0] >= seconds else None)
 
 
 def sliding_limit(events: DataFrame, key: str, seconds: float = WINDOW_S, most: int = MOST) -> DataFrame:
-    """(event_id): events accepted if fewer than `most` (1 or more) of their key were accepted in the `seconds` before."""
+    """(event_id): events accepted if fewer than `most` (1 or more) of their key were accepted in the `seconds` before. Events of a null key go."""
 
-    def walk(times: list[float], ids: list[int]) -> list[int]:
-        kept: list[float] = []
-        out = []
-        for t, i in zip(times, ids):
-            kept = [x for x in kept if t - x < seconds]
-            if len(kept) < most:
-                kept.append(t)
-                out.append(i)
-        return out
+    def accepts(kept: list[float], t: float) -> list[float] | None:
+        kept = [x for x in kept if t - x < seconds]
+        return [*kept, t] if len(kept) < most else None
 
-    return _accepted(events, key, seconds, walk)
+    return _accepted(events, key, seconds, accepts)
 
 
 def stream_throttle(events: DataFrame, key: str, key_type: str, seconds: float = GAP_S) -> DataFrame:
-    """throttle over a stream (event_id, ts, key): accepted events as they come, one number of state per key."""
+    """throttle over a stream (event_id, ts, key): accepted events as they come, one number of state per key.
+
+    With a watermark on ts the state of a key goes once no event can be refused by it any more.
+    """
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else float("-inf")
         g = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         out = []
@@ -131,9 +138,26 @@ def stream_throttle(events: DataFrame, key: str, key_type: str, seconds: float =
                 out.append(int(i))
                 last = t
         state.update((last,))
+        if watched:
+            state.setTimeoutTimestamp(max(int((last + seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]] * len(out), "event_id": out})
 
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} {key_type}, event_id long", "last double", "append", GroupStateTimeout.NoTimeout)
+    watched = "EventTimeWatermark" in events._jdf.queryExecution().analyzed().toString()
+    timeout = GroupStateTimeout.EventTimeTimeout if watched else GroupStateTimeout.NoTimeout
+    return events.groupBy(key).applyInPandasWithState(run, f"{key} {key_type}, event_id long", "last double", "append", timeout)
+
+
+def check_ins(trips: DataFrame, snoozes: DataFrame, now: Column, grace: Column | None = None) -> DataFrame:
+    """`trips` (trip, start, eta_s, cancelled) with due_at and due: a check-in is due `grace` (10 minutes) after the planned end.
+
+    Each snooze (trip) puts it off by as much again; a cancelled trip is never due.
+    """
+    minutes = F.expr("interval 10 minutes") if grace is None else grace
+    times = snoozes.groupBy("trip").agg(F.count("*").alias("__n"))
+    out = trips.join(times, "trip", "left")
+    end = F.timestamp_micros(F.unix_micros("start") + (F.col("eta_s") * 1_000_000).cast("long"))
+    due = end + minutes * (1 + F.coalesce("__n", F.lit(0)))
+    return out.withColumns({"due_at": due, "due": ~F.coalesce("cancelled", F.lit(False)) & (due <= now)}).drop("__n")
 
 
 def daily_cap(events: DataFrame, key: str, most: int) -> DataFrame:
@@ -161,5 +185,6 @@ def as_of(asks: DataFrame, facts: DataFrame, on: list[str], value: str, max_age_
     both = a.unionByName(f.withColumn("__ask", F.lit(0)), allowMissingColumns=True)
     fact = F.when(F.col("__ask") == 0, F.struct("__t", "__v"))
     got = both.withColumn("__last", F.last(fact, ignorenulls=True).over(w)).where("__ask = 1")
-    fresh = F.unix_timestamp("ts") - F.unix_timestamp("__last.__t") <= max_age_s
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    fresh = micros("ts") - micros("__last.__t") <= max_age_s * 1_000_000
     return got.withColumn(value, F.when(fresh, F.col("__last.__v"))).select(*asks.columns, value)

@@ -76,8 +76,9 @@ def test_rail_handoff(spark):
     assert list(map(tuple, trips.rail_handoffs(walks, stations).collect())) == [(1, 1, 2)]
 
 
-def test_fixes(spark):
-    f = lambda names, dark: spark.range(1).select(products.fixes(F.array(*map(F.lit, names)) if names else F.expr("cast(array() as array<string>)"), F.lit(dark)).alias("f")).first()["f"]
-    assert f([], 0.0) == [products.CROSSWALKS, products.ISLAND]
-    assert f(["history", "intersection", "speed"], 0.5) == [products.CROSSWALKS, products.FIXES["speed"], products.LIGHTING]
-    assert len(f(["speed", "lanes", "school", "length", "transit"], 0.9)) == 4
+def test_suggestions(spark):
+    catalog = spark.createDataFrame([("speed", "slow"), ("lanes", "narrow"), ("history", "cross"), ("turns", "cross")], "factor string, suggestion string")
+    rows = [(1, ["turns", "speed", "history"]), (2, ["other", None]), (3, []), (4, ["lanes", "speed", "turns"]), (5, None)]
+    found = spark.createDataFrame(rows, "k int, factors array<string>")
+    got = {r["k"]: r["suggestions"] for r in products.suggestions(found, catalog, "k", most=2).collect()}
+    assert got == {1: ["cross", "slow"], 2: [], 3: [], 4: ["narrow", "slow"], 5: []}

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from meridian.operators import evaluate, graph, ingest, models, ranking, rollup, routing, scoring, spatial
+from meridian.operators import evaluate, graph, ingest, models, ranking, rollup, routing, safety, scoring, spatial
 
 SLOW = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -165,6 +165,49 @@ def test_boosting_is_monotone_and_explains_itself(spark):
     assert abs(got - y.sum()) < 0.2 * y.sum()
 
 
+def boosting_rows(spark, n=1200):
+    rng = np.random.default_rng(3)
+    a, b, g = rng.uniform(0, 1, n), rng.uniform(0, 1, n), rng.integers(0, 20, n)
+    y = rng.poisson(np.exp(1.5 * a - 0.5) * 2)
+    return spark.createDataFrame([(float(i), float(j), int(k), float(v), 2.0) for i, j, k, v in zip(a, b, g, y)], "a double, b double, g int, y double, e double")
+
+
+def test_rounds_by_cross_validation(spark):
+    df = boosting_rows(spark)
+    df = df.withColumn("f", F.col("g") % 3)
+    best, losses, held = models.boosting_rounds(df, ["a", "b"], "y", "e", "f", ["a"], most=40, patience=3, rate=0.3, bins=16)
+    assert 0 < best < len(losses) and losses[best] == min(losses) < losses[0] and set(held) == {0, 1, 2}
+    for k, m in held.items():  # each fold's model is the one that its rest alone gives
+        alone = models.fit_boosted(df.where(F.col("f") != k), ["a", "b"], "y", "e", ["a"], best, rate=0.3, bins=16)
+        assert m.base == pytest.approx(alone.base) and len(m.trees) <= best
+    total = 0.0
+    for k, m in held.items():
+        out = models.predict_boosted(df.where(F.col("f") == k), m, ["a", "b"])
+        total += out.agg(F.sum(2 * (F.when(F.col("y") > 0, F.col("y") * F.ln(F.col("y") / (F.exp("log_mu") * 2))).otherwise(0.0) - (F.col("y") - F.exp("log_mu") * 2)))).first()[0]
+    assert total / 1200 == pytest.approx(losses[best])
+    some = models.fit_boosted(df, ["a", "b"], "y", "e", ["a"], 6, rows=0.5, columns=0.5, seed=1)
+    assert 0 < sum(t.weight[0] for t in some.trees) / len(some.trees) < 0.7 * 1200
+    assert all(len({f for f in t.feature if f >= 0}) == 1 for t in some.trees)
+
+
+def test_ensemble_adds_up_and_forecasts(spark):
+    df = boosting_rows(spark, 600)
+    m = models.fit_ensemble(df, ["a", "b"], "y", "e", "g", ["a"], alphas=(0.01, 1.0), folds=3, most=20, rate=0.3, bins=8, least=20)
+    assert 0 <= m.weight <= 1 and m.alpha == 0.01 and m.rounds > 0 and m.k >= 0
+    rows = models.explain_ensemble(models.predict_ensemble(df, m), m).collect()
+    assert all(r["base"] + sum(r["parts"]) == pytest.approx(r["log_mu"]) for r in rows)
+    assert sum(np.exp(r["log_mu"]) * 2 for r in rows) == pytest.approx(sum(r["y"] for r in rows), rel=0.05)
+
+
+def test_bootstrap_interval(spark):
+    df = spark.range(400).withColumn("v", (F.col("id") % 7).cast("double"))
+    low, high = evaluate.bootstrap_interval(df, lambda t: F.sum(F.col("v") * t) / F.sum(t), ["id"], 200).first()
+    mean, sd = np.mean(np.arange(400) % 7), np.std(np.arange(400) % 7) / 20
+    assert low == pytest.approx(mean - 1.96 * sd, abs=0.05) and high == pytest.approx(mean + 1.96 * sd, abs=0.05)
+    times = df.select(evaluate.poisson_times(F.col("id").cast("string")).alias("t")).agg(F.avg("t"), F.var_pop("t")).first()
+    assert times[0] == pytest.approx(1, abs=0.15) and times[1] == pytest.approx(1, abs=0.25)
+
+
 def test_incomplete_gamma():
     for shape, x, expected in [(1, 1, 1 - np.exp(-1)), (0.5, 0.5, 0.6826894921), (3, 10, 0.9972306042), (5, 1, 0.0036598468)]:
         assert scoring.gamma_below(shape, x) == pytest.approx(expected, abs=1e-9)
@@ -222,19 +265,88 @@ def test_distances_match_a_heap(spark):
         assert {n: d for (k, n), d in got.items() if k == q} == pytest.approx(best)
 
 
+TRIP = "query long, origin long, target long, x1 double, y1 double, x2 double, y2 double"
+
+
 def test_safer_path_is_found(spark):
     nodes, edges, _ = grid_network(spark)
     edges = edges.withColumns({"time": F.col("length") / 1.3, "score": F.lit(50), "risk": F.exp("log_density")})
-    trip = spark.createDataFrame([(1, 3, 5, 0.0, 40.0, 400.0, 40.0), (2, 3, 99, 0.0, 40.0, 400.0, 40.0)], "query long, origin long, target long, x1 double, y1 double, x2 double, y2 double")
-    area = routing.search_edges(trip, nodes, routing.both_ways(edges.select("eid", "u", "v", "time", "risk")))
-    paths = routing.candidate_paths(area, "time", "risk", 1.0)
-    fastest = [r["eid"] for r in paths.where("query = 1 and weight = 0").orderBy("pos").collect()]
-    assert fastest == [2, 3]
-    assert paths.where("query = 2").count() == 0
-    best = routing.choose_path(routing.measure_paths(paths, edges)).collect()
-    assert [(r["query"], r["status"]) for r in best] == [(1, "ok")]
+    trips = spark.createDataFrame([(1, 3, 5, 0.0, 40.0, 400.0, 40.0), (2, 3, 99, 0.0, 40.0, 400.0, 40.0), (3, 3, 3, 0.0, 40.0, 0.0, 40.0), (4, 0, 3, 0.0, 0.0, 0.0, 40.0)], TRIP)
+    both = routing.both_ways(edges.select("eid", "u", "v", "time", "risk"))
+    paths = routing.plan_paths(trips, nodes, both, "time", "risk", 1.0)
+    assert [r["eid"] for r in paths.where("query = 1 and weight = 0").orderBy("pos").collect()] == [2, 3]
+    assert {r["query"] for r in paths.collect()} == {1}
+    measured = routing.measure_paths(paths, edges)
+    best = routing.decide(measured).collect()
+    assert [(r["query"], r["status"], r["shown"]) for r in best] == [(1, "ok", True)]
     chosen = [r["eid"] for r in paths.where((F.col("query") == 1) & (F.col("weight") == best[0]["weight"])).orderBy("pos").collect()]
     assert chosen == [6, 0, 1, 10]
+    answers = routing.answer_trips(trips, routing.decide(measured)).collect()
+    assert {r["query"]: r["status"] for r in answers} == {1: "ok", 2: "no_connection", 3: "too_close", 4: "too_close"}
+    assert routing.decide(measured, long_m=300.0).first()["status"] == "long_trip"
+
+
+def test_whole_network_finds_the_same_paths_and_the_way_around(spark):
+    nodes, edges, _ = grid_network(spark)
+    edges = edges.withColumns({"time": F.col("length") / 1.3, "risk": F.exp("log_density"), "penalty": 1.0 + (F.col("eid") % 3) / 2})
+    both = routing.both_ways(edges.select("eid", "u", "v", "time", "risk", "penalty"))
+    trips = spark.createDataFrame([(1, 3, 5, 0.0, 40.0, 400.0, 40.0), (2, 0, 8, 0.0, 0.0, 400.0, 80.0)], TRIP)
+    for penalty in (None, "penalty"):
+        boxed = routing.candidate_paths(routing.search_edges(trips, nodes, both), "time", "risk", 1.0, penalty=penalty)
+        whole = routing.network_paths(trips.select("query", "origin", "target"), both, "time", "risk", 1.0, penalty=penalty)
+        cost = F.col("time") * (1 + F.col("weight") * F.col("risk")) * (F.col("penalty") if penalty else F.lit(1.0))
+        total = lambda p: {(r[0], r[1]): r[2] for r in p.join(edges, "eid").groupBy("query", "weight").agg(F.sum(cost)).collect()}
+        assert total(whole) == pytest.approx(total(boxed)) and len(total(whole)) == 16
+    # the only connection leads far out of the padded box
+    far = spark.createDataFrame([(1, 0.0, 0.0), (2, 100.0, 0.0), (3, 9000.0, 9000.0)], "id long, x double, y double")
+    links = routing.both_ways(spark.createDataFrame([(7, 1, 3, 10.0, 1.0), (8, 3, 2, 10.0, 1.0)], "eid long, u long, v long, time double, risk double"))
+    trip = spark.createDataFrame([(5, 1, 2, 0.0, 0.0, 100.0, 0.0)], TRIP)
+    assert routing.candidate_paths(routing.search_edges(trip, far, links), "time", "risk", 1.0).count() == 0
+    got = routing.plan_paths(trip, far, links, "time", "risk", 1.0, [2.0]).orderBy("weight", "pos").collect()
+    assert [tuple(r) for r in got] == [(5, 0.0, 0, 7), (5, 0.0, 1, 8), (5, 2.0, 0, 7), (5, 2.0, 1, 8)]
+
+
+def test_better_lit_path_is_taken(spark):
+    nodes, edges, _ = grid_network(spark)
+    edges = edges.withColumns({"time": F.col("length") / 1.3, "score": F.lit(50), "log_density": F.lit(0.0), "risk": F.lit(1.0)})
+    edges = edges.withColumn("penalty", safety.signal_factor(F.col("eid").isin(2, 3), F.col("eid").isin(2, 3), F.lit(True)))
+    trips = spark.createDataFrame([(1, 3, 5, 0.0, 40.0, 400.0, 40.0)], TRIP)
+    both = routing.both_ways(edges.select("eid", "u", "v", "time", "risk", "penalty"))
+    measure = lambda p: routing.measure_paths(routing.plan_paths(trips, nodes, both, "time", "risk", 1.0, penalty=p), edges)
+    plain, lit = measure(None), measure("penalty")
+    assert plain.where("weight = 0").first()["signal_m"] == pytest.approx(400 * 1.5) and lit.where("weight = 0").first()["signal_m"] == 0
+    # 480 m instead of 400 m: the extra exposure of 20 % is too much, with less on the way it is not
+    assert routing.decide_lit(plain, lit).select("status", "lit").first()[:] == ("fastest_is_lower_risk", False)
+    assert routing.decide_lit(plain, lit.withColumn("exposure", F.col("exposure") * 0.9)).select("status", "lit").first()[:] == ("ok", True)
+
+
+def test_steps_are_scored_when_they_are_passed(spark):
+    edges = spark.createDataFrame([(1, 1800.0, 100.0, 80), (2, 1800.0, 100.0, 10), (3, 3600.0, 50.0, 10)], "eid long, time double, length double, score int")
+    paths = spark.createDataFrame([(9, 0.0, 0, 1), (9, 0.0, 1, 2), (9, 0.0, 2, 3)], "query long, weight double, pos int, eid long")
+    departs = spark.sql("select 9L as query, timestamp'2024-01-01 22:30:00' as depart")
+    by_hour = spark.createDataFrame([(1, 22, 1.0), (1, 23, 5.0), (2, 23, 2.0), (3, 23, 7.0)], "eid long, hour int, log_density double")
+    timed = routing.timed_densities(paths, edges, departs, by_hour)
+    assert {r["eid"]: r["log_density"] for r in timed.collect()} == {1: 1.0, 2: 2.0, 3: None}
+    got = routing.measure_paths(timed, edges, away=-1.0).first()
+    assert got["exposure"] == pytest.approx(np.exp(1.0) + np.exp(2.0) + np.exp(-1.0) / 2) and got["high_m"] == 100 and got["risk"] is None
+
+
+def test_even_quantiles(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 5, 300), np.round(rng.normal(size=300), 1))] + [(9, 2.5), (7, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    for points in (2, 3, 4, 101):
+        got = {}
+        for r in ranking.even_quantiles(df, "v", points, ["g"]).collect():
+            got.setdefault(r["g"], {})[r["i"]] = r["q"]
+        assert 7 not in got and set(got) == {0, 1, 2, 3, 4, 9}
+        for g, q in got.items():
+            expected = np.quantile([v for k, v in rows if k == g], np.linspace(0, 1, points))
+            assert [q[i] for i in range(points)] == pytest.approx(expected.tolist())
+    whole = ranking.even_quantiles(df, "v", 1001).orderBy("i").collect()
+    assert [r["q"] for r in whole] == pytest.approx(np.quantile([v for _, v in rows if v is not None], np.linspace(0, 1, 1001)).tolist())
+    assert ranking.even_quantiles(df.limit(0), "v", 3).count() == 0
+    assert scoring.quantile_table(df.limit(0), "v").first()["q"] is None
 
 
 def test_dense_profile_and_aligned(spark):

@@ -173,6 +173,36 @@ def test_feature_server_pages(spark, monkeypatch):
         return {"features": [{"attributes": {"i": i}} for i in range(first, min(5, first + more["resultRecordCount"]))]}
 
     monkeypatch.setattr(readers.FeatureServerReader, "get", get)
+    monkeypatch.setattr(readers.FeatureServerReader, "layer", lambda self: {"objectIdField": "oid"})
     r = readers.FeatureServerReader({"url": "http://x", "pageSize": "2", "where": "a > 1"})
     got = [json.loads(v[0])["attributes"]["i"] for p in r.partitions() for v in r.read(p)]
     assert got == [0, 1, 2, 3, 4] and r.query["where"] == "a > 1" and len(asked) == 4
+
+
+def test_map_extract(spark, tmp_path):
+    rows = [{"type": "node", "id": i, "lat": 0.0, "lon": i / 1000, "tags": t} for i, t in enumerate([{}, {"amenity": "police"}, {"amenity": "cafe"}, {"railway": "station"}])]
+    rows += [{"type": "way", "id": 9, "nodes": [0, 1, 1, 2, 77], "tags": {"highway": "path"}}, {"type": "way", "id": 10, "nodes": [2, 3], "tags": {"building": "yes"}}, {"type": "way", "id": 11, "nodes": [3], "tags": {"highway": "x"}}]
+    (tmp_path / "a.json").write_text("\n".join(map(json.dumps, rows)) + "\nno json\n")
+    elements = readers.map_elements(spark, str(tmp_path))
+    assert elements.count() == 7
+    assert {r["id"] for r in readers.map_features(elements, {"amenity": ["police"], "railway": []}).collect()} == {1, 3}
+    nodes, edges = readers.map_network(elements)
+    assert {(r["way"], r["pos"], r["u"], r["v"]) for r in edges.collect()} == {(9, 0, 0, 1), (9, 2, 1, 2)} and {r["id"] for r in nodes.collect()} == {0, 1, 2}
+    assert edges.first()["length"] == pytest.approx(111.2, rel=0.01)
+
+
+def test_weather_over_the_change_of_clocks(spark):
+    rows = [("2024-11-03 00:00:00", 0.1), ("2024-11-03 01:00:00", 0.2), ("2024-03-10 02:00:00", 0.3), ("2024-03-10 03:00:00", 0.1), (None, 9.0)]
+    local = spark.createDataFrame(rows, "t string, precip double").select(F.to_timestamp("t").alias("time"), "precip")
+    got = {str(r["time"]): r["precip"] for r in readers.hourly_weather(local).collect()}
+    assert got == {"2024-11-03 04:00:00": 0.1, "2024-03-10 07:00:00": 0.3}
+
+
+def test_throttle_holds_no_key_in_memory(spark):
+    events = spark.range(3000).select((F.col("id") % 2).alias("k"), F.col("id").alias("event_id"), F.timestamp_seconds(F.floor(F.col("id") / 2)).alias("ts"))
+    got = {r["event_id"] for r in state.throttle(events, "k", 3.0).collect()}
+    assert got == {i for i in range(3000) if i // 2 % 3 == 0}
+    kept = {r["event_id"] for r in state.sliding_limit(events, "k", 10.0, 4).collect()}
+    assert kept == {i for i in range(3000) if i // 2 % 10 < 4}
+    plan = state.throttle(events, "k", 3.0)._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan
