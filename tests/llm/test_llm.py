@@ -701,6 +701,29 @@ def test_quality_learns_interactions():
     assert ((m.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.95
 
 
+def brute_score(m, x):
+    """An additive model's score of one row of features, table by table."""
+    at = [int(np.searchsorted(c, v, side="right")) for c, v in zip(m.cuts, x)]
+    total = m.base + sum(t[i] for t, i in zip(m.tables, at)) + sum(t[at[a]][at[b]] for (a, b), t in zip(m.pairs, m.pair_tables))
+    return 1 / (1 + np.exp(-total))
+
+
+def brute_nearest(m, text):
+    """The language of the centroid with the largest cosine to the TF-IDF of a text's letter n-grams, one by one."""
+    t = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    t = " " + " ".join(t.split()) + " "
+    count = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(t) - n + 1):
+            key = 0
+            for c in t[i : i + n]:
+                key = key << 21 | ord(c)
+            count[(key * 0x9E3779B97F4A7C15 % 2**64) >> 51] += 1
+    v = {k: np.log1p(n) * m.idf[k] for k, n in count.items()}
+    cos = [sum(row[k] * x for k, x in v.items()) / np.sqrt(sum(x * x for x in v.values())) for row in m.matrix]
+    return m.langs[m.of[int(np.argmax(cos))]], max(cos)
+
+
 def test_quality_on_held_out_documents(spark):
     labels = pd.read_parquet("/root/testdata/sf0.1/labels.parquet")
     docs = pd.read_parquet("/root/testdata/sf0.1/documents.parquet").merge(labels, on="doc_id")
@@ -708,6 +731,7 @@ def test_quality_on_held_out_documents(spark):
     x = np.array([quality.features(t) for t in docs.text])
     m = quality.fit(x[~held], docs.quality.to_numpy(float)[~held])
     assert ((m.score(x[held]) >= 0.7) == docs.quality[held]).mean() > 0.97
+    assert m.score(x[:50]).tolist() == pytest.approx([brute_score(m, r) for r in x[:50]])
 
 
 def test_quality_of_odd_rows(spark, odd):
@@ -729,6 +753,9 @@ def test_languages_on_held_out_documents(spark):
     out = langid.identify(docs.where(held), m)
     assert out.where("lang = lang_pred").count() / out.count() > 0.97
     assert out.where("rejected").count() <= 0.01 * out.count()
+    for r in out.orderBy(F.length("text")).limit(30).collect():
+        lang, cos = brute_nearest(m, r["text"]) if any(map(str.isalpha, r["text"] or "")) else ("und", 0.0)
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(cos)
 
 
 def test_rejection(spark):
@@ -756,10 +783,81 @@ def test_query_sql(spark, duck, name):
     same_as_sql(spark, duck, LLM.queries[name], LLM.sql[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(LLM.queries) - set(LLM.sql)))
-def test_query_rows(spark, name):
-    table = "embeddings" if name.startswith("op8") else "documents"
-    assert LLM.queries[name](spark, DATA).count() >= spark.read.parquet(f"{DATA}/{table}.parquet").count()
+def by_id(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def test_op2_rows(spark):
+    docs = pd.read_parquet(f"{DATA}/documents.parquet")
+    got = by_id(LLM.queries["op2_media"](spark, DATA))
+    for i, t in zip(docs.doc_id, docs.text):
+        b, r = (t or "").encode(), got[i]
+        p = b + bytes(-len(b) % 64 if b else 64)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+    assert len(got) == len(docs)
+
+
+def test_op3_rows(spark):
+    from tokenizers import Tokenizer
+
+    docs, t = pd.read_parquet(f"{DATA}/documents.parquet"), Tokenizer.from_file(WORDS)
+    rows = LLM.queries["op3_packing"](spark, DATA).toPandas()
+    ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for i, x in zip(docs.doc_id, docs.text)}
+    assert rows.groupby("doc_id").length.sum().to_dict() == {i: len(x) for i, x in ids.items()}
+    for r in rows.itertuples():
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+    for _, g in rows.sort_values("offset").groupby("sequence_id"):
+        assert (g.offset == g.length.cumsum() - g.length).all() and g.length.sum() <= 2048
+    assert rows.length.sum() / (2048 * rows.sequence_id.nunique()) > 0.9
+
+
+def test_op4_rows(spark):
+    docs = pd.read_parquet(f"{DATA}/documents.parquet")
+    fps = {i: brute_fingerprint(t) for i, t in zip(docs.doc_id, docs.text)}
+    got = by_id(LLM.queries["op4_simhash"](spark, DATA))
+    assert {i: r["fingerprint"] for i, r in got.items()} == {i: f"{f:016x}" for i, f in fps.items()}
+    assert {i: r["component_id"] for i, r in got.items()} == brute_components(fps)
+
+
+def test_op5_rows(spark):
+    docs, c = pd.read_parquet(f"{DATA}/documents.parquet"), pieces.PieceCodec(PIECES)
+    got = by_id(LLM.queries["op5_merge_dropout"](spark, DATA))
+    for i, t in list(zip(docs.doc_id, docs.text)):
+        ids, sha = c.encode(t or "", 1, pieces.DROPOUT, str(i)), hashlib.sha256((t or "").encode()).hexdigest()
+        assert tuple(got[i])[1:] == (len(ids), zlib.crc32(ids.tobytes()), sha, sha)
+    assert len(got) == len(docs)
+
+
+def test_op7_rows(spark):
+    docs = pd.read_parquet(f"{DATA}/documents.parquet")
+    expected = brute_substrings(list(zip(docs.doc_id, docs.text)))
+    got = by_id(LLM.queries["op7_substring"](spark, DATA))
+    assert {i: tuple(r)[1:] for i, r in got.items()} == {i: (n, gone, hashlib.sha256(kept.encode()).hexdigest()) for i, (n, gone, kept) in expected.items()}
+
+
+def test_op8_rows(spark):
+    vectors = pd.read_parquet(f"{DATA}/embeddings.parquet")
+    x = np.stack(vectors.embedding).astype(float)
+    cos = x @ x.T / np.linalg.norm(x, axis=1) / np.linalg.norm(x, axis=1)[:, None]
+    a, b = np.nonzero((cos >= 0.95) & ~np.eye(len(x), dtype=bool))
+    label, ids = local_components(len(x), a, b), vectors.vec_id.to_numpy()
+    got = by_id(LLM.queries["op8_embeddings"](spark, DATA), "vec_id")
+    assert {i: tuple(r)[1:] for i, r in got.items()} == {int(i): (int((a == k).sum()), int(ids[label[k]]), bool(label[k] == k)) for k, i in enumerate(ids)}
+
+
+def test_op9_and_op10_rows(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = pd.read_parquet(f"{d}/documents.parquet"), pd.read_parquet(f"{d}/labels.parquet")
+    nine = LLM.queries["op9_quality"](spark, d).toPandas().set_index("doc_id")
+    assert len(nine) == len(docs) and nine.score.between(0, 1).all()
+    assert (nine.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in nine.index]).all() and (nine.predicted == (nine.score >= 0.7)).all()
+    known = labels.join(nine, "doc_id")
+    assert (known.predicted == known.quality)[known.held_out].mean() > 0.95
+    ten = LLM.queries["op10_language"](spark, d).toPandas().set_index("doc_id")
+    assert len(ten) == len(docs) and ten.score.between(0, 1).all()
+    assert (ten.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in ten.index]).all()
+    both = docs.join(ten, "doc_id")
+    assert (both.lang == both.lang_pred)[both.held_out].mean() > 0.95 and set(ten.lang_pred) <= {*docs.lang.dropna(), "und"}
 
 
 def test_pipeline_stages(spark, tmp_path):
