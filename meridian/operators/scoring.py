@@ -150,14 +150,11 @@ def rate_bands(df: DataFrame, count: str, exposure: str, sure: float = 0.9) -> D
 
     @F.pandas_udf("string")
     def band(y: pd.Series, e: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(y, e):
-            if not b > 0:
-                out.append("typical")
-                continue
-            below = gamma_below(alpha + a, (beta + b) * mean)
-            out.append("higher" if a > 0 and 1 - below >= sure else "lower" if below >= sure else "typical")
-        return pd.Series(out)
+        known = {}
+        for a, b in set(zip(y, e)):  # counts and exposures recur
+            below = gamma_below(alpha + a, (beta + b) * mean) if b > 0 else 0.5
+            known[a, b] = "typical" if not b > 0 else "higher" if a > 0 and 1 - below >= sure else "lower" if below >= sure else "typical"
+        return pd.Series([known.get(k, "typical") for k in zip(y, e)], dtype=object)
 
     return df.withColumn("band", band(F.col(count).cast("double"), F.col(exposure).cast("double")))
 
