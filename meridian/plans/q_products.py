@@ -181,11 +181,18 @@ def bounded_gazetteer(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id").join(near, "id", "left").select("id", name.alias("label"))
 
 
-@Q.add("text_validator_codes", """
-    SELECT conv_id, turn, len(text) > 420 AS too_long, regexp_matches(text, '(?i)https?://|www\\.') AS link FROM conversations""")
+@Q.add("text_validator_codes", f"""
+    SELECT conv_id, turn, len(text) > 420 AS too_long, len(list_filter(string_split_regex(text, '[.!?]+(?:\\s|$)'), lambda x: trim(x) <> '')) > 3 AS too_many_sentences,
+           array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{text.banned_pattern(text.BANNED_TERMS)}', 1), lambda x: lower(x)))), ',') AS banned,
+           regexp_matches(text, '(?i)https?://|www\\.') AS link,
+           len(list_filter(list_distinct(list_transform(regexp_extract_all(text, '\\d+', 0), lambda x: CAST(x AS DOUBLE))), lambda x: x <> turn)) AS unknown_numbers FROM conversations""")
 def text_validator_codes(spark: SparkSession, d: str) -> DataFrame:
-    codes = text.text_errors(F.col("text"))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_contains(codes, "too_long").alias("too_long"), F.array_contains(codes, "link").alias("link"))
+    """All five codes; the only number that a text may hold is that of its turn, and digits count as numbers wherever they stand."""
+    codes, digits = text.text_errors(F.col("text")), F.regexp_replace("text", "[^0-9]+", " ")
+    banned = F.transform(F.filter(codes, lambda c: c.startswith("banned:")), lambda c: F.substring(c, 8, 100))
+    unknown = F.filter(text.text_errors(digits, F.array(F.col("turn").cast("double"))), lambda c: c.startswith("unknown_number:"))
+    has = lambda c: F.array_contains(text.error_kinds(codes), c).alias(c)
+    return table(spark, d, "conversations").select("conv_id", "turn", has("too_long"), has("too_many_sentences"), F.array_join(banned, ",").alias("banned"), has("link"), F.size(unknown).cast("long").alias("unknown_numbers"))
 
 
 @Q.add("route_reports", """
