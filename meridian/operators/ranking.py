@@ -43,6 +43,29 @@ def row_numbers(df: DataFrame, order: list[Column], rank: str = "rank") -> DataF
     return running(df, order, {}, rank)
 
 
+def running_within(df: DataFrame, key: str, order: list[Column], sums: dict[str, Column], rank: str | None = None) -> DataFrame:
+    """`df` with running sums of whole numbers within each `key`, in `order`, own value included, and `rank`, from 1 in each key.
+
+    A key may hold any share of the rows: it lies in as many ranges as it fills, and each
+    range adds what the one before it holds of the same key. `key` has no nulls. `order`
+    must be total within a key for the result to be unique. An empty table gives an empty result.
+    """
+    values = {f"__v{i}": c for i, c in enumerate(sums.values())} | {"__one": F.lit(1)}
+    held = ranged(df.withColumns(values), [F.col(key), *order])
+    ends = held.groupBy("part").agg(F.min(key).alias("__first"), F.max(key).alias("__last"))
+    last = F.broadcast(ends.select("part", F.col("__last").alias(key)))  # one row per range
+    tails = held.join(last, ["part", key]).groupBy("part").agg(*[F.sum(v).alias(v) for v in values])
+    of_key, by_part = Window.partitionBy("__last").orderBy("part"), Window.orderBy("part")
+    held_so_far = ends.join(tails, "part").withColumns({v: F.sum(v).over(of_key) for v in values})
+    same = F.lag("__last").over(by_part) == F.col("__first")
+    carried = held_so_far.select("part", "__first", *[F.when(same, F.lag(v).over(by_part)).otherwise(0).alias(f"__c{v}") for v in values])
+    out = held.join(F.broadcast(carried), "part")
+    own = Window.partitionBy("part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    names = dict(zip([*sums, rank or "__r"], values))
+    cols = {name: F.sum(v).over(own) + F.when(F.col(key) == F.col("__first"), F.col(f"__c{v}")).otherwise(0) for name, v in names.items()}
+    return out.withColumns(cols).select(*df.columns, *[c for c in cols if c != "__r"])
+
+
 def previous(df: DataFrame, order: list[Column], columns: dict[str, str]) -> DataFrame:
     """`df` with, under new names, the columns of the row before it in `order`; null in the first row."""
     held = ranged(df, order)
