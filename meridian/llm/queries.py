@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from meridian.llm import embeddings, langid, lines, media, packing, pieces, quality, simhash, substring, warc
+from meridian.llm import conversations, embeddings, langid, lines, media, packing, pieces, quality, simhash, substring, warc
 from meridian.plans.registry import Registry, table
 
 LLM = Registry()
@@ -88,3 +88,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = fold(5) == 0
     model = langid.train(docs.where(~held))
     return langid.identify(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@LLM.add("op11_prefix_trie", conversations.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.prefix_trie(table(spark, sf_dir, "conversations"))
