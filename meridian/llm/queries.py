@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from meridian.llm import conversations, embeddings, langid, lines, media, packing, pieces, quality, simhash, substring, warc
+from meridian.llm import conversations, embeddings, langid, lines, media, packing, pieces, quality, rules, simhash, substring, warc
 from meridian.plans.registry import Registry, table
 
 LLM = Registry()
@@ -93,3 +93,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.add("op11_prefix_trie", conversations.SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@LLM.add("op12_rule_ledger", rules.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, current = rules.POLICIES[0], rules.POLICIES[-1]
+    out = rules.apply_policies(rows, rules.POLICIES)
+    base_failed, kept = ~rules.kept(base), rules.kept(base) & rules.kept(current)
+    return out.select("doc_id", *rules.MEASURES[:5], base_failed.alias("base_failed"), kept.alias("kept"), "failures", "policies")
