@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from meridian.llm import conversations, embeddings, langid, lines, media, packing, pieces, quality, rules, simhash, substring, warc
+from meridian.llm import conversations, embeddings, langid, lines, media, merkle, packing, pieces, quality, rules, simhash, substring, warc
 from meridian.plans.registry import Registry, table
 
 LLM = Registry()
@@ -102,3 +104,12 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.apply_policies(rows, rules.POLICIES)
     base_failed, kept = ~rules.kept(base), rules.kept(base) & rules.kept(current)
     return out.select("doc_id", *rules.MEASURES[:5], base_failed.alias("base_failed"), kept.alias("kept"), "failures", "policies")
+
+
+@LLM.add("op13_merkle", merkle.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(fold(3) == 0, merkle.leaf(columns, text=lower))
+    rows = table(spark, sf_dir, "documents").select("lang", "doc_id", merkle.leaf(columns).alias("leaf"), tampered.alias("tampered"))
+    return merkle.manifest(rows, "lang", "doc_id", "leaf", "tampered", proofs=False).drop("lang")
