@@ -54,7 +54,7 @@ def rebuilt(turns: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     convs = convs.select("conv_id", base.alias("base"), "own", (F.crc32(F.col("conv_id").cast("string").cast("binary")) % SHARED).alias("h"))
     heads = numbered.where((F.col("conv_id") % FAMILY == 0) & (F.col("p") < SHARED))  # at most five rows a conversation
     heads = heads.groupBy(F.col("conv_id").alias("base")).agg(F.sort_array(F.collect_list(F.struct("p", "digest", "chars"))).alias("head"))
-    lent = F.coalesce(F.least(F.col("h"), F.size("head")), F.lit(0))
+    lent = F.when(F.col("head").isNull(), 0).otherwise(F.least(F.col("h"), F.size("head")))
     plans = scratch.write(convs.join(heads, "base", "left").select("conv_id", "h", F.expr("slice(head, 1, int(h))").alias("head"), lent.alias("lent"), (lent + F.greatest(F.lit(0), F.col("own") - F.col("h"))).alias("n")))
     shared = plans.select("conv_id", F.inline("head"))
     own = numbered.join(plans.select("conv_id", "h", "lent"), "conv_id").where("p > h").select("conv_id", (F.col("p") - F.col("h") + F.col("lent")).alias("p"), "digest", "chars")
