@@ -32,7 +32,7 @@ FEATURES = [
     "log_chars", "log_words", "word_length", "letters", "upper", "digits", "points", "odd_marks", "odd_words",
     "distinct_words", "repeated_words", "repeated_lines", "line_length", "entropy", "short_words", "longest_word",
 ]
-_ODD_WORD = re.compile(r"\S*[^\w\s.,;:?'\"()-]\S*")
+_ODD = re.compile(r"[^\w.,;:?'\"()-]")
 
 
 def features(text: str | None) -> list[float]:
@@ -51,7 +51,7 @@ def features(text: str | None) -> list[float]:
     odd = sum(counts[ord(c)] for c in "!#$%&*+/<=>@[\\]^_`{|}~")
     return [
         float(np.log1p(len(text))), float(np.log1p(len(words))), sum(lengths) / m, letters / n, upper / m,
-        counts[48:58].sum() / n, points / n, odd / n, len(_ODD_WORD.findall(text)) / m if odd else 0.0,
+        counts[48:58].sum() / n, points / n, odd / n, sum(map(bool, map(_ODD.search, words))) / m if odd else 0.0,
         len(set(words)) / m, sum(map(str.__eq__, words, words[1:])) / m, 1 - len(set(lines)) / len(lines),
         float(np.log1p(n / len(lines))), float(-(part * np.log2(part)).sum()), sum(x <= 3 for x in lengths) / m, float(np.log1p(max(lengths, default=0))),
     ]
