@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-from meridian.llm.simhash import CHUNK, majority, tree_hits
+from meridian.llm.simhash import majority, tree_hits
 from meridian.llm.text import gram_hashes, mix, sliced
 from meridian.operators.graph import connected_components
 from meridian.plans.scratch import Scratch
@@ -37,6 +37,8 @@ BANDS, ROWS, RADIUS = 8, 3, 20
 FEW, GROWTH = 12, 8
 #: Nodes of a larger shard that are its tree in a round.
 CENTRES = 4
+#: Nodes of one tree, at most; shards with more are compared chunk by chunk.
+CHUNK = 512
 #: Bits of a set's parities, as 64 times so many longs.
 PARITIES = 8
 
@@ -132,17 +134,26 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch
 
 
 def _units(one: DataFrame, few: int) -> DataFrame:
-    """Rows of `one` (g, id, fp, odd, n, part, m) dealt into units, and the centres of large shards into all units of theirs."""
+    """Rows of `one` (g, id, fp, odd, n, part, m) dealt into units.
+
+    A shard of at most `few` nodes is compared as a whole: in one unit, or, beyond CHUNK nodes, in one for each pair of its
+    chunks. Of a larger shard each chunk is a unit, which the shard's centres go into.
+    """
     value = F.struct("id", "fp", "odd", "n", "part")
     best = [F.min_by(value, F.xxhash64(F.lit(i), "part", "id")).alias(f"c{i}") for i in range(CENTRES)]
     centres = one.where(F.col("m") > few).groupBy("g").agg(F.first("m").alias("m"), *best)
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+    each = F.explode(F.sequence(F.lit(0), chunks - 1))
     centres = centres.select("g", "m", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(CENTRES)]))).alias("c"))
-    centres = centres.select("g", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "c.*", F.lit(True).alias("in_tree"), F.lit(False).alias("asks"))
+    centres = centres.select("g", each.alias("low"), "c.*", F.lit(True).alias("in_tree"), F.lit(False).alias("asks")).withColumn("high", F.col("low"))
     small = F.col("m") <= few
-    chunk = F.when(small, 0).otherwise(F.pmod(F.xxhash64("id"), chunks)).cast("int")
-    asks = one.select("g", chunk.alias("chunk"), "id", "fp", "odd", "n", "part", small.alias("in_tree"), F.lit(True).alias("asks"))
-    return asks.unionByName(centres).select(F.xxhash64("g", "chunk").alias("unit"), "g", F.col("id").alias("node"), "fp", "odd", "n", "part", "in_tree", "asks")
+    dealt = one.withColumn("own", F.pmod(F.xxhash64("id"), chunks).cast("int"))
+    whole = dealt.where(small).select("*", each.alias("other"))
+    whole = whole.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    whole = whole.withColumns({"in_tree": F.col("own") == F.col("low"), "asks": F.col("own") == F.col("high")})
+    rest = dealt.where(~small).withColumns({"low": F.col("own"), "high": F.col("own"), "in_tree": F.lit(False), "asks": F.lit(True)})
+    columns = [F.xxhash64("g", "low", "high").alias("unit"), "g", F.col("id").alias("node"), "fp", "odd", "n", "part", "in_tree", "asks"]
+    return whole.select(columns).unionByName(rest.select(columns)).unionByName(centres.select(columns))
 
 
 def near_components(docs: DataFrame) -> DataFrame:
