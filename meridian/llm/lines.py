@@ -48,7 +48,7 @@ def _passages(docs: DataFrame, lines: int, words: int, scratch: Scratch) -> Data
     windows = found.join(repeated, "fp", "left_semi").select("doc_id", "v", F.expr(f"inline({windows})"))
     long = f"filter(transform(l, (x, i) -> struct(i as start, x)), y -> regexp_count(y.x, '[^\\\\x20\\\\x09-\\\\x0D]+') >= {words})"
     single = split.select("doc_id", "v", F.expr(f"inline(transform({long}, y -> struct(y.start, 1 as n, array({_PAIR.format('y.x')}) as key)))"))
-    short = split.where((F.size("l") < lines) & (F.trim("text") != ""))
+    short = split.where((F.size("l") < lines) & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     whole = short.select("doc_id", "v", F.lit(0).alias("start"), F.size("l").alias("n"), F.expr(f"array({_PAIR.format('text')}, 0, 0)").alias("key"))
     out = scratch.write(windows.unionByName(single).unionByName(whole))
     scratch.free(found, repeated)
@@ -61,7 +61,7 @@ def repeated_runs(docs: DataFrame, lines: int = LINES, words: int = WORDS) -> Da
     A line is in a run if it is covered by a window that also starts earlier: in a document
     with a smaller (doc_id, v), or before in the same one. A window is `lines` lines, one
     line of at least `words` words, or all of a document that has fewer than `lines` lines
-    and is not blank. v is a hash of the text, which tells rows of one doc_id apart.
+    and has anything but white space. v is a hash of the text, which tells rows of one doc_id apart.
     """
     scratch = Scratch(docs.sparkSession)
     passages = _passages(docs, lines, words, scratch)
@@ -106,7 +106,7 @@ line AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM c
 three AS (SELECT doc_id, i, line AS a, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c FROM line WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 nth AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS n FROM three WHERE c IS NOT NULL),
 one AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS n FROM line WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 8),
-short AS (SELECT doc_id, len(l) AS lines, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM cut WHERE len(l) < 3 AND trim(text) <> ''),
+short AS (SELECT doc_id, len(l) AS lines, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM cut WHERE len(l) < 3 AND regexp_matches(text, '[^\x20\x09-\x0D]')),
 gone AS (SELECT doc_id, i + o AS i FROM nth, (VALUES (0), (1), (2)) AS t(o) WHERE n > 1
          UNION SELECT doc_id, i FROM one WHERE n > 1
          UNION SELECT doc_id, unnest(range(1, lines + 1)) FROM short WHERE n > 1)
