@@ -410,6 +410,21 @@ def test_near_against_brute_force(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_near(rows)
 
 
+def test_chunks_of_a_shard_meet_each_other(spark, monkeypatch):
+    monkeypatch.setattr(near, "CHUNK", 5)
+    rows = near_rows()
+    got = near.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_near(rows)
+
+
+def test_pages_of_one_template_are_dealt_to_many_units(spark):
+    rows = [(1, i, i, bytes(64), 10, i, 3000) for i in range(3000)]
+    units = near._units(spark.createDataFrame(rows, "g long, id long, fp long, odd binary, n long, part long, m long"), 5000)
+    sizes = [r["count"] for r in units.groupBy("unit").count().collect()]
+    assert len(sizes) == 21 and max(sizes) < 3 * near.CHUNK
+    assert units.where("in_tree").groupBy("unit").count().agg(F.max("count")).head()[0] < 2 * near.CHUNK
+
+
 def test_near_stage_takes_all_copies_and_no_others(spark):
     rows = near_rows()
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA).collect()
@@ -734,6 +749,12 @@ def test_quality_on_held_out_documents(spark):
     assert m.score(x[:50]).tolist() == pytest.approx([brute_score(m, r) for r in x[:50]])
 
 
+def test_long_words_take_time_in_line_with_their_length():
+    start = time.time()
+    got = quality.features("a" * 10**6 + " # " + "b" * 10**6)
+    assert time.time() - start < 2 and got[quality.FEATURES.index("odd_words")] == pytest.approx(1 / 3)
+
+
 def test_quality_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1), (5, 0), (5, 0), (None, 1), (3, None)], "doc_id long, label int")
     out = quality.score(odd, quality.train(odd, labels)).collect()
@@ -860,6 +881,38 @@ def test_op9_and_op10_rows(spark):
     assert (both.lang == both.lang_pred)[both.held_out].mean() > 0.95 and set(ten.lang_pred) <= {*docs.lang.dropna(), "und"}
 
 
+def test_op9_and_op10_against_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    crc = lambda n: F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+    m = quality.train(docs, labels.where(crc(4) != 2))
+    got = by_id(LLM.queries["op9_quality"](spark, DATA))
+    ten, langs = by_id(LLM.queries["op10_language"](spark, DATA)), langid.train(docs.where(crc(5) != 0))
+    for r in docs.collect():
+        assert got[r["doc_id"]]["score"] == pytest.approx(brute_score(m, quality.features(r["text"])))
+        if any(map(str.isalpha, r["text"] or "")):
+            lang, cos = brute_nearest(langs, r["text"])
+            assert ten[r["doc_id"]]["lang_pred"] == lang and ten[r["doc_id"]]["score"] == pytest.approx(cos)
+        else:
+            assert ten[r["doc_id"]]["lang_pred"] == "und"
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_documents_left_with_white_space_go(spark, n):
+    line = "a line of some eight words or so here"
+    docs = spark.createDataFrame([(1, f"{line}\nmore of it", "en", "s", 1), (2, f"{line}\n" * (n - 1), "en", "s", 1), (3, "\n", "en", "s", 1)], DOCS)
+    kept = corpus_pipeline.line_dedup(spark, docs, DATA).collect()
+    assert {r["doc_id"] for r in kept} == {1, 3}  # what was blank from the start lost nothing
+
+
+def test_pipeline_with_an_empty_table_and_clashing_names(spark, odd):
+    for docs in (odd.limit(0), odd):
+        for name, stage in corpus_pipeline.STAGES:
+            columns, docs = docs.columns, stage(spark, docs, DATA)
+            assert name == "pack" or docs.columns == columns
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").unionByName(spark.createDataFrame([(10**6, None, None, "x", None), (10**6 + 1, "12 34", "en", "x", 5)], DOCS))
     kept = {}
