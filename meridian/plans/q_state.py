@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from meridian.plans.q_tables import CLUSTERS_SQL, crashes
 from meridian.plans.registry import Registry, table
-from meridian.sources import readers, sinks
-from meridian.streaming import state
+from meridian.plans.scratch import Scratch
+from meridian.sources import readers, sinks, store
+from meridian.streaming import late, live, state
 
 Q = Registry()
 
@@ -39,12 +41,42 @@ def throttle_accepts(spark: SparkSession, d: str) -> DataFrame:
     WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
     w AS (SELECT user_id, n, event_id, [t] AS kept, TRUE AS ok FROM e WHERE n = 1
           UNION ALL SELECT user_id, n, event_id, CASE WHEN len(kept) < 2 THEN list_append(kept, t) ELSE kept END, len(kept) < 2
-          FROM (SELECT e.user_id, e.n, e.event_id, e.t, list_filter(w.kept, lambda x: e.t - x < 86400) AS kept FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+          FROM (SELECT e.user_id, e.n, e.event_id, e.t, list_filter(w.kept, lambda x: e.t - x <= 86400) AS kept FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
     SELECT event_id FROM w WHERE ok""")
 def sliding_limit(spark: SparkSession, d: str) -> DataFrame:
     return state.sliding_limit(_events(spark, d), "user_id", 86_400.0, 2)
 
 
+@Q.add("session_updates", """
+    WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, event_type = 'signup' AS opens, value > 30 AS outside,
+             CASE event_type WHEN 'purchase' THEN 'ended' WHEN 'click' THEN 'arrived' WHEN 'error' THEN 'walking' END AS st, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    w AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS DOUBLE) AS last, CAST(NULL AS DOUBLE) AS expires FROM events GROUP BY 1
+          UNION ALL SELECT user_id, n, event_id, outcome, CASE outcome WHEN 'opened' THEN 'walking' WHEN 'taken' THEN coalesce(st, status) WHEN 'missing' THEN NULL ELSE status END,
+            CASE WHEN outcome = 'taken' THEN t WHEN outcome NOT IN ('opened', 'missing') THEN last END, CASE WHEN outcome IN ('opened', 'taken') THEN t + 86400 WHEN outcome <> 'missing' THEN expires END
+          FROM (SELECT e.*, w.status, w.last, w.expires, CASE WHEN w.expires IS NULL OR w.expires <= t THEN CASE WHEN opens THEN 'opened' ELSE 'missing' END WHEN status = 'ended' THEN 'ended' WHEN outside THEN 'outside'
+                  WHEN (st IS NULL OR st = status) AND last IS NOT NULL AND t - last < 14400 THEN 'throttled' ELSE 'taken' END AS outcome FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+    SELECT event_id, outcome, status, CAST(floor(expires) AS BIGINT) AS expires FROM w WHERE n > 0""")
+def session_updates(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.expr("CASE event_type WHEN 'purchase' THEN 'ended' WHEN 'click' THEN 'arrived' WHEN 'error' THEN 'walking' END")
+    e = _events(spark, d).select("event_id", "ts", "user_id", (F.col("event_type") == "signup").alias("opens"), kinds.alias("status"), (F.col("value") > 30).alias("outside"))
+    return live.session_updates(e, "user_id", 14_400.0, 86_400.0).withColumn("expires", F.floor("expires"))
+
+
+@Q.add("due_alerts", """
+    WITH RECURSIVE a AS (SELECT s_nationkey AS path, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS alert, abs(s_acctbal) / 20 AS start FROM supplier),
+    c AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, alert FROM events JOIN a ON path = user_id % 25 AND value * 10 >= start - 60 AND value * 10 < start + 150),
+    w AS (SELECT user_id, CAST('-Infinity' AS DOUBLE) AS last, CAST([] AS BIGINT[]) AS spoken, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS alert FROM c GROUP BY 1
+          UNION ALL SELECT user_id, m.t, list_append(spoken, m.alert), m.event_id, m.alert
+          FROM (SELECT w.user_id, w.spoken, min({'t': c.t, 'event_id': c.event_id, 'alert': c.alert}) AS m FROM w JOIN c ON c.user_id = w.user_id AND c.t >= w.last + 86400 AND NOT list_contains(w.spoken, c.alert) GROUP BY ALL))
+    SELECT event_id, alert FROM w WHERE event_id IS NOT NULL""")
+def due_alerts(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")  # the alerts of one path
+    start = F.abs("s_acctbal") / 20
+    alerts = table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("path"), F.row_number().over(w).cast("long").alias("alert"), start.alias("start"), (start + 150).alias("end"))
+    positions = _events(spark, d).select("event_id", "ts", "user_id", (F.col("user_id") % 25).alias("path"), (F.col("value") * 10).alias("along"))
+    return live.due_alerts(positions, alerts, "user_id", gap=86_400.0, life=40 * 86_400.0)
+
+
 @Q.add("session_window_6h", """
     WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR lag(ts) OVER w + INTERVAL 6 HOUR < ts THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g)
@@ -112,3 +144,48 @@ def weather_hours(spark: SparkSession, d: str) -> DataFrame:
     """Hourly maxima on a winter's clock as instants."""
     local = _events(spark, d).groupBy(F.date_trunc("hour", "ts").alias("time")).agg(F.max("value").alias("precip"))
     return readers.hourly_weather(local).select(F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"), "precip")
+
+
+@Q.add("late_duplicates", CLUSTERS_SQL + " SELECT id, cluster FROM cluster")
+def late_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of duplicates from a stream of all crashes, a quarter of the time a batch, whose links go into a store."""
+    rows = crashes(spark, d).select("id", "x", "y", "ts", "collision_id")
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    scratch = Scratch(spark)
+    quarter = F.when(F.lit(last == first), 0).otherwise(F.least(F.lit(3), F.floor(4 * (F.unix_micros("ts") - F.unix_micros(F.lit(first))) / (F.unix_micros(F.lit(last)) - F.unix_micros(F.lit(first))))))
+    for i in range(4):
+        rows.where(quarter == i).coalesce(1).write.parquet(f"{scratch.root}/in/{i}")
+    source = late.stateful(spark).readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{scratch.root}/in")
+    links = late.stream_links(source.withWatermark("ts", "1 hour"), 0.5, 1800)
+    clusters = store.Store(spark, f"{scratch.root}/clusters", late.CLUSTERS)
+    sink = links.writeStream.foreachBatch(late.link_sink(clusters)).trigger(availableNow=True)
+    sink.option("checkpointLocation", f"{scratch.root}/stream").start().awaitTermination()
+    return rows.select("id").join(clusters.read().select("id", "cluster"), "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+
+
+@Q.add("refreshed_rollup", """
+    SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') AS hour, user_id, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2""")
+def refreshed_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Hours by user, one kind of event after another, each of which adds to old hours; every batch comes twice."""
+    hour = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:00")
+    rows = _events(spark, d).select(hour.alias("hour"), "user_id", "event_type", F.lit(1).cast("long").alias("n"), F.round(F.col("value") * 100).cast("long").alias("cents"))
+    held = store.Store(spark, f"{Scratch(spark).root}/rollup", "hour string, user_id long, n long, cents long")
+    kinds = sorted(r[0] for r in rows.select("event_type").distinct().collect())
+    for batch, kind in enumerate(kinds):
+        for _ in range(2):
+            store.refresh(held, rows.where(F.col("event_type") == kind), batch, ["hour", "user_id"], ["n", "cents"], F.substring("hour", 1, 10))
+    return held.read().drop("part")
+
+
+@Q.add("replayed_upserts", """
+    SELECT c_custkey, c_nationkey + CASE WHEN c_custkey % 3 = 0 THEN 100 ELSE 0 END AS c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS stamp FROM customer""")
+def replayed_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """Customers inserted, a third changed under the right stamp, all others under a wrong one, and the batches sent again."""
+    rows = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    held = store.Store(spark, f"{Scratch(spark).root}/customers", "c_custkey long, c_nationkey int, stamp long")
+    new = rows.withColumns({"stamp": F.lit(1).cast("long"), "expected": F.lit(None).cast("long")})
+    right = F.when(F.col("c_custkey") % 3 == 0, 1).otherwise(7).cast("long")
+    changed = rows.select("c_custkey", (F.col("c_nationkey") + 100).alias("c_nationkey"), F.lit(2).cast("long").alias("stamp"), right.alias("expected"))
+    for batch, changes in ((0, new), (1, changed), (1, new), (0, changed)):
+        store.upsert(held, changes, batch, ["c_custkey"], 4, "stamp")
+    return held.read().drop("part")

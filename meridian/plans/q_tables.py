@@ -87,7 +87,7 @@ def exact_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", F.round("l_extendedprice", 2).alias("price"))
 
 
-def _crashes(spark: SparkSession, d: str) -> DataFrame:
+def crashes(spark: SparkSession, d: str) -> DataFrame:
     """Events as crashes on a line, one collision_id shared by every 2000th."""
     return table(spark, d, "events").select(
         F.col("event_id").alias("id"), F.col("event_type").alias("source"), F.col("event_id").cast("string").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"),
@@ -102,23 +102,23 @@ _LINKS_SQL = """
     SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.event_type = b.event_type AND a.event_id < b.event_id
       AND abs(a.value - b.value) <= 0.5 AND abs(date_diff('second', a.ts, b.ts)) <= 1800
     UNION SELECT 7, event_id FROM events WHERE event_id % 2000 = 7 AND event_id > 7"""
-_CLUSTERS_SQL = f"""
+CLUSTERS_SQL = f"""
     WITH RECURSIVE link AS ({_LINKS_SQL}), both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
     reach AS (SELECT a AS id, a AS other FROM both_ways UNION SELECT reach.id, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.other),
     cluster AS (SELECT e.event_id AS id, coalesce(min(reach.other), e.event_id) AS cluster FROM events e LEFT JOIN reach ON reach.id = e.event_id GROUP BY e.event_id)"""
 
 
 def clustered(spark: SparkSession, d: str) -> DataFrame:
-    crashes = _crashes(spark, d)
+    crashes = crashes(spark, d)
     return ingest.cluster_events(crashes, ingest.duplicate_links(crashes, 0.5, 1800))
 
 
-@Q.add("fuzzy_dedupe_cc", _CLUSTERS_SQL + " SELECT id, cluster FROM cluster")
+@Q.add("fuzzy_dedupe_cc", CLUSTERS_SQL + " SELECT id, cluster FROM cluster")
 def fuzzy_dedupe_cc(spark: SparkSession, d: str) -> DataFrame:
     return clustered(spark, d).select("id", "cluster")
 
 
-@Q.add("cluster_merge", _CLUSTERS_SQL + """
+@Q.add("cluster_merge", CLUSTERS_SQL + """
     , c AS (SELECT cluster.cluster, e.*, CASE e.event_id % 5 WHEN 3 THEN 1 WHEN 2 THEN 2 WHEN 1 THEN 3 WHEN 0 THEN 4 END AS rank,
                    CASE WHEN e.event_id % 2 = 0 THEN 'l' || CAST(e.event_id % 10 AS VARCHAR) END AS light
             FROM cluster JOIN events e ON e.event_id = cluster.id)

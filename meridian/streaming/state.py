@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from meridian.operators.ranking import previous, running
@@ -71,37 +73,47 @@ def stream_reports(events: DataFrame, keys: list[str], key_schema: str, ttl_ms:
     )
 
 
-def _accepted(events: DataFrame, key: str, seconds: float, accepts: Callable[[list[float], float], list[float] | None]) -> DataFrame:
-    """(event_id) of the accepted events of each key, in order of time.
+def walked(events: DataFrame, key: str, seconds: float, columns: list[str], step: Callable[[object, tuple], tuple[object, tuple | None]], out: str) -> DataFrame:
+    """Rows (of the columns `out`, DDL) that `step` makes of the events of each key, in order of time.
 
-    `accepts` gets the times of accepted events that still count and the next time, and gives
-    the new list, or None to refuse. Between runs of close events nothing happens for
-    `seconds`, so what came before no longer counts. Runs are found over ranges of (key,
-    time), so that no task holds a key, and each is walked in order with that list as all the
-    state there is, however long it is.
+    `step` gets the state, None at first, and (event_id, t, *columns) of the next event, and gives the new
+    state and a row or None. After a pause of more than `seconds` the state is None again. Runs of events
+    without such a pause are found over ranges of (key, time), so that no task holds a key, and each
+    is walked in order with the state as all there is, however long it is. Events of a null key go.
     """
-    e = events.where(F.col(key).isNotNull()).select(key, "event_id", F.col("ts").cast("double").alias("t"))
-    order = [F.col(key), F.col("t"), F.col("event_id")]
-    e = previous(e, order, {key: "__k", "t": "__p"})
-    new = ~F.coalesce((F.col("__k") == F.col(key)) & (F.col("t") - F.col("__p") < seconds), F.lit(False))
+    e = events.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(key, "event_id", F.col("ts").cast("double").alias("__t"), *columns)
+    order = [F.col(key), F.col("__t"), F.col("event_id")]
+    e = previous(e, order, {key: "__k", "__t": "__p"})
+    new = ~F.coalesce((F.col("__k") == F.col(key)) & (F.col("__t") - F.col("__p") <= seconds), F.lit(False))
     e = running(e.withColumn("__new", new.cast("long")), order, {"__run": F.col("__new")}, inclusive=True)
+    names = [f.name for f in T.StructType.fromDDL(out)]
 
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, kept = None, []
+    def walk(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, held = None, None
         for f in frames:
-            out = []
-            for r, t, i in zip(f["__run"].tolist(), f["t"].tolist(), f["event_id"].tolist()):
+            rows = []
+            for r, *values in zip(*[f.column(i).to_pylist() for i in range(f.num_columns)]):
                 if r != run:
-                    run, kept = r, []
-                got = accepts(kept, t)
-                if got is not None:
-                    kept = got
-                    out.append(i)
-            yield pd.DataFrame({"event_id": out}, dtype="int64")
+                    run, held = r, None
+                held, row = step(held, tuple(values))
+                if row is not None:
+                    rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t.type) for i, t in enumerate(arrow)], names=names)
 
+    arrow = to_arrow_schema(T.StructType.fromDDL(out))
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = e.select("__run", "t", "event_id").repartition(n, "__run").sortWithinPartitions("__run", "t", "event_id")
-    return dealt.mapInPandas(walk, "event_id long")
+    dealt = e.select("__run", "event_id", "__t", *columns).repartition(n, "__run").sortWithinPartitions("__run", "__t", "event_id")
+    return dealt.mapInArrow(walk, out)
+
+
+def _accepted(events: DataFrame, key: str, seconds: float, accepts: Callable[[list[float], float], list[float] | None]) -> DataFrame:
+    """(event_id) of the accepted events of each key: `accepts` gets the times of accepted events that still count and the next time, and gives the new list, or None to refuse."""
+
+    def step(kept: list[float] | None, event: tuple) -> tuple[list[float], tuple | None]:
+        got = accepts(kept or [], event[1])
+        return (kept or [], None) if got is None else (got, (event[0],))
+
+    return walked(events, key, seconds, [], step, "event_id long")
 
 
 def throttle(events: DataFrame, key: str, seconds: float = GAP_S) -> DataFrame:
@@ -110,10 +122,10 @@ def throttle(events: DataFrame, key: str, seconds: float = GAP_S) -> DataFrame:
 
 
 def sliding_limit(events: DataFrame, key: str, seconds: float = WINDOW_S, most: int = MOST) -> DataFrame:
-    """(event_id): events accepted if fewer than `most` (1 or more) of their key were accepted in the `seconds` before. Events of a null key go."""
+    """(event_id): events accepted if fewer than `most` (1 or more) of their key were accepted at most `seconds` before. Events of a null key go."""
 
     def accepts(kept: list[float], t: float) -> list[float] | None:
-        kept = [x for x in kept if t - x < seconds]
+        kept = [x for x in kept if t - x <= seconds]
         return [*kept, t] if len(kept) < most else None
 
     return _accepted(events, key, seconds, accepts)
