@@ -13,6 +13,8 @@ from meridian.plans.scratch import Scratch
 
 #: Blocks or groups that may go through the driver.
 MOST_AREAS = 100_000
+#: Rows of draws of blocks that are broadcast, at most.
+MOST_DRAWS = 2_000_000
 
 
 def overdispersion(df: DataFrame, y: str, mu: str) -> DataFrame:
@@ -111,7 +113,12 @@ def resampled_captures(
     """
     spark = df.sparkSession
     if draws is None:
-        draws = spark.createDataFrame(block_draws(_areas(df, block), reps, seed)).withColumnRenamed("block", block)
+        areas = _areas(df, block)
+        if len(areas) * reps > MOST_DRAWS:
+            raise ValueError(f"{len(areas)} values of {block} times {reps} draws are over {MOST_DRAWS}; take larger areas, fewer draws, or block_interval")
+        draws = spark.createDataFrame(block_draws(areas, reps, seed)).withColumnRenamed("block", block)
+    elif draws.limit(MOST_DRAWS + 1).count() > MOST_DRAWS:
+        raise ValueError(f"over {MOST_DRAWS} draws; take larger areas or fewer draws")
     draws, out = F.broadcast(draws), None
     for score in scores:
         held = ranged(df.select(block, tie, observed, length, F.col(score).cast("double").alias("s")), [F.desc("s"), F.asc(tie)])
@@ -189,6 +196,57 @@ def bootstrap_interval(df: DataFrame, stat: Callable[[Column], Column], key: lis
     return _interval(drawn.where("v is not null and not isnan(v)"), [], "v", level)
 
 
+def block_times(block: Column, reps: int) -> Column:
+    """Draws of a block (array of struct rep, times): how often it comes up in each resampling, Poisson with mean 1, by a digest of the block and the draw.
+
+    Nothing is drawn on the driver, and each task finds the same draws, however many blocks there are. Draws of 0 are left out.
+    """
+    draws = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda r: F.struct(r.alias("rep"), poisson_times(F.coalesce(block.cast("string"), F.lit("")), r.cast("string")).alias("times")))
+    return F.filter(draws, lambda d: d["times"] > 0)
+
+
+def block_interval(df: DataFrame, sums: dict[str, Column], stat: Column, block: str, reps: int = 200, level: float = 0.95, draws: DataFrame | None = None) -> DataFrame:
+    """(value, low, high): a statistic of sums, and its percentile interval over resamplings of whole blocks.
+
+    `sums` are columns to be added up, `stat` is made of their names: a mean is `total / n`, a ratio `a / b`. A draw is the product of
+    the blocks' sums and how often each comes up, so rows are read once, whatever the number of draws. Nulls add nothing. Draws
+    without a value do not count. `draws` (rep, block, times) are those of `block_times` if not given.
+    """
+    blocks = df.groupBy(block).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    if draws is None:
+        drawn = blocks.select(*sums, F.inline(block_times(F.col(block), reps)))
+    else:
+        drawn = blocks.join(draws, block)
+    each = drawn.groupBy("rep").agg(*[F.sum(F.col(n) * F.col("times")).alias(n) for n in sums]).select("rep", stat.alias("v"))
+    whole = blocks.agg(*[F.sum(n).alias(n) for n in sums]).select(stat.alias("value"))
+    return whole.join(F.broadcast(_interval(each.where("v is not null and not isnan(v)"), [], "v", level)))
+
+
+def block_auc(df: DataFrame, score: str, label: Column, block: str, reps: int = 200, level: float = 0.95, draws: DataFrame | None = None) -> DataFrame:
+    """(value, low, high): the AUC of a score, and its percentile interval over resamplings of whole blocks.
+
+    A draw weighs rows and does not move them, so the different (score, block) are dealt by range of the score once. Below a range
+    lie the negatives of the ranges before it, one number a range and draw; within it the score's order counts. No task holds more than a
+    range. Ties count half; draws with one class only do not count. Rows without a score are left out.
+    """
+    rows = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s"), F.col(block).alias("block"))
+    held = ranged(rows.agg(F.sum(label.cast("long")).alias("p"), F.sum(1 - label.cast("long")).alias("n")), [F.col("s")])
+    if draws is None:
+        drawn = held.select("part", "s", "p", "n", F.inline(block_times(F.col("block"), reps)))
+    else:
+        drawn = held.join(draws.withColumnRenamed(block, "block"), "block")
+    whole = held.select("part", "s", "p", "n", F.lit(-1).alias("rep"), F.lit(1).alias("times"))  # draw -1 is the data as they are
+    drawn = drawn.select(whole.columns).unionByName(whole)
+    steps = Scratch(df.sparkSession).write(drawn.groupBy("part", "rep", "s").agg(F.sum(F.col("p") * F.col("times")).alias("p"), F.sum(F.col("n") * F.col("times")).alias("n")))
+    before = Window.partitionBy("rep").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    parts = steps.groupBy("part", "rep").agg(F.sum("n").alias("n")).select("part", "rep", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"))
+    own = Window.partitionBy("part", "rep").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = steps.join(parts, ["part", "rep"]).withColumn("under", F.col("below") + F.coalesce(F.sum("n").over(own), F.lit(0)) + F.col("n") / 2)
+    value = F.sum(F.col("p") * F.col("under")) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0)).cast("double")
+    each = Scratch(df.sparkSession).write(pairs.groupBy("rep").agg(value.alias("v")))
+    return each.where("rep = -1").select(F.col("v").alias("value")).join(F.broadcast(_interval(each.where("rep >= 0 and v is not null"), [], "v", level)))
+
+
 def tie_order(seed: int, *key: Column) -> Column:
     """A number that orders equal scores by chance, the same for one seed."""
     return F.xxhash64(F.lit(seed), *key)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import permutations
 
@@ -403,3 +403,141 @@ def multipliers(cells: DataFrame, log_rate: str, group: str, hours: str) -> Data
     rate = F.exp(log_rate)
     mean = cells.groupBy(group).agg((F.sum(rate * F.col(hours)) / F.sum(hours)).alias("__m"))
     return cells.join(mean, group).withColumn("multiplier", rate / F.col("__m")).drop("__m")
+
+
+# --- the temporal design
+
+#: Bins of the hour that interact with the kind of traveller.
+HOUR_BINS = [(0, 5), (6, 9), (10, 14), (15, 18), (19, 23)]
+#: The columns of each factor, by a pattern of their names; what they leave is the baseline.
+TEMPORAL_FACTORS = {"time_of_day": "hour", "day_of_week": "day_group", "light": "light", "rain": "wet"}
+#: Levels of the design and the one that each is measured against.
+DAY_GROUPS, LIGHTS = ["weekday", "friday", "saturday", "sunday"], ["day", "twilight", "dark"]
+
+
+def hour_bin(hour: Column) -> Column:
+    """The bin of an hour, as `from-to`."""
+    out = F.lit(None).cast("string")
+    for low, high in HOUR_BINS:
+        out = F.when(hour.between(low, high), f"{low}-{high}").otherwise(out)
+    return out
+
+
+@dataclass(frozen=True)
+class TemporalDesign:
+    """What a model of counts by kind of hour is made of: levels of the group (the first is the reference) and of the year."""
+
+    group: str
+    levels: tuple[str, ...]
+    flag: str
+    years: tuple[int, ...] = ()
+
+    def columns(self, flag: Column | None = None, years: bool = True) -> dict[str, Column]:
+        """0/1 columns by name: main effects, and `flag:` columns that hold for flagged rows only. `flag` in place of the cell's own."""
+        f = (F.col(self.flag) if flag is None else flag).cast("double")
+        hot = lambda c, levels, ref: {f"{c}={v}": F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)) for v in levels if v != ref}
+        wet = F.coalesce(F.col("wet").cast("double"), F.lit(0.0))
+        group, day, light = hot(self.group, self.levels, self.levels[0]), hot("day_group", DAY_GROUPS, "weekday"), hot("light", LIGHTS, "day")
+        hours = {f"hour={h}": (F.col("hour") == h).cast("double") for h in range(24) if h != 12}
+        bins = {f"hour_bin={a}-{b}": F.col("hour").between(a, b).cast("double") for a, b in HOUR_BINS if a != 10}
+        year = {f"year={y}": F.coalesce((F.col("year") == y).cast("double"), F.lit(0.0)) if years else F.lit(0.0) for y in self.years[1:]}
+        out = {"flag": f} | group | day | hours | light | {"wet": wet}
+        out |= {f"flag:{n}": c * f for n, c in (light | bins | day | group | {"wet": wet}).items()} | year | {f"flag:{n}": c * f for n, c in year.items()}
+        return out
+
+
+@dataclass(frozen=True)
+class TemporalModel:
+    """log rate = intercept + sum of coefficient * column of the design."""
+
+    design: TemporalDesign
+    intercept: float
+    coefficients: dict[str, float]
+
+    def log_rate(self, flag: Column | None = None) -> Column:
+        """The log rate of a cell in the reference year, flagged or not."""
+        return F.lit(self.intercept) + self._sum(self.design.columns(flag, years=False), lambda n: True)
+
+    def _sum(self, columns: dict[str, Column], has: Callable[[str], bool]) -> Column:
+        return sum((F.lit(self.coefficients[n]) * c for n, c in columns.items() if has(n)), F.lit(0.0))
+
+    def parts(self, cells: DataFrame, reference: DataFrame | None = None) -> DataFrame:
+        """`cells` with multiplier, factors (a struct of TEMPORAL_FACTORS) and base, for flagged rows: the factors and base add up to log(multiplier).
+
+        The multiplier is the rate over its group's mean rate in `reference` (the cells, if not given), weighted by hours, so that it
+        averages to 1 in each group there. A group that the reference lacks has a null multiplier and base.
+        """
+        flag = F.lit(1.0)
+        rate = F.exp(self.log_rate(flag))
+        mean = (cells if reference is None else reference).groupBy(self.design.group).agg((F.sum(rate * F.col("hours")) / F.sum("hours")).alias("__mean"))
+        columns = self.design.columns(flag, years=False)
+        factors = {f: self._sum(columns, lambda n, p=p: n.endswith(p) if p == "wet" else p in n) for f, p in TEMPORAL_FACTORS.items()}
+        out = cells.join(F.broadcast(mean), self.design.group, "left")  # groups are levels of the design
+        out = out.withColumns({"factors": F.struct(*[c.alias(f) for f, c in factors.items()]), "__log": self.log_rate(flag) - F.ln("__mean")})
+        base = F.col("__log") - sum((F.col(f"factors.{f}") for f in factors), F.lit(0.0))
+        return out.withColumns({"multiplier": F.exp("__log"), "base": base}).drop("__mean", "__log")
+
+    def effects(self) -> dict[str, float]:
+        """Headline multipliers of flagged rows: main effect and interaction together, and the interaction with dark alone."""
+        c = lambda n: self.coefficients.get(n, 0.0)
+        both = {k: float(np.exp(c(n) + c(f"flag:{n}"))) for k, n in (("dark", "light=dark"), ("twilight", "light=twilight"), ("wet", "wet"))}
+        return both | {"flag_x_dark": float(np.exp(c("flag:light=dark")))}
+
+
+def newton_poisson(df: DataFrame, features: dict[str, Column], y: str, exposure: str, alpha: float, rounds: int = 50, tol: float = 1e-10) -> LogLinear:
+    """Poisson regression as `poisson_ridge` has it, by Newton steps that are halved until they help, so that levels without any count do no harm.
+
+    Each step adds up a gradient and a matrix of the features' number squared in every task, and solves it on the driver, so
+    features are few hundred at most. Rows with a null or without exposure are left out.
+    """
+    k = len(features) + 1
+    rows = df.select(F.col(y).cast("double").alias("y"), F.col(exposure).cast("double").alias("e"), F.array(F.lit(1.0), *[c.cast("double") for c in features.values()]).alias("x"))
+    rows = Scratch(df.sparkSession).write(rows.where("y is not null and e > 0 and not exists(x, v -> v is null)"))
+    total = rows.agg(F.sum("y"), F.sum("e")).first()
+    if not total[0]:
+        return LogLinear(float("-inf"), dict.fromkeys(features, 0.0))
+    ridge = np.r_[0.0, np.full(k - 1, alpha)]
+
+    def sums(b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            loss, g, h = 0.0, np.zeros(k), np.zeros((k, k))
+            for f in frames:
+                if len(f):
+                    x, e, n = np.stack(f["x"]), f["e"].to_numpy(), f["y"].to_numpy()
+                    eta = np.minimum(x @ b, 300.0)
+                    mu = e * np.exp(eta)
+                    loss, g, h = loss + float((mu - n * eta).sum()), g + x.T @ (mu - n), h + (x * mu[:, None]).T @ x
+            yield pd.DataFrame({"loss": [loss], "g": [g], "h": [h.ravel()]})
+
+        got = rows.mapInPandas(run, "loss double, g array<double>, h array<double>").toPandas()
+        loss, g, h = got["loss"].sum(), np.sum(np.stack(got["g"]), axis=0), np.sum(np.stack(got["h"]), axis=0).reshape(k, k)
+        return float(loss / total[1] + ridge @ b**2 / 2), g / total[1] + ridge * b, h / total[1] + np.diag(ridge)
+
+    b = np.r_[np.log(total[0] / total[1]), np.zeros(k - 1)]
+    loss, g, h = sums(b)
+    for _ in range(rounds):
+        step = np.linalg.lstsq(h, g, rcond=None)[0]
+        gain, scale = float(g @ step), 1.0
+        if gain < tol * max(1e-12, abs(loss)):
+            break
+        while scale > 1e-6:
+            new = sums(b - scale * step)
+            if new[0] <= loss - 1e-4 * scale * gain:
+                break
+            scale /= 2
+        else:
+            break
+        b, (loss, g, h) = b - scale * step, new
+    return LogLinear(float(b[0]), dict(zip(features, map(float, b[1:]))))
+
+
+def fit_temporal(cells: DataFrame, group: str, levels: list[str], flag: str, alpha: float = 1e-3, scale: float = 10_000.0) -> TemporalModel:
+    """Fit counts by kind of hour: cells of `group`, day_group, hour, light, wet, `flag`, count, hours and perhaps year.
+
+    Years take up changes in what was recorded; cells without one are of the first. Rates are taken per `scale` hours, so that the penalty
+    does not shrink real effects of rare events. Cells are a fixed set of kinds of hour, summed before.
+    """
+    years = tuple(sorted(r[0] for r in cells.select("year").distinct().collect() if r[0] is not None)) if "year" in cells.columns else ()
+    design = TemporalDesign(group, tuple(levels), flag, years)
+    m = newton_poisson(cells.withColumn("__y", F.col("count") * scale), design.columns(), "__y", "hours", alpha)
+    return TemporalModel(design, m.intercept - float(np.log(scale)), m.coefficients)

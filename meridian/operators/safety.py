@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meridian.functions import times
-from meridian.operators.graph import connected_components
-from meridian.operators.spatial import within
+from meridian.plans.scratch import Scratch
 
 # Fixed values.
 OFFENCES = {
@@ -61,28 +58,42 @@ def help_places(raw: DataFrame, agency: list[str]) -> DataFrame:
     return rows.select("kind", _named(F.col("name"), F.col("kind")).alias("name"), "lat", "lon")
 
 
-def thin_points(points: DataFrame, radius: float, by: list[str]) -> DataFrame:
-    """`points` (id, x, y) without those within `radius` of an earlier one that stays, for each `by`; earlier is a smaller id.
+def thin_points(points: DataFrame, radius: float, by: list[str], first: Column | None = None) -> DataFrame:
+    """`points` (id, x, y) without those within `radius` of an earlier one that stays, for each `by`.
 
-    What stays depends on what stayed before, but only over chains of near points. Each such
-    chain is a group of its own, so a task holds one cluster, not one kind.
+    Earlier is a smaller `first` (the id, if not given), which must differ between points. Points without a finite position are near nothing and stay; null
+    values of `by` are a group. What stays depends on what stayed before; it is found in rounds for all points at once: a
+    point with no earlier one near it that is undecided stays, and what is near it goes. Cells are
+    so small that the points of one are all near each other, so of each cell only the first can stay in a
+    round and only it is compared with the cells around: a crowded cell makes no pairs within itself. A round decides at least the
+    first of each chain of near points; where the order runs along a chain, it takes as many rounds as the chain has links.
     """
-    near = within(points.select("id", "x", "y", *by), points.select("id", "x", "y", *by), radius).where("a.id < b.id")
-    for c in by:
-        near = near.where(F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")))
-    parts = connected_components(near.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("id")
-        xy, kept = g[["x", "y"]].to_numpy(), []
-        for i in range(len(g)):
-            if not kept or (np.hypot(*(xy[kept] - xy[i]).T) > radius).all():
-                kept.append(i)
-        dropped = np.setdiff1d(np.arange(len(g)), kept)
-        return pd.DataFrame({"id": g["id"].to_numpy()[dropped]})
-
-    chained = points.select("id", "x", "y").join(parts, F.col("id") == F.col("node")).select("id", "x", "y", "component")
-    return points.join(chained.groupBy("component").applyInPandas(run, "id long"), "id", "left_anti")
+    sound = F.coalesce(F.expr("abs(x) < double('infinity') and abs(y) < double('infinity')"), F.lit(False))
+    scratch, size = Scratch(points.sparkSession), radius / 2**0.5
+    cell = lambda c: F.floor(F.col(c) / size).cast("long")
+    key = ["g", "cx", "cy"]
+    left = points.where(sound).select("id", "x", "y", F.struct(*by, F.lit(0).alias("__")).alias("g"), cell("x").alias("cx"), cell("y").alias("cy"), (F.col("id") if first is None else first).alias("first"))
+    left, kept = scratch.write(left), None
+    around = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in range(-2, 3) for j in range(-2, 3)])
+
+    def near(these: DataFrame) -> DataFrame:
+        """Undecided points with each of `these` within the radius, as t."""
+        sent = these.select("g", F.struct("id", "x", "y", "first").alias("t"), "cx", "cy", F.explode(around).alias("d"))
+        sent = sent.select("g", "t", (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"))
+        return left.join(sent, key).where(F.hypot(F.col("x") - F.col("t.x"), F.col("y") - F.col("t.y")) <= radius)
+
+    while not left.isEmpty():
+        heads = scratch.write(left.groupBy(*key).agg(F.min_by(F.struct("id", "x", "y", "first"), "first").alias("h")).select(*key, "h.*"))
+        blocked = near(heads).where(F.col("first") < F.col("t.first")).select(F.col("t.id").alias("id")).distinct()
+        stay = scratch.write(heads.join(blocked, "id", "left_anti"))
+        kept = stay.select("id") if kept is None else kept.unionByName(stay.select("id"))
+        gone = near(stay).select("id").distinct()
+        old, left = left, scratch.write(left.join(gone, "id", "left_anti"))
+        scratch.free(old, heads)
+    if kept is None:
+        return points
+    decided = points.where(sound).join(kept, "id", "left_semi")
+    return decided.unionByName(points.where(~sound)).select(*points.columns)
 
 
 def lamp_points(sources: list[DataFrame]) -> DataFrame:

@@ -44,14 +44,73 @@ def within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return pairs.withColumn("dist", dist).where(F.col("dist") <= radius)
 
 
+#: Pairs of points of two cells that are made; cells with more are split.
+MOST_PAIRS = 4096
+#: Halvings of a cell, at most.
+DEEPEST = 24
+#: Rounds of doubling the radius before far points are looked for from above; points of a cell that are all looked at.
+DOUBLINGS, FEW = 4, 64
+
+
+def _boxes(points: DataFrame, side: float, sums: list[str], prefix: str) -> DataFrame:
+    """Cells of `side` with the box that their points fill, the number of them and their sums, under names with `prefix`."""
+    box = [F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2"), F.count("*").alias("n"), *[F.sum(c).alias(c) for c in sums]]
+    out = points.groupBy(_cell("x", side).alias("cx"), _cell("y", side).alias("cy")).agg(*box)
+    return out.select(*[F.col(c).alias(prefix + c) for c in out.columns])
+
+
+def near_totals(a: DataFrame, b: DataFrame, radius: float, sums: list[str]) -> DataFrame:
+    """(id, n, sums) of each point of `a` that has any within `radius`: the number and sums of the points of `b` there.
+
+    Cells are compared before points. Where the boxes of two cells' points are within the radius all over, one cell adds its sums to the other; where
+    they are nowhere, nothing is done; else the cells are halved, until there are at most MOST_PAIRS pairs of
+    points to be tested. So a crowded cell costs the rim of the circle, not its square, and many points at one place cost nothing. What
+    a cell gained is handed to its points by one join a level.
+    """
+    scratch = Scratch(a.sparkSession)
+    sound = "abs(x) < double('infinity') and abs(y) < double('infinity')"  # neither null nor NaN
+    a = scratch.write(a.where(sound).select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    b = scratch.write(b.where(sound).select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in sums]))
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"a{c}1") - F.col(f"b{c}2"), F.col(f"b{c}1") - F.col(f"a{c}2"))
+    reach = lambda c: F.greatest(F.col(f"a{c}2") - F.col(f"b{c}1"), F.col(f"b{c}2") - F.col(f"a{c}1"))
+    found, split, side = [], None, radius
+    for level in range(DEEPEST + 1):
+        ours, theirs = _boxes(a, side, [], "a"), _boxes(b, side, sums, "b")
+        if split is None:
+            around = [F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias(d) for d in ("dx", "dy")]
+            sent = theirs.select("*", around[0]).select("*", around[1]).withColumns({"acx": F.col("bcx") + F.col("dx"), "acy": F.col("bcy") + F.col("dy")})
+            pairs = ours.join(sent.drop("dx", "dy"), ["acx", "acy"])
+        else:
+            up = lambda df, p: df.withColumns({f"{p}ux": F.floor(F.col(f"{p}cx") / 2), f"{p}uy": F.floor(F.col(f"{p}cy") / 2)})
+            pairs = split.join(up(ours, "a"), ["aux", "auy"]).join(up(theirs, "b"), ["bux", "buy"])
+        pairs = pairs.where(F.hypot(gap("x"), gap("y")) <= radius).withColumn("whole", F.hypot(reach("x"), reach("y")) <= radius)
+        few = F.lit(True) if level == DEEPEST else F.col("an") * F.col("bn") <= MOST_PAIRS
+        pairs = scratch.write(pairs.withColumn("few", few))
+        gained = pairs.where("whole").groupBy("acx", "acy").agg(F.sum("bn").alias("n"), *[F.sum(f"b{c}").alias(c) for c in sums])
+        of_a = [_cell("x", side).alias("acx"), _cell("y", side).alias("acy")]
+        of_b = b.select(F.col("x").alias("__x"), F.col("y").alias("__y"), *sums, _cell("x", side).alias("bcx"), _cell("y", side).alias("bcy"))
+        found.append(a.select("id", *of_a).join(gained, ["acx", "acy"]).select("id", "n", *sums))
+        tested = pairs.where("few and not whole").select("acx", "acy", "bcx", "bcy")
+        tested = a.select("id", "x", "y", *of_a).join(tested, ["acx", "acy"]).join(of_b, ["bcx", "bcy"])
+        tested = tested.where(F.hypot(F.col("x") - F.col("__x"), F.col("y") - F.col("__y")) <= radius)
+        found.append(tested.groupBy("id").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in sums]))
+        split = pairs.where("not few and not whole").select(*[F.col(f"{p}c{c}").alias(f"{p}u{c}") for p in "ab" for c in "xy"])
+        if split.isEmpty():
+            break
+        side /= 2
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.groupBy("id").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums])
+
+
 def near_sums(a: DataFrame, b: DataFrame, radius: float, weight: str) -> DataFrame:
     """`a` (by id) with n, total and mean of `weight` over the points of `b` within `radius`.
 
     A null weight adds nothing and counts in the mean. Without points n and total are 0
     and the mean is null.
     """
-    got = within(a.select("id", "x", "y"), b.select("x", "y", F.col(weight).alias("w")), radius)
-    sums = got.groupBy("a.id").agg(F.count("*").alias("n"), F.sum(F.coalesce("b.w", F.lit(0.0))).alias("total"))
+    sums = near_totals(a, b.select("x", "y", F.col(weight).cast("double").alias("total")), radius, ["total"])
     out = a.join(sums, "id", "left")
     return out.withColumns({"n": F.coalesce("n", F.lit(0)), "total": F.coalesce("total", F.lit(0.0)), "mean": F.col("total") / F.col("n")})
 
@@ -59,23 +118,63 @@ def near_sums(a: DataFrame, b: DataFrame, radius: float, weight: str) -> DataFra
 def neighbour_density(units: DataFrame, radius: float, years: int) -> DataFrame:
     """(id, density): count per 100 m and year over the other units within `radius`; 0 without any.
 
-    `units` has id, x, y, count and length (metres).
+    `units` has id, x, y, count and length (metres); a null count or length adds nothing.
+    """
+    sums = near_totals(units, units, radius, ["count", "length"]).toDF("id", "__n", "__c", "__l")
+    own = units.select("id", F.coalesce("count", F.lit(0)).alias("c"), F.coalesce("length", F.lit(0)).alias("l")).join(sums, "id", "left")
+    density = (F.col("__c") - F.col("c")) / F.nullif((F.col("__l") - F.col("l")) / 100, F.lit(0.0)) / years
+    return own.select("id", F.coalesce(F.when(F.col("__n") > 1, density), F.lit(0.0)).alias("density"))
+
+
+def _far_nearest(a: DataFrame, b: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, near_id, dist) of the nearest point of `b`, however far, for points that have none around.
+
+    From above: `b` is cut into at most 25 cells, of which a point keeps those that may hold its nearest: whose nearest place is no further than the
+    furthest of some cell. Those are cut into 16, and so on, until a cell has at most FEW points or is small beyond measure, of which
+    all are looked at. Rounds go with the logarithm of the extent, whatever the distance.
     """
-    pairs = within(units.select("id", "x", "y"), units.select("id", "x", "y", "count", "length"), radius).where("a.id <> b.id")
-    sums = pairs.groupBy("a.id").agg((F.sum("b.count") / (F.sum("b.length") / 100) / years).alias("density"))
-    return units.select("id").join(sums, "id", "left").fillna(0.0, ["density"])
+    ends = b.agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max("x").alias("u"), F.max("y").alias("v")).first()
+    side = max(ends["u"] - ends["x"], ends["v"] - ends["y"]) / 4
+    here = lambda c, low, s: F.floor((F.col(c) - low) / s) if s > 0 else F.lit(0).cast("long")
+    cells = lambda s: [here("x", ends["x"], s).alias("cx"), here("y", ends["y"], s).alias("cy")]
+    asks, found = None, None
+    for level in range(DEEPEST // 2 + 1):
+        boxes = b.groupBy(*cells(side)).agg(F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2"), F.count("*").alias("n"))
+        if asks is None:
+            top = boxes.agg(F.collect_list(F.struct(*boxes.columns)).alias("boxes"))  # at most 25
+            pairs = a.join(F.broadcast(top)).select("id", "x", "y", F.inline("boxes"))
+        else:
+            pairs = asks.join(boxes.withColumns({"ux": F.floor(F.col("cx") / 4), "uy": F.floor(F.col("cy") / 4)}), ["ux", "uy"]).drop("ux", "uy")
+        gap = lambda c: F.greatest(F.lit(0.0), F.col(f"{c}1") - F.col(c), F.col(c) - F.col(f"{c}2"))
+        reach = lambda c: F.greatest(F.abs(F.col(c) - F.col(f"{c}1")), F.abs(F.col(f"{c}2") - F.col(c)))
+        pairs = scratch.write(pairs.select("id", "x", "y", "cx", "cy", "n", F.hypot(gap("x"), gap("y")).alias("least"), F.hypot(reach("x"), reach("y")).alias("most")))
+        bound = pairs.groupBy("id").agg(F.min("most").alias("bound"))
+        if found is not None:
+            bound = bound.join(found.select("id", F.col("m.dist").alias("d")), "id", "left").select("id", F.least("bound", "d").alias("bound"))
+        kept = scratch.write(pairs.join(bound, "id").where(F.col("least") <= F.col("bound") * (1 + 1e-12)))
+        last = F.lit(True) if level == DEEPEST // 2 or side == 0 else F.col("n") <= FEW
+        looked = kept.where(last).select("id", "x", "y", "cx", "cy").join(b.select(F.col("id").alias("near_id"), F.col("x").alias("u"), F.col("y").alias("v"), *cells(side)), ["cx", "cy"])
+        hits = looked.groupBy("id").agg(F.min(F.struct(F.hypot(F.col("x") - F.col("u"), F.col("y") - F.col("v")).alias("dist"), "near_id")).alias("m"))
+        found = hits if found is None else found.unionByName(hits).groupBy("id").agg(F.min("m").alias("m"))
+        found = scratch.write(found)
+        asks = kept.where(~last).select("id", "x", "y", F.col("cx").alias("ux"), F.col("cy").alias("uy"))
+        if asks.isEmpty():
+            break
+        side /= 4
+    return found.select("id", F.col("m.near_id").alias("near_id"), F.col("m.dist").alias("dist"))
 
 
 def nearest(a: DataFrame, b: DataFrame, radius: float, limit: float | None = None) -> DataFrame:
     """(id, near_id, dist): for each point of `a` the nearest of `b`; equal distances go to the smaller id.
 
-    Looks within `radius` first and doubles it for those that found nothing, up to `limit`
-    (or until all have found one). Points of an `a` without any `b` in reach have no row.
+    Looks within `radius` first and doubles it for those that found nothing, up to `limit`. Without a limit, what has found nothing after
+    a few rounds is looked for from above, in ever smaller cells of `b`, so that a far point costs no more than a near one. Points
+    of an `a` without any `b` in reach have no row.
     """
     sound = "abs(x) < double('infinity') and abs(y) < double('infinity')"  # neither null nor NaN
     left, out, r = a.where(sound).select("id", "x", "y"), None, radius
     b = b.where(sound).select("id", "x", "y")
-    scratch = Scratch(a.sparkSession)
+    scratch, rounds = Scratch(a.sparkSession), 0
     while True:
         reach = r if limit is None else min(r, limit)
         hit = within(left, b, reach).groupBy(F.col("a.id").alias("id"))
@@ -86,6 +185,10 @@ def nearest(a: DataFrame, b: DataFrame, radius: float, limit: float | None = Non
         left = scratch.write(left.join(hit, "id", "left_anti"))
         if left.isEmpty() or b.isEmpty():
             break
+        rounds += 1
+        if limit is None and rounds == DOUBLINGS:
+            out = out.unionByName(_far_nearest(left, b, scratch))
+            break
         r *= 2
     return out
 
@@ -193,6 +296,27 @@ def corridor_points(paths: DataFrame, points: DataFrame, radius: float = 100.0,
     return paths.select("id").distinct().join(counts, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def crossed_cells(paths: DataFrame, size: float) -> DataFrame:
+    """(id, q, r): the hexagons of side `size` that the segments (id, x1, y1, x2, y2) of each path cross, each once a path.
+
+    A path without a position crosses nothing.
+    """
+    sound = paths.where("x1 + y1 + x2 + y2 is not null")
+    walked = geo.hex_walk(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")], size)
+    return sound.select("id", F.inline(walked)).distinct()
+
+
+def crossed_sums(paths: DataFrame, cells: DataFrame, value: str, size: float) -> DataFrame:
+    """(id, n_cells, total) of each path: the hexagons it crosses, and the sum of `value` of `cells` (q, r, value) over them.
+
+    A cell counts once, however often a path comes back to it; cells that are not there, and nulls, add nothing.
+    """
+    met = crossed_cells(paths, size).join(cells.select("q", "r", F.col(value).alias("__v")), ["q", "r"], "left")
+    sums = met.groupBy("id").agg(F.count("*").alias("n_cells"), F.sum(F.coalesce("__v", F.lit(0))).alias("total"))
+    out = paths.select("id").distinct().join(sums, "id", "left")
+    return out.select("id", F.coalesce("n_cells", F.lit(0)).alias("n_cells"), F.coalesce("total", F.lit(0)).alias("total"))
+
+
 def project_on_lines(points: DataFrame, lines: DataFrame, radius: float) -> DataFrame:
     """(id, line, along, offset): the nearest segment within `radius`, metres along it, and metres off it."""
     pairs = points_near_lines(points, lines, radius)

@@ -6,9 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meridian.functions import geo, times
+from meridian.operators.safety import thin_points
 
 # Metres and scores of the suggestions.
-PLACE_M, NEAR_M, FAR_M = 150.0, 300.0, 1500.0
+PLACE_M, NEAR_M, FAR_M, HERE_M = 150.0, 300.0, 1500.0, 200.0
 NEAR_BOOST, FAR_FACTOR = 3.0, 0.25
 MIN_TRIPS, MIN_SCORE, RETURN_SCORE = 2, 0.15, 2.0
 LOG = 200
@@ -73,6 +74,21 @@ def returns(trips: DataFrame, now: Column, hours: int = 12) -> DataFrame:
     return past.where(fresh).select("user", F.col("m.trip").alias("trip"), F.lit(RETURN_SCORE).alias("score"))
 
 
+def ranked_suggestions(candidates: DataFrame, limit: int, x: Column | None = None, y: Column | None = None) -> DataFrame:
+    """The best `limit` of each user's `candidates` (user, id, score, x, y: where they lead), and their rank from 1.
+
+    By falling score, equals by id, a candidate that leads within 150 m of a better one that stays goes, of whatever kind either is. With the user's own position,
+    those that lead within 200 m of it go first. Candidates without a score come last; a null position is near nothing.
+    """
+    far = candidates
+    if x is not None:
+        far = far.where(F.coalesce(F.hypot(F.col("x") - x, F.col("y") - y) > HERE_M, F.lit(True)))
+    best = F.struct(F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("s"), F.col("id").alias("i"))
+    thin = thin_points(far, PLACE_M, ["user"], best)
+    w = Window.partitionBy("user").orderBy(best)
+    return thin.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
 def walk_minutes(metres: Column, speed: float = 1.3, detour: float = 1.3) -> Column:
     """Whole minutes of a walk as the crow flies with detours, at least one."""
     return F.greatest(F.lit(1), F.floor(metres * detour / speed / 60 + 0.5)).cast("int")
@@ -96,9 +112,3 @@ def remaining(path: Column, along: Column, duration: Column) -> Column:
     """Seconds left of a trip whose path has been followed for `along` metres."""
     total = geo.path_length(path)
     return F.when(total > 0, F.greatest(F.lit(0.0), duration * (1 - along / total))).otherwise(0.0)
-
-
-def next_alert(alerts: DataFrame, along: Column, lead: float = 60.0) -> DataFrame:
-    """The first alert of each path that starts within `lead` metres ahead and has not been spoken."""
-    due = alerts.where((~F.col("spoken")) & (F.col("start") - along <= lead) & (F.col("end") >= along))
-    return due.groupBy("path").agg(F.min(F.struct("start", "alert")).alias("m")).select("path", F.col("m.alert").alias("alert"), F.col("m.start").alias("start"))

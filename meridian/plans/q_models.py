@@ -10,6 +10,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from meridian.functions import times
 from meridian.operators import evaluate, models, ranking, rollup, scoring
 from meridian.plans.registry import Registry, table
 from meridian.plans.scratch import Scratch
@@ -145,10 +146,29 @@ def block_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
 
 
 @Q.add("group_folds", """
-    SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1""")
+    WITH RECURSIVE g AS (SELECT c_nationkey, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, c_nationkey) AS i FROM customer GROUP BY 1),
+    w AS (SELECT CAST(0 AS BIGINT) AS i, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS load, 0 AS p, CAST(NULL AS INTEGER) AS c_nationkey, CAST(NULL AS BIGINT) AS n
+          UNION ALL SELECT g.i, list_transform(range(1, 6), lambda j: v.load[j] + CASE WHEN j = v.least THEN g.n ELSE 0 END), v.least, g.c_nationkey, g.n
+          FROM (SELECT i, load, CAST(list_position(load, list_min(load)) AS INTEGER) AS least FROM w) v JOIN g ON g.i = v.i + 1)
+    SELECT c_nationkey, n, p - 1 AS fold FROM w WHERE i > 0""")
 def group_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Nations dealt to folds by their number of customers, the largest first, each to the lightest fold."""
     sizes = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
-    return sizes.join(F.broadcast(evaluate.fold_of_group(sizes, "c_nationkey", 5)), "c_nationkey").where("fold between 0 and 4").select("c_nationkey", "n")
+    return sizes.join(F.broadcast(evaluate.fold_of_group(sizes, "c_nationkey", 5)), "c_nationkey").select("c_nationkey", "n", "fold")
+
+
+@Q.add("temporal_split")
+def temporal_split(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by kind of hour with interactions and hour levels: each cell's multiplier, its factors and the baseline."""
+    kinds = ["view", "click", "error", "purchase", "signup"]
+    hour = F.hour("ts")
+    light = F.when((hour < 6) | (hour > 19), "dark").when(hour.isin(6, 19), "twilight").otherwise("day")
+    rows = table(spark, d, "events").select("event_type", "ts", times.day_group(F.col("ts")).alias("day_group"), hour.alias("hour"), light.alias("light"), (F.minute("ts") < 20).alias("wet"), (F.col("user_id") % 4 == 0).alias("is_ped"))
+    dims = ["day_group", "hour", "light", "wet"]
+    cells = rows.groupBy(*dims).agg(F.countDistinct(F.date_trunc("hour", "ts")).alias("n")).select(*dims, (F.col("n") * F.when(F.col("wet"), 1 / 3).otherwise(2 / 3)).alias("hours"))
+    cells = Scratch(spark).write(rollup.cell_table(rows, cells, rows.select("event_type").distinct(), dims, "event_type", "is_ped"))
+    out = models.fit_temporal(cells, "event_type", kinds, "is_ped", 1e-3).parts(cells.where("is_ped"))
+    return out.select("event_type", *dims, "factors.time_of_day", "factors.day_of_week", F.col("factors.light").alias("darkness"), "factors.rain", "base", "multiplier")
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:

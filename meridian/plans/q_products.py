@@ -58,7 +58,12 @@ def help_place_kinds(spark: SparkSession, d: str) -> DataFrame:
     return safety.help_places(raw, ["1"]).groupBy("kind", "name").agg(F.count("*").alias("n"))
 
 
-@Q.add("thin_points")
+@Q.add("thin_points", """
+    WITH RECURSIVE p AS (SELECT vec_id AS id, label, CAST(embedding[1] AS DOUBLE) * 1000 AS x, CAST(embedding[2] AS DOUBLE) * 1000 AS y, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+    w AS (SELECT label, n, [{'id': id, 'x': x, 'y': y}] AS kept FROM p WHERE n = 1
+          UNION ALL SELECT p.label, p.n, CASE WHEN len(list_filter(w.kept, lambda k: sqrt((k.x - p.x) ** 2 + (k.y - p.y) ** 2) <= 30)) = 0 THEN list_append(w.kept, {'id': p.id, 'x': p.x, 'y': p.y}) ELSE w.kept END
+          FROM w JOIN p ON p.label IS NOT DISTINCT FROM w.label AND p.n = w.n + 1)
+    SELECT unnest(kept).id AS id FROM w QUALIFY row_number() OVER (PARTITION BY label ORDER BY n DESC) = 1""")
 def thin_points(spark: SparkSession, d: str) -> DataFrame:
     return safety.thin_points(points(spark, d), 30.0, ["w"]).select("id")
 
@@ -239,3 +244,16 @@ def graph_index(spark: SparkSession, d: str) -> DataFrame:
 def thin_order(spark: SparkSession, d: str) -> DataFrame:
     """Points of one label thinned in the order of their ids."""
     return safety.thin_points(points(spark, d).where("w = 3"), 30.0, ["w"]).select("id")
+
+
+@Q.add("ranked_suggestions", """
+    WITH RECURSIVE p AS (SELECT user_id, event_id, value, event_id * 37 % 1000 AS x, event_id * 91 % 1000 AS y FROM events WHERE sqrt((event_id * 37 % 1000 - 500) ** 2 + (event_id * 91 % 1000 - 500) ** 2) > 200),
+    o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM p),
+    w AS (SELECT user_id, n, [{'id': event_id, 'x': x, 'y': y}] AS kept FROM o WHERE n = 1
+          UNION ALL SELECT o.user_id, o.n, CASE WHEN len(list_filter(w.kept, lambda k: sqrt((k.x - o.x) ** 2 + (k.y - o.y) ** 2) <= 150)) = 0 THEN list_append(w.kept, {'id': o.event_id, 'x': o.x, 'y': o.y}) ELSE w.kept END
+          FROM w JOIN o ON o.user_id = w.user_id AND o.n = w.n + 1)
+    SELECT user_id, unnest(kept[1:5]).id AS event_id, unnest(range(1, least(len(kept), 5) + 1)) AS rank FROM w QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1""")
+def ranked_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "events").select(F.col("user_id").alias("user"), F.col("event_id").alias("id"), F.col("value").alias("score"), (F.col("event_id") * 37 % 1000).cast("double").alias("x"), (F.col("event_id") * 91 % 1000).cast("double").alias("y"))
+    out = trips.ranked_suggestions(c, 5, F.lit(500.0), F.lit(500.0))
+    return out.select(F.col("user").alias("user_id"), F.col("id").alias("event_id"), F.col("rank").cast("long").alias("rank"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meridian.functions import geo
-from meridian.operators import graph, routing, safety, scoring, spatial
+from meridian.operators import cover, graph, routing, safety, scoring, spatial
 from meridian.plans.registry import Registry, table
 from meridian.plans.scratch import Scratch
 
@@ -159,6 +161,57 @@ def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
     return points(spark, d).select("id", geo.in_polygon(F.col("x"), F.col("y"), rings).alias("inside"))
 
 
+_ZONE = """v AS (SELECT s_suppkey AS polygon, ring, i, abs(s_acctbal) % 80 + 10 + (4 + s_suppkey % 7) * CASE WHEN i % 2 = 0 THEN a ELSE b END * cos(i * 2 * pi() / n) AS x,
+             s_suppkey * 13 % 80 + 10 + (4 + s_suppkey % 7) * CASE WHEN i % 2 = 0 THEN a ELSE b END * sin(i * 2 * pi() / n) AS y
+         FROM supplier, (VALUES (0, 8, 1.0, 0.5), (1, 4, 0.3, 0.3)) AS t(ring, n, a, b), range(8) AS r(i) WHERE i < n AND (ring = 0 OR s_suppkey % 2 = 0)),
+    e AS (SELECT polygon, ring, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM v WINDOW w AS (PARTITION BY polygon, ring ORDER BY i))"""
+_CROSSED = "(e.y1 > p.y) <> (e.y2 > p.y) AND p.x < (e.x2 - e.x1) * (p.y - e.y1) / (e.y2 - e.y1) + e.x1"
+
+
+def zones(spark: SparkSession, d: str) -> DataFrame:
+    """A star around each supplier's place, every other one with a hole."""
+    cx, cy, wide = F.abs("s_acctbal") % 80 + 10, F.col("s_suppkey") * 13 % 80 + 10, 4 + F.col("s_suppkey") % 7
+
+    def ring(n: int, a: float, b: float):
+        def corner(i):
+            k = i % n
+            far = wide * F.when(k % 2 == 0, a).otherwise(b)
+            return F.struct((cx + far * F.cos(k * 2 * math.pi / n)).alias("x"), (cy + far * F.sin(k * 2 * math.pi / n)).alias("y"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(n)), corner)
+
+    star = ring(8, 1.0, 0.5)
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, F.array(star, ring(4, 0.3, 0.3))).otherwise(F.array(star)).alias("rings"))
+
+
+@Q.add("polygon_join", f"""
+    WITH {_ZONE}, p AS (SELECT event_id AS id, value AS x, (event_id * 37 % 1000) / 10.0 AS y FROM events),
+    c AS (SELECT p.id, e.polygon, e.ring, count(*) AS n FROM p JOIN e ON {_CROSSED} GROUP BY ALL)
+    SELECT id, polygon FROM c GROUP BY ALL HAVING bool_or(ring = 0 AND n % 2 = 1) AND NOT bool_or(ring = 1 AND n % 2 = 1)""")
+def polygon_join(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("x"), ((F.col("event_id") * 37 % 1000) / 10.0).alias("y"))
+    return cover.points_in_polygons(p, zones(spark, d), 1.0)
+
+
+@Q.add("polygon_hexes", f"""
+    WITH {_ZONE}, p AS (SELECT q, r, 2 * {ROOT3} * (q + r / 2.0) AS x, 2 * 1.5 * r AS y FROM range(-30, 40) AS a(q), range(-5, 40) AS b(r)),
+    c AS (SELECT e.polygon, p.q, p.r, e.ring, count(*) AS n FROM p JOIN e ON {_CROSSED} GROUP BY ALL)
+    SELECT polygon, q, r FROM c GROUP BY ALL HAVING bool_or(ring = 0 AND n % 2 = 1) AND NOT bool_or(ring = 1 AND n % 2 = 1)""")
+def polygon_hexes(spark: SparkSession, d: str) -> DataFrame:
+    return cover.hexes_in_polygons(zones(spark, d), 2.0).withColumnRenamed("id", "polygon")
+
+
+@Q.add("crossed_cells", f"""
+    WITH {_P}, {_E}, {_H}, f AS (SELECT eid, x1, y1, x2, y2, (x1 * ({ROOT3} / 3) - y1 / 3) / 40 AS q1, (x2 * ({ROOT3} / 3) - y2 / 3) / 40 AS q2, y1 * (2.0 / 3) / 40 AS r1, y2 * (2.0 / 3) / 40 AS r2 FROM e),
+    g AS (SELECT f.*, unnest([{{'a': q1 - r1, 'b': q2 - r2}}, {{'a': q1 + 2 * r1, 'b': q2 + 2 * r2}}, {{'a': -2 * q1 - r1, 'b': -2 * q2 - r2}}]) AS d FROM f),
+    t AS (SELECT eid, (k - d.a) / (d.b - d.a) AS t FROM (SELECT eid, d, unnest(range(CAST(ceil(least(d.a, d.b)) AS BIGINT), CAST(floor(greatest(d.a, d.b)) AS BIGINT) + 1)) AS k FROM g) WHERE d.a <> d.b UNION SELECT eid, 0 FROM e UNION SELECT eid, 1 FROM e),
+    m AS (SELECT eid, t, lead(t) OVER (PARTITION BY eid ORDER BY t) AS t2 FROM t),
+    c AS (SELECT eid, CAST(hq AS BIGINT) AS q, CAST(hr AS BIGINT) AS r FROM {_hex_sql('x', 'y', 40.0).replace('FROM p)', 'FROM (SELECT eid, x1 + (x2 - x1) * (t + t2) / 2 AS x, y1 + (y2 - y1) * (t + t2) / 2 AS y FROM m JOIN e USING (eid) WHERE t2 - t > 1e-9))')} GROUP BY ALL)
+    SELECT eid AS id, count(*) AS n_cells, CAST(coalesce(sum(h.n), 0) AS BIGINT) AS total FROM c LEFT JOIN h ON h.q = c.q AND h.r = c.r GROUP BY 1""")
+def crossed_cells(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.crossed_sums(network(spark, d)[1].withColumnRenamed("eid", "id"), hex_counts(spark, d), "n", 40.0)
+
+
 @Q.add("corridor_counts", f"""
     WITH {_P}, {_E}, s AS (SELECT eid, x1 + (x2 - x1) * i / n AS x, y1 + (y2 - y1) * i / n AS y FROM (SELECT *, greatest(1, CAST(ceil(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) / 20) AS INTEGER)) AS n FROM e), range(4) t(i) WHERE i <= n)
     SELECT e.eid AS id, count(DISTINCT p.id) AS n FROM e JOIN s USING (eid) LEFT JOIN p ON p.w = 7 AND sqrt((p.x - s.x) ** 2 + (p.y - s.y) ** 2) <= 30 GROUP BY 1""")

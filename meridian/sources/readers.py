@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import json
+import math
+import re
 import time
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from datetime import UTC, date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not,
+)
 
 from meridian.functions import geo, times
 
@@ -138,17 +143,76 @@ class Page(InputPartition):
     order: str
 
 
+def _literal(value: object) -> str | None:
+    """A value in a service's SQL; None for what is better compared here."""
+    if isinstance(value, bool):
+        return None
+    if isinstance(value, int | float):
+        return repr(value) if math.isfinite(value) else None
+    if isinstance(value, datetime):
+        return f"TIMESTAMP '{value:%Y-%m-%d %H:%M:%S}'" if value.microsecond == 0 and value.tzinfo is None else None
+    if isinstance(value, date):
+        return f"DATE '{value}'"
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else None
+
+
+_COMPARED = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+
+
+def filter_sql(f: Filter) -> tuple[str, bool] | None:
+    """A filter in a service's SQL and whether that decides it; None if it can't be said.
+
+    Services may compare texts without regard to case, so for texts only what can let too much through is said, and
+    it is tested again here.
+    """
+    if isinstance(f, Not):
+        inner = filter_sql(f.child)
+        return (f"NOT ({inner[0]})", True) if inner and inner[1] and not isinstance(f.child, EqualNullSafe) else None
+    name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+    if name is None or not re.fullmatch(r"\w+", name):
+        return None
+    if isinstance(f, IsNull | IsNotNull):
+        return f"{name} IS {'NOT ' * isinstance(f, IsNotNull)}NULL", True
+    if isinstance(f, In):
+        values = [_literal(v) for v in f.value if v is not None]
+        return (f"{name} IN ({', '.join(values)})", not any(isinstance(v, str) for v in f.value)) if values and None not in values and len(values) == len(f.value) else None
+    if isinstance(f, EqualNullSafe) and f.value is None:
+        return f"{name} IS NULL", True
+    sign = "=" if isinstance(f, EqualNullSafe) else _COMPARED.get(type(f))
+    value = _literal(f.value) if sign else None
+    if value is None or isinstance(f.value, str) and sign != "=":
+        return None
+    return f"{name} {sign} {value}", not isinstance(f.value, str)
+
+
 class FeatureServerReader(DataSourceReader):
-    """Pages of a feature service, each read by a task of its own."""
+    """Pages of a feature service, each read by a task of its own.
 
-    def __init__(self, options: dict):
+    With a schema other than `value` the service is asked for its columns only, and for the rows that filters of the query let through.
+    """
+
+    def __init__(self, options: dict, schema: T.StructType | None = None):
         self.url, self.size = options["url"].rstrip("/"), int(options.get("pageSize", 2000))
-        self.query = {"f": "json", "where": options.get("where", "1=1"), "outFields": options.get("outFields", "*")}
+        self.columns = [c for c in schema.fields] if schema is not None and schema.names != ["value"] else None
+        fields = ",".join(c.name for c in self.columns if c.name != "geometry") if self.columns else "*"
+        self.query = {"f": "json", "where": options.get("where", "1=1"), "outFields": options.get("outFields", fields)}
+        if self.columns and "geometry" not in [c.name for c in self.columns]:
+            self.query["returnGeometry"] = "false"
         if options.get("orderBy"):
             self.query["orderByFields"] = options["orderBy"]
         if options.get("bbox"):
             self.query |= {"geometry": options["bbox"], "geometryType": "esriGeometryEnvelope", "inSR": "4326"}
 
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Filters become part of the service's `where`; those that it doesn't decide are left to Spark."""
+        for f in filters:
+            said = filter_sql(f) if self.columns and "geometry" not in getattr(f, "attribute", ()) else None
+            if said:
+                where = self.query["where"]
+                self.query["where"] = said[0] if where == "1=1" else f"({where}) AND ({said[0]})"
+            if not said or not said[1]:
+                yield f
+
     def get(self, **more: object) -> dict:
         return self.load(f"{self.url}/query?{urllib.parse.urlencode(self.query | more)}")
 
@@ -181,7 +245,22 @@ class FeatureServerReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple[str]]:
         got = self.get(outSR="4326", orderByFields=partition.order, resultOffset=partition.offset, resultRecordCount=self.size)
         for feature in got.get("features", []):
-            yield (json.dumps(feature),)
+            if self.columns is None:
+                yield (json.dumps(feature),)
+            else:
+                found = feature.get("attributes", {})
+                yield tuple(json.dumps(feature.get("geometry")) if c.name == "geometry" else self.cast(found.get(c.name), c.dataType) for c in self.columns)
+
+    @staticmethod
+    def cast(value: object, kind: T.DataType) -> object:
+        """A JSON value as one of the schema; instants are milliseconds."""
+        if value is None:
+            return None
+        if isinstance(kind, T.TimestampType):
+            return datetime.fromtimestamp(value / 1000, UTC)
+        if isinstance(kind, T.IntegralType):
+            return int(value)
+        return float(value) if isinstance(kind, T.FractionalType) else str(value) if isinstance(kind, T.StringType) else value
 
 
 class FeatureServer(DataSource):
@@ -195,4 +274,17 @@ class FeatureServer(DataSource):
         return "value string"
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return FeatureServerReader(self.options)
+        return FeatureServerReader(self.options, schema)
+
+
+def feature_server(spark: SparkSession, url: str, schema: str | None = None, **options: object) -> DataFrame:
+    """A feature service as a table of the columns in `schema` (DDL; `geometry` as JSON text), or of whole features as JSON.
+
+    The service is asked only for those columns, and filters on them become its `where`, so that a DataFrame's filter
+    decides what is sent. Columns that a query does not select but the schema names are sent all the same: Spark prunes no
+    columns of Python sources.
+    """
+    spark.dataSource.register(FeatureServer)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    reader = spark.read.format("featureserver").options(url=url, **options)
+    return (reader.schema(schema) if schema else reader).load()

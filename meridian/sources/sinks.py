@@ -74,6 +74,14 @@ def geojson(path: Column, properties: Column, decimals: int = 5) -> Column:
     return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), points.alias("coordinates")).alias("geometry"), properties.alias("properties")))
 
 
+def outline(rings: Column, properties: Column, tolerance: float, decimals: int = 5) -> Column:
+    """A polygon feature as JSON text, its rings simplified."""
+    from meridian.functions import geo
+
+    points = F.transform(geo.simplify_rings(rings, tolerance), lambda r: F.transform(r, lambda p: F.array(F.round(p["x"], decimals), F.round(p["y"], decimals))))
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), points.alias("coordinates")).alias("geometry"), properties.alias("properties")))
+
+
 def write_partitioned(df: DataFrame, path: str, ts: str, days: int = 90, order: list[str] = ()) -> None:
     """Parquet by chunks of `days`, sorted within files; a chunk is spread over as many tasks as its rows need."""
     chunk = F.floor(F.datediff(F.col(ts), F.lit("1970-01-01")) / days).cast("int")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from meridian.operators.ranking import previous, running
+from meridian.operators.ranking import previous, running, running_within
 
 TTL_DAYS = 14
 GAP_S = 3.0
@@ -32,12 +32,16 @@ def upsert_reports(events: DataFrame, keys: list[str], ttl: Column) -> DataFrame
     """The last report of each key: (keys, created_at, updated_at, expires_at, confirmations).
 
     An event confirms the report that has not expired by then and puts off its end to `ttl`
-    after the event; else it makes a new one. Rows of a key are numbered within it, as each
-    outcome rests on the gaps before it.
+    after the event; else it makes a new one. Each outcome rests on the gap before it, which is found over ranges of
+    (keys, time), so a key may hold any share of the events. Events without a time go.
     """
-    w = Window.partitionBy(*keys).orderBy("ts", "event_id")
-    new = F.lag("ts").over(w).isNull() | (F.lag("ts").over(w) + ttl <= F.col("ts"))
-    runs = events.withColumn("__new", new).withColumn("__run", F.sum(F.col("__new").cast("int")).over(w))
+    order = [*map(F.col, keys), F.col("ts"), F.col("event_id")]
+    e = previous(events.where("ts is not null").select(*keys, "ts", "event_id"), order, {k: f"__{k}" for k in keys} | {"ts": "__p"})
+    same = F.col("__p").isNotNull()
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    new = ~same | (F.col("__p") + ttl <= F.col("ts"))
+    runs = running(e.withColumn("__new", new.cast("long")), order, {"__run": F.col("__new")}, inclusive=True)
     reports = runs.groupBy(*keys, "__run").agg(F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"), F.count("*").alias("confirmations"))
     last = reports.groupBy(*keys).agg(F.max_by(F.struct("created_at", "updated_at", "confirmations"), "__run").alias("r"))
     return last.select(*keys, "r.*", (F.col("r.updated_at") + ttl).alias("expires_at"))
@@ -173,9 +177,9 @@ def check_ins(trips: DataFrame, snoozes: DataFrame, now: Column, grace: Column |
 
 
 def daily_cap(events: DataFrame, key: str, most: int) -> DataFrame:
-    """The first `most` events of each key and day."""
-    w = Window.partitionBy(key, F.to_date("ts")).orderBy("ts", "event_id")
-    return events.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")
+    """The first `most` events of each key and day, numbered over ranges, so that a key may hold any share of a day."""
+    of_day = events.withColumn("__k", F.struct(F.col(key).alias("k"), F.to_date("ts").alias("d")))
+    return running_within(of_day, "__k", [F.col("ts"), F.col("event_id")], {}, "__r").where(F.col("__r") <= most).drop("__k", "__r")
 
 
 def sessions(events: DataFrame, key: str, gap: str = "6 hours") -> DataFrame:
