@@ -1,9 +1,11 @@
 """The training-data operators against brute force, and their defined results for odd rows."""
 
 import hashlib
+import io
 import random
 import struct
 import time
+import wave
 import zlib
 from collections import Counter
 
@@ -815,6 +817,16 @@ def test_op2_rows(spark):
         b, r = (t or "").encode(), got[i]
         p = b + bytes(-len(b) % 64 if b else 64)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        file = io.BytesIO()
+        with wave.open(file, "wb") as w:
+            w.setparams((1, 1, 8000, len(p), "NONE", ""))
+            w.writeframes(p)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(file.getvalue()), hashlib.sha256(file.getvalue()).hexdigest())
+        kind, said, carved, within, n, mean, crossings, histogram = r["feature"].split("|")
+        above = [x * len(p) > sum(p) for x in p]
+        counts = Counter(p)
+        assert (kind, said, carved, within) == ("audio/wav", "corrected", "", "") and (int(n), int(mean)) == (len(p), 1000 * sum(p) // len(p))
+        assert int(crossings) == sum(a != b for a, b in zip(above, above[1:])) and histogram == f"{zlib.crc32(struct.pack('<256q', *[counts[i] for i in range(256)])):08x}"
     assert len(got) == len(docs)
 
 
