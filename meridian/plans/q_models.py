@@ -220,7 +220,7 @@ def monotone_gbm(spark: SparkSession, d: str) -> DataFrame:
 def ensemble_forecast(spark: SparkSession, d: str) -> DataFrame:
     """The ensemble chosen by forecasts of unseen brands, and what each feature adds to its log rate."""
     df = Scratch(spark).write(models.standardize(features(spark, d), ["size", "price", "quantity"]))
-    m = models.fit_ensemble(df, ["z_size", "z_price", "z_quantity"], "y", "exposure", "group", ["z_price"], most=40)
+    m = models.fit_ensemble(df, ["z_size", "z_price", "z_quantity"], "y", "exposure", "group", ["z_price"])
     told = models.explain_ensemble(models.predict_ensemble(df, m), m)
     total = F.aggregate("parts", F.col("base"), lambda s, x: s + x)
     return told.select("l_partkey", F.round("log_mu", 6).alias("log_mu"), F.round("base", 6).alias("base"), (F.abs(total - F.col("log_mu")) < 1e-9).alias("adds_up"))
