@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from meridian.llm.text import local_components
@@ -36,6 +36,8 @@ STRIPE = 512
 CELLS, BOX = 3, 8
 #: Lengths of vectors that get axes of their own, the most frequent first; for the others any axes are as right.
 LENGTHS = 16
+#: Components of vectors whose axes are found, at most: 8 MB of axes a length.
+LONGEST = 1024
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -47,8 +49,10 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def principal_axes(vectors: DataFrame, sizes: list[int]) -> dict[int, np.ndarray]:
     """For each length of vectors, orthonormal axes (columns) of the unit vectors' second moments, strongest first.
 
-    Tasks add up their own moments and Spark the tasks'; the driver gets size * size numbers for each length.
+    Tasks add up their own moments, and a group for each line of the matrix those of the tasks; the driver gets a line of
+    numbers for each component. Lengths over LONGEST have no entry: for them the components are the axes.
     """
+    sizes = [n for n in sizes if n <= LONGEST]
 
     def moments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = {n: np.zeros((n, n)) for n in sizes}
@@ -59,16 +63,16 @@ def principal_axes(vectors: DataFrame, sizes: list[int]) -> dict[int, np.ndarray
                 total[n] += x.T @ x
         for n, m in total.items():
             if m.any():
-                yield pd.DataFrame({"n": n, "i": np.arange(n * n), "m": m.ravel()})
+                yield pd.DataFrame({"n": n, "i": np.arange(n), "line": [r.tobytes() for r in m]})
+
+    def added(g: pd.DataFrame) -> pd.DataFrame:
+        lines = sorted(g["line"])  # in one order, whatever task came first
+        return pd.DataFrame({"n": g["n"].iloc[:1], "i": g["i"].iloc[:1], "line": [np.sum([np.frombuffer(x) for x in lines], axis=0).tobytes()]})
 
     some = vectors.where(F.col("n").isin(sizes)).select("n", "v")
-    rows = some.mapInPandas(moments, "n int, i int, m double").groupBy("n", "i").agg(F.sum("m").alias("m")).toPandas()
-    axes = {}
-    for n, g in rows.groupby("n"):
-        m = np.zeros(n * n)
-        m[g["i"]] = g["m"]
-        axes[int(n)] = np.linalg.eigh(m.reshape(n, n))[1][:, ::-1]
-    return axes
+    schema = "n int, i int, line binary"
+    rows = some.mapInPandas(moments, schema).groupBy("n", "i").applyInPandas(added, schema).toPandas()
+    return {int(n): np.linalg.eigh(np.stack([np.frombuffer(x) for x in g.sort_values("i")["line"]]))[1][:, ::-1] for n, g in rows.groupby("n")}
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -127,7 +131,7 @@ def _tile_links(a: pd.Series, b: pd.Series, axes: np.ndarray, threshold: float)
     return pd.DataFrame({"node": node[hit], "links": links[hit], "root": node[label[hit]]})
 
 
-def _group_links(frames: Iterator[pd.DataFrame], axes: dict[int, np.ndarray], threshold: float) -> Iterator[pd.DataFrame]:
+def _group_links(frames: Iterator[pd.DataFrame], axes: Broadcast, threshold: float) -> Iterator[pd.DataFrame]:
     """The links between the tiles of each two groups (gi, gj) of a partition sorted by them."""
 
     def compared(held: list[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -135,7 +139,7 @@ def _group_links(frames: Iterator[pd.DataFrame], axes: dict[int, np.ndarray], th
         for a in of_i:
             for b in of_j:
                 if (held[0].gi != held[0].gj or a.tile <= b.tile) and not _apart(a, b, threshold):
-                    yield _tile_links(a, b, axes.get(a.n, np.eye(a.n)), threshold)
+                    yield _tile_links(a, b, axes.value.get(a.n, np.eye(a.n)), threshold)
 
     held: list[pd.Series] = []
     for f in frames:
@@ -172,14 +176,14 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, tile:
     sizes = [r["n"] for r in counts.limit(LENGTHS).collect()]
     if not sizes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    axes = principal_axes(nodes, sizes)
+    axes = spark.sparkContext.broadcast(principal_axes(nodes, sizes))
     of_tile = lambda n: max(1, tile // (8 * n))
     parts = sum(-(-r["count"] // of_tile(r["n"])) for r in counts.where(F.col("n").isin(sizes)).collect()) + int(counts.count() > LENGTHS)
 
     def leading(n: int, x: np.ndarray, many: int) -> np.ndarray:
         """Coordinates of the unit vectors on the first axes, as many as asked for."""
         c = np.zeros((len(x), many))
-        known = axes.get(n, np.eye(n))[:, :many]
+        known = (axes.value[n] if n in axes.value else np.eye(n, many))[:, :many]
         c[:, : known.shape[1]] = x @ known / np.linalg.norm(x, axis=1, keepdims=True)
         return c
 
@@ -216,12 +220,19 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, tile:
     schema = "tile long, g long, n int, lo array<double>, hi array<double>, ids binary, many binary, data binary"
     tiles = scratch.write(dealt.mapInPandas(gather, schema))
     boxes = tiles.select("g", "n", "lo", "hi")
-    span = lambda by: F.explode(F.sequence(F.floor(F.col("lo")[0] / reach) - by, F.floor(F.col("hi")[0] / reach) + by)).alias("b")
-    i = boxes.select("n", span(0), F.col("g").alias("gi"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"))
-    j = boxes.select("n", span(1), F.col("g").alias("gj"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"))
+    # boxes that lie near each other share a cell of the leading axes, or have cells next to each other
+    cells = [f"b{k}" for k in range(CELLS)]
+
+    def spread(df: DataFrame, by: int) -> DataFrame:
+        for k, b in enumerate(cells):
+            df = df.select("*", F.explode(F.sequence(F.floor(F.col("lo")[k] / reach) - by, F.floor(F.col("hi")[k] / reach) + by)).alias(b))
+        return df
+
+    i = spread(boxes, 0).select("n", *cells, F.col("g").alias("gi"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"))
+    j = spread(boxes, 1).select("n", *cells, F.col("g").alias("gj"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"))
     gap = "zip_with(zip_with(lo_i, hi_j, (x, y) -> x - y), zip_with(lo_j, hi_i, (x, y) -> x - y), (x, y) -> greatest(x, y, 0D))"
     far = F.expr(f"aggregate({gap}, 0D, (s, x) -> s + x * x)")
-    pairs = i.join(j, ["n", "b"]).where((F.col("gi") <= F.col("gj")) & (far <= reach * reach)).select("gi", "gj").distinct()
+    pairs = i.join(j, ["n", *cells]).where((F.col("gi") <= F.col("gj")) & (far <= reach * reach)).select("gi", "gj").distinct()
     work = pairs.select("gi", "gj", F.explode(F.array_distinct(F.array("gi", "gj"))).alias("g")).join(tiles, "g")
     work = work.repartition(n, "gi", "gj").sortWithinPartitions("gi", "gj", "tile")
     found = scratch.write(work.mapInPandas(lambda fs: _group_links(fs, axes, threshold), "node long, links long, root long"))
