@@ -695,6 +695,14 @@ def test_embeddings_against_brute_force(spark, tile):
     assert embeddings.embedding_components(df.where("vec_id >= 200 and vec_id <> 204")).count() == 6
 
 
+def test_long_vectors_keep_their_own_axes(spark, monkeypatch):
+    vectors = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    expected = sorted(map(tuple, embeddings.embedding_components(vectors, tile=20_000).collect()))
+    monkeypatch.setattr(embeddings, "LONGEST", 8)
+    assert embeddings.principal_axes(vectors.limit(1).selectExpr("1 as n", "array(1d) as v"), [16]) == {}
+    assert sorted(map(tuple, embeddings.embedding_components(vectors, tile=20_000).collect())) == expected
+
+
 def test_embeddings_of_any_scale_length_and_id(spark):
     tiny = 5e-324
     rows = [(1, [1e-200] * 4), (2, [1e200] * 4), (3, [tiny] * 4), (4, [1e300, -1e300, 0.0, 0.0]), (5, [tiny, -tiny, 0.0, 0.0]), (6, [1.0, 2.0]), (7, [2.0, 4.0]), (8, [1.0, 2.0])]
