@@ -12,6 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
+from meridian.functions import times
 from meridian.plans.scratch import Scratch
 
 
@@ -407,22 +408,13 @@ def multipliers(cells: DataFrame, log_rate: str, group: str, hours: str) -> Data
 
 # --- the temporal design
 
-#: Bins of the hour that interact with the kind of traveller.
-HOUR_BINS = [(0, 5), (6, 9), (10, 14), (15, 18), (19, 23)]
 #: The columns of each factor, by a pattern of their names; what they leave is the baseline.
 TEMPORAL_FACTORS = {"time_of_day": "hour", "day_of_week": "day_group", "light": "light", "rain": "wet"}
 #: Levels of the design and the one that each is measured against.
+HOUR_BINS = ["0-5", "6-9", "10-14", "15-18", "19-23"]
 DAY_GROUPS, LIGHTS = ["weekday", "friday", "saturday", "sunday"], ["day", "twilight", "dark"]
 
 
-def hour_bin(hour: Column) -> Column:
-    """The bin of an hour, as `from-to`."""
-    out = F.lit(None).cast("string")
-    for low, high in HOUR_BINS:
-        out = F.when(hour.between(low, high), f"{low}-{high}").otherwise(out)
-    return out
-
-
 @dataclass(frozen=True)
 class TemporalDesign:
     """What a model of counts by kind of hour is made of: levels of the group (the first is the reference) and of the year."""
@@ -439,7 +431,7 @@ class TemporalDesign:
         wet = F.coalesce(F.col("wet").cast("double"), F.lit(0.0))
         group, day, light = hot(self.group, self.levels, self.levels[0]), hot("day_group", DAY_GROUPS, "weekday"), hot("light", LIGHTS, "day")
         hours = {f"hour={h}": (F.col("hour") == h).cast("double") for h in range(24) if h != 12}
-        bins = {f"hour_bin={a}-{b}": F.col("hour").between(a, b).cast("double") for a, b in HOUR_BINS if a != 10}
+        bins = {f"hour_bin={v}": (times.hour_bin(F.col("hour")) == v).cast("double") for v in HOUR_BINS if v != "10-14"}
         year = {f"year={y}": F.coalesce((F.col("year") == y).cast("double"), F.lit(0.0)) if years else F.lit(0.0) for y in self.years[1:]}
         out = {"flag": f} | group | day | hours | light | {"wet": wet}
         out |= {f"flag:{n}": c * f for n, c in (light | bins | day | group | {"wet": wet}).items()} | year | {f"flag:{n}": c * f for n, c in year.items()}

@@ -32,6 +32,19 @@ def area_log_rate(shares: DataFrame, multipliers: DataFrame, key: list[str]) ->
     return both.groupBy(*key, "cell").agg(F.ln(F.greatest(F.lit(1e-12), F.sum(F.col("share") * F.col("multiplier")))).alias("log_rate"))
 
 
+def area_answers(asked: DataFrame, areas: DataFrame, rates: DataFrame, factors: list[str], q: DataFrame, size: float, top: int = 4) -> DataFrame:
+    """(key, q, r, cell, score, band, baseline, factors, remainder): what makes up the score of the hexagon that each ask lies in, at its kind of hour.
+
+    `asked` has key, x, y and cell, `areas` q, r, base and the area's own factors, `rates` q, r, cell and log_rate, the hour's factor (see
+    `area_log_rate`), which counts as time_of_week; `q` is one row with the quantile table. Asks outside the areas, or without a rate for their cell, have no row.
+    """
+    at = area_detail(asked, areas, size).join(rates.select("q", "r", "cell", F.col("log_rate").alias("time_of_week")), ["q", "r", "cell"])
+    rows = at.join(F.broadcast(q.withColumnRenamed("q", "__table")))
+    told = scoring.attribute(F.col("base"), {n: F.col(n) for n in [*factors, "time_of_week"]}, F.col("__table"), top)
+    out = rows.select("key", "q", "r", "cell", told.alias("a"))
+    return out.select("key", "q", "r", "cell", "a.score", text.band(F.col("a.score")).alias("band"), "a.baseline", "a.factors", "a.remainder")
+
+
 def identity_gap(df: DataFrame, decomposed: Column, direct: Column) -> DataFrame:
     """(gap): the largest difference between a decomposed and a direct log density; above 1e-6 the explanation is wrong."""
     return df.agg(F.max(F.abs(decomposed - direct)).alias("gap"))

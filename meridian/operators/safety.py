@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meridian.functions import times
+from meridian.operators.ranking import even_quantiles
+from meridian.operators.scoring import rate_bands
 from meridian.plans.scratch import Scratch
 
 # Fixed values.
@@ -110,6 +112,38 @@ def edge_lighting(own: Column, segment: Column, lamp: Column) -> Column:
     return F.coalesce(known(own), known(segment), F.when(lamp, 1), F.lit(-1))
 
 
+def incident_bands(df: DataFrame, count: str, rate: str, part: str = "day_part", sure: float = 0.9) -> DataFrame:
+    """`df` (one row per area and day part) with exposure and band: how its count compares with the mean rate of its part.
+
+    Exposure is the hourly `rate` of people times the hours of the part; an unknown rate is the part's median, and none is below a
+    millionth. Each part has a prior of its own, see `scoring.rate_bands`. Rows of an unknown part have null exposure and are typical.
+    """
+    hours = F.create_map(*[F.lit(x) for k, h in times.DAY_PARTS.items() for x in (k, float(len(h)))])[F.col(part)]
+    medians = even_quantiles(df.where(F.col(part).isNotNull()), rate, 3, [part]).where("i = 1").select(part, F.col("q").alias("__m"))
+    rows = df.join(F.broadcast(medians), part, "left")  # one row a part
+    rows = rows.withColumn("exposure", F.greatest(F.lit(1e-6), F.coalesce(F.col(rate), "__m")) * hours).select(*df.columns, "exposure")
+    rows = Scratch(df.sparkSession).write(rows)
+    out = rows.where(hours.isNull()).withColumns({"exposure": F.lit(None).cast("double"), "band": F.lit("typical")})
+    for name in times.DAY_PARTS:
+        out = out.unionByName(rate_bands(rows.where(F.col(part) == name), count, "exposure", sure))
+    return out
+
+
+def area_safety(areas: DataFrame, key: str, banded: DataFrame, activity: DataFrame, lit: DataFrame, places: DataFrame, part: str = "day_part") -> DataFrame:
+    """One row per area (`key`): incidents_, band_ and activity_ for each day part, lit_share and places.
+
+    `banded` (key, part, count, band) are incidents, `activity` (key, part, activity) bands of how busy it is, `lit` (key, share) and `places` (key, n) help
+    points; each has a row where something is known. What is missing is 0 incidents or places, typical, unknown, and a null share.
+    """
+    names = list(times.DAY_PARTS)
+    wide = banded.groupBy(key).pivot(part, names).agg(F.sum("count").alias("n"), F.first("band").alias("band"))
+    busy = activity.groupBy(key).pivot(part, names).agg(F.first("activity"))
+    busy = busy.select(key, *[F.col(n).alias(f"activity_{n}") for n in names])
+    out = areas.select(key).join(wide, key, "left").join(busy, key, "left").join(lit.select(key, F.round("share", 3).alias("lit_share")), key, "left").join(places.select(key, F.col("n").alias("places")), key, "left")
+    filled = [c for n in names for c in (F.coalesce(f"{n}_n", F.lit(0)).alias(f"incidents_{n}"), F.coalesce(f"{n}_band", F.lit("typical")).alias(f"band_{n}"), F.coalesce(f"activity_{n}", F.lit("unknown")).alias(f"activity_{n}"))]
+    return out.select(key, *filled, "lit_share", F.coalesce("places", F.lit(0)).alias("places"))
+
+
 def packed_short(c: Column) -> Column:
     """A whole number for 16 bits, halves to even, -1 for unknown."""
     return F.when(c.isNull(), -1).otherwise(F.least(F.lit(32767.0), F.greatest(F.lit(0.0), F.rint(c)))).cast("short")

@@ -323,7 +323,30 @@ def centered_factors(spark: SparkSession, d: str) -> DataFrame:
     return scoring.centered_factors(parts, ["size", "price"]).select("p_partkey", *[F.round(c, 6).alias(c) for c in ("size", "price", "base")])
 
 
-@Q.add("factor_attribution")
+def attribution_sql(rows: str, key: str, factors: list[str], values: str, top: int) -> str:
+    """Tables up to `told` (key, baseline, factors, remainder, score) from `rows` (key, base, factors) and `values` (v), whose quantiles are the scale."""
+    items = ", ".join(f"{{'k': -abs({f}), 'name': '{f}', 'v': {f}}}" for f in factors)
+    points = ", ".join(f"{i}/1000.0" for i in range(1001))
+    return f"""w AS (SELECT {key}, base, list_sort([{items}]) AS items FROM {rows}),
+    sums AS (SELECT {key}, items, list_transform(range(0, {len(factors) + 1}), lambda i: base + coalesce(list_sum(list_transform(items[1:i], lambda x: x.v)), 0)) AS vs FROM w),
+    scale AS (SELECT unnest(range(0, 1001)) AS i, unnest(quantile_cont(v, [{points}])) AS q FROM {values}),
+    steps AS (SELECT q, max(i) AS i, lead(q) OVER (ORDER BY q) AS nq FROM scale GROUP BY q), ends AS (SELECT min(q) AS a, max(q) AS b FROM scale),
+    pts AS (SELECT {key}, unnest(range(1, {len(factors) + 2})) AS n, unnest(vs) AS v FROM sums),
+    hit AS (SELECT pts.*, CASE WHEN v <= a THEN 0.0 WHEN v >= b THEN 100.0 ELSE (i + (v - q) / (nq - q)) * 100 / 1000 END AS s FROM pts ASOF LEFT JOIN steps ON pts.v >= steps.q, ends),
+    sc AS (SELECT {key}, list(s ORDER BY n) AS sc FROM hit GROUP BY ALL),
+    made AS (SELECT {key}, CAST(round_even(sc[1], 0) AS INTEGER) AS baseline, CAST(round_even(sc[{len(factors) + 1}], 0) AS INTEGER) AS score,
+                    list_transform(range(1, {min(top, len(factors)) + 1}), lambda i: {{'name': items[i].name, 'points': CAST(round_even(sc[i + 1] - sc[i], 0) AS INTEGER)}}) AS f FROM sc JOIN sums USING ({key})),
+    told AS (SELECT {key}, baseline, CAST(to_json(f) AS VARCHAR) AS factors, CAST(score - baseline - list_sum(list_transform(f, lambda x: x.points)) AS INTEGER) AS remainder, score FROM made)"""
+
+
+_PARTS = "p_size / 20.0 AS size, ln(1 + p_retailprice) AS price, length(p_name) / 10.0 AS name"
+_CENTERED = "c AS (SELECT p_partkey, CAST(size - avg(size) OVER () AS DOUBLE) AS size, price - avg(price) OVER () AS price, CAST(name - avg(name) OVER () AS DOUBLE) AS name, CAST(avg(size) OVER () + avg(price) OVER () + avg(name) OVER () AS DOUBLE) AS base FROM f)"
+
+
+@Q.add("factor_attribution", f"""
+    WITH f AS (SELECT p_partkey, {_PARTS} FROM part), {_CENTERED}, t AS (SELECT base + size + price + name AS v FROM c),
+    {attribution_sql("c", "p_partkey", ["size", "price", "name"], "t", 2)}
+    SELECT p_partkey, baseline, factors, remainder, score, TRUE AS adds_up FROM told""")
 def factor_attribution(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").select(
         "p_partkey", (F.col("p_size").cast("double") / 20).alias("size"), F.log1p("p_retailprice").alias("price"), (F.length("p_name").cast("double") / 10).alias("name")

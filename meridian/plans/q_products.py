@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from meridian.functions import text
+from meridian.functions import text, times
 from meridian.operators import products, routing, safety, scoring, spatial, trips
+from meridian.plans.q_models import attribution_sql
 from meridian.plans.q_space import _CHOSEN, points
 from meridian.plans.registry import Registry, table
 
@@ -116,13 +117,23 @@ def area_lookup(spark: SparkSession, d: str) -> DataFrame:
     return products.area_detail(people, areas, 10.0).select("c_custkey", F.round("v", 4).alias("around"))
 
 
-@Q.add("segment_detail")
+_BAND = "CASE WHEN score >= 75 THEN 'High' WHEN score >= 50 THEN 'Elevated' WHEN score >= 25 THEN 'Moderate' ELSE 'Lower' END"
+
+
+@Q.add("segment_detail", f"""
+    WITH f AS (SELECT p_partkey, CAST(p_size / 20.0 AS DOUBLE) AS size, ln(1 + p_retailprice) AS price FROM part),
+    s AS (SELECT p_partkey, size - avg(size) OVER () AS size, price - avg(price) OVER () AS price, avg(size) OVER () + avg(price) OVER () AS base FROM f),
+    k AS (SELECT DISTINCT l_partkey, CAST(l_quantity AS INTEGER) % 24 AS cell FROM lineitem), t AS (SELECT base + size + price AS v FROM s),
+    r AS (SELECT l_partkey * 100 + cell AS id, base, size, price, CAST(cell / 10.0 - 1.0 AS DOUBLE) AS hour, CAST(0.1 * (cell % 2) AS DOUBLE) AS wet FROM k JOIN s ON p_partkey = l_partkey),
+    {attribution_sql("r", "id", ["size", "price", "hour", "wet"], "t", 5)}
+    SELECT l_orderkey AS key, l_partkey AS seg, CAST(l_quantity AS INTEGER) % 24 AS cell, score, {_BAND} AS band, baseline, factors, remainder
+    FROM lineitem JOIN told ON id = l_partkey * 100 + CAST(l_quantity AS INTEGER) % 24""")
 def segment_detail(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("seg"), (F.col("p_size").cast("double") / 20).alias("size"), F.log1p("p_retailprice").alias("price"))
     seg = scoring.centered_factors(parts, ["size", "price"])
     cells = spark.createDataFrame([(i, i / 10 - 1.0, 0.1 * (i % 2)) for i in range(24)], "cell int, hour double, wet double")
     q = scoring.quantile_table(seg.select((F.col("base") + F.col("size") + F.col("price")).alias("v")), "v")
-    asked = table(spark, d, "lineitem").select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("key"), F.col("l_partkey").alias("seg"), (F.col("l_quantity") % 24).cast("int").alias("cell"))
+    asked = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("seg"), (F.col("l_quantity") % 24).cast("int").alias("cell"))
     out = products.segment_detail(seg, cells, asked, ["size", "price"], ["hour", "wet"], q)
     return out.select("key", "seg", "cell", "score", "band", "baseline", F.to_json("factors").alias("factors"), "remainder")
 
@@ -149,6 +160,40 @@ def mixture_log_rate(spark: SparkSession, d: str) -> DataFrame:
     return products.area_log_rate(shares, m, ["l_suppkey"]).withColumn("log_rate", F.round("log_rate", 6))
 
 
+@Q.add("area_answers", f"""
+    WITH n AS (SELECT s_nationkey AS q, count(*) AS n, sum(s_acctbal) / 10000 AS wealth FROM supplier GROUP BY 1),
+    a AS (SELECT q, ln(1 + n) - avg(ln(1 + n)) OVER () AS crowd, wealth - avg(wealth) OVER () AS wealth, avg(ln(1 + n)) OVER () + avg(wealth) OVER () AS base FROM n),
+    g AS (SELECT s_nationkey AS q, s_suppkey % 3 AS g, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY s_nationkey) AS share FROM supplier GROUP BY 1, 2),
+    l AS (SELECT q, cell, ln(greatest(1e-12, sum(share * CASE cell WHEN 0 THEN 0.5 + g ELSE 2.0 - g / 2.0 END))) AS time_of_week FROM g, range(2) t(cell) GROUP BY 1, 2),
+    t AS (SELECT base + crowd + wealth AS v FROM a), r AS (SELECT q * 10 + cell AS id, base, crowd, wealth, CAST(time_of_week AS DOUBLE) AS time_of_week FROM a JOIN l USING (q)),
+    {attribution_sql("r", "id", ["crowd", "wealth", "time_of_week"], "t", 4)}
+    SELECT c_custkey AS key, CAST(c_nationkey AS BIGINT) AS q, CAST(c_custkey % 2 AS INTEGER) AS cell, score, {_BAND} AS band, baseline, factors, remainder FROM customer JOIN told ON id = c_nationkey * 10 + c_custkey % 2""")
+def area_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as hexagons of a row: what makes up the score of each customer's, at one of two kinds of hour."""
+    from meridian.functions import geo
+
+    supplier = table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("q"), F.lit(0).cast("long").alias("r"), (F.col("s_suppkey") % 3).alias("group"), "s_acctbal")
+    raw = supplier.groupBy("q", "r").agg(F.log1p(F.count("*").cast("double")).alias("crowd"), (F.sum("s_acctbal") / 10_000).alias("wealth"))
+    areas = scoring.centered_factors(raw, ["crowd", "wealth"])
+    counts = supplier.groupBy("q", "r", "group").agg(F.count("*").alias("n"))
+    shares = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("q", "r")))
+    multipliers = spark.createDataFrame([(g, c, 2.0 - g / 2 if c else 0.5 + g) for g in range(3) for c in range(2)], "group long, cell int, multiplier double")
+    rates = products.area_log_rate(shares, multipliers, ["q", "r"])
+    scale = scoring.quantile_table(areas.select((F.col("base") + F.col("crowd") + F.col("wealth")).alias("v")), "v")
+    x, y = geo.hex_center(F.col("c_nationkey").cast("double"), F.lit(0.0), 10.0)
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), x.alias("x"), y.alias("y"), (F.col("c_custkey") % 2).cast("int").alias("cell"))
+    out = products.area_answers(asked, areas, rates, ["crowd", "wealth"], scale, 10.0)
+    return out.select("key", "q", "cell", "score", "band", "baseline", F.to_json("factors").alias("factors"), "remainder")
+
+
+@Q.add("day_part_bands")
+def day_part_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Users as areas: errors in each part of the day against the mean value of their events there."""
+    rows = table(spark, d, "events").withColumn("day_part", times.day_part(F.hour("ts")))
+    parts = rows.groupBy("user_id", "day_part").agg(F.sum((F.col("event_type") == "error").cast("long")).alias("count"), F.avg(F.when(F.col("event_type") == "view", F.col("value"))).alias("rate"))
+    return safety.incident_bands(parts, "count", "rate").select("user_id", "day_part", "count", F.round("exposure", 6).alias("exposure"), "band")
+
+
 @Q.add("fix_suggestions", """
     SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size % 7 = 0 THEN 'lamps' ELSE 'narrower road' END, CASE WHEN p_size % 2 = 0 THEN 'crossing' END, CASE WHEN p_size % 5 >= 2 AND p_size % 7 > 0 THEN 'lamps' END], lambda x: x IS NOT NULL), '; ') AS fixes FROM part""")
 def fix_suggestions(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from meridian.functions import geo
 from meridian.operators import cover, graph, routing, safety, scoring, spatial
@@ -296,6 +296,25 @@ def path_rescore(spark: SparkSession, d: str) -> DataFrame:
     return routes(spark, d)[1].select("query", "weight", "risk", *[F.round(c, 4).alias(c) for c in ("duration", "length", "exposure", "log_mean", "high_m")])
 
 
+@Q.add("timed_rescore", """
+    WITH s AS (SELECT l_orderkey AS query, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS pos, l_partkey AS eid FROM lineitem),
+    t AS (SELECT query, eid, p_size * 60.0 AS time, p_size * 50.0 AS length, coalesce(sum(p_size * 60.0) OVER (PARTITION BY query ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + p_size * 30.0 AS mid FROM s JOIN part ON p_partkey = eid),
+    h AS (SELECT *, hour(TIMESTAMP '2024-03-05 00:00:00' + to_minutes(query % 1440) + to_seconds(mid)) AS hour FROM t),
+    d AS (SELECT *, exp(CASE WHEN (eid + hour) % 11 = 0 THEN -0.5 ELSE (eid % 7 + hour) / 20.0 - 1 END) * length AS d FROM h)
+    SELECT query, round(sum(time), 4) AS duration, round(sum(length), 4) AS length, round(sum(d) / 100, 4) AS exposure, round(ln(sum(d) / sum(length)), 6) AS log_mean FROM d GROUP BY 1""")
+def timed_rescore(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as paths of parts: each step at the density of the hour in which its middle is passed; what has none counts as -0.5."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")  # the lines of one order
+    paths = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query"), F.lit(0.0).alias("weight"), F.row_number().over(w).alias("pos"), F.col("l_partkey").alias("eid"))
+    edges = table(spark, d, "part").select(F.col("p_partkey").alias("eid"), (F.col("p_size") * 60.0).alias("time"), (F.col("p_size") * 50.0).alias("length"), F.lit(0).alias("score"))
+    departs = paths.select("query").distinct().withColumn("depart", F.timestamp_seconds(F.unix_timestamp(F.lit("2024-03-05 00:00:00").cast("timestamp")) + F.col("query") % 1440 * 60))
+    hours = edges.select("eid", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour")).where((F.col("eid") + F.col("hour")) % 11 != 0)
+    by_hour = hours.withColumn("log_density", (F.col("eid") % 7 + F.col("hour")) / 20.0 - 1)
+    timed = routing.timed_densities(paths, edges, departs, by_hour)
+    out = routing.measure_paths(timed, edges, away=-0.5)
+    return out.select("query", *[F.round(c, 4).alias(c) for c in ("duration", "length", "exposure")], F.round("log_mean", 6).alias("log_mean"))
+
+
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """Order lines as measured paths: line 1 of an order is its fastest, the others are candidates."""
     rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("query"), (F.col("l_linenumber") - 1).cast("double").alias("weight"))

@@ -178,12 +178,6 @@ def test_parts_and_base_add_up_on_every_row(spark, temporal):
     assert [r["m"] for r in mean] == pytest.approx([1.0] * 3)
 
 
-def test_hour_bins(spark):
-    hours = [0, 5, 6, 9, 10, 14, 15, 18, 19, 23]
-    got = [r[0] for r in spark.createDataFrame([(h,) for h in hours], "h int").select(models.hour_bin(F.col("h"))).collect()]
-    assert got == ["0-5", "0-5", "6-9", "6-9", "10-14", "10-14", "15-18", "15-18", "19-23", "19-23"]
-
-
 # --- simplified paths and rings
 
 
@@ -237,7 +231,7 @@ def test_rings_stay_rings(spark):
 @pytest.fixture
 def service():
     """A feature service over a table, that evaluates `where` and remembers what it was asked."""
-    asked, db = [], sqlite3.connect(":memory:", check_same_thread=False)
+    asked, db, lock = [], sqlite3.connect(":memory:", check_same_thread=False), threading.Lock()
     db.execute("CREATE TABLE t (oid INTEGER, kind TEXT COLLATE NOCASE, n INTEGER, v REAL)")
     db.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", [(i, ["a", "A", "b's", None][i % 4], i % 10 if i % 7 else None, i / 4) for i in range(100)])
 
@@ -252,7 +246,8 @@ def service():
                 out = {"objectIdField": "oid"}
             else:
                 asked.append(q)
-                rows = db.execute(f"SELECT oid, kind, n, v FROM t WHERE {q['where']} ORDER BY oid").fetchall()
+                with lock:
+                    rows = db.execute(f"SELECT oid, kind, n, v FROM t WHERE {q['where']} ORDER BY oid").fetchall()
                 start = int(q.get("resultOffset", 0))
                 fields = ["oid", "kind", "n", "v"] if q["outFields"] == "*" else q["outFields"].split(",")
                 page = [dict(zip(("oid", "kind", "n", "v"), r)) for r in rows[start : start + int(q.get("resultRecordCount", 1000))]]
@@ -343,3 +338,43 @@ def test_identity_gap(spark):
 
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 2.5), (None, 1.0)], "a double, b double")
     assert products.identity_gap(df, F.col("a"), F.col("b")).first()["gap"] == 0.5
+
+
+def test_bands_of_each_part_of_the_day(spark):
+    from meridian.operators import safety
+
+    rng = random.Random(4)
+    rows = [(i, p, rng.choice([0, 1, 2, 3, 30 if i % 9 == 0 else 4]), None if i % 5 == 0 else rng.uniform(0.5, 3)) for i in range(40) for p in ("night", "morning", "evening")] + [(99, None, 5, 1.0)]
+    df = spark.createDataFrame(rows, "area long, day_part string, n long, rate double")
+    got = {(r["area"], r["day_part"]): (r["exposure"], r["band"]) for r in safety.incident_bands(df, "n", "rate").collect()}
+    assert got[99, None] == (None, "typical")
+    for part, hours in (("night", 8), ("morning", 6), ("evening", 4)):
+        mine = [(a, n, r) for a, p, n, r in rows if p == part]
+        median = float(np.median([r for _, _, r in mine if r is not None]))
+        exposure = {a: (median if r is None else r) * hours for a, _, r in mine}
+        y, e = np.array([n for _, n, _ in mine], float), np.array([exposure[a] for a, _, _ in mine])
+        m = y.sum() / e.sum()
+        variance = (((y - e * m) ** 2).sum() - y.sum()) / (e**2).sum()
+        alpha = m * m / variance
+        for a, n, _ in mine:
+            shape, rate = n + alpha, exposure[a] + alpha / m
+            x = (np.arange(200_000) + 0.5) / 200_000 * m  # the chance of a rate under the mean, by the midpoint rule
+            below = float(np.exp(shape * math.log(rate) + (shape - 1) * np.log(x) - rate * x - math.lgamma(shape)).sum() * m / 200_000)
+            band = "higher" if n > 0 and 1 - below >= 0.9 else "lower" if below >= 0.9 else "typical"
+            assert got[a, part][0] == pytest.approx(exposure[a]) and (got[a, part][1] == band or abs(below - 0.9) < 1e-3 or abs(below - 0.1) < 1e-3)
+    assert len({b for _, b in got.values()}) > 1
+    assert safety.incident_bands(df.limit(0), "n", "rate").count() == 0
+
+
+def test_safety_of_areas(spark):
+    from meridian.operators import safety
+
+    areas = spark.createDataFrame([(1,), (2,)], "area long")
+    banded = spark.createDataFrame([(1, "night", 3, "higher"), (1, "morning", 1, "typical"), (7, "night", 9, "higher")], "area long, day_part string, count long, band string")
+    activity = spark.createDataFrame([(1, "night", "quiet"), (2, "evening", "busy")], "area long, day_part string, activity string")
+    lit = spark.createDataFrame([(1, 0.12345)], "area long, share double")
+    places = spark.createDataFrame([(2, 4)], "area long, n long")
+    got = {r["area"]: r for r in safety.area_safety(areas, "area", banded, activity, lit, places).collect()}
+    assert set(got) == {1, 2}
+    assert (got[1]["incidents_night"], got[1]["band_night"], got[1]["activity_night"], got[1]["incidents_evening"], got[1]["lit_share"], got[1]["places"]) == (3, "higher", "quiet", 0, 0.123, 0)
+    assert (got[2]["incidents_night"], got[2]["band_morning"], got[2]["activity_evening"], got[2]["activity_night"], got[2]["lit_share"], got[2]["places"]) == (0, "typical", "busy", "unknown", None, 4)
