@@ -42,7 +42,7 @@ def _numbered(turns: DataFrame) -> DataFrame:
 
 
 def rebuilt(turns: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(conv_id, p, digest, chars) of the rebuilt conversations, and (conv_id, n), the number of turns of each.
+    """(conv_id, n, p, digest, chars) of the rebuilt conversations, and (conv_id, n), the number of turns of each.
 
     A conversation c starts with the first h turns of conversation c - c % 100 (all of them
     if it has fewer, none if there is no such conversation) and goes on with its own turns
@@ -56,8 +56,8 @@ def rebuilt(turns: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     heads = heads.groupBy(F.col("conv_id").alias("base")).agg(F.sort_array(F.collect_list(F.struct("p", "digest", "chars"))).alias("head"))
     lent = F.when(F.col("head").isNull(), 0).otherwise(F.least(F.col("h"), F.size("head")))
     plans = scratch.write(convs.join(heads, "base", "left").select("conv_id", "h", F.expr("slice(head, 1, int(h))").alias("head"), lent.alias("lent"), (lent + F.greatest(F.lit(0), F.col("own") - F.col("h"))).alias("n")))
-    shared = plans.select("conv_id", F.inline("head"))
-    own = numbered.join(plans.select("conv_id", "h", "lent"), "conv_id").where("p > h").select("conv_id", (F.col("p") - F.col("h") + F.col("lent")).alias("p"), "digest", "chars")
+    shared = plans.select("conv_id", "n", F.inline("head"))
+    own = numbered.join(plans.select("conv_id", "n", "h", "lent"), "conv_id").where("p > h").select("conv_id", "n", (F.col("p") - F.col("h") + F.col("lent")).alias("p"), "digest", "chars")
     return shared.unionByName(own), plans.select("conv_id", "n")
 
 
@@ -93,30 +93,32 @@ def _digests(ends: DataFrame) -> DataFrame:
     return chunks.repartition(n, *_KEY).sortWithinPartitions(*_KEY, "part", "c").select(*_KEY, "ids").mapInPandas(run, "a long, b long, ends_sha256 string")
 
 
-def rollup(nodes: DataFrame, scratch: Scratch, deepest: int) -> DataFrame:
-    """(a, b, n_leaves, saved): of each node of (a, b, pa, pb, depth, n_leaves, saved), what all its descendants add to its own.
+def rollup(nodes: DataFrame, scratch: Scratch, deepest: int) -> tuple[DataFrame, DataFrame]:
+    """What all descendants add: rows (a, b, n_children, n_leaves, saved) to be summed by node, and (a, b, parent_conv_id) of nodes under depth 1.
 
-    (pa, pb) names the parent; only the root, at depth 0, has none. `deepest` is the greatest
-    depth. A node that many point at is summed map-side; looking up its pointer is a join
+    `nodes` has a, b, conv_id, depth, n_leaves, saved and (pa, pb), which names the parent; only the root, at depth 0, has none. `deepest` is the
+    greatest depth. A node that many point at is summed map-side; looking up its pointer is a join
     of two written tables, which AQE can split.
     """
-    gained, active, reach = [], scratch.write(nodes.where("depth > 0").select(*_KEY, *_UP, "depth", "n_leaves", "saved")), 1
+    active = scratch.write(nodes.where("depth > 0").select(*_KEY, *_UP, "conv_id", "depth", "n_leaves", "saved"))
+    gained, parents, reach = None, None, 1
     while reach <= deepest:
-        sums = active.groupBy(F.col("pa").alias("a"), F.col("pb").alias("b")).agg(F.sum("n_leaves").alias("n_leaves"), F.sum("saved").alias("saved"))
-        sums = scratch.write(sums)
-        gained.append(sums)
+        above = active.groupBy(F.col("pa").alias("a"), F.col("pb").alias("b"))
+        kids = F.count("*") if reach == 1 else F.lit(0).cast("long")
+        sums = scratch.write(above.agg(kids.alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved").alias("saved")))
+        gained = sums if gained is None else gained.unionByName(sums)
+        if 2 * reach > deepest:
+            break
         rest = active.where(F.col("depth") >= 2 * reach)
-        target = active.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("pa").alias("qa"), F.col("pb").alias("qb"))
-        jumped = rest.join(target, _UP).select(*_KEY, F.col("qa").alias("pa"), F.col("qb").alias("pb"), "depth", "n_leaves", "saved")
-        more = sums.withColumnsRenamed({"n_leaves": "l", "saved": "s"})
+        target = active.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("pa").alias("qa"), F.col("pb").alias("qb"), F.col("conv_id").alias("of"))
+        jumped = rest.join(target, _UP).select(*_KEY, F.col("qa").alias("pa"), F.col("qb").alias("pb"), "of", "conv_id", "depth", "n_leaves", "saved")
+        more = sums.select(*_KEY, F.col("n_leaves").alias("l"), F.col("saved").alias("s"))
         added = {"n_leaves": F.col("n_leaves") + F.coalesce("l", F.lit(0)), "saved": F.col("saved") + F.coalesce("s", F.lit(0))}
-        old, active = active, scratch.write(jumped.join(more, _KEY, "left").withColumns(added).drop("l", "s"))
-        scratch.free(old)
+        active = scratch.write(jumped.join(more, _KEY, "left").withColumns(added).drop("l", "s"))
+        parents = active.select(*_KEY, F.col("of").alias("parent_conv_id")) if parents is None else parents
+        active = active.drop("of")
         reach *= 2
-    total = nodes.select(*_KEY, "n_leaves", "saved")
-    for sums in gained:
-        total = total.unionByName(sums)
-    return total.groupBy(*_KEY).agg(F.sum("n_leaves").alias("n_leaves"), F.sum("saved").alias("saved"))
+    return gained, parents
 
 
 def prefix_trie(turns: DataFrame) -> DataFrame:
@@ -139,31 +141,30 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
     rows = rows.withColumns(dict(zip(["x0", "x1", "x2", "x3"], parts)))
     rows = running_within(rows, "conv_id", [F.col("p")], {s: F.col(f"x{i}") for i, s in enumerate(_SUMS)})
     here, above = [F.col(s) for s in _SUMS], [F.col(s) - F.col(f"x{i}") for i, s in enumerate(_SUMS)]
-    rows = scratch.write(rows.select("conv_id", "p", "chars", *_name(F.col("p"), here, _KEY), *_name(F.col("p") - 1, above, _UP)))
-    of_node = [F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), *[F.first(c).alias(c) for c in ("chars", "pa", "pb")]]
+    rows = scratch.write(rows.select("conv_id", "n", "p", "chars", *_name(F.col("p"), here, _KEY), *_name(F.col("p") - 1, above, _UP)))
+    # a node has no child if all its members end there
+    of_node = [F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.sum((F.col("p") == F.col("n")).cast("long")).alias("n_ends"), *[F.first(c).alias(c) for c in ("chars", "pa", "pb")]]
     below = rows.groupBy(*_KEY, F.col("p").alias("depth")).agg(*of_node)
-    zero = [F.lit(0).cast("long")] * len(_SUMS)
-    root = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0")
-    no_parent = [F.lit(None).cast("long").alias(c) for c in _UP]
-    root = root.select(*_name(F.lit(0).cast("long"), zero, _KEY), F.lit(0).cast("long").alias("depth"), "conv_id", "n_convs", F.lit(0).cast("long").alias("chars"), *no_parent)
-    nodes = scratch.write(below.unionByName(root))
-    kids = nodes.where("depth > 0").groupBy(F.col("pa").alias("a"), F.col("pb").alias("b")).agg(F.count("*").alias("n_children"))
-    nodes = nodes.join(kids, _KEY, "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
-    nodes = nodes.withColumns({"n_leaves": (F.col("n_children") == 0).cast("long"), "saved": (F.col("n_convs") - 1) * F.col("chars")})
+    zero, none = [F.lit(0).cast("long")] * len(_SUMS), F.lit(None).cast("long")
+    at_root = _name(F.lit(0).cast("long"), zero, _KEY)
+    root = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.sum((F.col("n") == 0).cast("long")).alias("n_ends")).where("n_convs > 0")
+    root = root.select(*at_root, F.lit(0).cast("long").alias("depth"), "conv_id", "n_convs", "n_ends", F.lit(0).cast("long").alias("chars"), *[none.alias(c) for c in _UP])
+    nodes = below.unionByName(root).withColumns({"n_leaves": (F.col("n_ends") == F.col("n_convs")).cast("long"), "saved": (F.col("n_convs") - 1) * F.col("chars")})
     nodes = scratch.write(nodes)
-    totals = rollup(nodes, scratch, nodes.agg(F.max("depth")).head()[0] or 0)
-    last = convs.join(rows, (rows["conv_id"] == convs["conv_id"]) & (rows["p"] == convs["n"])).select(*_KEY, rows["conv_id"])
-    last = last.unionByName(convs.where("n = 0").select(*_name(F.lit(0).cast("long"), zero, _KEY), "conv_id"))
-    parents = nodes.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("conv_id").alias("parent_conv_id"))
-    # most nodes of the first level have one parent, so it is not looked up by its name
-    top = nodes.where("depth = 0").select(F.col("conv_id").alias("top"))
-    named = nodes.where("depth > 1").join(parents, _UP).unionByName(nodes.where("depth = 1").join(F.broadcast(top)).withColumnRenamed("top", "parent_conv_id"))
-    named = named.unionByName(nodes.where("depth = 0").withColumn("parent_conv_id", F.lit(None).cast("long")))
-    out = named.drop("n_leaves", "saved").join(totals, _KEY).join(_digests(last), _KEY, "left")
-    none = hashlib.sha256(b"").hexdigest()
-    return out.select(
-        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(none)).alias("ends_sha256")
-    )
+    deepest, first = nodes.agg(F.max("depth"), F.min("conv_id")).head()
+    gained, parents = rollup(nodes, scratch, deepest or 0)
+    last = rows.where("p = n").select(*_KEY, "conv_id").unionByName(convs.where("n = 0").select(*at_root, "conv_id"))
+    # what is known of a node meets in one shuffle by its name; most nodes of the first level have one parent, whose id is known
+    own = nodes.select(*_KEY, "conv_id", "depth", F.when(F.col("depth") == 1, F.lit(first)).alias("parent_conv_id"), "n_convs", "n_leaves", "saved")
+    for more in (gained, parents, _digests(last)):
+        own = own if more is None else own.unionByName(more, allowMissingColumns=True)
+    if "n_children" not in own.columns:
+        own = own.withColumn("n_children", none)
+    out = own.groupBy(*_KEY).agg(
+        *[F.max(c).alias(c) for c in ("conv_id", "depth", "parent_conv_id", "n_convs")], *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("n_children", "n_children"), ("n_leaves", "n_leaves"), ("saved", "saved_tokens"))],
+        F.coalesce(F.max("ends_sha256"), F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256"),
+    )
+    return out.drop(*_KEY)
 
 
 #: crc32 of a decimal number as text; {0} is the number.

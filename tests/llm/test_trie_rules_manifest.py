@@ -78,7 +78,7 @@ def test_trie_takes_logarithmic_rounds(spark, monkeypatch):
     rows = [(300, t, "user", str(t)) for t in range(400)]
     out = conversations.prefix_trie(spark.createDataFrame(rows, TURNS))
     assert out.agg(F.max("depth")).head()[0] == 400
-    assert sum(c == ["a", "b", "n_leaves", "saved"] for c in rounds) == 9
+    assert sum(c == ["a", "b", "n_children", "n_leaves", "saved"] for c in rounds) == 9
 
 
 def test_running_within(spark):
