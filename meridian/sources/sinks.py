@@ -53,14 +53,21 @@ def changed_tables(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select("name", state.alias("state")).where("state is not null")
 
 
+def _pointers(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("version string, n long, at long").parquet(f"{root}/_current")
+
+
 def point_to(spark: SparkSession, root: str, version: str) -> None:
-    """Make a version the current one. Pointers are only ever added, so readers see the old or the new one at any time."""
-    spark.createDataFrame([(version, time.time_ns())], "version string, at long").coalesce(1).write.mode("append").parquet(f"{root}/_current")
+    """Make a version the current one. Pointers are numbered and only ever added, so readers see the old or the new one at any time, whatever the writers' clocks say."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/_current")
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    n = (_pointers(spark, root).agg(F.max("n")).first()[0] or 0) + 1 if there else 1
+    spark.createDataFrame([(version, n, time.time_ns())], "version string, n long, at long").coalesce(1).write.mode("append").parquet(f"{root}/_current")
 
 
 def current(spark: SparkSession, root: str) -> str:
-    """The version that was pointed to last."""
-    return spark.read.parquet(f"{root}/_current").agg(F.max_by("version", "at").alias("version")).first()["version"]
+    """The version that was pointed to last: of the greatest number, and of two writers that took the same one the later by its clock."""
+    return _pointers(spark, root).agg(F.max_by("version", F.struct("n", "at")).alias("version")).first()["version"]
 
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
