@@ -109,8 +109,8 @@ CLUSTERS_SQL = f"""
 
 
 def clustered(spark: SparkSession, d: str) -> DataFrame:
-    crashes = crashes(spark, d)
-    return ingest.cluster_events(crashes, ingest.duplicate_links(crashes, 0.5, 1800))
+    rows = crashes(spark, d)
+    return ingest.cluster_events(rows, ingest.duplicate_links(rows, 0.5, 1800))
 
 
 @Q.add("fuzzy_dedupe_cc", CLUSTERS_SQL + " SELECT id, cluster FROM cluster")
