@@ -89,8 +89,10 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 def train(docs: DataFrame, per_lang: int = PER_LANG, centroids: int = CENTROIDS) -> Centroids:
     """Fit on a sample of the rows of `docs` (doc_id, text, lang) that have a text and a lang.
 
-    The sample takes about `per_lang` rows of each of the LANGS most frequent languages,
-    chosen by a hash of doc_id, so its size does not follow the corpus.
+    The sample takes about `per_lang` rows of each of the LANGS most frequent languages (of
+    equally frequent ones the first by name), chosen by a hash of doc_id, so its size does not follow the corpus.
+    Repeated rows count as often as they come up. Rows that lack doc_id, text or lang, and texts without a letter,
+    teach nothing; an empty table gives a model without languages, which rejects everything.
     """
     docs = docs.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}

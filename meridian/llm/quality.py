@@ -164,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
     """Fit on the labelled documents: at most `sample` labels, the first by a hash of doc_id.
 
     `labels` has doc_id and label (0 or 1); rows with a null in either are passed over, and
-    a document's repeated labels count once, as the smallest.
+    a document's repeated labels count once, as the smallest. A null text is learned from as an empty one, and rows that
+    repeat a labelled doc_id as documents of that label. Without labels the model gives 0.5 to all.
     """
     labels = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = labels.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(sample)

@@ -54,7 +54,10 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the 64-bit fingerprints as signed longs, of every row; null and empty texts have 0."""
+    """(doc_id, fp): the 64-bit fingerprints as signed longs, of every row; null and empty texts have 0.
+
+    Repeated rows give repeated results, a null doc_id stays null, and an empty table gives an empty one. Extra columns go.
+    """
 
     def run(texts: list[str | None]) -> dict[str, list]:
         return {"fp": [fingerprint(t, shingle).view(np.int64)[0] for t in utf8(texts)]}
