@@ -12,13 +12,21 @@ from meridian.llm.queries import vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID does not reject, with the language it finds in place of theirs."""
+    """Documents that language ID does not reject, with the language it finds in place of theirs.
+
+    The model learns from the sample that `langid.train` takes of `docs`. Null texts and those without a letter are rejected; rows
+    that repeat each other meet the same fate, equal cosines go to the first language by name; an empty table gives an empty one. Extra columns pass through.
+    """
     found = langid.identify(docs, langid.train(docs)).where("not rejected")
     return found.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the runs of lines that an earlier one has; those left without text go."""
+    """Documents less the runs of lines that an earlier one has; those that lose all but white space go.
+
+    Earlier is a smaller (doc_id, hash of the text). Null texts stay as they are, as do rows without a doc_id, which are compared with nothing; rows
+    that repeat doc_id and text get equal results; an empty table gives an empty one. Extra columns pass through.
+    """
     return _measured(lines.line_dedup(docs), docs)
 
 
@@ -32,13 +40,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the passages of 20 words or more that start earlier; those left without text go."""
+    """Documents less the passages of 20 words or more that start earlier; those that lose all but white space go.
+
+    Texts without such a passage stay as they are, null and empty ones too; from others the words that stay are joined by one
+    space. Rows that repeat doc_id and text get equal results; an empty table gives an empty one. Extra columns pass through.
+    """
     out = substring.substring_dedup(docs)
     return _measured(out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens, one row per piece."""
+    """Sequences of at most 2048 tokens, one row per piece, with the columns of `packing.pack` in place of those of documents.
+
+    A null text counts as empty and is one token long; repeated rows are packed each for itself; an empty table gives no pieces.
+    """
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), digest=True)
 
 
