@@ -345,7 +345,8 @@ def set_shared(spark: SparkSession, d: str) -> DataFrame:
     from meridian.operators.routing import shared_names
 
     a, b = (F.collect_set(F.when(c, F.col("event_type"))) for c in (F.col("value") >= 100, F.col("value") < 20))
-    return table(spark, d, "events").groupBy("user_id").agg(F.array_join(shared_names(a, b), ",").alias("names"))
+    known = F.size(a) > 0  # who has no first list has nothing to share, which is null in SQL and not an empty list
+    return table(spark, d, "events").groupBy("user_id").agg(F.when(known, F.array_join(shared_names(a, b), ",")).alias("names"))
 
 
 @Q.add("set_avoided", """
