@@ -99,12 +99,12 @@ def day_part_rates(volumes: DataFrame, periods: dict[str, tuple[int, int]]) -> D
     An hour takes its period's volume over the period's length. Hours of a null period are
     left out; a day part without a known hour is null.
     """
-    of_hour = {h: (c, b - a) for c, (a, b) in periods.items() for h in range(a, b)}
     out = {}
     for part, hours in times.DAY_PARTS.items():
-        known = [of_hour[h] for h in hours if h in of_hour]
-        total = sum((F.coalesce(F.col(c) / n, F.lit(0.0)) for c, n in known), F.lit(0.0))
-        count = sum((F.col(c).isNotNull().cast("int") for c, _ in known), F.lit(0))
+        met = [(c, b - a, len(set(hours) & set(range(a, b)))) for c, (a, b) in periods.items()]
+        known = [m for m in met if m[2]]  # a period's rate times its hours, not the rate added hour by hour, which adds up its rounding
+        total = sum((F.coalesce(F.col(c) / n * shared, F.lit(0.0)) for c, n, shared in known), F.lit(0.0))
+        count = sum((F.when(F.col(c).isNotNull(), shared).otherwise(0) for c, _, shared in known), F.lit(0))
         out[part] = F.when(count > 0, total / count)
     return volumes.withColumns(out)
 
