@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from meridian.functions import times
 from meridian.operators import evaluate, models, ranking, rollup, scoring
@@ -386,5 +386,7 @@ def log_mean_exp(spark: SparkSession, d: str) -> DataFrame:
     SELECT user_id, string_agg(CAST(s AS VARCHAR), ',' ORDER BY h) AS scores FROM (
       SELECT user_id, hour(ts) AS h, CAST(round_even(least(100.0, sum(value) / 10), 0) AS INTEGER) AS s FROM events GROUP BY 1, 2) GROUP BY 1""")
 def frame_pack(spark: SparkSession, d: str) -> DataFrame:
-    grid = table(spark, d, "events").groupBy("user_id", F.hour("ts").alias("hour")).agg((F.sum("value") / 10).alias("v"))
+    w = Window.partitionBy("user_id", "hour").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)  # a sum at a half turns on the order of its addends
+    sums = table(spark, d, "events").select("user_id", F.hour("ts").alias("hour"), "event_id", "value").withColumn("sum", F.sum("value").over(w))
+    grid = sums.groupBy("user_id", "hour").agg((F.max_by("sum", "event_id") / 10).alias("v"))
     return scoring.frames(grid, "user_id", "v").select("user_id", F.array_join(F.transform("scores", lambda x: x.cast("string")), ",").alias("scores"))
