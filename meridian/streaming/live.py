@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from meridian.streaming.state import walked
@@ -86,24 +86,58 @@ def _in_reach(positions: DataFrame, alerts: DataFrame, path: str, lead: float) -
     return positions.join(reach, path).where((F.col("along") >= F.col("start") - lead) & (F.col("along") < F.col("__end"))).drop("start", "__end")
 
 
+def _first_in_reach(positions: DataFrame, alerts: DataFrame, key: str, path: str, gap: float, lead: float) -> DataFrame:
+    """Positions (event_id, ts, key) in reach of an alert, with alerts: those of them, in order, that can matter.
+
+    A walk speaks once in `gap` seconds, so by a time it has spoken no more alerts than gaps have passed since the first position of its
+    key; one more than that is all a position needs of what it is in reach of. Stretches of a path as long as an eighth of `lead` have
+    a list each: of the alerts in reach of all their positions the first that any of these needs, and all that are in reach of some.
+    So a position meets a list and not every alert of its path. Positions without a finite place are in reach of nothing.
+    """
+    width = max(lead, 1.0) / 8
+    cell = lambda c: F.floor(c / width)
+    since = positions.groupBy(key).agg(F.min(F.col("ts").cast("double")).alias("__since"))
+    # one more than needed, as a quotient may be a little too small
+    needed = (F.floor((F.col("ts").cast("double") - F.col("__since")) / gap) + 2).cast("int")
+    p = positions.where(F.abs("along") < float("inf")).join(since, key).select("event_id", "ts", key, path, "along", needed.alias("__needed"), cell(F.col("along")).alias("__cell"))
+    held = p.groupBy(path, "__cell").agg(F.min("along").alias("__low"), F.max("along").alias("__high"), F.max("__needed").alias("__most"))
+    ends = held.groupBy(path).agg(F.min("__cell").alias("__a"), F.max("__cell").alias("__b"))
+    span = alerts.join(ends, path).select(path, "alert", "start", "end", F.greatest("__a", cell(F.col("start") - lead)).alias("__a"), F.least("__b", cell(F.col("end"))).alias("__b"))
+    spread = span.where("__a <= __b").select(path, "alert", "start", "end", F.explode(F.sequence("__a", "__b")).alias("__cell"))
+    met = held.join(spread.hint("merge"), [path, "__cell"]).where((F.col("__high") >= F.col("start") - lead) & (F.col("__low") < F.col("end")))
+    whole = (F.col("__low") >= F.col("start") - lead) & (F.col("__high") < F.col("end"))
+    place = F.dense_rank().over(Window.partitionBy(path, "__cell", "__whole").orderBy("alert"))  # the alerts around one stretch
+    kept = met.withColumn("__whole", whole).withColumn("__place", place).where("not __whole or __place <= __most")
+    lists = kept.groupBy(path, "__cell").agg(F.array_sort(F.collect_list(F.struct("alert", "start", "end"))).alias("__l"))
+    reached = F.filter("__l", lambda x: (F.col("along") >= x["start"] - lead) & (F.col("along") < x["end"]))
+    first = F.slice(F.array_distinct(F.transform(reached, lambda x: x["alert"])), F.lit(1), F.col("__needed"))
+    return p.join(lists, [path, "__cell"]).select("event_id", "ts", key, first.alias("alerts")).where(F.size("alerts") > 0)
+
+
 def due_alerts(positions: DataFrame, alerts: DataFrame, key: str, path: str = "path", gap: float = ALERT_GAP_S, lead: float = LEAD_M, life: float = SESSION_S) -> DataFrame:
     """(event_id, alert): the alerts that are spoken along each walk, and the position at which each is.
 
     `positions` has event_id, ts, the key of its walk, path and along (metres); `alerts` has path, alert (numbered along the path), start
     and end. A position speaks the first alert in reach that its walk has not spoken, at least `gap` seconds after the last.
-    Only positions in reach of an alert are walked, with the spoken alerts of one walk as the state. Positions at one time are
-    taken by event_id; those without a key or a time go.
+    Only positions in reach of an alert are walked, with the spoken alerts of one walk as the state, and bring no more alerts than their walk
+    can have spoken before, and one. Positions at one time are taken by event_id; those without a key or a time go.
     """
-    near = _in_reach(positions.select("event_id", "ts", key, path, "along"), alerts, path, lead)
-    # positions in reach of several alerts have several rows; the first alert comes first, and after it the gap holds the others back
-    rows = near.withColumn("__at", F.struct("event_id", "alert"))
-    rows = rows.select(key, "ts", F.col("__at").alias("event_id"))
+    positions = positions.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).select("event_id", "ts", key, path, "along")
+    if gap > 0:
+        rows = _first_in_reach(positions, alerts, key, path, gap, lead)
+    else:
+        near = _in_reach(positions, alerts, path, lead)
+        rows = near.groupBy("event_id", "ts", key).agg(F.array_sort(F.collect_set("alert")).alias("alerts"))
 
     def step(held: tuple | None, event: tuple) -> tuple[tuple, tuple | None]:
-        at, t = event
-        return due_alert(held, (at["event_id"], t, at["alert"]), gap, life)
-
-    return walked(rows, key, life, [], step, "event_id long, alert long")
+        i, t, alerts = event
+        for alert in alerts:
+            held, spoken = due_alert(held, (i, t, alert), gap, life)
+            if spoken:
+                return held, spoken
+        return held, None
+
+    return walked(rows, key, life, ["alerts"], step, "event_id long, alert long")
 
 
 class _Ordered(StatefulProcessor):
