@@ -79,10 +79,10 @@ def thin_points(points: DataFrame, radius: float, by: list[str], first: Column |
     around = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in range(-2, 3) for j in range(-2, 3)])
 
     def near(these: DataFrame) -> DataFrame:
-        """Undecided points with each of `these` within the radius, as t."""
+        """Undecided points with each of `these` within the radius, as t. Copies of `these` go to 25 cells, which no size of a file tells, so no side is broadcast."""
         sent = these.select("g", F.struct("id", "x", "y", "first").alias("t"), "cx", "cy", F.explode(around).alias("d"))
         sent = sent.select("g", "t", (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"))
-        return left.join(sent, key).where(F.hypot(F.col("x") - F.col("t.x"), F.col("y") - F.col("t.y")) <= radius)
+        return left.join(sent.hint("merge"), key).where(F.hypot(F.col("x") - F.col("t.x"), F.col("y") - F.col("t.y")) <= radius)
 
     while not left.isEmpty():
         heads = scratch.write(left.groupBy(*key).agg(F.min_by(F.struct("id", "x", "y", "first"), "first").alias("h")).select(*key, "h.*"))
