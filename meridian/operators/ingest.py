@@ -109,7 +109,7 @@ def duplicate_links(events: DataFrame, metres: float = 20.0, seconds: int = 1800
 def cluster_events(events: DataFrame, links: DataFrame) -> DataFrame:
     """`events` with cluster: the smallest id of what it is linked to, over any number of links."""
     parts = connected_components(links).withColumnsRenamed({"node": "id", "component": "__c"})
-    return events.join(parts, "id", "left").withColumn("cluster", F.coalesce("__c", "id")).drop("__c")
+    return events.join(parts.hint("merge"), "id", "left").withColumn("cluster", F.coalesce("__c", "id")).drop("__c")
 
 
 def merge_clusters(clustered: DataFrame) -> DataFrame:
