@@ -304,3 +304,21 @@ def test_stream_alerts_equal_batch(rocks, tmp_path):
     stream = stream_of(rocks, tmp_path / "in", batches).withWatermark("ts", "2 minutes")
     got = run(live.stream_due_alerts(stream, table, "k", "string"), tmp_path, "alerts").where("event_id < 10000").collect()
     assert {(r["event_id"], r["alert"]) for r in got} == {tuple(r) for r in live.due_alerts(rocks.createDataFrame(rows, POSITIONS), table, "k").collect()}
+
+
+def test_duplicates_by_wide_tiles_equal_the_batch(rocks, tmp_path):
+    rows = shuffled_within(crash_rows(3), timedelta(minutes=50), 3)
+    batches = [rocks.createDataFrame(rows[i : i + 60], EVENTS) for i in range(0, len(rows), 60)]
+    links = late.stream_links(stream_of(rocks, tmp_path / "in", batches).withWatermark("ts", "1 hour"), 20.0, 1800, tile=4, block=3)
+    q = links.writeStream.outputMode("append").format("memory").queryName("wide").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+        events = rocks.createDataFrame(rows, EVENTS).where("collision_id is null")
+        expected = {tuple(r) for r in ingest.duplicate_links(events, 20.0, 1800).collect()}
+        plain = {r["id"] for r in events.collect()}
+        got = [tuple(r) for r in rocks.table("wide").collect()]
+        assert expected <= set(got) and len(got) == len(set(got)) and {p for p in got if plain.issuperset(p)} == expected
+        kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        assert max(kept) < 2 * len(rows)
+    finally:
+        q.stop()
