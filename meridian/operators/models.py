@@ -177,12 +177,18 @@ class Growth:
     seed: int = 0
 
 
+#: Rounds after which the log rates of rows are written again; rows of sums that a task has, about.
+AGAIN, CELLS = 16, 20_000
+
+
 class _Boosting:
     """Boosted models that grow side by side: one of all rows, or one per fold of the rows outside it.
 
     Tasks add up gradients by (model, node, feature, bin) and held-out losses by model; Spark
     adds up the tasks; the driver sees models * nodes * features * bins sums however many rows
-    there are, and picks the splits.
+    there are, and picks the splits. Where trees see all rows, those of a fold with the same bins
+    are one row of sums from the start, so a pass goes over bins, not over rows; every AGAIN rounds the log
+    rates so far are written with them, so a pass looks at the last trees only.
     """
 
     def __init__(self, df: DataFrame, features: list[str], y: str, exposure: str, monotone: list[str], growth: Growth, fold: str | None):
@@ -192,7 +198,19 @@ class _Boosting:
             F.array(*[F.col(c).cast("double") for c in features]).alias("x"), F.col(y).cast("double").alias("y"), F.col(exposure).cast("double").alias("e"),
             (F.col(fold).cast("int") if fold else F.lit(-1)).alias("fold"), F.rand(growth.seed).alias("u"),
         )
-        self.held = Scratch(df.sparkSession).write(rows)
+
+        @F.pandas_udf("array<int>")
+        def binned(x: pd.Series) -> pd.Series:
+            return pd.Series(list(Boosted(0.0, cuts, 0.0).bins(np.stack(x)).astype(np.int32))) if len(x) else pd.Series([], dtype=object)
+
+        own = F.when(F.col("y") > 0, F.col("y") * (F.ln("y") - F.ln(F.greatest("e", F.lit(1e-12))))).otherwise(0.0)  # what of a row's deviance no model changes
+        rows = rows.select("fold", binned("x").alias("b"), "y", "e", own.alias("own"), F.lit(1).cast("long").alias("n"), "u")
+        self.scratch = Scratch(df.sparkSession)
+        if growth.rows >= 1:
+            sums = [F.sum(c).alias(c) for c in ("y", "e", "own", "n")]
+            rows = self.scratch.write(rows.groupBy("fold", "b").agg(*sums).withColumn("u", F.lit(0.0)))
+            rows = rows.repartition(rows.count() // CELLS + 1)
+        self.held, self.told = self.scratch.write(rows.withColumn("f", F.array().cast("array<double>"))), None
         sums = self.held.groupBy("fold").agg(F.sum("y").alias("y"), F.sum("e").alias("e")).orderBy("fold").collect()
         self.folds = [r["fold"] for r in sums]
         rest = [(sum(r["y"] for r in sums if r["fold"] != k or not fold), sum(r["e"] for r in sums if r["fold"] != k or not fold)) for k in self.folds]
@@ -200,29 +218,55 @@ class _Boosting:
         self.width, self.up = max(len(c) for c in cuts) + 1, {features.index(m) for m in monotone}
         self.crossed = fold is not None
 
+    def _rated(self) -> Callable[[pd.DataFrame], tuple[np.ndarray, list[np.ndarray]]]:
+        """What tells the bins of rows and the log rates of each model, from those written last."""
+        told, n = self.told, len(self.features)
+        bases = [m.base for m in self.models]
+        late = [Boosted(0.0, m.cuts, m.rate, m.trees[told[i] if told else 0 :]) for i, m in enumerate(self.models)]
+
+        def rated(f: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+            b = np.stack(f["b"]) if len(f) else np.empty((0, n), int)
+            before = np.stack(f["f"]) if told and len(f) else np.tile(bases, (len(f), 1))
+            return b, [before[:, i] + m.log_mu(b) for i, m in enumerate(late)]
+
+        return rated
+
+    def _tell(self) -> None:
+        """Write the log rates so far with the rows."""
+        rated, before = self._rated(), self.held
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                yield f.assign(f=list(np.stack(rated(f)[1], axis=1)))
+
+        self.held = self.scratch.write(before.mapInPandas(run, before.schema))
+        self.scratch.free(before)
+        self.told = [len(m.trees) for m in self.models]
+
     def _sums(self, trees: list[Tree], turn: int) -> tuple[dict[tuple[int, int], np.ndarray], float]:
         """Gradients by (model, node), and the mean deviance of the rows outside each model's own, over all models."""
         models, folds, growth, crossed, width, n = self.models, self.folds, self.growth, self.crossed, self.width, len(self.features)
+        rated = self._rated()
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sums: dict[tuple[int, int], np.ndarray] = {}
             for f in frames:
-                b = models[0].bins(np.stack(f["x"])) if len(f) else np.empty((0, n), int)
-                y, e, of, u = (f[c].to_numpy() for c in ("y", "e", "fold", "u"))
+                b, log_mu = rated(f)
+                y, e, of, u, own, count = (f[c].to_numpy() for c in ("y", "e", "fold", "u", "own", "n"))
                 drawn = (u * 2654435761.0 * (turn + 1)) % 1.0 < growth.rows
-                for m, model in enumerate(models):
-                    mu = e * np.exp(model.log_mu(b))
+                for m in range(len(models)):
+                    mu = e * np.exp(log_mu[m])
                     out = of == folds[m] if crossed else np.zeros(len(f), bool)
                     if out.any():
-                        part = np.where(y[out] > 0, y[out] * np.log(np.maximum(y[out], 1e-300) / np.maximum(mu[out], 1e-12)), 0.0) - (y[out] - mu[out])
+                        part = own[out] - y[out] * log_mu[m][out] - (y[out] - mu[out])
                         s = sums.setdefault((m, -1), np.zeros(2))
-                        s += (2 * part.sum(), out.sum())
+                        s += (2 * part.sum(), count[out].sum())
                     at = trees[m].leaves(b)
                     for node in np.unique(at[~out & drawn]):
                         s = sums.setdefault((m, int(node)), np.zeros((3, n, width)))
                         k = (at == node) & ~out & drawn
                         for j in range(n):
-                            for r, v in enumerate((y[k] - mu[k], mu[k], None)):
+                            for r, v in enumerate((y[k] - mu[k], mu[k], count[k])):
                                 s[r, j] += np.bincount(b[k, j], v, width)
             for (m, node), s in sums.items():
                 yield pd.DataFrame({"m": m, "node": node, "i": np.arange(s.size), "v": s.ravel()})
@@ -266,6 +310,8 @@ class _Boosting:
 
     def grow(self, turn: int) -> float:
         """Add a tree to every model that can be split; the held-out deviance before that."""
+        if turn and turn % AGAIN == 0:
+            self._tell()
         rng = np.random.default_rng((self.growth.seed, turn))
         n, loss = len(self.features), float("nan")
         columns = sorted(rng.permutation(n)[: max(1, round(self.growth.columns * n))].tolist())
