@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meridian.functions import geo, text
-from meridian.operators.graph import connected_components
+from meridian.operators.graph import components_by_parts
 from meridian.operators.spatial import cell_pairs
+from meridian.plans.scratch import Scratch
 
 #: The canonical columns and their types, in order.
 CANONICAL = {
@@ -95,20 +96,36 @@ def duplicate_links(events: DataFrame, metres: float = 20.0, seconds: int = 1800
     chained to its smallest id, not paired with each other. Rows that lack what a rule
     needs are not linked by it.
     """
-    t = F.unix_timestamp("ts")
-    known = events.where("x is not null and y is not null and ts is not null").select("id", "x", "y", t.alias("t"))
+    known = events.where("x is not null and y is not null and ts is not null").select("id", "x", "y", F.unix_timestamp("ts").alias("t"))
+    return _near_links(known, metres, seconds).unionByName(_named_links(events)).distinct()
+
+
+def _near_links(known: DataFrame, metres: float, seconds: int) -> DataFrame:
     near = cell_pairs(known, known, metres, extra=("t", float(seconds))).where("a.id < b.id")
     near = near.where(F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")) <= metres)
-    near = near.where(F.abs(F.col("a.t") - F.col("b.t")) <= seconds).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
+    return near.where(F.abs(F.col("a.t") - F.col("b.t")) <= seconds).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
+
+
+def _named_links(events: DataFrame) -> DataFrame:
     named = events.where("collision_id is not null")
     least = named.groupBy("collision_id").agg(F.min("id").alias("src"))
-    same = named.join(least, "collision_id").where("src <> id").select("src", F.col("id").alias("dst"))
-    return near.unionByName(same).distinct()
+    return named.join(least, "collision_id").where("src <> id").select("src", F.col("id").alias("dst"))
+
+
+def cluster_links(events: DataFrame, metres: float = 20.0, seconds: int = 1800) -> DataFrame:
+    """(src, dst) that join what `duplicate_links` join: copies of a place and second are chained to the smallest id, and only those are paired."""
+    place = ["x", "y", "t"]
+    sound = "abs(x) < double('infinity') and abs(y) < double('infinity') and ts is not null"  # neither null nor NaN
+    known = events.where(sound).select("id", "x", "y", F.unix_timestamp("ts").alias("t"))
+    firsts = Scratch(events.sparkSession).write(known.groupBy(*place).agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    copied = firsts.where("n > 1").select(*place, F.col("id").alias("src"))
+    copies = known.join(copied.hint("merge"), place).where("src <> id").select("src", F.col("id").alias("dst"))
+    return _near_links(firsts.select("id", *place), metres, seconds).unionByName(copies).unionByName(_named_links(events))
 
 
 def cluster_events(events: DataFrame, links: DataFrame) -> DataFrame:
     """`events` with cluster: the smallest id of what it is linked to, over any number of links."""
-    parts = connected_components(links).withColumnsRenamed({"node": "id", "component": "__c"})
+    parts = components_by_parts(links).withColumnsRenamed({"node": "id", "component": "__c"})
     return events.join(parts.hint("merge"), "id", "left").withColumn("cluster", F.coalesce("__c", "id")).drop("__c")
 
 

@@ -110,7 +110,7 @@ CLUSTERS_SQL = f"""
 
 def clustered(spark: SparkSession, d: str) -> DataFrame:
     rows = crashes(spark, d)
-    return ingest.cluster_events(rows, ingest.duplicate_links(rows, 0.5, 1800))
+    return ingest.cluster_events(rows, ingest.cluster_links(rows, 0.5, 1800))
 
 
 @Q.add("fuzzy_dedupe_cc", CLUSTERS_SQL + " SELECT id, cluster FROM cluster")
