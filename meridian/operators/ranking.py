@@ -96,15 +96,15 @@ def average_ranks(df: DataFrame, value: str, rank: str = "rank") -> DataFrame:
     return df.join(place, value)
 
 
-def even_quantiles(df: DataFrame, value: str, points: int, by: list[str] | None = None) -> DataFrame:
+def even_quantiles(df: DataFrame, value: str, points: int, by: list[str] | None = None, times: str | None = None) -> DataFrame:
     """(by, i, q): `points` exact quantiles of `value`, evenly spaced and interpolated, for each group of `by` or for all rows.
 
     Values are counted, and the running counts tell which values stand at the places that a
     quantile lies between, so no task holds a group or the table. Nulls do not count; a group
-    without values has no row.
+    without values has no row. With `times` a row counts that often.
     """
     by = by or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg((F.sum(times) if times else F.count("*")).alias("__c"))
     below = running(counts, [*[F.col(c) for c in by], F.col("__v")], {"__b": F.col("__c")})
     total = below.groupBy(*by).agg(F.min("__b").alias("__start"), F.sum("__c").alias("__n"))
     rows = below.join(total, by) if by else below.join(F.broadcast(total))

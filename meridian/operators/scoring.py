@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from meridian.operators.ranking import even_quantiles
 
 
-def quantile_table(df: DataFrame, value: str, points: int = 1001) -> DataFrame:
-    """(q): `points` exact quantiles, evenly spaced, with linear interpolation; null without values."""
-    listed = even_quantiles(df, value, points).agg(F.array_sort(F.collect_list(F.struct("i", "q"))).alias("l"))  # one entry per point
+def quantile_table(df: DataFrame, value: str, points: int = 1001, times: str | None = None) -> DataFrame:
+    """(q): `points` exact quantiles, evenly spaced, with linear interpolation; null without values. With `times` a row counts that often."""
+    listed = even_quantiles(df, value, points, times=times).agg(F.array_sort(F.collect_list(F.struct("i", "q"))).alias("l"))  # one entry per point
     return listed.select(F.when(F.size("l") > 0, F.col("l.q")).alias("q"))
 
 
